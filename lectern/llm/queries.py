@@ -71,7 +71,7 @@ m AS (
         (4, "github", "'gh[pousr]_[A-Za-z0-9]+'", 0, 40), (5, "jwt", "'eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+'", 0, 30),
     )
 ) + """),
-u AS (SELECT doc_id, ord, kind, least, unnest(range(1, len(whole) + 1)) AS i, unnest(list_transform(whole, x -> length(x))) AS w, unnest(list_transform(own, x -> length(x))) AS o, unnest(list_transform(gaps[1:len(whole)], x -> length(x))) AS g FROM m),
+u AS (SELECT doc_id, ord, kind, least, unnest(range(1, len(whole) + 1)) AS i, unnest(list_transform(whole, lambda x: length(x))) AS w, unnest(list_transform(own, lambda x: length(x))) AS o, unnest(list_transform(gaps[1:len(whole)], lambda x: length(x))) AS g FROM m),
 p AS (SELECT *, sum(w + g) OVER (PARTITION BY doc_id, ord ORDER BY i) AS e FROM u),
 k AS (SELECT doc_id, ord, kind, CAST(e - w AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p WHERE o >= least),
 a AS (SELECT doc_id, count_if(ord = 0) AS n_assign, count_if(ord = 1) AS n_access, count_if(ord = 2) AS n_hex,
@@ -84,9 +84,9 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 OP6_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-bw AS (SELECT item_id, least(len(w), 13) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), i -> array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+bw AS (SELECT item_id, least(len(w), 13) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
 ms AS (SELECT DISTINCT m FROM bw),
-dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), i -> array_to_string(w[i:i + m - 1], ' '))) AS win FROM d, ms WHERE len(w) >= m),
+dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS win FROM d, ms WHERE len(w) >= m),
 f AS (SELECT DISTINCT doc_id, i, m, item_id FROM dw JOIN bw USING (m, win)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM f) GROUP BY doc_id),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM f GROUP BY doc_id)
