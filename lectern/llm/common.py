@@ -72,27 +72,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def blocks(texts: list[str], chars: int = 2_000_000, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most `rows` texts and about `chars` characters, one text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and (size + len(t) > chars or i - start >= rows):
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A cache that lives as long as the Python worker, across its tasks; its users bound it."""
+    return _CACHES.setdefault(name, {})
+
+
 class WordHash:
     """64-bit hashes of word lists through a bounded worker cache."""
 
     def __init__(self, bound: int = WORD_CACHE):
         import xxhash
 
-        self.cache: dict = {}
+        self.cache = worker_cache("word hashes")
         self.bound = bound
         self.digest = xxhash.xxh3_64_intdigest
 
+    def many(self, lists: list[list]) -> list[np.ndarray]:
+        """Hashes of several word lists, missing words learnt at once."""
+        missing = set().union(*lists).difference(self.cache)
+        if missing:
+            if len(self.cache) + len(missing) > self.bound:
+                self.cache.clear()
+                missing = set().union(*lists)
+            self.cache.update(zip(missing, map(self.digest, missing), strict=True))
+        get = self.cache.__getitem__
+        return [np.fromiter(map(get, words), np.uint64, len(words)) for words in lists]
+
     def __call__(self, words: list) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(cache) > self.bound:
-                cache.clear()
-            for w in set(words):
-                if w not in cache:
-                    cache[w] = self.digest(w)
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        return self.many([words])[0]
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -20,33 +20,42 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sha256_hex
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what is between words, before A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, Q = 13, 4
 LITERALS = 60_000
 
 
 def words(text: str = "text") -> Column:
-    lowered = F.when(F.col(text).rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The words, A-Z not yet lower-cased."""
+    return F.array_remove(F.split(F.col(text), BREAK, -1), "")
 
 
-def _pair(a: str, shift: int) -> Column:
-    """Hashes of the run at each place together with the run `shift` places on."""
-    return F.zip_with(a, F.slice(F.col(a), F.lit(1 + shift), F.size(a)), lambda x, y: F.xxhash64(x, y))
+def lowered(word: Column) -> Column:
+    """A word with A-Z lower-cased: lower() does no more to ASCII words and is much faster."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def with_runs(df: DataFrame, w: str, sizes: list[int]) -> DataFrame:
-    """Adds arrays h1, h2, h4, ... and, for each size m, run_m, from the word array w."""
-    out = df.withColumn("h1", F.transform(w, lambda x: F.xxhash64(x)))
-    p = 1
-    while 2 * p <= max(sizes):
-        out = out.withColumn(f"h{2 * p}", _pair(f"h{p}", p))
-        p *= 2
-    for m in sizes:
-        p = 1 << (m.bit_length() - 1)
-        out = out.withColumn(f"run_{m}", F.col(f"h{p}") if m == p else _pair(f"h{p}", m - p))
-    return out
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: the optimizer would repeat it wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pair(a: Column, shift: int) -> Column:
+    """Hashes of the run at each place together with the run `shift` places on; the last `shift` places are no runs."""
+    return F.zip_with(a, F.slice(a, F.lit(1 + shift), F.size(a)), lambda x, y: F.xxhash64(x, y))
+
+
+def runs(w: Column, sizes: list[int]) -> Column:
+    """A struct of arrays run_m, for each m of sizes, with the hash of the m words from each place of the word array."""
+
+    def grow(h: dict[int, Column], p: int) -> Column:
+        if 2 * p <= max(sizes):
+            return let(_pair(h[p], p), lambda x: grow(h | {2 * p: x}, 2 * p))
+        low = {m: 1 << (m.bit_length() - 1) for m in sizes}
+        return F.struct(*[(h[m] if m in h else _pair(h[low[m]], m - low[m])).alias(f"run_{m}") for m in sizes])
+
+    return let(F.transform(w, lambda x: F.xxhash64(lowered(x))), lambda h1: grow({1: h1}, 1))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -58,25 +67,29 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def _matches(docs: DataFrame, items: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
     """For windows of m words: (row, n_words) of documents and (row, item_id, start, size) of the windows in them."""
     q = min(Q, 1 << (m.bit_length() - 1))
-    runs = with_runs(items.where(F.col("size") == m), "words", sorted({q, m}))
     count = F.size("words") - m + 1
-    per_window = runs.select("item_id", F.posexplode(F.slice(F.col(f"run_{m}"), F.lit(1), count)).alias("at", "run"), F.slice(F.col(f"run_{q}"), F.col("at") + 1, F.lit(m - q + 1)).alias("shingles"))
+    hashed = materialize(items.where(F.col("size") == m).select("item_id", "words", runs(F.col("words"), sorted({q, m})).alias("r")), "item-runs")
+    per_window = hashed.select("item_id", F.posexplode(F.slice(F.col(f"r.run_{m}"), F.lit(1), count)).alias("at", "run"), F.col(f"r.run_{q}").alias("all")).select("item_id", "run", F.slice("all", F.col("at") + 1, F.lit(m - q + 1)).alias("shingles"))
     windows = materialize(per_window.select("item_id", "run", "shingles").distinct(), "windows")
     kinds = windows.dropDuplicates(["run"]).select("run", F.posexplode("shingles").alias("offset", "shingle"))
     known = kinds.select("shingle").distinct()
+    def arrays(w: Column) -> Column:
+        """n_words, the shingle hash of each place and the window hash of each word."""
+        return let(runs(w, sorted({q, m})), lambda r: F.struct(F.size(w).alias("n_words"), F.slice(r[f"run_{q}"], F.lit(1), F.greatest(F.size(w) - q + 1, F.lit(0))).alias("shingle"), r[f"run_{m}"].alias("run")))
+
+    hashed_docs = docs.select("doc_id", "text_hash", let(words(), arrays).alias("r"))
     n = known.count()
-    split = with_runs(docs.select("doc_id", "text_hash", words().alias("words")), "words", sorted({q, m}))
-    last = F.size("words") - q + 1
     if n <= LITERALS:
-        listed = ",".join(f"{r['shingle']}L" for r in known.collect()) or "NULL"
-        paired = F.transform(F.slice(F.col(f"run_{q}"), F.lit(1), F.greatest(last, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("shingle"), F.get(f"run_{m}", i).alias("run")))
-        cut = split.withColumn("paired", F.when(F.expr(f"exists(run_{q}, x -> x in ({listed}))"), paired))
-        kept = materialize(cut.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.expr(f"filter(paired, x -> x.shingle in ({listed}))").alias("hits")), "hits")
-        hits = kept.where("hits is not null").select("doc_id", "text_hash", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_hash", "n_words", "h.*")
+        listed = ",".join(f"{x['shingle']}L" for x in known.collect()) or "NULL"
+        places = f"filter(sequence(0, size(r.shingle)), i -> get(r.shingle, i) in ({listed}))"
+        hits = f"transform({places}, i -> struct(i as pos, get(r.shingle, i) as shingle, get(r.run, i) as run))"
+        kept = materialize(hashed_docs.select("doc_id", "text_hash", F.expr(f"get(transform(array(r), r -> struct(r.n_words as n_words, {hits} as hits)), 0)").alias("x")).select("doc_id", "text_hash", "x.*"), "hits")
+        hits = kept.select("doc_id", "text_hash", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_hash", "n_words", "h.*")
         sizes = kept.select("doc_id", "text_hash", "n_words")
     else:
-        placed = split.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode(F.arrays_zip(F.col(f"run_{q}").alias("shingle"), F.col(f"run_{m}").alias("run"))).alias("pos", "h")).select("doc_id", "text_hash", "n_words", "pos", "h.*")
-        hits = materialize(placed.where(F.col("pos") <= F.col("n_words") - q).join(known, "shingle", "left_semi"), "hits")
+        zipped = F.arrays_zip("r.shingle", F.slice("r.run", F.lit(1), F.size("r.shingle")))
+        placed = hashed_docs.select("doc_id", "text_hash", F.col("r.n_words").alias("n_words"), F.posexplode(zipped).alias("pos", "h")).select("doc_id", "text_hash", "n_words", "pos", F.col("h.0").alias("shingle"), F.col("h.1").alias("run"))
+        hits = materialize(placed.join(known, "shingle", "left_semi"), "hits")
         sizes = docs.select("doc_id", "text_hash", F.size(words()).alias("n_words"))
     hits = hits.distinct()  # repeated rows
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix
+from .common import blocks, map_arrow, mix
 
 BUCKETS = 1 << 15
 CACHE = 200_000
@@ -95,7 +95,7 @@ def train(docs: DataFrame, train_docs: int = 5000) -> tuple[list[str], np.ndarra
 class Labeller:
     def __init__(self, langs: list[str], logp: np.ndarray, seen: np.ndarray, penalty: float):
         self.langs, self.logp, self.seen, self.penalty = langs, logp, seen, penalty
-        self.cache: dict[str, int] = {}
+        self.cache: dict[str, int] = {}  # row of scores by word
         self.scores = np.zeros((1024, len(langs)))
 
     def _learn(self, words: set[str]) -> None:
@@ -133,30 +133,37 @@ class Labeller:
             path[i - 1] = back[i, path[i]]
         return path
 
-    def spans(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[str]]:
-        """(language, first word, end word) of each span, and the words."""
-        raw = WORDS(text or "")
+    def many(self, texts: list[str | None]) -> Iterator[tuple[str, float, str]]:
+        """Results of texts, the missing words of each block learnt at once."""
+        texts = [t or "" for t in texts]
+        for a, b in blocks(texts):
+            raws = [WORDS(t) for t in texts[a:b]]
+            lowers = [WORDS(t.lower()) for t in texts[a:b]]
+            lowers = [low if len(low) == len(raw) else [w.lower() for w in raw] for raw, low in zip(raws, lowers, strict=True)]  # lower-casing can make or cut words
+            if self.langs:
+                self._learn(set().union(*lowers))
+            for raw, low in zip(raws, lowers, strict=True):
+                yield self._result(raw, low)
+
+    def spans(self, raw: list[str], words: list[str]) -> list[tuple[int, int, int]]:
+        """(language, first word, end word) of each span."""
         if not raw or not self.langs or not any(map(str.isalpha, "".join(raw))):
-            return [], raw
-        words = WORDS(text.lower())
-        if len(words) != len(raw):  # lower-casing made or cut words
-            words = [w.lower() for w in raw]
-        self._learn(set(words))
+            return []
         m = self.scores[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))]
         best = int(m.sum(0).argmax())
         gain = np.cumsum(m - m[:, [best]], axis=0)
         low = np.minimum(np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0), 0.0)
         if (gain - low).max() <= self.penalty:
-            return [(best, 0, len(words))], raw
+            return [(best, 0, len(words))]
         path = self._viterbi(m)
         cuts = np.concatenate([[0], (path[1:] != path[:-1]).nonzero()[0] + 1, [len(path)]])
-        return [(int(path[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], raw
+        return [(int(path[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def __call__(self, text: str | None) -> tuple[str, float, str]:
-        spans, words = self.spans(text)
+    def _result(self, raw: list[str], words: list[str]) -> tuple[str, float, str]:
+        spans = self.spans(raw, words)
         if not spans:
             return UND, 0.0, ""
-        letters = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        letters = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
         weight = np.zeros(len(self.langs), np.int64)
         for lang, a, b in spans:
             weight[lang] += letters[b] - letters[a]
@@ -171,7 +178,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         labeller = Labeller(*shared.value, penalty)
         for batch in batches:
-            got = [labeller(t) for t in batch.column("text").to_pylist()]
+            got = list(labeller.many(batch.column("text").to_pylist()))
             yield {"doc_id": batch.column("doc_id"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "spans": [g[2] for g in got]} | {c: batch.column(c) for c in carry}
 
     kinds = dict(docs.dtypes)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, doc_text, map_arrow, materialize, mix, shingle_hashes
+from .common import WordHash, blocks, doc_text, map_arrow, materialize, mix, shingle_hashes
 from .components import components
 
 M, BANDS = 128, 32
@@ -32,9 +32,11 @@ PER_TASK = 256
 LAST = np.uint64((1 << 64) - 1)
 
 
-def shingle_set(text: str, hashed: WordHash, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; bytes.lower() and split() are the A-Z and white space of the word rule."""
-    return np.unique(shingle_hashes(hashed(text.encode().lower().split()), n))
+def shingle_sets(texts: list[str], hashed: WordHash, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text; bytes.lower() and split() are the A-Z and white space of the word rule."""
+    for a, b in blocks(texts):
+        for words in hashed.many([t.encode().lower().split() for t in texts[a:b]]):
+            yield np.unique(shingle_hashes(words, n))
 
 
 def superminhash(elements: np.ndarray, m: int = M) -> np.ndarray:
@@ -71,8 +73,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         hashed = WordHash()
         for batch in batches:
             n, one, two, bands = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, hashed)
+            for s in shingle_sets(batch.column("text").to_pylist(), hashed):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 one.append((d >> 64) - (1 << 63))
@@ -101,8 +102,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
         at, pivot = None, np.zeros(0, np.uint64)
         for batch in batches:
             u, v = [], []
-            for p, salt, role, doc, text in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "doc_id", "text")), strict=True):
-                s = shingle_set(text, hashed)
+            for p, salt, role, doc, s in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "doc_id")), shingle_sets(batch.column("text").to_pylist(), hashed), strict=True):
                 if role == 0:
                     at, pivot = (p, salt), s
                 elif at == (p, salt):

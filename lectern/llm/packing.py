@@ -16,6 +16,7 @@ Null and empty texts are the id 0 alone. Repeated rows are packed each. An empty
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -27,69 +28,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import blocks, map_arrow, materialize, worker_cache
 
 # fixed values: the Unicode White_Space characters, as the tokenizer's pattern sees them
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE, LONG_UNIT = 250_000, 64
+# fixed value: the pattern of the vocabulary's pre-tokens
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHE, LONG_UNIT = 500_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean"
 
 
 class UnitTokenizer:
-    """Ids of texts as little-endian 32-bit bytes, equal to encode(text, add_special_tokens=False)."""
+    """Ids of texts as little-endian 32-bit bytes, equal to encode(text, add_special_tokens=False) of the tokenizers library.
 
-    def __init__(self, tokenizer_file: str, cache: int = CACHE):
+    Units are a space with the characters up to the next one. New units of plain Latin characters are encoded together by
+    the same vocabulary's rank file, if given, which is several times faster and gives the same ids (the two libraries'
+    character classes can only differ on characters that young versions of Unicode added); others by the library itself.
+    """
+
+    def __init__(self, tokenizer_file: str, rank_file: str | None = None, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
-        self.units = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.cache: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.odd_space = re.compile(f"[{SPACE.replace(' ', '', 1).replace(chr(10), '')}]").search
+        self.odd = re.compile("[^\0-\u024f]").search
+        self.cache = worker_cache(f"units {tokenizer_file}")
         self.bound = cache
-
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        once: dict[str, bytes] = {}
-        if len(self.cache) + len(units) > self.bound:
-            self.cache.clear()
-        new = [u for u in units if u not in self.cache]
-        for i in range(0, len(new), 4096):
-            for u, e in zip(new[i : i + 4096], self.encode(new[i : i + 4096], add_special_tokens=False), strict=True):
-                (self.cache if len(u) <= LONG_UNIT else once)[u] = np.array(e.ids, "<u4").tobytes()
-        return once
-
-    def _plain(self, text: str) -> Iterator[bytes]:
-        units = self.units(text)
-        for i in range(0, len(units), 65536):
-            part = units[i : i + 65536]
-            try:
-                yield b"".join(map(self.cache.__getitem__, part))
-            except KeyError:
-                once = self._learn(set(part))
-                yield b"".join([self.cache.get(u) or once[u] for u in part])
-
-    def __call__(self, text: str) -> bytes:
-        out: list[bytes] = []
-        for part in self.cut(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out.extend(self._plain(part))
-        return b"".join(out)
-
-
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048) -> DataFrame:
+        self.fast = None
+        if rank_file:
+            import tiktoken
+
+            with open(rank_file, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, i in ranks.items():
+                self.widths[i] = len(token)
+
+    def units(self, text: str) -> list[str]:
+        """Strings whose encodings concatenate to that of a text without special tokens."""
+        if not text:
+            return []
+        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or self.odd_space(text):
+            return self.runs(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def learn(self, units: list[str]) -> None:
+        plain, rest = [], []
+        for u in units:
+            (plain if self.fast and u[0] == " " and not self.odd(u) and len(u) <= LONG_UNIT and len(u) > 1 and u[1] > " " and u[-1] > " " else rest).append(u)
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            ids = self.fast.encode_to_numpy("".join(part), disallowed_special=()).astype("<u4")
+            ends = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(ends, np.cumsum(np.fromiter((len(u.encode()) for u in part), np.int64, len(part)))) + 1
+            raw, at = ids.tobytes(), 0
+            for u, b in zip(part, (4 * cuts).tolist(), strict=True):
+                self.cache[u] = raw[at:b]
+                at = b
+        for i in range(0, len(rest), 4096):
+            for u, e in zip(rest[i : i + 4096], self.encode(rest[i : i + 4096], add_special_tokens=False), strict=True):
+                self.cache[u] = np.array(e.ids, "<u4").tobytes()
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        for a, b in blocks(texts):
+            parts = [[p for p in (self.cut(t) if self.special else [t]) if p] for t in texts[a:b]]
+            lists = [[[p] if p in self.special else self.units(p) for p in ps] for ps in parts]
+            needed = set().union(*(units for own in lists for units in own))
+            missing = needed.difference(self.cache)
+            if len(self.cache) + len(missing) > self.bound:
+                self.cache.clear()
+                missing = needed
+            self.cache.update((u, self.special[u]) for u in missing & self.special.keys())
+            self.learn(list(missing - self.special.keys()))
+            get = self.cache.__getitem__
+            for own in lists:
+                yield b"".join([b"".join(map(get, units)) for units in own])
+
+
+def pieces(docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all documents, each ended by id 0."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        tokenize = UnitTokenizer(tokenizer_file)
+        tokenizer = UnitTokenizer(tokenizer_file, rank_file)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokenize(text.as_py() or "") + b"\0\0\0\0"
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.many(texts), strict=True):
+                ids += b"\0\0\0\0"
                 n, start, piece = len(ids) // 4, 0, 0
                 end = n % capacity or capacity
                 while start < n:
@@ -173,9 +206,9 @@ def _round(table: DataFrame, parts: int, number: int, capacity: int, last: bool)
     return map_arrow(dealt, pack, PACKED)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, per_partition: int = 200_000, rounds: int = 3) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, capacity: int = 2048, per_partition: int = 200_000, rounds: int = 3) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document, packed."""
-    todo = materialize(pieces(docs, tokenizer_file, capacity), "pieces")
+    todo = materialize(pieces(docs, tokenizer_file, rank_file, capacity), "pieces")
     done: list[DataFrame] = []
     least = 1
     for number in range(1, rounds + 1):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, materialize, mix
+from .common import WordHash, blocks, map_arrow, materialize, mix
 
 BUCKETS = 1 << 16
 FEW = 50_000
@@ -40,11 +40,12 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         hashed = WordHash()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("is_target").to_pylist(), strict=True):
-                own = np.bincount(_grams(hashed(_words(text))), minlength=BUCKETS)
-                raw += own
-                if good:
-                    target += own
+            texts, good = batch.column("text").to_pylist(), np.array(batch.column("is_target").to_pylist(), bool)
+            texts = [t or "" for t in texts]
+            for a, b in blocks(texts):
+                found = list(map(_grams, hashed.many(list(map(_words, texts[a:b])))))
+                raw += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                target += np.bincount(np.concatenate([np.zeros(0, np.int64), *(g for g, ok in zip(found, good[a:b], strict=True) if ok)]), minlength=BUCKETS)
         at = raw.nonzero()[0]
         yield {"bucket": at, "target": target[at], "raw": raw[at]}
 
@@ -74,10 +75,11 @@ def score(docs: DataFrame, ratios: np.ndarray, seed: int = 0) -> DataFrame:
         hashed = WordHash()
         for batch in batches:
             n, ratio = [], []
-            for text in batch.column("text").to_pylist():
-                words = _words(text)
-                n.append(len(words))
-                ratio.append(float(shared.value[_grams(hashed(words))].sum()) if words else 0.0)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in blocks(texts):
+                for h in hashed.many(list(map(_words, texts[a:b]))):
+                    n.append(len(h))
+                    ratio.append(float(shared.value[_grams(h)].sum()))
             gumbel = -np.log(-np.log(batch.column("u").to_numpy()))
             yield {"doc_id": batch.column("doc_id"), "n_words": n, "log_ratio": ratio, "gumbel_key": np.array(ratio, float) + gumbel}
 

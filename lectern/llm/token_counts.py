@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow
+from .common import blocks, map_arrow, worker_cache
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 600_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -42,33 +42,35 @@ class TokenCounter:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.table, self.cache, self.bound = table, {}, cache
-        self.units = re.compile(" *[^ ]+| +").findall
-
-    def _misses(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.table and u not in self.cache]
-        if len(self.cache) + len(new) > self.bound:
-            self.cache.clear()
-            new = [u for u in units if u not in self.table]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.cache.update(zip(part, map(len, self.sp.encode(part, num_threads=1)), strict=True))
-
-    def __call__(self, text: str) -> int:
-        if not text:
-            return 0
+        self.table, self.cache, self.bound = table, worker_cache(f"token counts {model_file}"), cache
+        self.runs = re.compile(" *[^ ]+| +").findall
+
+    def units(self, text: str) -> list[str]:
+        """Pre-tokens without their first mark: the library puts one before what it encodes."""
         text = text.replace(MARK, " ")
+        if not text:
+            return []
         if "  " in text or text[0] == " " or text[-1] == " ":
-            # the library puts one mark before the text and before what encode() gets: leave one out
-            units = [u[1:] for u in self.units(" " + text)]
-        else:
-            units = text.split(" ")
-        n, table, cache = 0, self.table.get, self.cache
-        for i in range(0, len(units), 65536):
-            part = units[i : i + 65536]
-            self._misses(set(part))
-            n += sum([table(u) or cache[u] if u else 1 for u in part])
-        return n
+            return [u[1:] for u in self.runs(" " + text)]
+        return text.split(" ")
+
+    def many(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        table, cache = self.table, self.cache
+        for a, b in blocks(texts):
+            lists = list(map(self.units, texts[a:b]))
+            needed = set().union(*lists).difference(table)
+            needed.discard("")
+            missing = list(needed.difference(cache))
+            if len(cache) + len(missing) > self.bound:
+                cache.clear()
+                missing = list(needed)
+            for i in range(0, len(missing), 4096):
+                part = missing[i : i + 4096]
+                cache.update(zip(part, map(len, self.sp.encode(part, num_threads=1)), strict=True))
+            first, second = table.get, cache.get
+            out += [sum([first(u) or second(u) or 1 for u in units]) for units in lists]  # 1: a lone mark
+        return out
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, cache: int = CACHE) -> DataFrame:
@@ -80,7 +82,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, cache: int
         counter = TokenCounter(model_file, table.value, cache)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [counter(t) for t in texts]
+            counts = counter.many(texts)
             yield {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
     return map_arrow(docs.select("doc_id", "text"), count, SCHEMA)
