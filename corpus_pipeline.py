@@ -46,7 +46,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
-    return packing.best_fit_packing(docs, queries.tokenizer_path("byte_bpe_50k.json"))
+    return packing.best_fit_packing(docs, queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("decontamination", decontaminated), ("packing", packed)]
