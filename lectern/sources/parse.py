@@ -1,0 +1,240 @@
+"""Payload parsers as DataFrame operators (SRC-*, HTM-*, XML-*, JSN-*): raw payload column in, arrays of parts out."""
+
+from __future__ import annotations
+
+import re
+from html import unescape
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+
+SKIP_TAGS = frozenset({"script", "style", "head", "sup"})
+# fixed values: classes of wiki markup that is no text
+WIKI_CLASSES = frozenset({"mw-editsection", "reference", "noprint", "mw-cite-backlink", "navigation-not-searchable", "ws-noexport", "mw-references-wrap"})
+PART = T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType())])
+TEI = T.StructType([T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("parts", T.ArrayType(PART))])
+XML_DROPS = frozenset({"note", "bibl", "app", "rdg"})
+
+
+class _Paragraphs(HTMLParser):
+    """Texts of <p> elements. As is: a new <p> discards an open one; repair: it closes it, and void elements skip nothing."""
+
+    def __init__(self, tags: frozenset, classes: frozenset, repair: bool):
+        super().__init__()
+        self.tags, self.classes, self.repair = tags, classes, repair
+        self.skipped: list[str] = []
+        self.open: list[str] | None = None
+        self.done: list[str] = []
+
+    def _close(self) -> None:
+        text = " ".join("".join(self.open or []).split())
+        if text:
+            self.done.append(text)
+        self.open = None
+
+    def handle_starttag(self, tag, attrs):
+        named = set((dict(attrs).get("class") or "").split()) & self.classes
+        void = self.repair and tag in ("br", "hr", "img", "input", "link", "meta", "wbr")
+        if (tag in self.tags or named) and not void or self.repair and self.skipped and tag == self.skipped[-1]:
+            self.skipped.append(tag)
+        elif not self.skipped:
+            if tag == "p":
+                if self.repair and self.open is not None:
+                    self._close()
+                self.open = []
+            elif tag == "br" and self.open is not None:
+                self.open.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            if self.skipped[-1] == tag:
+                self.skipped.pop()
+        elif tag == "p" and self.open is not None:
+            self._close()
+
+    def handle_data(self, data):
+        if not self.skipped and self.open is not None:
+            self.open.append(data)
+
+
+def html_paragraphs(html: str | None, tags: frozenset = SKIP_TAGS, classes: frozenset = frozenset(), repair: bool = False) -> list[str]:
+    p = _Paragraphs(tags, classes, repair)
+    p.feed(html or "")
+    if repair and p.open is not None:
+        p._close()
+    return p.done if repair else list(map(unescape, p.done))
+
+
+def paragraphs(column: Column | str, classes: frozenset = frozenset(), repair: bool = False) -> Column:
+    """HTM-01."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: html_paragraphs(h, classes=classes, repair=repair))
+
+    return run(X.col(column))
+
+
+def latin_library_text(pages: DataFrame) -> DataFrame:
+    """SRC-04: (page_id, title, text): kept paragraphs joined by line breaks."""
+    p = F.transform(paragraphs("html"), X.drop_leading_numbers)
+    kept = F.filter(p, lambda t: ~X.is_chrome(t) & ~X.is_noise(t))
+    return pages.select("page_id", X.page_title("html").alias("title"), F.array_join(kept, "\n").alias("text"))
+
+
+def wiki_page_text(pages: DataFrame) -> DataFrame:
+    """SRC-06."""
+    kept = F.filter(F.transform(paragraphs("html", WIKI_CLASSES), X.wiki_text), lambda t: (F.length(t) >= 20) & (X.letters(t) >= 15))
+    return pages.select("page_id", F.array_join(kept, "\n").alias("text"))
+
+
+def thomisticum_text(pages: DataFrame) -> DataFrame:
+    """SRC-16."""
+    kept = F.filter(F.transform(paragraphs("html"), lambda t: X.collapse(F.regexp_replace(t, r"\[[^\]]*\d[^\]]*\]", ""))), lambda t: F.length(t) >= 30)
+    return pages.select("page_id", F.array_join(kept, "\n").alias("text"))
+
+
+def links(pages: DataFrame, pattern: str = r"\.html$", limit: int = 50) -> DataFrame:
+    """SRC-05, SRC-17: distinct links of a page to its own host, in order of appearance."""
+    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"'#?]+)"), F.lit(1))).alias("pos", "href"))
+    host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
+    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(host, "href")).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.col("href")))
+    own = raw.withColumn("link", full).where(F.col("link").startswith(host) & F.col("link").rlike(pattern))
+    first = own.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+    from ..operators.library import first_n
+
+    return first_n(first, "page_id", ["pos"], limit).select("page_id", "link")
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+
+
+def _texts(e: ElementTree.Element, drops: frozenset, compat: bool) -> list[str]:
+    """Text pieces of e; dropped elements keep their tail unless compat."""
+    out = [e.text or ""]
+    for child in e:
+        gone = _local(child.tag) in drops
+        if not gone:
+            out += _texts(child, drops, compat)
+        if not (gone and compat):
+            out.append(child.tail or "")
+    return out
+
+
+def _flat(e: ElementTree.Element, drops: frozenset, compat: bool) -> str:
+    return " ".join(" ".join(_texts(e, drops, compat)).split())
+
+
+def _label(e: ElementTree.Element) -> str:
+    """XML-03."""
+    kind = e.get("subtype") or e.get("type") or ""
+    if kind in ("edition", "translation"):
+        return ""
+    kind = "Section" if kind in ("textpart", "") else kind.capitalize()
+    return f"{kind} {e.get('n')}" if e.get("n") else ""
+
+
+def tei_parts(xml: bytes | str | None, drops: frozenset = XML_DROPS, compat: bool = False) -> tuple[str | None, str | None, list[tuple[str, str]]]:
+    """SRC-02, XML-01..05: title, author and labelled leaf divisions; the whole body if there is none. Bad XML: no parts."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return None, None, []
+    named = {name: next((_flat(e, frozenset(), False) for e in root.iter() if _local(e.tag) == name), None) for name in ("title", "author")}
+    body = next((e for e in root.iter() if _local(e.tag) == "body"), root)
+    parts: list[tuple[str, str]] = []
+
+    def walk(e: ElementTree.Element, trail: tuple[str, ...]) -> None:
+        inner = [c for c in e if re.fullmatch(r"div\d*", _local(c.tag))]
+        for c in inner:
+            walk(c, (*trail, _label(c)))
+        if not inner and e is not body and (text := _flat(e, drops, compat)):
+            parts.append((" ".join(filter(None, trail)) or "Text", text))
+
+    walk(body, ())
+    if not parts and (text := _flat(body, drops, compat)):
+        parts = [("Text", text)]
+    return named["title"], named["author"], parts
+
+
+@F.pandas_udf(TEI)
+def parsed_tei(payload: pd.Series) -> pd.DataFrame:
+    rows = [tei_parts(x) for x in payload]
+    return pd.DataFrame({"title": [r[0] for r in rows], "author": [r[1] for r in rows], "parts": [[{"label": a, "text": b} for a, b in r[2]] for r in rows]})
+
+
+def citation_leaves(xml: str | None) -> list[tuple[list[tuple[str, str]], str]]:
+    """XML-06: (chain of (level, n), text) of the leaf divisions."""
+    root = ElementTree.fromstring(xml or "<x/>")
+    out: list = []
+
+    def walk(e: ElementTree.Element, chain: list) -> None:
+        own = [*chain, (e.get("subtype") or e.get("type") or "", e.get("n"))] if _local(e.tag) == "div" and e.get("n") else chain
+        inner = [c for c in e.iter() if c is not e and _local(c.tag) == "div"]
+        for c in e:
+            walk(c, own)
+        if not inner and _local(e.tag) == "div" and own and (text := _flat(e, XML_DROPS, False)):
+            out.append((own, text))
+
+    walk(root, [])
+    return out
+
+
+def thml_chapters(xml: str | None, drops: frozenset = frozenset({"note", "scripRef", "pb", "index", "added"})) -> list[tuple[str, str, str]]:
+    """SRC-28: (work, chapter, text) of div2 works and their div3 chapters."""
+    root = ElementTree.fromstring(xml or "<x/>")
+    return [(w.get("title") or "", c.get("title") or "", text) for w in root.iter() if _local(w.tag) == "div2" for c in w if _local(c.tag) == "div3" and (text := _flat(c, drops, False))]
+
+
+def zip_member(payload: bytes, wanted: str | None = None) -> bytes:
+    """SRC-19, TOP-08: the XML member of that name, else the largest."""
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(payload)) as z:
+        names = [i for i in z.infolist() if i.filename.endswith(".xml")]
+        match = [i for i in names if wanted and wanted in i.filename]
+        return z.read(max(match or names, key=lambda i: i.file_size))
+
+
+def catalogue(spark, path: str, columns: list[str]) -> DataFrame:
+    """SRC-32: a JSON array of positional arrays as rows (ord, columns)."""
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("ord", "a"))
+    return raw.select("ord", *[F.get("a", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
+def iiif_images(manifests: DataFrame, column: str = "manifest", start: int = 1, most: int | None = None) -> DataFrame:
+    """JSN-01, SRC-33: (id, index, service_url, direct_url, format) of version 2 and 3 manifests."""
+    v2 = F.from_json(column, "struct<sequences:array<struct<canvases:array<struct<images:array<struct<resource:struct<`@id`:string,format:string,service:struct<`@id`:string>>>>>>>>>")
+    v3 = F.from_json(column, "struct<items:array<struct<items:array<struct<items:array<struct<body:struct<id:string,format:string,service:array<struct<id:string,`@id`:string>>>>>>>>>>")
+    two = F.transform(F.flatten(F.transform(v2["sequences"], lambda s: s["canvases"])), lambda c: F.struct(c["images"][0]["resource"]["service"]["@id"].alias("service_url"), c["images"][0]["resource"]["@id"].alias("direct_url"), c["images"][0]["resource"]["format"].alias("format")))
+    three = F.transform(v3["items"], lambda c: F.struct(F.coalesce(c["items"][0]["items"][0]["body"]["service"][0]["id"], c["items"][0]["items"][0]["body"]["service"][0]["@id"]).alias("service_url"), c["items"][0]["items"][0]["body"]["id"].alias("direct_url"), c["items"][0]["items"][0]["body"]["format"].alias("format")))
+    rows = manifests.select("id", F.posexplode(F.coalesce(two, three)).alias("index", "i")).select("id", (F.col("index") + 1).alias("index"), "i.*").where(F.col("index") >= start)
+    return rows if most is None else rows.where(F.col("index") < start + most)
+
+
+def inscription_text(column: Column | str) -> Column:
+    """JSN-02: the first text of a field that is a string, a list or a list of lists."""
+    v = F.parse_json(X.col(column))
+    return F.coalesce(*[F.try_variant_get(v, path, "string") for path in ("$[0][0]", "$[0]", "$")])
+
+
+def files(spark, path: str, pattern: str = "*.txt", limit: int = 500) -> DataFrame:
+    """SRC-01, SRC-03: one row for each text file, sorted by path: (source, title, text)."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    name = F.col("_metadata.file_path")
+    return raw.select(name.alias("source"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "").alias("title"), F.col("value").alias("text")).orderBy("source").limit(limit)
+
+
+def pairs(spark, paths: list[str]) -> DataFrame:
+    """SRC-31, SET-05: JSON lines of pairs with both sides filled."""
+    from ..operators.library import PAIRS
+
+    return spark.read.schema(PAIRS).json(paths).where(X.is_filled("src") & X.is_filled("tgt"))
