@@ -87,8 +87,8 @@ def _matches(docs: DataFrame, items: DataFrame, m: int) -> tuple[DataFrame, Data
         hits = kept.select("doc_id", "text_hash", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_hash", "n_words", "h.*")
         sizes = kept.select("doc_id", "text_hash", "n_words")
     else:
-        zipped = F.arrays_zip("r.shingle", F.slice("r.run", F.lit(1), F.size("r.shingle")))
-        placed = hashed_docs.select("doc_id", "text_hash", F.col("r.n_words").alias("n_words"), F.posexplode(zipped).alias("pos", "h")).select("doc_id", "text_hash", "n_words", "pos", F.col("h.0").alias("shingle"), F.col("h.1").alias("run"))
+        zipped = F.zip_with("r.shingle", F.slice("r.run", F.lit(1), F.size("r.shingle")), lambda a, b: F.struct(a.alias("shingle"), b.alias("run")))
+        placed = hashed_docs.select("doc_id", "text_hash", F.col("r.n_words").alias("n_words"), F.posexplode(zipped).alias("pos", "h")).select("doc_id", "text_hash", "n_words", "pos", "h.*")
         hits = materialize(placed.join(known, "shingle", "left_semi"), "hits")
         sizes = docs.select("doc_id", "text_hash", F.size(words()).alias("n_words"))
     hits = hits.distinct()  # repeated rows
