@@ -5,10 +5,10 @@ element once, in an order (a permutation drawn from the element's hash): in roun
 j + random to its j-th register, so ranks are correlated and no register can be won by a late round once all have been
 won by earlier ones, which is where it stops. The registers make BANDS band keys of M / BANDS registers.
 
-Documents of equal sets are one class and only its smallest doc_id goes on. In every bucket of a band each member is
-verified against the bucket's smallest member, on full sets, so that a group of n copies costs n checks and no pairs;
-components of the verified links follow. Members of a bucket that are in different components then are the only pairs
-left that could matter: all of them whose set sizes allow the similarity are verified too, and the components redone.
+Documents of equal sets are one class and only its smallest doc_id goes on. Checks are on full sets and come in three
+rounds, each with the components of all links so far, and only between different components: each document against the
+smallest of its buckets' smallest members, so that a group of n copies costs n checks; each member of a bucket against
+the bucket's smallest; and all other pairs of members of a bucket whose set sizes allow the similarity.
 
 Texts without words have the empty set, are linked with nothing and are kept. Rows with a null doc_id belong to the
 class of their set, take its component and count as kept only if that is null. Repeated rows are copies of each other.
@@ -123,16 +123,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     bands = classes.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(bands.join(buckets, "band"), "members")
-    tested = members.where("doc_id <> pivot").select("pivot", F.col("doc_id").alias("member")).distinct()
-    links = materialize(verify(tested, docs, percent), "links")
+    able = f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
+
+    def placed(parts: DataFrame) -> DataFrame:
+        """members with their components so far."""
+        of = parts.select(F.col("node").alias("doc_id"), "component")
+        return members.join(of, "doc_id", "left").select("band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+    first = members.groupBy(F.col("doc_id").alias("member")).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
+    links = materialize(verify(first, docs, percent), "links")
     parts = components(links)
-    # what is left: members of one bucket in different components
-    of = parts.select(F.col("node").alias("doc_id"), "component")
-    placed = members.join(of, "doc_id", "left").select("band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
-    left = materialize(placed.join(mixed, "band", "left_semi"), "left")
+    # members and their bucket's smallest that are still apart
+    now = materialize(placed(parts), "placed")
+    heads = now.where("doc_id = pivot").select("band", F.col("component").alias("head"))
+    apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select("pivot", F.col("doc_id").alias("member")).distinct()
+    apart = materialize(apart.join(first, ["pivot", "member"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        links = materialize(links.unionByName(verify(apart, docs, percent)), "links")
+        parts = components(links)
+        now = materialize(placed(parts), "placed")
+    # all other members of one bucket in different components
+    mixed = now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
+    left = materialize(now.join(mixed, "band", "left_semi"), "left")
     a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n_shingles", "pivot"))) for s in "ab")
-    rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and 100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
+    rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and {able}")
     rest = materialize(rest.select(F.col("doc_id_a").alias("pivot"), F.col("doc_id_b").alias("member")).distinct(), "rest")
     if not rest.isEmpty():
         more = materialize(verify(rest, docs, percent), "links")
