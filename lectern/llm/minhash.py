@@ -8,7 +8,10 @@ won by earlier ones, which is where it stops. The registers make BANDS band keys
 Documents of equal sets are one class and only its smallest doc_id goes on. Checks are on full sets and come in three
 rounds, each with the components of all links so far, and only between different components: each document against the
 smallest of its buckets' smallest members, so that a group of n copies costs n checks; each member of a bucket against
-the bucket's smallest; and all other pairs of members of a bucket whose set sizes allow the similarity.
+the bucket's smallest; and all other pairs of members of a bucket whose set sizes and parity bits allow the similarity.
+Parity bit i of a set says whether the number of its elements with hash i is odd. Sets differ in at least as many
+elements as parity bits, so a pair that differs in too many bits is surely below the similarity and needs no check. The
+PARITY * 64 bits tell little of sets of many times that size; their pairs are all checked.
 
 Texts without words have the empty set, are linked with nothing and are kept. Rows with a null doc_id belong to the
 class of their set, take its component and count as kept only if that is null. Repeated rows are copies of each other.
@@ -27,6 +30,7 @@ from .common import WordHash, blocks, doc_text, map_arrow, materialize, mix, shi
 from .components import components
 
 M, BANDS = 128, 32
+PARITY = 16  # longs
 SHINGLE = 5
 PER_TASK = 256
 LAST = np.uint64((1 << 64) - 1)
@@ -86,6 +90,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mix(elements) & np.uint64(PARITY * 64 - 1)).astype(np.intp), minlength=PARITY * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def parities(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, parity) of the documents, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        hashed = WordHash()
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text").to_pylist(), hashed))
+            flat = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * PARITY
+            yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "parity": pa.ListArray.from_arrays(ends, flat)}
+
+    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, parity array<long>").dropDuplicates(["doc_id", "n_shingles"])
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (pivot, member) whose full sets have 100 * intersection >= percent * union, as (u, v).
 
@@ -145,8 +168,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # all other members of one bucket in different components
     mixed = now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
     left = materialize(now.join(mixed, "band", "left_semi"), "left")
-    a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n_shingles", "pivot"))) for s in "ab")
-    rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and {able}")
+    bits = parities(docs.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    left = materialize(left.join(bits, ["doc_id", "n_shingles"]), "left")
+    a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n_shingles", "pivot", "parity"))) for s in "ab")
+    differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY))
+    near = f"{100 + percent} * ({differing}) <= {100 - percent} * (n_shingles_a + n_shingles_b)"
+    rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and {able} and {near}")
     rest = materialize(rest.select(F.col("doc_id_a").alias("pivot"), F.col("doc_id_b").alias("member")).distinct(), "rest")
     if not rest.isEmpty():
         more = materialize(verify(rest, docs, percent), "links")

@@ -320,3 +320,14 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {x["doc_id"] for x in out.select("doc_id").distinct().collect()} == set(range(40))
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 40, 700, 6000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size).astype(np.uint64))
+        for _ in range(20):
+            a, b = (np.unique(rng.choice(pool, size)) for _ in "ab")
+            bits = int(np.bitwise_count((minhash.parity(a) ^ minhash.parity(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+    assert not minhash.parity(np.zeros(0, np.uint64)).any()
