@@ -146,6 +146,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     bands = classes.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(bands.join(buckets, "band"), "members")
+    # what is checked and what gets parity bits are members: their texts are picked out of all once
+    texts = materialize(doc_text(docs).join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     able = f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
 
     def placed(parts: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return members.join(of, "doc_id", "left").select("band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 
     first = members.groupBy(F.col("doc_id").alias("member")).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
-    links = materialize(verify(first, docs, percent), "links")
+    links = materialize(verify(first, texts, percent), "links")
     parts = components(links)
     # members and their bucket's smallest that are still apart
     now = materialize(placed(parts), "placed")
@@ -162,13 +164,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select("pivot", F.col("doc_id").alias("member")).distinct()
     apart = materialize(apart.join(first, ["pivot", "member"], "left_anti"), "apart")
     if not apart.isEmpty():
-        links = materialize(links.unionByName(verify(apart, docs, percent)), "links")
+        links = materialize(links.unionByName(verify(apart, texts, percent)), "links")
         parts = components(links)
         now = materialize(placed(parts), "placed")
     # all other members of one bucket in different components
     mixed = now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
     left = materialize(now.join(mixed, "band", "left_semi"), "left")
-    bits = parities(docs.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    bits = parities(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi"))
     left = materialize(left.join(bits, ["doc_id", "n_shingles"]), "left")
     a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n_shingles", "pivot", "parity"))) for s in "ab")
     differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY))
@@ -176,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and {able} and {near}")
     rest = materialize(rest.select(F.col("doc_id_a").alias("pivot"), F.col("doc_id_b").alias("member")).distinct(), "rest")
     if not rest.isEmpty():
-        more = materialize(verify(rest, docs, percent), "links")
+        more = materialize(verify(rest, texts, percent), "links")
         if not more.isEmpty():
             parts = components(links.unionByName(more))
     of = parts.select(F.col("node").alias("doc_id"), "component")
