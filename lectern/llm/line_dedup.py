@@ -5,9 +5,9 @@ digits are variable fields from the start. Lines of equal tokens otherwise are o
 differ, the positions where no token holds more than half of the lines are variable fields too, and the lines that agree
 with at least `agree` of all positions share the leaf's generalised template.
 
-A template is dropped where it recurs across documents: at least `min_docs` distinct pairs of neighbouring lines, and
-these for at least half of its occurrences. Lines inside copies of a whole document keep their neighbours, so they are
-left to the near-duplicate stage; boilerplate stands in ever new places. Lines of fewer than `min_tokens` tokens stay.
+A template is dropped where it recurs across documents: in at least `min_docs` of them, where texts of equal templates
+line by line are one document. So copies of a whole document neither count nor veto and are left to the near-duplicate
+stage, and a line's neighbours and repeats within a document do not matter. Lines of fewer than `min_tokens` tokens stay.
 
 Only hashes of lines are shuffled, texts once, for the result. Null texts stay null with no lines; other texts keep the
 lines that are not dropped, in order. Repeated rows are treated alike.
@@ -38,16 +38,13 @@ def _parsed(line: Column) -> Column:
 
 
 def parsed_lines(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, no, template, tokens, leaf, around): a row for each line; around stands for its neighbours."""
-    lines = keyed.withColumn("p", F.transform(F.split(_masked(), "\n"), _parsed))
-    t = F.col("p.template")
-    around = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), t), F.concat(F.slice(t, F.lit(2), F.size(t)), F.array(F.lit(0).cast("long"))), lambda a, b: F.xxhash64(a, b))
-    return lines.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(F.col("p").alias("p"), around.alias("around"))).alias("no", "x")).where("x.p is not null").select("doc_id", "text_hash", "no", "x.p.*", "x.around")
+    """(doc_id, text_hash, no, template, tokens, leaf, same): a row for each line; same stands for all texts of these templates."""
+    lines = keyed.withColumn("p", F.transform(F.split(_masked(), "\n"), _parsed)).withColumn("same", F.xxhash64("p.template"))
+    return lines.select("doc_id", "text_hash", "same", F.posexplode("p").alias("no", "p")).select("doc_id", "text_hash", "no", "p.*", "same")
 
 
 def _recurring(lines: DataFrame, key: list[str], min_docs: int) -> DataFrame:
-    pairs = lines.groupBy(*key, "around").agg(F.count("*").alias("n"))
-    return pairs.groupBy(*key).agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).where((F.col("pairs") >= min_docs) & (2 * F.col("pairs") >= F.col("n"))).select(*key)
+    return lines.select(*key, "same").distinct().groupBy(*key).agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select(*key)
 
 
 def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float) -> DataFrame:
@@ -57,8 +54,8 @@ def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float
     few = leaves.count()
     if not few:
         return lines.select("doc_id", "text_hash", "no").limit(0)
-    places = lines.join(F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf").select("doc_id", "text_hash", "no", "leaf", "total", "tokens", "around")
-    per_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("no", "leaf", "total", "tokens", "around")).alias("l"))
+    places = lines.join(F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf").select("doc_id", "text_hash", "no", "leaf", "total", "tokens", "same")
+    per_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("no", "leaf", "total", "tokens", "same")).alias("l"))
     on = [F.equal_null(keyed["doc_id"], per_doc["doc_id"]), keyed["text_hash"] == per_doc["text_hash"]]
     masked = keyed.join(per_doc, on).select(keyed["doc_id"], keyed["text_hash"], F.split(_masked(), "\n").alias("lines"), "l")
     cut = masked.select("doc_id", "text_hash", F.explode(F.transform("l", lambda x: F.struct(x.alias("x"), F.transform(F.split(F.trim(F.get("lines", x["no"])), " "), lambda w: F.xxhash64(w)).alias("words")))).alias("y"))

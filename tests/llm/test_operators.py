@@ -122,6 +122,21 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    block, spaced, quoted, refrain = [line(8) for _ in range(4)], line(9), line(10), line(7)
+    rows = [(i, "\n".join([*block, line(11), "", spaced, "", line(12), *block[:2], line(5)]), "en", "s", 0, 0, "") for i in range(20)]
+    rows += [(100 + i, f"{line(6)}\n{quoted}\n{line(9)}", "en", "s", 0, 0, "") for i in range(20)]
+    copy = f"{line(12)}\n{quoted}\n{line(12)}"
+    rows += [(200 + i, copy, "en", "s", 0, 0, "") for i in range(60)]
+    rows += [(300, "\n".join(x for _ in range(30) for x in (line(6), refrain)), "en", "s", 0, 0, "")]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA), min_docs=20))
+    assert all(got[i]["n_dropped"] == 7 and got[i]["n_lines"] == 12 for i in range(20))
+    assert all(got[i]["n_dropped"] == 1 and quoted not in got[i]["text"] for i in [*range(100, 120), *range(200, 260)])
+    assert got[300]["n_dropped"] == 0  # one document's own refrain
+
+
 def test_line_fields_generalise(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
