@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 Lines are parsed into a tree of fixed depth: by their number of tokens, then by their LEAD leading tokens. Tokens with
-digits are variable fields from the start. Lines of equal tokens otherwise are one template; within a leaf whose lines
-differ, the positions where no token holds more than half of the lines are variable fields too, and the lines that agree
-with at least `agree` of all positions share the leaf's generalised template.
+digits are variable fields from the start. Lines of equal tokens otherwise are one template. Within a leaf whose lines
+differ, a line's tokens that at least `min_docs` documents of the leaf hold at that position are put in order of those
+documents, most first; each beginning of that order with at least `agree` of the line's tokens is a generalised template,
+all other positions variable fields. So a leaf holds as many templates as recur, whatever else it holds.
 
 A template is dropped where it recurs across documents: in at least `min_docs` of them, where texts of equal templates
 line by line are one document. So copies of a whole document neither count nor veto and are left to the near-duplicate
@@ -40,7 +41,8 @@ def _parsed(line: Column) -> Column:
 def parsed_lines(keyed: DataFrame) -> DataFrame:
     """(doc_id, text_hash, no, template, tokens, leaf, same): a row for each line; same stands for all texts of these templates."""
     lines = keyed.withColumn("p", F.transform(F.split(_masked(), "\n"), _parsed)).withColumn("same", F.xxhash64("p.template"))
-    return lines.select("doc_id", "text_hash", "same", F.posexplode("p").alias("no", "p")).select("doc_id", "text_hash", "no", "p.*", "same")
+    each = F.arrays_zip(F.col("p").alias("p"), F.array_repeat("same", F.size("p")).alias("same"))  # of p alone Spark would parse each text twice
+    return lines.select("doc_id", "text_hash", F.posexplode(each).alias("no", "x")).select("doc_id", "text_hash", "no", "x.p.*", "x.same")
 
 
 def _recurring(lines: DataFrame, key: list[str], min_docs: int) -> DataFrame:
@@ -49,22 +51,25 @@ def _recurring(lines: DataFrame, key: list[str], min_docs: int) -> DataFrame:
 
 def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float) -> DataFrame:
     """(doc_id, text_hash, no) of the lines under generalised templates that recur."""
-    leaves = lines.groupBy("leaf", "template").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where(f"kinds >= {min_docs}").select("leaf", F.col("n").alias("total"))
+    kinds = lines.select("leaf", "template", "same").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"))
+    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where(f"kinds > 1 and n >= {min_docs}").select("leaf")
     leaves = materialize(leaves, "leaves")
     few = leaves.count()
     if not few:
         return lines.select("doc_id", "text_hash", "no").limit(0)
-    places = lines.join(F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf").select("doc_id", "text_hash", "no", "leaf", "total", "tokens", "same")
-    per_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("no", "leaf", "total", "tokens", "same")).alias("l"))
+    places = lines.join(F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf").select("doc_id", "text_hash", "no", "leaf", "tokens", "same")
+    per_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("no", "leaf", "tokens", "same")).alias("l"))
     on = [F.equal_null(keyed["doc_id"], per_doc["doc_id"]), keyed["text_hash"] == per_doc["text_hash"]]
     masked = keyed.join(per_doc, on).select(keyed["doc_id"], keyed["text_hash"], F.split(_masked(), "\n").alias("lines"), "l")
     cut = masked.select("doc_id", "text_hash", F.explode(F.transform("l", lambda x: F.struct(x.alias("x"), F.transform(F.split(F.trim(F.get("lines", x["no"])), " "), lambda w: F.xxhash64(w)).alias("words")))).alias("y"))
     lines = materialize(cut.select("doc_id", "text_hash", "y.x.*", "y.words").dropDuplicates(["doc_id", "text_hash", "no"]), "leaf-lines")
-    words = lines.select("leaf", "total", F.posexplode("words").alias("pos", "word")).groupBy("leaf", "pos", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    fixed = words.where("2 * n > total").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("fixed"))
-    matched = F.size(F.filter(F.transform("words", lambda w, i: F.coalesce(F.col("fixed")[i] == w, F.lit(False))), lambda x: x))
-    under = lines.join(fixed, "leaf").where(matched >= agree * F.col("tokens"))
-    return under.join(_recurring(under, ["leaf"], min_docs), "leaf", "left_semi").select("doc_id", "text_hash", "no")
+    words = lines.select("doc_id", "text_hash", "no", "leaf", "tokens", "same", F.posexplode("words").alias("pos", "word"))
+    held = words.select("leaf", "pos", "word", "same").distinct().groupBy("leaf", "pos", "word").agg(F.count("*").alias("n")).where(f"n >= {min_docs}")
+    ordered = words.join(held, ["leaf", "pos", "word"]).groupBy("doc_id", "text_hash", "no", "leaf", "tokens", "same").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))).alias("held"))
+    ordered = ordered.withColumn("least", F.greatest(F.lit(1), F.ceil(F.lit(agree) * F.col("tokens"))).cast("int")).where("size(held) >= least")
+    under = ordered.select("doc_id", "text_hash", "no", "leaf", "same", F.explode(F.transform(F.sequence("least", F.size("held")), lambda k: F.xxhash64(F.slice("held", 1, k)))).alias("template"))
+    under = materialize(under, "generalised")
+    return under.join(_recurring(under, ["leaf", "template"], min_docs), ["leaf", "template"], "left_semi").select("doc_id", "text_hash", "no")
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree: float = 0.7) -> DataFrame:

@@ -145,6 +145,20 @@ def test_line_fields_generalise(spark):
     assert all(g["n_dropped"] == 1 and "town paper" not in g["text"] for g in got.values())
 
 
+def test_line_templates_share_a_leaf(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    some = lambda n: " ".join(word() for _ in range(n))
+    kinds = [lambda: f"This page was written by {word()} for the town paper", lambda: f"This page was {word()} sold in any shop at noon"]
+    rows = [(i, f"{some(4)}\n{kinds[i % 2]()}\n{some(5)}", "en", "s", 0, 0, "") for i in range(60)]
+    rows += [(100 + i, f"{some(4)}\nThis page was {some(7)}", "en", "s", 0, 0, "") for i in range(200)]
+    rows += [(400 + i, f"{some(4)}\nHere it is told by {('anna', 'otto', word())[i % 3]} of the old town", "en", "s", 0, 0, "") for i in range(30)]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA), min_docs=20))
+    assert all(got[i]["n_dropped"] == 1 and "This page" not in got[i]["text"] for i in range(60))
+    assert all(got[100 + i]["n_dropped"] == 0 for i in range(200))
+    assert all(got[400 + i]["n_dropped"] == 1 for i in range(30))
+
+
 def test_quality(spark, empty):
     r = random.Random(9)
     good, bad = [f"good{i}" for i in range(40)], [f"vile{i}" for i in range(40)]
