@@ -2,8 +2,8 @@
 
 Every byte window of WINDOW bytes gets a rarity rank from its entropy (in thousandths, exact in integers): the further
 the entropy is from that of ordinary text, the rarer. In every run of WINDOW consecutive windows the rarest, leftmost on
-ties, scores a point; windows of at least POPULAR points are the document's features. A text too short for that takes
-each of its windows, or itself. Features go, in order, into chained Bloom filters of BITS bits, five bits a feature and
+ties, scores a point; windows of at least POPULAR points are the document's features. A text with fewer than FEW of
+them takes each of its distinct windows, and one shorter than a window itself. Features go, in order, into chained Bloom filters of BITS bits, five bits a feature and
 PER_FILTER features a filter. Digests are compared by the bits that their filters share, less those shared by chance, over
 the most that they could share; a filter counts with its best partner in the longer digest.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mix
 
-WINDOW, POPULAR, TYPICAL = 64, 16, 690
+WINDOW, POPULAR, TYPICAL, FEW = 64, 16, 690, 4
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 BLOCK = 1 << 18
 _C = np.arange(WINDOW + 1)
@@ -79,11 +79,26 @@ def _features(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         at = np.repeat(starts - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
         points += np.bincount(best[at], minlength=windows)
     popular = points >= POPULAR
-    for s, e in zip(starts[ends - starts < 2 * WINDOW + POPULAR], ends[ends - starts < 2 * WINDOW + POPULAR], strict=True):
-        popular[s : e - WINDOW + 1] = True  # too short for enough points
     at = popular.nonzero()[0]
+    return at, _hashes(block, at)
+
+
+def _hashes(block: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at these positions."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_RANDOM[block] * _UP[: len(block)])])
-    return at, mix((sums[at + WINDOW] - sums[at]) * _DOWN[at])
+    return mix((sums[at + WINDOW] - sums[at]) * _DOWN[at])
+
+
+def _enough(h: np.ndarray, text: bytes) -> np.ndarray:
+    """h, or the hashes of the text's distinct windows by first place where h are fewer than FEW."""
+    if len(h) >= FEW:
+        return h
+    found = np.zeros(0, np.uint64)
+    for s in range(0, len(text) - WINDOW + 1, BLOCK):
+        block = np.frombuffer(text[s : s + BLOCK + WINDOW - 1], np.uint8)
+        found = np.concatenate([found, _hashes(block, np.arange(len(block) - WINDOW + 1))])
+        found = found[np.sort(np.unique(found, return_index=True)[1])]
+    return found
 
 
 class Digest:
@@ -138,7 +153,7 @@ def digests(texts: list[bytes]) -> list[Digest]:
             at, h = _features(np.frombuffer(b"".join(texts[i] for i in held), np.uint8), ends - lengths, ends)
             cuts = np.searchsorted(at, np.concatenate([ends - lengths, ends[-1:]]))
             for k, i in enumerate(held):
-                out[i] = Digest(h[cuts[k] : cuts[k + 1]])
+                out[i] = Digest(_enough(h[cuts[k] : cuts[k + 1]], texts[i]))
         held.clear()
         size = 0
 
@@ -159,7 +174,7 @@ def digests(texts: list[bytes]) -> list[Digest]:
                     continue
                 at, h = _features(np.frombuffer(t[a:b], np.uint8), np.array([0]), np.array([b - a]))
                 parts.append(h[(at + a >= s) & (at + a < s + BLOCK)])
-            out[i] = Digest(np.concatenate(parts))
+            out[i] = Digest(_enough(np.concatenate(parts), t))
     flush()
     return out  # type: ignore[return-value]
 

@@ -101,6 +101,19 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_every_text_has_features():
+    r = random.Random(11)
+    make = lambda n: bytes(r.choice(b"abcdefgh ,.") for _ in range(n))
+    short = [make(n) for n in (144, 150, 160, 174) for _ in range(20)]
+    periodic = [b"word " * 200, b"other " * 200, b"-" * 1000, b"word " * 100_000, b"-" * 600_000]
+    d = fingerprints.digests(short + periodic)
+    assert all(x.n for x in d) and max(d[80].likeness(d[81]), d[80].likeness(d[82])) < 0.2
+    assert d[80].likeness(d[83]) == d[82].likeness(d[84]) == 1.0
+    assert max(d[i].likeness(d[i + 1]) for i in range(0, 80, 2)) < 0.2
+    edits = fingerprints.digests([x[:70] + b"#" + x[71:] for x in short])
+    assert all(a.likeness(b) > 0.1 for a, b in zip(d, edits, strict=False))
+
+
 def test_window_entropy():
     x = np.frombuffer(bytes(random.Random(3).choices(range(20), k=500)) + b"z" * 100, np.uint8)
     for i, e in enumerate(fingerprints.window_entropy(x)):
