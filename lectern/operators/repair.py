@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 TOKENS = re.compile(r"\s+|[A-Za-z]+|[^A-Za-z\s]+").findall
 FOLDED = str.maketrans("vVUjJI", "uuuiii")
+CANDIDATE = "word is not null and length(word) between 2 and 20 and lower(word) like '%f%'"
 RESULT = "struct<text:string,changes:array<struct<old:string,new:string>>,suggestions:array<struct<old:string,new:string>>,unresolved:array<string>>"
 
 
@@ -73,29 +74,37 @@ def correct(text: str, words: Dictionary, merge: bool = True) -> tuple[str, list
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Distinct words and 2- or 3-piece merges with f in texts: what best_fixes() must look up."""
+    return texts.select(F.explode(_pieces()).alias("word")).where(CANDIDATE).distinct()
+
+
+def _pieces() -> Column:
+    """The words of text and their merges of 2 and 3."""
     w = X.latin_words("text")
     pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, b))
     triples = F.zip_with(pairs, F.slice(w, F.lit(3), F.size(w)), lambda a, b: F.concat(a, b))
-    return texts.select(F.explode(F.concat(w, pairs, triples)).alias("word")).where("word is not null and length(word) between 2 and 20 and lower(word) like '%f%'").distinct()
+    return F.concat(w, pairs, triples)
 
 
-def corrected(texts: DataFrame, known: DataFrame, fixes: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(doc_id, result) of texts (doc_id, text). The dictionary is broadcast while it has `most` entries at most."""
-    n = known.count() + fixes.count()
-    if n > most:
-        raise ValueError(f"{n} dictionary entries: correct the texts in parts, each with the entries of its own words")
-    table = Dictionary({r["word"] for r in known.select("word").collect()}, {r["word"]: (r["exact"], r["stem"]) for r in fixes.where("exact is not null or stem is not null").collect()})
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+def corrected(texts: DataFrame, known: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(doc_id, result) of texts (doc_id, text). Every text meets only its own words' entries, so no dictionary is held whole."""
+    keyed = texts.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("key"))
+    each = keyed.select("key", "text").dropDuplicates(["key"])
+    words = each.select("key", F.explode(F.array_distinct(F.transform(X.latin_words("text"), X.fold))).alias("word")).join(known.select("word").distinct(), "word", "left_semi")
+    words = words.groupBy("key").agg(F.collect_list("word").alias("known"))
+    found = each.select("key", F.explode(F.array_distinct(_pieces())).alias("word")).where(CANDIDATE).join(fixes.where("exact is not null or stem is not null"), "word")
+    found = found.groupBy("key").agg(F.collect_list(F.struct("word", "exact", "stem")).alias("fixes"))
+    rows = keyed.join(words, "key", "left").join(found, "key", "left").select("doc_id", "text", "known", "fixes")
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                t, *lists = correct(text, shared.value)
+            for doc_id, text, own, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t, *lists = correct(text, Dictionary(set(own or ()), {x["word"]: (x["exact"], x["stem"]) for x in found or ()}))
                 rows.append((doc_id, t, len(lists[0]), len(lists[1]), len(lists[2]), [f"{a}\t{b}" for a, b in lists[0]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "n_changes", "n_suggestions", "n_unresolved", "changes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "text", "n_changes", "n_suggestions", "n_unresolved", "changes"])
 
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, n_changes int, n_suggestions int, n_unresolved int, changes array<string>")
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    return rows.mapInArrow(run, "doc_id long, text string, n_changes int, n_suggestions int, n_unresolved int, changes array<string>")
 
 
 def change_log(result: DataFrame) -> DataFrame:

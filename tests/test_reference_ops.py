@@ -177,3 +177,19 @@ def test_stream_resume(spark, tmp_path):
     for _ in range(2):
         resume.enrich_stream(spark, src, "id long, t string", lambda d: d.withColumn("u", F.upper("t")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["u"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["A"]
+
+
+def test_correct_with_own_entries(spark):
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("aeifstu"), r.integers(2, 8))) for _ in range(120)]
+    rows = [(i if i % 9 else None, " ".join(r.choice(words, 40))) for i in range(40)] + [(50, None), (51, ""), (52, "u fur arum 3effe"), (52, "u fur arum 3effe")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(w, 1) for w in sorted({repair.folded(w) for w in words if "f" not in w} | {"usurarum"})], "word string, freq long")
+    fixes = library.best_fixes(repair.candidates(texts), known, library.stems(known))
+    whole = repair.Dictionary({x["word"] for x in known.collect()}, {x["word"]: (x["exact"], x["stem"]) for x in fixes.collect()})
+    plan = repair.corrected(texts, known, fixes)
+    got = sorted(((x["doc_id"], x["text"], x["n_changes"], x["n_suggestions"], x["n_unresolved"]) for x in plan.collect()), key=repr)
+    want = sorted(((i, c[0], len(c[1]), len(c[2]), len(c[3])) for i, c in ((i, repair.correct(t, whole)) for i, t in rows)), key=repr)
+    assert got == want and any(x[2] for x in got)
+    many = spark.range(2_100_000).selectExpr("concat('f', translate(cast(id as string), '0123456789', 'abcdeghikl')) as word", "'sum' as exact", "cast(null as string) as stem")
+    assert repair.corrected(spark.createDataFrame([(1, "fb est")], "doc_id long, text string"), known, many).first()["text"] == "sum est"
