@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mix
 
-WINDOW, POPULAR, TYPICAL, FEW = 64, 16, 690, 4
+WINDOW, POPULAR, FEW = 64, 16, 4
+TYPICAL = 690  # the ordinary entropy that rarity is measured from, a fixed scale, so that a digest depends on its text alone
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 BLOCK = 1 << 18
 _C = np.arange(WINDOW + 1)
@@ -189,11 +190,12 @@ def fingerprints(texts: DataFrame, column: str = "text") -> DataFrame:
     return map_arrow(texts.select("doc_id", F.col(column).alias("text")), run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 5000) -> DataFrame:
+def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 20_000) -> DataFrame:
     """Documents dealt by ranges of doc_id, each range sorted downwards and followed by the first of the next range.
 
     Columns bucket, ahead (1: the row only follows the range), doc_id, text. Only the bounds of the ranges and the first
-    id of each, `most` numbers at most, come to the driver; each text is shuffled once.
+    id of each, `most` numbers at most, come to the driver; beyond most * per_bucket documents the ranges get longer, and
+    as they are sorted on disk and read as streams, a task's memory does not. Each text is shuffled once.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -213,7 +215,9 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 5000) -> Data
     follows = {firsts[b]: order[i - 1] for i, b in enumerate(order)}  # the first of b also follows the range before
     own = bucketed(keyed).withColumn("ahead", F.lit(0))
     if follows:
-        ahead = own.where(F.col("place").isin(list(follows))).withColumn("bucket", F.create_map(*[F.lit(x) for k, v in follows.items() for x in (k, v)])[F.col("place")].cast("int")).withColumn("ahead", F.lit(1))
+        spark = docs.sparkSession
+        first = F.broadcast(spark.createDataFrame(list(follows.items()), "place long, follows int"))  # `most` rows at most
+        ahead = own.join(first, "place").withColumn("bucket", F.col("follows")).withColumn("ahead", F.lit(1)).drop("follows")
         own = own.unionByName(ahead)
     return own.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "ahead", F.col("place").desc(), "text").select("bucket", "ahead", "doc_id", "text")
 
