@@ -5,16 +5,22 @@ element once, in an order (a permutation drawn from the element's hash): in roun
 j + random to its j-th register, so ranks are correlated and no register can be won by a late round once all have been
 won by earlier ones, which is where it stops. The registers make BANDS band keys of M / BANDS registers.
 
-Documents of equal sets are one class and only its smallest doc_id goes on. Checks are on full sets and come in three
-rounds, each with the components of all links so far, and only between different components: each document against the
-smallest of its buckets' smallest members, so that a group of n copies costs n checks; each member of a bucket against
-the bucket's smallest; and all other pairs of members of a bucket whose set sizes and parity bits allow the similarity.
-Parity bit i of a set says whether the number of its elements with hash i is odd. Sets differ in at least as many
-elements as parity bits, so a pair that differs in too many bits is surely below the similarity and needs no check. The
-PARITY * 64 bits tell little of sets of many times that size; their pairs are all checked.
+Documents of equal sets are one class and only its smallest doc_id goes on. Checks are on full sets and come in rounds,
+each with the components of all links so far, and only between different components:
+
+1. each document against the smallest of its buckets' smallest members, so that a group of n copies costs n checks;
+2. each member of a bucket against the bucket's smallest;
+3. an exact prefix join, for members of buckets that are still mixed, and for all sets of at most SMALL shingles, for which
+   banding is weakest. Shingles are ordered by rarity among these sets. Similar sets share one of the
+   n - ceil(percent * n / 100) + 1 rarest of their n shingles, and behind the first one that they share each must still
+   have room for their least intersection; so only these prefixes are joined, and a set whose prefix occurs nowhere else
+   has no partner. Each group of sets under one shingle is met by its next PIVOTS pivots, MORE times as many each round,
+   until its members are of one component or have all been pivots; only pairs that pass both bounds leave the join, and a
+   group that turns out to be one cluster costs a bounded number of comparisons for each member, never all its pairs.
 
 Texts without words have the empty set, are linked with nothing and are kept. Rows with a null doc_id belong to the
-class of their set, take its component and count as kept only if that is null. Repeated rows are copies of each other.
+class of their set, take its component and count as kept only if that is null. Repeated rows are copies of each other;
+rows of one doc_id with different texts are one node, linked with whatever any of them is linked with.
 """
 
 from __future__ import annotations
@@ -23,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, blocks, doc_text, map_arrow, materialize, mix, shingle_hashes
 from .components import components
 
 M, BANDS = 128, 32
-PARITY = 16  # longs
 SHINGLE = 5
+SMALL, PIVOTS, MORE = 43, 256, 8  # a set of 32 shingles has partners of at most 42
 PER_TASK = 256
 LAST = np.uint64((1 << 64) - 1)
 
@@ -69,44 +75,57 @@ def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.zeros(0, np.int64), *arrays])
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32), flat)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, bands): set1 and set2 are a 128-bit hash of the whole set."""
+    """(doc_id, n_shingles, set1, set2, bands, few): set1 and set2 are a 128-bit hash of the whole set, few a small set itself."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
         for batch in batches:
-            n, one, two, bands = [], [], [], []
+            n, one, two, bands, few = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), hashed):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 one.append((d >> 64) - (1 << 63))
                 two.append((d & ((1 << 64) - 1)) - (1 << 63))
                 bands.append(band_keys(superminhash(s)) if len(s) else np.zeros(0, np.int64))
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
-            yield {"doc_id": batch.column("doc_id"), "n_shingles": n, "set1": one, "set2": two, "bands": pa.ListArray.from_arrays(ends, flat)}
-
-    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
-
+                few.append(s.view(np.int64) if len(s) <= SMALL else np.zeros(0, np.int64))
+            yield {"doc_id": batch.column("doc_id"), "n_shingles": n, "set1": one, "set2": two, "bands": _lists(bands), "few": _lists(few)}
 
-def parity(elements: np.ndarray) -> np.ndarray:
-    bits = np.bincount((mix(elements) & np.uint64(PARITY * 64 - 1)).astype(np.intp), minlength=PARITY * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, few array<long>")
 
 
-def parities(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, parity) of the documents, each once."""
+def elements(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, elements): the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text").to_pylist(), hashed))
-            flat = np.concatenate([np.zeros(0, np.int64), *map(parity, sets)])
-            ends = np.arange(len(sets) + 1, dtype=np.int32) * PARITY
-            yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "parity": pa.ListArray.from_arrays(ends, flat)}
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), hashed)]
+                yield {"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "elements": _lists(sets)}
 
-    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, parity array<long>").dropDuplicates(["doc_id", "n_shingles"])
+    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, elements array<long>")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(element, doc_id, n_shingles, after): the shingles of each set's prefix in order of rarity that other sets have too.
+
+    after: how many shingles of the set follow the element in that order, itself included.
+    """
+    each = sets.select("doc_id", "n_shingles", F.explode("elements").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    held = each.join(shared, "element").groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("held"))
+    # the shingles that no other set has come first in the order
+    room = F.expr(f"cast(size(held) - ceil({percent} * n_shingles / 100) + 1 as int)")
+    cut = held.withColumn("room", room).where("room > 0").select("doc_id", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h"))
+    return cut.select("h.element", "doc_id", "n_shingles", (F.col("size") - F.col("i")).alias("after"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -138,17 +157,55 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     return map_arrow(rows.select("pivot", "salt", "role", "doc_id", "text"), run, "u long, v long").distinct()
 
 
+def _joined(found: DataFrame, links: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The components of links and of those between the sets of shared prefixes found (element, doc_id, n_shingles, after)."""
+    found = materialize(found, "prefixes")
+    shared = f"ceil({percent} * (n_shingles + p.n_shingles) / {100 + percent})"  # the least intersection
+    able = f"least(after, p.after) >= {shared} and least(n_shingles, p.n_shingles) >= {shared}"
+    checked, pivots = None, PIVOTS
+    while True:
+        of = parts.select(F.col("node").alias("doc_id"), "component")
+        placed = materialize(found.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+        groups = placed.groupBy("element").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("element")
+        found = materialize(placed.join(groups, "element", "left_semi"), "prefixes")
+        # the next pivots of each group; every task sends its own few
+        row = F.struct("doc_id", "n_shingles", "after", "component")
+        task = F.spark_partition_id().alias("task")
+        own = found.select("element", row.alias("p"), F.row_number().over(Window.partitionBy("element", task).orderBy("doc_id")).alias("k")).where(f"k <= {pivots}")
+        heads = own.select("element", "p", F.row_number().over(Window.partitionBy("element").orderBy("p.doc_id")).alias("k")).where(f"k <= {pivots}").select("element", "p")
+        heads = materialize(heads, "heads")
+        if heads.isEmpty():
+            return parts
+        pairs = found.join(heads, "element").where(f"doc_id > p.doc_id and component <> p.component and {able}").select(F.col("p.doc_id").alias("pivot"), F.col("doc_id").alias("member")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["pivot", "member"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        if not pairs.isEmpty():
+            more = materialize(verify(pairs, texts, percent), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                parts = components(links)
+        # what has been a pivot of a group is done there
+        last = heads.groupBy("element").agg(F.max("p.doc_id").alias("last"))
+        found = found.join(last, "element").where("doc_id > last").drop("last", "component")
+        pivots *= MORE
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets = materialize(sketches(docs), "sketches")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("rep"))
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "few")).alias("rep"))
     classes = materialize(classes.select("set1", "set2", "rep.*"), "classes")
     bands = classes.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(bands.join(buckets, "band"), "members")
-    # what is checked and what gets parity bits are members: their texts are picked out of all once
-    texts = materialize(doc_text(docs).join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    able = f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)"
+    # what is checked is a member or a small set: their texts are picked out of all once
+    small = classes.where(f"n_shingles <= {SMALL}")
+    short = prefixes(small.select("doc_id", "n_shingles", F.col("few").alias("elements")), percent)
+    short = materialize(short, "short")
+    wanted = members.select("doc_id").unionByName(short.select("doc_id")).distinct()
+    texts = materialize(doc_text(docs).join(wanted, "doc_id", "left_semi"), "texts")
 
     def placed(parts: DataFrame) -> DataFrame:
         """members with their components so far."""
@@ -157,8 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     first = members.groupBy(F.col("doc_id").alias("member")).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
     links = materialize(verify(first, texts, percent), "links")
-    parts = components(links)
     # members and their bucket's smallest that are still apart
+    parts = components(links)
     now = materialize(placed(parts), "placed")
     heads = now.where("doc_id = pivot").select("band", F.col("component").alias("head"))
     apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select("pivot", F.col("doc_id").alias("member")).distinct()
@@ -167,22 +224,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         links = materialize(links.unionByName(verify(apart, texts, percent)), "links")
         parts = components(links)
         now = materialize(placed(parts), "placed")
-    # all other members of one bucket in different components
+    # all others: the sets of buckets that are still mixed, and small sets
     mixed = now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
-    left = materialize(now.join(mixed, "band", "left_semi"), "left")
-    bits = parities(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi"))
-    left = materialize(left.join(bits, ["doc_id", "n_shingles"]), "left")
-    a, b = (left.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n_shingles", "pivot", "parity"))) for s in "ab")
-    differing = " + ".join(f"bit_count(parity_a[{i}] ^ parity_b[{i}])" for i in range(PARITY))
-    near = f"{100 + percent} * ({differing}) <= {100 - percent} * (n_shingles_a + n_shingles_b)"
-    rest = a.join(b.drop("pivot_b"), "band").where(f"doc_id_a < doc_id_b and component_a <> component_b and doc_id_a <> pivot_a and {able} and {near}")
-    rest = materialize(rest.select(F.col("doc_id_a").alias("pivot"), F.col("doc_id_b").alias("member")).distinct(), "rest")
-    if not rest.isEmpty():
-        more = materialize(verify(rest, texts, percent), "links")
-        if not more.isEmpty():
-            parts = components(links.unionByName(more))
-    of = parts.select(F.col("node").alias("doc_id"), "component")
+    left = now.where(f"n_shingles > {SMALL}").join(mixed, "band", "left_semi").select("doc_id").distinct()
+    large = prefixes(elements(texts.join(left, "doc_id", "left_semi")).dropDuplicates(["doc_id", "n_shingles"]), percent)
+    of = _joined(short.unionByName(large), links, parts, texts, percent).select(F.col("node").alias("doc_id"), "component")
     own = classes.join(of, "doc_id", "left").select("set1", "set2", F.coalesce("component", "doc_id").alias("component_id"))
-    joined = sets.drop("bands").join(own, ["set1", "set2"], "left")
+    joined = sets.drop("bands", "few").join(own, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))
