@@ -1,7 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every version of a document is content-addressed by the SHA-256 of its bytes. Only (blob, rule, version) keys that the
-ledger does not hold are scanned, each blob once however many paths carry it, and findings join back to all paths.
+ledger does not hold are scanned, each blob once however many paths carry it, and findings join back to all paths. What is
+left to scan of a blob goes along with its text, so a rule's pattern never runs on a blob that the ledger holds for it, and
+the texts of blobs with nothing left do not travel. `update_ledger` keeps a ledger as a Parquet table between runs.
 
 Rules are regular expressions; matches are leftmost and not overlapping within a rule, then filtered by length. Offsets
 are code points, end exclusive, summed from the lengths of the pieces between matches.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, materialize, sha256_hex
@@ -59,12 +61,14 @@ def _lengths(rule: Rule) -> Column:
     return F.when(possible, zipped)
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, known: DataFrame | None = None) -> DataFrame:
-    """Ledger rows of blobs (blob, text) for the rules; known: (blob, kind, version) keys to leave out."""
-    per_rule = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _lengths(r).alias("m")) for r in rules])
-    keys = blobs.select("blob", F.explode(per_rule).alias("r")).select("blob", "r.*")
-    if known is not None:
-        keys = keys.join(known.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
+def name(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
+
+
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Ledger rows of blobs (blob, text, todo): todo lists the names of the rules to run on each."""
+    each = lambda r: F.when(F.array_contains("todo", name(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _lengths(r).alias("m")))
+    keys = blobs.select("blob", F.explode(F.array_compact(F.array(*map(each, rules)))).alias("r")).select("blob", "r.*")
     keys = materialize(keys.select("blob", "kind", "version", "least", "m"), "scanned")
     rows = keys.where("m is not null").select("blob", "kind", "version", "least", F.posexplode("m").alias("i", "x")).select("blob", "kind", "version", "least", "i", "x.*").where("`all` is not null")
     before = Window.partitionBy("blob", "kind", "version").orderBy("i")
@@ -75,25 +79,36 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, known: DataFrame | N
 
 def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """versions: doc_id, text, a row for each version of each path. Returns (new ledger rows, paths: doc_id, blob)."""
-    texts = doc_text(versions).withColumn("blob", sha256_hex(F.col("text")))
-    paths = materialize(texts.select("doc_id", "blob"), "paths")
-    once = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    known = None
+    texts = doc_text(versions).withColumn("text_hash", F.xxhash64("text", F.length("text")))
+    paths = materialize(texts.select("doc_id", "text_hash", sha256_hex(F.col("text")).alias("blob")), "paths")
+    # one row stands for each blob; its text is picked out by the row's cheap hash
+    todo = paths.groupBy("blob").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("blob", "row.*").withColumn("todo", F.array(*[F.lit(name(r)) for r in rules]))
     if ledger is not None:
-        wanted = [(r.kind, r.version) for r in rules]
-        known = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{k}:{v}" for k, v in wanted]))
-        done = known.select("blob", "kind", "version").distinct().groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") == len(set(wanted)))
-        once = once.join(done, "blob", "left_anti")
-    on = [texts["blob"] == once["blob"], F.equal_null(texts["doc_id"], once["doc_id"])]
-    unseen = texts.join(once, on, "left_semi").select("blob", "text")
+        done = ledger.select("blob", F.concat_ws(":", "kind", "version").alias("name")).groupBy("blob").agg(F.collect_set("name").alias("done"))
+        todo = todo.join(done, "blob", "left").withColumn("todo", F.when(F.col("done").isNull(), F.col("todo")).otherwise(F.array_except("todo", "done"))).drop("done").where("size(todo) > 0")
+    on = [F.equal_null(texts["doc_id"], todo["doc_id"]), texts["text_hash"] == todo["text_hash"]]
+    unseen = texts.join(todo, on).select("blob", "text", "todo")
     # the same version of the same path may be listed again: its keys are equal
-    return materialize(scan(unseen, rules, known).dropDuplicates(["blob", "kind", "version"]), "ledger"), paths
+    return materialize(scan(unseen, rules).dropDuplicates(["blob", "kind", "version"]), "ledger"), paths.select("doc_id", "blob")
+
+
+def update_ledger(spark: SparkSession, path: str, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger at path, a folder in shared storage, does not hold of versions, and appends it; returns the whole.
+
+    Readers drop repeated keys, so a batch that is appended again after a failure does no harm.
+    """
+    empty = spark.createDataFrame([], LEDGER)
+    empty.write.mode("append").parquet(path)
+    known = spark.read.schema(empty.schema).parquet(path)
+    scan_versions(versions, rules, known)[0].select("blob", "kind", "version", "found").write.mode("append").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path).dropDuplicates(["blob", "kind", "version"])
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; earlier ledger rows are used, not scanned again."""
     new, paths = scan_versions(docs, rules, ledger)
-    rows = new if ledger is None else new.unionByName(ledger.select("blob", "kind", "version", "found")).dropDuplicates(["blob", "kind", "version"])
+    wanted = F.concat_ws(":", "kind", "version").isin([name(r) for r in rules])
+    rows = new if ledger is None else new.unionByName(ledger.where(wanted).select("blob", "kind", "version", "found")).dropDuplicates(["blob", "kind", "version"])
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     base = [r.kind for r in BASE]
     flat = rows.where(F.size("found") > 0).select("blob", "kind", F.explode("found").alias("s")).select("blob", "kind", F.struct(F.col("s.start"), order[F.col("kind")].alias("order"), F.col("kind"), F.col("s.end")).alias("s"))
