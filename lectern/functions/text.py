@@ -9,27 +9,78 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: abbreviations whose stop ends no sentence
-ABBREVIATIONS = "a c cn d f k l m n p q s t v kal non id coss cos imp trib pl sext vol lib cap fol fig no cf ed etc i.e e.g".split()
+ABBREVIATIONS = [
+    "a", "c", "cn", "d", "f", "k", "l", "m", "n", "p", "q", "s", "t", "v", "kal", "non", "id", "coss", "cos", "imp",
+    "trib", "pl", "sext", "vol", "lib", "cap", "fol", "fig", "no", "cf", "ed", "etc", "i.e", "e.g",
+]
 # fixed values: (good, bad) substrings of the long-s signature
-SIGNATURES = [("est", "eft"), ("esse", "effe"), ("sed", "fed"), ("sunt", "funt"), ("si ", "fi "), ("ipse", "ipfe"), ("ipsa", "ipfa"), ("quasi", "quafi"), ("nisi", "nifi"), ("magis", "magif"), ("his", "hif"), ("suis", "fuif"), ("causa", "caufa"), ("posse", "poffe"), ("esset", "effet")]
+SIGNATURES = [
+    ("est", "eft"),
+    ("esse", "effe"),
+    ("sed", "fed"),
+    ("sunt", "funt"),
+    ("si ", "fi "),
+    ("ipse", "ipfe"),
+    ("ipsa", "ipfa"),
+    ("quasi", "quafi"),
+    ("nisi", "nifi"),
+    ("magis", "magif"),
+    ("his", "hif"),
+    ("suis", "fuif"),
+    ("causa", "caufa"),
+    ("posse", "poffe"),
+    ("esset", "effet"),
+]
 # fixed values: inflectional endings
-ENDINGS = """arum orum erum ibus abus ae am as is os um us es em ei bam bas bat bamus batis bant bo bis bit bimus bitis bunt
-vi visti vit vimus vistis verunt verint avi avit avimus avistis averunt avisti issem isses isset issemus issetis issent isse
-ero eris erit erimus eritis erint amus atis ant emus etis ent mur mini ntur tur ris ndum ndus nda ndae ndorum ndarum ndis
-tus ta tum ti tae torum tarum tis ntis nti ntem ntes ntium ntibus ns are ere ire unt it et at""".split()
-# fixed values: generic title words and genre heads
-GENERIC_WORDS = """carmen carmina carminum carminibus carmine versus versuum versibus epistola epistolae epistolarum epistula epistulae
-epistularum epistle epistles letter letters sermo sermones sermonum sermon sermons vita vitae vitarum life passio passiones passionum
-miracula miraculorum miracles homilia homiliae homiliarum homily homilies hymnus hymni hymnorum hymn hymns opuscula opusculorum
-tractatus treatise gesta chronica chronicon chronicle annales annalium annals visio visiones vision martyrologium necrologium regula
-regulae capitula capitulare poems poem appendix appendicis appendices opera operum fragmenta fragmentum fragmentorum varia miscellanea excerpta""".split()
-GENRE_HEADS = """vita vitae passio passiones miracula gesta sermo sermones homilia homiliae epistola epistolae epistula epistulae carmen
-carmina carminum versus hymnus hymni visio chronica chronicon tractatus opuscula regula capitula capitulare annales martyrologium necrologium""".split()
-# fixed values: documentary genre markers, status names
-DOCUMENTARY = ["diplom", "urkunden", "formul", "necrolog", "inscript", "epigraph", "papyr"]
+ENDINGS = [
+    "arum", "orum", "erum", "ibus", "abus", "ae", "am", "as", "is", "os", "um", "us", "es", "em", "ei", "bam", "bas",
+    "bat", "bamus", "batis", "bant", "bo", "bis", "bit", "bimus", "bitis", "bunt", "vi", "visti", "vit", "vimus",
+    "vistis", "verunt", "verint", "avi", "avit", "avimus", "avistis", "averunt", "avisti", "issem", "isses", "isset",
+    "issemus", "issetis", "issent", "isse", "ero", "eris", "erit", "erimus", "eritis", "erint", "amus", "atis", "ant",
+    "emus", "etis", "ent", "mur", "mini", "ntur", "tur", "ris", "ndum", "ndus", "nda", "ndae", "ndorum", "ndarum",
+    "ndis", "tus", "ta", "tum", "ti", "tae", "torum", "tarum", "tis", "ntis", "nti", "ntem", "ntes", "ntium",
+    "ntibus", "ns", "are", "ere", "ire", "unt", "it", "et", "at",
+]
+# fixed values: generic title words
+GENERIC_WORDS = [
+    "carmen", "carmina", "carminum", "carminibus", "carmine", "versus", "versuum", "versibus", "epistola",
+    "epistolae", "epistolarum", "epistula", "epistulae", "epistularum", "epistle", "epistles", "letter", "letters",
+    "sermo", "sermones", "sermonum", "sermon", "sermons", "vita", "vitae", "vitarum", "life", "passio", "passiones",
+    "passionum", "miracula", "miraculorum", "miracles", "homilia", "homiliae", "homiliarum", "homily", "homilies",
+    "hymnus", "hymni", "hymnorum", "hymn", "hymns", "opuscula", "opusculorum", "tractatus", "treatise", "gesta",
+    "chronica", "chronicon", "chronicle", "annales", "annalium", "annals", "visio", "visiones", "vision",
+    "martyrologium", "necrologium", "regula", "regulae", "capitula", "capitulare", "poems", "poem", "appendix",
+    "appendicis", "appendices", "opera", "operum", "fragmenta", "fragmentum", "fragmentorum", "varia", "miscellanea",
+    "excerpta",
+]
+# fixed values: genre heads
+GENRE_HEADS = [
+    "vita", "vitae", "passio", "passiones", "miracula", "gesta", "sermo", "sermones", "homilia", "homiliae",
+    "epistola", "epistolae", "epistula", "epistulae", "carmen", "carmina", "carminum", "versus", "hymnus", "hymni",
+    "visio", "chronica", "chronicon", "tractatus", "opuscula", "regula", "capitula", "capitulare", "annales",
+    "martyrologium", "necrologium",
+]
+# fixed values: documentary genre markers
+DOCUMENTARY = [
+    "diplom", "urkunden", "formul", "necrolog", "inscript", "epigraph", "papyr",
+]
+# fixed value: what stands for a text that cannot be translated
 PLACEHOLDER = "[untranslatable: source text corrupted or non-Latin]"
-ORDINALS = """first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth
-sixteenth seventeenth eighteenth nineteenth twentieth twenty-first twenty-second twenty-third twenty-fourth""".split()
+# fixed values: ordinal words from first on
+ORDINALS = [
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh",
+    "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth",
+    "twentieth", "twenty-first", "twenty-second", "twenty-third", "twenty-fourth",
+]
+# fixed values: patterns of site chrome, wiki marks, garbled letters, stage directions and crude words
+CHROME = r"(?iu)(the latin library|the classics page|christian latin|medieval latin|^\s*$)"
+WIKI_EDIT = r"(?iuU)\[\s*(recensere|recense|edit)\s*\]"
+WIKI_NOTE = r"(?U)\[\s*\d+\s*\]"
+TELLTALE = r"[«»%\\^]"
+GLUED = r"[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]"
+CONSONANTS = r"(?iu)[bcdfghjklmnpqrstvwxz]{6,}"
+STAGE_DIRECTION = r"(?iU)\(\s*(?:Enter|Exit|Exeunt|Aside|to\s+\w+self|sings|aside)\b"
+CRUDE = r"(?iu)\b(?:mentul|cinaed|pathic|catamit)\w*"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 GREEK = r"[Ͱ-Ͽἀ-῿]"
 
@@ -77,21 +128,20 @@ def looks_abbreviated(piece: Column) -> Column:
 
 
 def sentences(c: Column | str, language: str = "la") -> Column:
-    """STR-04, STR-05: array of sentences."""
+    """STR-04, STR-05: array of sentences. A piece joins the one before if that ends in an abbreviation.
+
+    Ends of abbreviations are marked first and their spaces put back after the cut, so time is linear in the text.
+    """
     text = F.coalesce(collapse(c), F.lit(""))
     ends = r"([.;?·])\s+" if language == "grc" else r"([.;:?!])\s+"
-    pieces = F.split(F.regexp_replace(text, ends, "$1\u0001"), "\u0001")
-    if language != "grc":  # a piece joins the one before if that ends in an abbreviation
-        start = F.array().cast("array<struct<s:string,open:boolean>>")
-
-        def join(done: Column, piece: Column) -> Column:
-            last = F.try_element_at(done, F.lit(-1))
-            open_ = F.coalesce(last["open"], F.lit(False))
-            item = lambda s: F.struct(s.alias("s"), looks_abbreviated(piece).alias("open"))
-            return F.when(open_, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(item(F.concat_ws(" ", last["s"], piece))))).otherwise(F.concat(done, F.array(item(piece))))
-
-        pieces = F.transform(F.aggregate(pieces, start, join), lambda x: x["s"])
-    return F.filter(F.transform(pieces, lambda x: F.btrim(x)), lambda s: s != "")
+    marked = F.regexp_replace(text, ends, "$1\u0001")
+    if language != "grc":
+        known = "|".join(w.replace(".", r"\.") for w in ABBREVIATIONS)
+        open_ = rf"(?i)((?:^|[\s(\x01])(?:{known})[.;:?!]+)\x01"
+        # twice: what one match ends with begins the next
+        marked = F.regexp_replace(F.regexp_replace(marked, open_, "$1\u0002"), open_.replace(r"\s(", r"\s(\x02"), "$1\u0002")
+    pieces = F.transform(F.split(marked, "\u0001"), lambda x: F.btrim(F.replace(x, F.lit("\u0002"), F.lit(" "))))
+    return F.filter(pieces, lambda s: s != "")
 
 
 def verse_lines(c: Column | str) -> Column:
@@ -110,12 +160,12 @@ def fold(c: Column | str) -> Column:
     return F.lower(F.translate(col(c), "vVUjJI", "uuuiii"))
 
 
-def latin_tokens(c: Column | str) -> Column:
+def letter_tokens(c: Column | str) -> Column:
     """STR-12: lossless tokens."""
     return F.regexp_extract_all(col(c), F.lit(r"(?U)\s+|[A-Za-z]+|[^A-Za-z\s]+"), F.lit(0))
 
 
-def latin_words(c: Column | str) -> Column:
+def letter_words(c: Column | str) -> Column:
     return F.filter(F.split(col(c), "[^A-Za-z]+"), lambda w: w != "")
 
 
@@ -146,18 +196,18 @@ def is_noise(c: Column | str) -> Column:
 
 def is_chrome(c: Column | str) -> Column:
     """STR-22."""
-    return F.coalesce(col(c).rlike(r"(?iu)(the latin library|the classics page|christian latin|medieval latin|^\s*$)"), F.lit(True))
+    return F.coalesce(col(c).rlike(CHROME), F.lit(True))
 
 
 def wiki_text(c: Column | str) -> Column:
     """STR-23: without edit and footnote marks."""
-    return strip(F.regexp_replace(F.regexp_replace(col(c), r"(?iuU)\[\s*(recensere|recense|edit)\s*\]", ""), r"(?U)\[\s*\d+\s*\]", ""))
+    return strip(F.regexp_replace(F.regexp_replace(col(c), WIKI_EDIT, ""), WIKI_NOTE, ""))
 
 
 def garble_score(c: Column | str) -> Column:
     """STR-25: 0 for null, empty or wordless text."""
     words = count(c, "[A-Za-z]+")
-    raw = 3 * count(c, r"[«»%\\^]") + 2 * count(c, r"[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]") + 2 * count(c, r"(?iu)[bcdfghjklmnpqrstvwxz]{6,}")
+    raw = 3 * count(c, TELLTALE) + 2 * count(c, GLUED) + 2 * count(c, CONSONANTS)
     return F.when(words > 0, raw / words * 10).otherwise(0.0)
 
 
@@ -166,14 +216,14 @@ def greek_runs(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(GREEK + "+"), F.lit(0))
 
 
-def latin_only(c: Column | str) -> Column:
+def without_greek(c: Column | str) -> Column:
     return F.regexp_replace(col(c), GREEK + "+", "")
 
 
 def mixed_translation(c: Column | str, translate=lambda x: x) -> Column:
-    """STR-27: translation of the Latin part, with the distinct Greek runs appended."""
+    """STR-27: translation of the rest, with the distinct Greek runs appended."""
     runs = F.array_distinct(greek_runs(c))
-    return F.when(F.size(runs) > 0, F.concat(translate(latin_only(c)), F.lit(" [Greek in source: "), F.array_join(runs, "; "), F.lit("]"))).otherwise(translate(col(c)))
+    return F.when(F.size(runs) > 0, F.concat(translate(without_greek(c)), F.lit(" [Greek in source: "), F.array_join(runs, "; "), F.lit("]"))).otherwise(translate(col(c)))
 
 
 def match_key(c: Column | str) -> Column:
@@ -285,7 +335,7 @@ def gutenberg_body(c: Column | str) -> Column:
 def is_clean_prose(c: Column | str) -> Column:
     """FLT-09."""
     t = col(c)
-    bad = t.rlike(r"[Α-Ωα-ωἀ-ῼ]") | t.rlike(r"(?iU)\(\s*(?:Enter|Exit|Exeunt|Aside|to\s+\w+self|sings|aside)\b") | t.rlike(r"(?U)\b[A-Z]{4,}\b") | t.rlike(r"(?iu)\b(?:mentul|cinaed|pathic|catamit)\w*")
+    bad = t.rlike(r"[Α-Ωα-ωἀ-ῼ]") | t.rlike(STAGE_DIRECTION) | t.rlike(r"(?U)\b[A-Z]{4,}\b") | t.rlike(CRUDE)
     return F.coalesce(~bad & (count(t, r"[()]") <= 1) & (letters(t) >= 0.6 * F.length(t)), F.lit(False))
 
 
@@ -328,8 +378,24 @@ def f_variants(word: Column | str) -> Column:
     return F.transform(masks, lambda m: F.struct(F.array_join(F.transform(chars, lambda c, i: F.when(flipped(m, i), F.when(c == "f", "s").otherwise("S")).otherwise(c)), "").alias("candidate"), F.bit_count(m).alias("flips"), m.alias("mask")))
 
 
-def context_windows(word: Column | str, reach: int = 5) -> Column:
-    """STR-17: for each f, its left and right context around @, padded by ^ and $."""
+def places(word: Column | str, letter: str) -> Column:
+    """STR-44: the places of a letter in either case."""
+    chars = F.split(col(word), "")
+    return F.filter(F.transform(chars, lambda c, i: F.when(F.lower(c) == letter, i)), lambda i: i.isNotNull())
+
+
+def substituted(word: Column | str, at: Column, letter: str) -> Column:
+    """STR-44: the word with this letter at these places, in the case of what stood there."""
+    put = lambda c, i: F.when(F.array_contains(at, i), F.when(c == F.lower(c), letter).otherwise(letter.upper())).otherwise(c)
+    return F.array_join(F.transform(F.split(col(word), ""), put), "")
+
+
+def windows_at(word: Column | str, at: Column, reach: int = 5) -> Column:
+    """STR-17: for each place, its left and right context around @, padded by ^ and $."""
     padded = F.concat(F.lit("^" * reach), F.lower(col(word)), F.lit("$" * reach))
-    at = F.filter(F.transform(F.split(col(word), ""), lambda c, i: F.when(c.isin("f", "F"), i)), lambda i: i.isNotNull())
     return F.transform(at, lambda i: F.concat(F.substring(padded, i + 1, F.lit(reach)), F.lit("@"), F.substring(padded, i + reach + 2, F.lit(reach))))
+
+
+def context_windows(word: Column | str, reach: int = 5) -> Column:
+    """STR-17 for each f."""
+    return windows_at(word, places(word, "f"), reach)

@@ -18,12 +18,19 @@ def _schema(columns: str) -> T.StructType:
 
 DOCUMENTS = _schema("id BIGINT, title STRING, author STRING, century INT, genre STRING, language STRING, language_stage STRING, source STRING, shelfmark STRING, license STRING, has_existing_translation BOOLEAN, translation_status STRING")
 SECTIONS = _schema("id BIGINT, doc_id BIGINT, label STRING, ord INT")
-SEGMENTS = _schema("id BIGINT, section_id BIGINT, ord INT, latin_text STRING, english_text STRING, english_styled STRING, style_label STRING, source_loc STRING, image_region STRING, embed_text STRING, scansion STRING")
+SEGMENTS = _schema("id BIGINT, section_id BIGINT, ord INT, source_text STRING, english_text STRING, english_styled STRING, style_label STRING, source_loc STRING, image_region STRING, embed_text STRING, scansion STRING")
 PAIRS = _schema("src STRING, tgt STRING, citation STRING, src_lang STRING, era STRING, source STRING, score DOUBLE, style STRING, form STRING")
 STATUSES = ("translated", "translated_paywalled", "untranslated", "unknown")
 DERIVED = ("english_text", "english_styled", "style_label", "embed_text", "scansion")
 # fixed values: translator routing (language, stage, rank, model, source code, strip diacritics)
-ROUTES = [("la", None, 1, "models/nllb-latin", "lat_Latn", False), ("grc", None, 1, "models/nllb-greek-v2", "ell_Grek", True), ("grc", None, 2, "models/nllb-greek", "ell_Grek", False), ("grc", "late_antique", 0, "models/nllb-greek-v3", "ell_Grek", True), ("grc", "archaic", 0, "models/nllb-greek-archaic", "ell_Grek", True)]
+ROUTES = [
+    ("la", None, 1, "models/nllb-latin", "lat_Latn", False),
+    ("grc", None, 1, "models/nllb-greek-v2", "ell_Grek", True),
+    ("grc", None, 2, "models/nllb-greek", "ell_Grek", False),
+    ("grc", "late_antique", 0, "models/nllb-greek-v3", "ell_Grek", True),
+    ("grc", "archaic", 0, "models/nllb-greek-archaic", "ell_Grek", True),
+]
+# fixed values: source codes of the stock model
 STOCK = {"la": "lat_Latn", "grc": "ell_Grek"}
 
 
@@ -43,7 +50,7 @@ def sectioned(works: DataFrame, parts: str = "parts") -> DataFrame:
 
 def assemble(documents: DataFrame, sections: DataFrame, segments: DataFrame) -> DataFrame:
     """JON-04: nested documents, sections and segments in order; one join each, no lookups."""
-    inner = segments.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "latin_text"))).alias("segments"))
+    inner = segments.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "source_text"))).alias("segments"))
     outer = sections.join(inner, sections.id == inner.section_id, "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "label", "segments"))).alias("sections"))
     return documents.join(outer, documents.id == outer.doc_id, "left").drop("doc_id")
 
@@ -55,12 +62,12 @@ def patch(table: DataFrame, changes: DataFrame, columns: list[str], key: str = "
     return joined.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in table.columns])
 
 
-def patch_latin(segments: DataFrame, changes: DataFrame) -> DataFrame:
-    """SNK-03: new latin_text; what was derived from the old one becomes null."""
-    c = changes.select(F.col("id").alias("_key"), F.col("latin_text").alias("_latin"))
+def patch_source(segments: DataFrame, changes: DataFrame) -> DataFrame:
+    """SNK-03: new source_text; what was derived from the old one becomes null."""
+    c = changes.select(F.col("id").alias("_key"), F.col("source_text").alias("_new"))
     joined = segments.join(c, F.col("id") == F.col("_key"), "left")
     hit = F.col("_key").isNotNull()
-    return joined.select(*[F.when(hit, F.col("_latin")).otherwise(F.col(x)).alias(x) if x == "latin_text" else F.when(~hit, F.col(x)).alias(x) if x in DERIVED else F.col(x) for x in segments.columns])
+    return joined.select(*[F.when(hit, F.col("_new")).otherwise(F.col(x)).alias(x) if x == "source_text" else F.when(~hit, F.col(x)).alias(x) if x in DERIVED else F.col(x) for x in segments.columns])
 
 
 def with_status(documents: DataFrame, status: Column) -> DataFrame:
@@ -96,17 +103,30 @@ def source_family(c: Column | str) -> Column:
     return F.regexp_replace(X.col(c), r"(?U)\s*\(.*", "")
 
 
+def signature_sums(texts: DataFrame) -> DataFrame:
+    """AGG-08: (doc_id, corrupted, clean) signature counts of works over all their texts (doc_id, text)."""
+    bad, good = X.long_s_counts("text")
+    return texts.groupBy("doc_id").agg(F.sum(bad).alias("corrupted"), F.sum(good).alias("clean"))
+
+
+def corruption_report(texts: DataFrame, least: int = 5, ratio: float = 0.15, top: int = 40) -> DataFrame:
+    """FLT-14: the works with the highest share of corrupted signatures, with `least` of them and more than `ratio`."""
+    sums = signature_sums(texts).where(F.col("corrupted") >= least)
+    share = F.col("corrupted") / F.greatest(F.col("corrupted") + F.col("clean"), F.lit(1))
+    return sums.where(share > ratio).withColumn("ratio", share).orderBy(F.desc("ratio"), "doc_id").limit(top).withColumn("ratio", F.round("ratio", 6))
+
+
 def largest_works(segments: DataFrame, documents: DataFrame, k: int = 8) -> DataFrame:
     """JON-03, TOP-03: counts before the join, ties by id."""
     sizes = segments.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(k)
     return sizes.join(documents, sizes.doc_id == documents.id).select("id", "title", "n")
 
 
-def vocabulary(segments: DataFrame, exclude: DataFrame | None = None, column: str = "latin_text") -> DataFrame:
+def vocabulary(segments: DataFrame, exclude: DataFrame | None = None, column: str = "source_text") -> DataFrame:
     """AGG-06, FLT-05: folded words of two letters or more with their frequency."""
     if exclude is not None:
         segments = segments.join(exclude.select("doc_id"), "doc_id", "left_anti")
-    words = segments.select(F.explode(X.latin_words(column)).alias("w")).where(F.length("w") >= 2)
+    words = segments.select(F.explode(X.letter_words(column)).alias("w")).where(F.length("w") >= 2)
     return words.groupBy(X.fold("w").alias("word")).agg(F.count("*").alias("freq"))
 
 
@@ -153,12 +173,31 @@ def first_per(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
-def marked_sections(lines: DataFrame, marker: str, label: Column) -> DataFrame:
-    """WIN-02, SRC-21: lines (doc_id, pos, line) cut at marker lines: (doc_id, part, label, text)."""
+# fixed values: a line of $key=value marks, the keys of volume, page and column
+MARK = r"^\s*\$\d+="
+VOLUME, PAGE, COLUMN = "0", "8", "9"
+
+
+def marked_sections(lines: DataFrame, marker: str, label: Column, first: Column | None = None) -> DataFrame:
+    """WIN-02: lines (doc_id, pos, line) cut at marker lines: (doc_id, part, label, text); what stands before the first marker
+    is part 0 with the label `first`, or left out without one. Parts without text drop out."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     at = F.col("line").rlike(marker)
-    parts = lines.withColumn("part", F.sum(at.cast("int")).over(w)).withColumn("label", F.last(F.when(at, label), ignorenulls=True).over(w)).where(~at & (F.col("part") > 0) & (F.trim("line") != ""))
-    return parts.groupBy("doc_id", "part", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    own = F.last(F.when(at, label), ignorenulls=True).over(w)
+    parts = lines.withColumn("part", F.sum(at.cast("int")).over(w)).withColumn("label", own if first is None else F.coalesce(own, first))
+    parts = parts.where(~at) if first is not None else parts.where(~at & (F.col("part") > 0))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    joined = parts.groupBy("doc_id", "part").agg(F.first("label").alias("label"), X.strip(F.array_join(F.transform(listed, lambda x: x["line"]), " ")).alias("text"))
+    return joined.where("text <> ''")
+
+
+def volume_sections(volumes: DataFrame) -> DataFrame:
+    """SRC-21: (doc_id, part, label, text) of volumes (doc_id, volume, text) whose marker lines name volume, page and column."""
+    value = lambda key: F.nullif(F.regexp_extract("line", rf"\${key}=(\S+)", 1), F.lit(""))
+    named = lambda word, c: F.coalesce(F.concat(F.lit(f", {word}."), c), F.lit(""))
+    label = F.concat(F.lit("PG "), F.coalesce(value(VOLUME), F.col("volume")), named("p", value(PAGE)), named("col", value(COLUMN)))
+    lines = volumes.select("doc_id", "volume", F.posexplode(F.split("text", X.LINE_BREAK)).alias("pos", "line"))
+    return marked_sections(lines, MARK, label, F.concat(F.lit("PG "), F.col("volume")))
 
 
 def best_run(headers: DataFrame, ends: DataFrame) -> DataFrame:
@@ -168,9 +207,9 @@ def best_run(headers: DataFrame, ends: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
     runs = headers.withColumn("run", F.sum(F.coalesce(F.col("n") <= F.lag("n").over(w), F.lit(True)).cast("int")).over(w))
-    # the span of a run goes on to the next header after it, or the text's end
-    spans = runs.withColumn("next", F.lead("pos").over(w)).groupBy("doc_id", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("len"))
-    best = spans.groupBy("doc_id").agg(F.max_by("run", F.struct((F.col("b") - F.col("a")).alias("span"), "len", (-F.col("run")).alias("r"))).alias("run"))
+    # a run spans from its first header to its last
+    spans = runs.groupBy("doc_id", "run").agg((F.max("pos") - F.min("pos")).alias("span"), F.count("*").alias("len"))
+    best = spans.groupBy("doc_id").agg(F.max_by("run", F.struct("span", "len", (-F.col("run")).alias("r"))).alias("run"))
     kept = runs.join(best, ["doc_id", "run"], "left_semi").join(ends, "doc_id")
     return kept.select("doc_id", "n", "pos", F.coalesce(F.lead("pos").over(w), F.col("size")).alias("until"))
 
@@ -233,12 +272,27 @@ def graph_languages(triples: DataFrame, works: DataFrame) -> DataFrame:
     return nodes.join(works.select(F.col("id").alias("work")), "work", "left_semi").join(lang, "e").select("work", "language").distinct()
 
 
-def tree_leaves(edges: DataFrame, root: str, limit: int) -> DataFrame:
-    """SRC-14: leaves below root in depth-first order, level by level as joins; edges: parent, child, ord, is_text."""
-    here = edges.where(F.col("parent") == root).select("child", "is_text", F.array("ord").alias("path"))
-    found = here.where("is_text")
-    while True:
-        here = here.where("not is_text").select(F.col("child").alias("parent"), "path").join(edges, "parent").select("child", "is_text", F.concat("path", F.array("ord")).alias("path"))
+def tree_leaves(edges: DataFrame, root: str, limit: int, budget: int | None = None) -> DataFrame:
+    """SRC-14: (child) the first `limit` texts below root in depth-first order; edges: parent, child, ord, is_text.
+
+    A node is opened once, by the first path to it, so cycles end. Levels are joined and stored one after the other; the
+    budget is how many nodes may be opened, max(8 * limit, 60) as for one request each, the first ones of a level first.
+    """
+    from .tables import stored
+
+    budget = max(8 * limit, 60) if budget is None else budget
+    edges = edges.select("parent", "child", "ord", "is_text")
+    here = stored(edges.sparkSession.createDataFrame([(root, [])], "node string, path array<bigint>"), "tree")
+    seen, found, opened = here.select("node"), None, 0
+    while opened < budget:
+        here = here.orderBy("path").limit(budget - opened)
+        below = edges.join(here, edges["parent"] == here["node"]).select("child", "is_text", F.concat("path", F.array(F.col("ord").cast("long"))).alias("path"))
+        below = stored(below.groupBy("child").agg(F.bool_or("is_text").alias("is_text"), F.min("path").alias("path")).join(seen.withColumnRenamed("node", "child"), "child", "left_anti"), "tree")
+        opened += here.count()
+        texts = below.where("is_text").select("child", "path")
+        found = texts if found is None else stored(found.unionByName(texts).orderBy("path").limit(limit), "tree")
+        here = below.where("not is_text").select(F.col("child").alias("node"), "path")
         if here.isEmpty():
-            return found.orderBy("path").limit(limit).select("child")
-        found = found.union(here.where("is_text"))
+            break
+        seen = seen.unionByName(here.select("node"))
+    return found.groupBy("child").agg(F.min("path").alias("path")).orderBy("path").limit(limit).select("child")

@@ -9,23 +9,26 @@ from ..functions import text as X
 
 
 def add_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """EMB-02: a key-unique table of unit vectors."""
-    return table.groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("v")).select("id", X.unit_vector("v").alias("unit"))
+    """EMB-02: an index of unit vectors (id, unit). Rows of one id count as one entry, the nearest of them, when searched."""
+    return table.select(F.col(key).alias("id"), X.unit_vector(vector).alias("unit"))
 
 
 def top_k(index: DataFrame, query: list[float], k: int, keep: Column | None = None) -> DataFrame:
-    """The k nearest by cosine, filtered first; ties by id. Every task keeps its own k; k rows meet."""
+    """The k nearest by cosine, filtered first; ties by id. Vectors never move: (id, score) does, once for each id and task."""
     if keep is not None:
         index = index.where(keep)
     q = F.array(*[F.lit(float(x)) for x in query])
     norm = sum(x * x for x in query) ** 0.5 or 1.0
-    return index.withColumn("score", X.dot(F.col("unit"), q) / norm).orderBy(F.desc("score"), "id").limit(k)
+    rest = [c for c in index.columns if c not in ("id", "unit")]
+    scored = index.select("id", *rest, (X.dot(F.col("unit"), q) / norm).alias("score"))
+    best = scored.groupBy("id").agg(F.max("score").alias("score"), *[F.max_by(c, "score").alias(c) for c in rest])
+    return best.orderBy(F.desc("score"), "id").limit(k)
 
 
 def top_k_each(index: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
     """For each of a stated, counted set of queries (query_id, unit) the k nearest: (query_id, id, score).
 
-    The queries are the broadcast side, `most` at most; beyond that they go in blocks.
+    The queries are the broadcast side, `most` at most; beyond that they go in blocks. Ids of the index are unique.
     """
     out, number = None, -(-queries.count() // most)
     for i in range(max(1, number)):

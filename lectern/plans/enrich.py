@@ -15,45 +15,56 @@ from ..functions import text as X
 
 
 def apply_model(rows: DataFrame, key: str, column: str, factory: Callable[[], Callable[[list[str]], list]], kind: str = "string", batch: int = 32) -> DataFrame:
-    """(key, output): batches of similar lengths (SRT-01); a batch that fails is halved, a single text that fails is null."""
+    """EMB-01, EMB-04, MT-01, MT-04, MT-05, SRT-01: (key, output, failed).
+
+    The factory makes the model once for each worker, when its first text comes. Batches hold texts of similar lengths; one
+    that the model cannot hold is halved, and a text that fails alone gives the empty string, or null for other kinds, and
+    counts as failed, so a resumed job tries it again. Blank texts of string models give the empty string without a call.
+    """
+    nothing = "" if kind == "string" else None
 
     def run(batches):
-        model = factory()
+        model = None
 
-        def call(texts: list[str]) -> list:
+        def call(texts: list[str]) -> list[tuple]:
+            nonlocal model
+            model = model or factory()
             try:
-                return model(texts)
-            except Exception:  # a model's own failure: retried smaller, then given up for this text alone
+                return [(x, False) for x in model(texts)]
+            except (RuntimeError, MemoryError, ValueError):  # the model's own limits; anything else is a fault of the job
                 if len(texts) == 1:
-                    return [None]
+                    return [(nothing, True)]
                 half = len(texts) // 2
                 return call(texts[:half]) + call(texts[half:])
 
         for pdf in batches:
-            pdf = pdf.iloc[pdf[column].fillna("").str.len().argsort(kind="stable")]
-            out: list = []
-            for i in range(0, len(pdf), batch):
-                out += call(pdf[column].iloc[i : i + batch].fillna("").tolist())
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "output": out})
+            texts = pdf[column].fillna("").tolist()
+            out: list = [(nothing, False)] * len(texts)
+            todo = sorted((i for i, t in enumerate(texts) if t.strip() or kind != "string"), key=lambda i: len(texts[i]))
+            for i in range(0, len(todo), batch):
+                part = todo[i : i + batch]
+                for at, got in zip(part, call([texts[j] for j in part]), strict=True):
+                    out[at] = got
+            yield pd.DataFrame({key: pdf[key], "output": [o[0] for o in out], "failed": [o[1] for o in out]})
 
-    return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, output {kind}")
+    return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, output {kind}, failed boolean")
 
 
 def translation_input(segments: DataFrame, language: str = "language") -> DataFrame:
     """MT-03: what to do with each pending segment: placeholder, mixed or plain, and the text to translate."""
-    garbled = X.garble_score("latin_text") >= 10
-    mixed = (F.col(language) == "la") & F.col("latin_text").rlike(X.GREEK)
+    garbled = X.garble_score("source_text") >= 10
+    mixed = (F.col(language) == "la") & F.col("source_text").rlike(X.GREEK)
     return segments.where(~X.is_filled("english_text")).withColumn("route", F.when(garbled, "placeholder").when(mixed, "mixed").otherwise("plain"))
 
 
 def translated(segments: DataFrame, translate: Callable[[Column], Column]) -> DataFrame:
     t = translation_input(segments)
-    return t.withColumn("english_text", F.when(F.col("route") == "placeholder", F.lit(X.PLACEHOLDER)).when(F.col("route") == "mixed", X.mixed_translation("latin_text", translate)).otherwise(translate(F.col("latin_text"))))
+    return t.withColumn("english_text", F.when(F.col("route") == "placeholder", F.lit(X.PLACEHOLDER)).when(F.col("route") == "mixed", X.mixed_translation("source_text", translate)).otherwise(translate(F.col("source_text"))))
 
 
 def mark_garbled(segments: DataFrame) -> DataFrame:
     """ENR-06: the patch for garbled segments that are not marked yet."""
-    new = (X.garble_score("latin_text") >= 10) & ~F.coalesce(F.col("english_text") == X.PLACEHOLDER, F.lit(False))
+    new = (X.garble_score("source_text") >= 10) & ~F.coalesce(F.col("english_text") == X.PLACEHOLDER, F.lit(False))
     return segments.where(new).select("id", F.lit(X.PLACEHOLDER).alias("english_text"), F.lit(X.PLACEHOLDER).alias("english_styled"), F.lit("placeholder").alias("style_label"))
 
 

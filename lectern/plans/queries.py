@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import alignment, library, repair, search
+from ..operators import alignment, library, repair, search, store
+from ..operators.tables import stored
 from ..sources import parse
 from ..streaming import resume
 from . import enrich
@@ -51,14 +52,14 @@ CASE doc_id % 6 WHEN 0 THEN 'translated' WHEN 1 THEN 'translated_paywalled' WHEN
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "latin_text"))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "source_text"))
     o = F.col("ord")
-    return s.withColumn("id", F.col("doc_id") * 100000 + o).withColumn("section_id", F.col("doc_id") * 100 + F.floor(o / 4)).withColumn("english_text", F.when(o % 4 == 0, F.concat(F.lit("T "), "latin_text")).when(o % 4 == 1, "").when(o % 4 == 2, None).otherwise("x")).withColumn("english_styled", F.when(o % 8 == 0, F.lower("latin_text")))
+    return s.withColumn("id", F.col("doc_id") * 10000000 + o).withColumn("section_id", F.col("doc_id") * 10000000 + F.floor(o / 4)).withColumn("english_text", F.when(o % 4 == 0, F.concat(F.lit("T "), "source_text")).when(o % 4 == 1, "").when(o % 4 == 2, None).otherwise("x")).withColumn("english_styled", F.when(o % 8 == 0, F.lower("source_text")))
 
 
-SEGMENTS = """s AS (SELECT doc_id, CAST(ord AS INT) AS ord, doc_id * 100000 + ord AS id, doc_id * 100 + ord // 4 AS section_id, latin_text,
-CASE ord % 4 WHEN 0 THEN 'T ' || latin_text WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'x' END AS english_text, CASE WHEN ord % 8 = 0 THEN lower(latin_text) END AS english_styled
-FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS latin_text FROM documents))"""
+SEGMENTS = """s AS (SELECT doc_id, CAST(ord AS INT) AS ord, doc_id * 10000000 + ord AS id, doc_id * 10000000 + ord // 4 AS section_id, source_text,
+CASE ord % 4 WHEN 0 THEN 'T ' || source_text WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'x' END AS english_text, CASE WHEN ord % 8 = 0 THEN lower(source_text) END AS english_styled
+FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS source_text FROM documents))"""
 
 
 def W(sql: str) -> str:
@@ -88,54 +89,114 @@ CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 text_query("str01_normalize", CLEAN + " AS clean", clean=lambda: X.normalize_for_embedding("text"))
 text_query("str02_embedding_text", f"CASE WHEN {CLEAN} <> '' AND {CLEAN} <> {STRIPPED} THEN {CLEAN} END AS embed_text", embed_text=lambda: X.embedding_text("text"))
-text_query("str03_strip_diacritics", None, bare=lambda: alignment.strip_diacritics("text"))
+text_query("str03_strip_diacritics", "strip_accents(text) AS bare", bare=lambda: alignment.strip_diacritics("text"))
 FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 text_query("str05_segment_greek", rf"len(list_filter(list_transform(string_split(regexp_replace({FLAT}, '([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace({FLAT}, '([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), '|')) AS digest", n=lambda: F.size(X.sentences("text", "grc")).cast("long"), digest=lambda: F.md5(F.array_join(X.sentences("text", "grc"), "|").cast("binary")))
 text_query("str06_verse_lines", r"len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), '|')) AS digest", n=lambda: F.size(X.verse_lines("text")).cast("long"), digest=lambda: F.md5(F.array_join(X.verse_lines("text"), "|").cast("binary")))
 text_query("str09_split_english", rf"len(list_filter(string_split(regexp_replace({FLAT}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) > 1)) AS n", n=lambda: F.size(X.split_english("text")).cast("long"))
 text_query("str10_chunks", None, n=lambda: F.size(alignment.chunked("text")), digest=lambda: F.md5(F.array_join(alignment.chunked("text"), "|").cast("binary")))
 text_query("str11_fold", "lower(translate(text, 'vVUjJI', 'uuuiii')) AS folded", folded=lambda: X.fold("text"))
-text_query("str12_tokenize", r"len(regexp_extract_all(text, '\s+|[A-Za-z]+|[^A-Za-z\s]+')) AS n_tokens, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words", n_tokens=lambda: F.regexp_count("text", F.lit(r"(?U)\s+|[A-Za-z]+|[^A-Za-z\s]+")).cast("long"), n_words=lambda: F.size(X.latin_words("text")).cast("long"))
+text_query("str12_tokenize", r"len(regexp_extract_all(text, '\s+|[A-Za-z]+|[^A-Za-z\s]+')) AS n_tokens, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words", n_tokens=lambda: F.regexp_count("text", F.lit(r"(?U)\s+|[A-Za-z]+|[^A-Za-z\s]+")).cast("long"), n_words=lambda: F.size(X.letter_words("text")).cast("long"))
 _sum = lambda i: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p[i]}', ''))) // {len(p[i])}" for p in X.SIGNATURES)
 text_query("str13_long_s_score", f"CAST({_sum(1)} AS BIGINT) AS corrupted, CAST({_sum(0)} AS BIGINT) AS clean", corrupted=lambda: X.long_s_counts("text")[0], clean=lambda: X.long_s_counts("text")[1])
 text_query("str20_leading_numbers", r"regexp_replace(regexp_replace(text, '^(?:\s*\d+){3,}\s*', ''), '^\s+|\s+$', '', 'g') AS cleaned", cleaned=lambda: X.drop_leading_numbers("text"))
 _n = lambda p: rf"len(regexp_extract_all(text, '{p}'))"
 text_query("str21_noise", rf"({_n(r'\p{L}')} < 15 OR {_n(r'\p{Nd}')} > {_n(r'\p{L}')}) AS noise", noise=lambda: X.is_noise("text"))
-text_query("str22_chrome", r"regexp_matches(text, '(?i)(the latin library|the classics page|christian latin|medieval latin|^\s*$)') AS chrome", chrome=lambda: X.is_chrome("text"))
+CHROME_INPUT = "CASE doc_id % 6 WHEN 0 THEN 'Back to The Latin Library ' || text WHEN 1 THEN 'THE LATIN LIBRARY' WHEN 2 THEN text || ' the classics page' WHEN 3 THEN '   ' ELSE text END"
+text_query(
+    "str22_chrome", f"regexp_matches({CHROME_INPUT}, '(?i)(the latin library|the classics page|christian latin|medieval latin|^\\s*$)') AS chrome",
+    chrome=lambda: X.is_chrome(F.expr(CHROME_INPUT)),
+)
 text_query("str23_wiki_marks", r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[\s*(recensere|recense|edit)\s*\]', '', 'g'), '\[\s*\d+\s*\]', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned", cleaned=lambda: X.wiki_text("text"))
 GARBLE = rf"CASE WHEN {_n('[A-Za-z]+')} > 0 THEN (3 * {_n(r'[«»%\\^]')} + 2 * {_n(r'[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]')} + 2 * {_n('(?i)[bcdfghjklmnpqrstvwxz]{6,}')}) / {_n('[A-Za-z]+')} * 10 ELSE 0.0 END"
 text_query("str25_garble_score", f"round({GARBLE}, 6) AS score, {GARBLE} >= 10 AS garbled", score=lambda: F.round(X.garble_score("text"), 6), garbled=lambda: X.garble_score("text") >= 10)
 _MIXED = "concat(text, ' λόγος καὶ λόγος ', source)"
-text_query("str26_scripts", r"length(regexp_replace(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')) AS n_latin, array_to_string(regexp_extract_all(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+'), '|') AS greek", n_latin=lambda: F.length(X.latin_only(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source"))).cast("long"), greek=lambda: F.array_join(X.greek_runs(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source")), "|"))
-text_query("str27_mixed_translation", r"concat(upper(regexp_replace(concat(source, ' λόγος καὶ λόγος'), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')), ' [Greek in source: λόγος; καὶ]') AS translated", translated=lambda: X.mixed_translation(F.concat("source", F.lit(" λόγος καὶ λόγος")), F.upper))
+text_query("str26_scripts", r"length(regexp_replace(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')) AS n_other, array_to_string(regexp_extract_all(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+'), '|') AS greek", n_other=lambda: F.length(X.without_greek(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source"))).cast("long"), greek=lambda: F.array_join(X.greek_runs(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source")), "|"))
+MIXED = "CASE WHEN doc_id % 3 = 0 THEN text ELSE concat('λόγος', substr('αβγδεζηθικλμνξοπρ', CAST(doc_id % 17 + 1 AS INT), 1), ' ', text, ' καὶ λόγος καὶ ', substr('αβγδε', CAST(doc_id % 5 + 1 AS INT), 1), ' ', source) END"
+GREEK_RUNS = r"regexp_extract_all(m, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+')"
+KEPT = r"'T ' || regexp_replace(m, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN len({GREEK_RUNS}) = 0 THEN 'T ' || m ELSE {KEPT} || ' [Greek in source: ' || array_to_string(list_filter({GREEK_RUNS}, lambda x, i: list_position({GREEK_RUNS}, x) = i), '; ') || ']' END AS translated
+FROM (SELECT doc_id, {MIXED} AS m FROM documents)""")
+def str27_mixed_translation(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.expr(MIXED).alias("m"))
+    return d.select("doc_id", X.mixed_translation("m", lambda c: F.concat(F.lit("T "), c)).alias("translated"))
+
+
 KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\(.*?\)', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 text_query("str28_match_key", KEY + " AS key", key=lambda: X.match_key("text"))
-HEAD = r"regexp_replace(regexp_replace(regexp_split_to_array(left(text, 60), '[/(:;]')[1], '(?i)\b(recensio|rec\.|pars|liber|lib\.)\b.*$', ''), '(^|[^\p{L}\p{N}_])[A-Z]\.\s*', '\1', 'g')"
-text_query("str29_search_title", rf"coalesce(nullif(trim(regexp_replace({HEAD}, '\s+', ' ', 'g'), ' ,.-'), ''), left(text, 60)) AS title", title=lambda: X.search_title(F.left("text", F.lit(60))))
+TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+HEAD = r"regexp_replace(regexp_replace(regexp_split_to_array(title, '[/(:;]')[1], '(?i)\b(recensio|rec\.|pars|liber|lib\.)\b.*$', ''), '(^|[^\p{L}\p{N}_])[A-Z]\.\s*', '\1', 'g')"
+TITLES = f"(SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'In L. ' ELSE 'De ' END || {TITLE} || CASE page_id % 3 WHEN 0 THEN ' / Liber P' WHEN 1 THEN ', liber II (pars)' ELSE '' END AS title FROM pages)"
+
+
+def titles(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("page_id")
+    before = F.when(n % 4 == 0, "").when(n % 4 == 1, "In L. ").otherwise("De ")
+    after = F.when(n % 3 == 0, " / Liber P").when(n % 3 == 1, ", liber II (pars)").otherwise("")
+    return table(spark, sf, "pages").select("page_id", F.concat(before, X.page_title("html"), after).alias("title"))
+
+
+@query(rf"SELECT page_id, coalesce(nullif(trim(regexp_replace({HEAD}, '\s+', ' ', 'g'), ' ,.-'), ''), title) AS head FROM {TITLES}")
+def str29_search_title(spark, sf):
+    return titles(spark, sf).select("page_id", X.search_title("title").alias("head"))
+
+
 _list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 text_query("str30_generic_title", rf"len(c) = 0 OR len(list_filter(c, lambda w: NOT list_contains({_list(X.GENERIC_WORDS)}, w))) = 0 OR list_contains({_list(X.GENRE_HEADS)}, c[1]) AS generic FROM (SELECT doc_id, list_filter(string_split(regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'vita ' WHEN 1 THEN 'carminum appendix ii' WHEN 2 THEN 'xiv 3' ELSE '' END || CASE WHEN doc_id % 4 IN (0, 3) THEN source ELSE '' END, '\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[ivxlcdm]+|\d+')) AS c FROM documents) AS documents", generic=lambda: X.is_generic_title(F.concat(F.when(F.col("doc_id") % 4 == 0, "vita ").when(F.col("doc_id") % 4 == 1, "carminum appendix ii").when(F.col("doc_id") % 4 == 2, "xiv 3").otherwise(""), F.when((F.col("doc_id") % 4).isin(0, 3), F.col("source")).otherwise(""))))
 SQL["str30_generic_title"] = SQL["str30_generic_title"].removesuffix(" FROM documents")
-text_query("str31_similarity", None, ratio=lambda: F.round(alignment.similarity(F.left("text", F.lit(60)), F.lit("carmina et epistolae")), 6))
+
+
+@query()
+def str31_similarity(spark, sf):
+    return titles(spark, sf).select("page_id", F.round(alignment.similarity(X.match_key("title"), F.lit("carmina et epistolae")), 6).alias("ratio"))
+
+
 text_query("str32_alnum", "lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS plain", plain=lambda: X.alnum("text"))
-text_query("str36_unquote", r"regexp_replace(text, '^\s+|\s+$', '', 'g') AS plain", plain=lambda: X.unquote(F.concat(F.lit(' "'), X.strip("text"), F.lit('" '))))
-text_query("str37_century_label", "CASE WHEN doc_id % 15 - 2 <> 0 THEN abs(doc_id % 15 - 2) || CASE WHEN doc_id % 15 < 2 THEN 'c BCE' ELSE 'c CE' END END AS label", label=lambda: X.century_label(F.col("doc_id") % 15 - 2))
-text_query("str38_identifiers", "'bsb' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(8, length(CAST(doc_id AS VARCHAR))) AS INT), '0') AS mgh, 'phi' || doc_id AS textgroup, 'w' || n_chars AS work", mgh=lambda: X.mgh_id(F.col("doc_id").cast("string")), textgroup=lambda: X.cts_parts(F.concat(F.lit("urn:cts:latinLit:phi"), "doc_id", F.lit(".w"), "n_chars"))["textgroup"], work=lambda: X.cts_parts(F.concat(F.lit("phi"), "doc_id", F.lit("/w"), "n_chars"))["work"])
+QUOTED = "CASE doc_id % 5 WHEN 0 THEN ' ' || chr(34) || text || ' ' || chr(34) WHEN 1 THEN chr(39) || text || chr(39) WHEN 2 THEN ' “ ' || text || '”' WHEN 3 THEN chr(34) || text ELSE text END"
+BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+text_query("str36_unquote", f"CASE WHEN doc_id % 5 = 3 THEN chr(34) || regexp_replace(text, '\\s+$', '') ELSE {BARE} END AS plain", plain=lambda: X.unquote(F.expr(QUOTED)))
+text_query(
+    "str37_century_label",
+    "CASE WHEN n_chars % 41 > 20 THEN (n_chars % 41 - 20) || 'c CE' WHEN n_chars % 41 < 20 THEN (20 - n_chars % 41) || 'c BCE' END AS label",
+    label=lambda: X.century_label(F.col("n_chars") % 41 - 20),
+)
 text_query("str40_work_stem", "source || '|' || doc_id AS stem", stem=lambda: X.work_stem(F.concat_ws("|", "source", "doc_id", "n_chars")))
-text_query("str41_roman", "CASE doc_id % 4 WHEN 0 THEN 9 WHEN 1 THEN 14 WHEN 2 THEN 8 END AS n", n=lambda: X.book_number(F.when(F.col("doc_id") % 4 == 0, "IX").when(F.col("doc_id") % 4 == 1, "XIV").when(F.col("doc_id") % 4 == 2, "EIGHTH").otherwise("of")))
+# numerals are put together from tens and units on both sides, their values are the numbers themselves
+_TENS, _UNITS = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+_case = lambda n, words: f"CASE {n} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+NUMERAL = "(" + _case("CAST(floor(doc_id % 90 / 10) AS INT)", _TENS) + " || " + _case("doc_id % 10", _UNITS) + ")"
+NUMBERED = f"CASE WHEN doc_id % 7 = 0 THEN upper({_case('doc_id % 24', X.ORDINALS)}) || '.' ELSE ' ' || {NUMERAL} END"
+text_query(
+    "str41_roman", "CASE WHEN doc_id % 7 = 0 THEN doc_id % 24 + 1 WHEN doc_id % 90 > 0 THEN doc_id % 90 END AS n",
+    n=lambda: X.book_number(F.expr(NUMBERED)).cast("long"),
+)
 text_query("str43_strip_tags", r"trim(regexp_replace(regexp_replace('<i>' || text || '</i>', '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS plain", plain=lambda: X.strip_tags(F.concat(F.lit("<i>"), "text", F.lit("</i>"))))
-text_query("str45_html_escape", "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=lambda: X.escape_html("text"))
-text_query("dat01_earliest_century", "CASE doc_id % 3 WHEN 0 THEN 8 WHEN 1 THEN (900 + doc_id % 90) // 100 + 1 END AS century", century=lambda: X.earliest_century(F.when(F.col("doc_id") % 3 == 0, "saec. VIII - VII").when(F.col("doc_id") % 3 == 1, F.concat(F.lit(900 + 0) + F.col("doc_id") % 90, F.lit("/45 - 1004"))).otherwise("ignotum")))
+text_query("snk11_html_escape", "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=lambda: X.escape_html("text"))
+DATES = f"CASE doc_id % 4 WHEN 0 THEN 'saec. ' || {NUMERAL} || ' - saec. XC' WHEN 1 THEN '† ' || (200 + n_chars % 1300) || '/45 - ' || (1600 + doc_id % 9) WHEN 2 THEN (n_chars % 90) || ' ignotum' ELSE 'Saec ' || lower({NUMERAL}) || ', 1100' END"
+# xc is beyond the letters of a century, so it counts for x alone
+text_query(
+    "dat01_earliest_century",
+    "CASE doc_id % 4 WHEN 1 THEN (200 + n_chars % 1300) // 100 + 1 WHEN 2 THEN NULL WHEN 0 THEN CASE WHEN doc_id % 90 BETWEEN 1 AND 10 THEN doc_id % 90 ELSE 10 END ELSE CASE WHEN doc_id % 90 > 0 THEN doc_id % 90 ELSE 12 END END AS century",
+    century=lambda: X.earliest_century(F.expr(DATES)).cast("long"),
+)
 text_query("flt09_clean_prose", rf"NOT regexp_matches(text, '[\x{{0391}}-\x{{03A9}}\x{{03B1}}-\x{{03C9}}\x{{1F00}}-\x{{1FFC}}]') AND NOT regexp_matches(text, '(?i)\(\s*(?:Enter|Exit|Exeunt|Aside|to\s+\w+self|sings|aside)\b') AND NOT regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[A-Z]{{4,}}($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(text, '(?i)\b(?:mentul|cinaed|pathic|catamit)\w*') AND {_n('[()]')} <= 1 AND {_n(r'\p{L}')} >= 0.6 * length(text) AS clean", clean=lambda: X.is_clean_prose("text"))
 text_query("flt10_contaminated", rf"{_n(r'[^\x00-\x7F]')} / greatest(1, length(text)) > 0.12 AS contaminated", contaminated=lambda: X.is_contaminated("text", F.lit("")))
-text_query("enr02_status", f"CASE WHEN regexp_matches(lower(left(text, 400)), '{'|'.join(X.DOCUMENTARY)}') THEN 'untranslated' ELSE 'unknown' END AS status", status=lambda: X.translation_status(F.left("text", F.lit(400)), F.lit(None), F.lit(None)))
+HAY = "CASE doc_id % 5 WHEN 0 THEN 'MGH Diplomata: ' || text WHEN 1 THEN text || ' Urkundenbuch' ELSE text END"
+_files = lambda: F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("a-lat1.xml"), F.lit("x-eng1.xml"))).otherwise(F.array(F.lit("a-eng.txt")))
+text_query(
+    "enr02_status", f"CASE WHEN doc_id % 7 = 0 THEN 'translated' WHEN regexp_matches(lower({HAY}), '{'|'.join(X.DOCUMENTARY)}') THEN 'untranslated' ELSE 'unknown' END AS status",
+    status=lambda: X.translation_status(F.expr(HAY), F.lit(None), F.lit(None), _files()),
+)
 
 
 @query(S(rf"""SELECT doc_id, CAST(ord AS INT) AS ord, n, joined FROM (SELECT doc_id, ord, count(*) AS n, string_agg(sentence, '|' ORDER BY g) AS joined FROM (
 SELECT doc_id, ord, g, trim(string_agg(piece, ' ' ORDER BY i)) AS sentence FROM (SELECT *, sum(CASE WHEN i = 1 OR NOT prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ord ORDER BY i) AS g FROM (
 SELECT *, lag(list_contains({_list(X.ABBREVIATIONS)}, lower(regexp_replace(list_extract(regexp_split_to_array(trim(piece), '[\s(]'), -1), '[.;:?!]+$', '')))) OVER (PARTITION BY doc_id, ord ORDER BY i) AS prev FROM (
-SELECT doc_id, ord, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (SELECT doc_id, ord, string_split(regexp_replace(trim(regexp_replace(latin_text, '\s+', ' ', 'g')), '([.;:?!])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM s)))) GROUP BY doc_id, ord, g) WHERE sentence <> '' GROUP BY doc_id, ord)"""))
-def str04_segment_latin(spark, sf):
-    s = segments(spark, sf).select("doc_id", "ord", X.sentences("latin_text").alias("s"))
+SELECT doc_id, ord, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (SELECT doc_id, ord, string_split(regexp_replace(trim(regexp_replace(source_text, '\s+', ' ', 'g')), '([.;:?!])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM s)))) GROUP BY doc_id, ord, g) WHERE sentence <> '' GROUP BY doc_id, ord)"""))
+def str04_segment_sentences(spark, sf):
+    s = segments(spark, sf).select("doc_id", "ord", X.sentences("source_text").alias("s"))
     return s.where(F.size("s") > 0).select("doc_id", "ord", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("joined"))
 
 
@@ -155,16 +216,24 @@ def agg07_stems(spark, sf):
     return library.stems(library.vocabulary(table(spark, sf, "documents"), column="text"))
 
 
-@query()
+FLIPS = f"""w AS (SELECT word, list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) = 'f') AS p FROM v WHERE contains(word, 'f')),
+m AS (SELECT word, p, unnest(range(1, CAST(pow(2, len(p)) AS BIGINT))) AS m FROM w WHERE len(p) <= 6),
+c AS (SELECT word, m, bit_count(m) AS flips, array_to_string(list_transform(range(1, length(word) + 1), lambda i: CASE WHEN list_position(p, i) > 0 AND (m >> CAST(list_position(p, i) - 1 AS BIGINT)) & 1 = 1 THEN 's' ELSE substr(word, i, 1) END), '') AS cand,
+array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN '0' ELSE '1' END), '') AS o FROM m),
+x AS (SELECT c.word, arg_min(cand, (-flips, -freq, o)) AS exact FROM c JOIN v ON v.word = cand GROUP BY 1),
+y AS (SELECT c.word, arg_min(cand, (flips, o)) AS stem FROM c, (SELECT unnest({_list(X.ENDINGS)}) AS e) WHERE length(cand) >= 6 AND suffix(cand, e) AND length(cand) - length(e) >= 4 AND left(cand, length(cand) - length(e)) IN (SELECT stem FROM t) GROUP BY 1)"""
+
+
+@query(f"WITH {VOCAB}, {STEMS}, {FLIPS} SELECT w.word, exact, stem FROM w LEFT JOIN x ON x.word = w.word LEFT JOIN y ON y.word = w.word")
 def str14_best_fixes(spark, sf):
-    v = library.vocabulary(table(spark, sf, "documents"), column="text")
+    v = stored(library.vocabulary(table(spark, sf, "documents"), column="text"), "vocabulary")
     return library.best_fixes(v.where("word like '%f%'").select("word"), v, library.stems(v))
 
 
 @query()
 def str16_correct_long_s(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"s(?=[a-z])", "f").alias("text"))
-    v = library.vocabulary(table(spark, sf, "documents"), column="text")
+    v = stored(library.vocabulary(table(spark, sf, "documents"), column="text"), "vocabulary")
     fixes = library.best_fixes(repair.candidates(docs), v, library.stems(v))
     return repair.corrected(docs, v, fixes).select("doc_id", "n_changes", "n_suggestions", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -175,12 +244,6 @@ def str17_context_windows(spark, sf):
     return v.select("word", F.array_join(X.context_windows("word"), " ").alias("windows"))
 
 
-@query()
-def ml01_long_s_classifier(spark, sf):
-    model, rows = repair.fit_classifier(repair.training_examples(library.vocabulary(table(spark, sf, "documents"), column="text")))
-    return model.transform(rows.where("held_out")).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 4).alias("accuracy"))
-
-
 # relational
 
 
@@ -209,11 +272,20 @@ def agg04_century_span(spark, sf):
     return works(spark, sf).agg(F.min("century").alias("first"), F.max("century").alias("last"))
 
 
-@query(f"SELECT doc_id, corrupted, clean, round(corrupted / greatest(corrupted + clean, 1), 6) AS ratio FROM (SELECT doc_id, CAST({_sum(1)} AS BIGINT) AS corrupted, CAST({_sum(0)} AS BIGINT) AS clean FROM documents) WHERE corrupted >= 5 ORDER BY ratio DESC, doc_id LIMIT 40")
+SPOILT = "CASE WHEN doc_id % 3 = 0 THEN replace(text, 's', 'f') ELSE text END"
+_spoilt = lambda i: _sum(i).replace("lower(text)", f"lower({SPOILT})")
+_SIGNATURES = f"SELECT doc_id, CAST({_spoilt(1)} AS BIGINT) AS corrupted, CAST({_spoilt(0)} AS BIGINT) AS clean FROM documents"
+
+
+@query(f"""SELECT doc_id, corrupted, clean, round(corrupted / greatest(corrupted + clean, 1), 6) AS ratio FROM ({_SIGNATURES})
+WHERE corrupted >= 5 AND corrupted / greatest(corrupted + clean, 1) > 0.15 ORDER BY corrupted / greatest(corrupted + clean, 1) DESC, doc_id LIMIT 40""")
 def flt14_corruption_report(spark, sf):
-    bad, good = X.long_s_counts("text")
-    d = table(spark, sf, "documents").select("doc_id", bad.alias("corrupted"), good.alias("clean")).where("corrupted >= 5")
-    return d.withColumn("ratio", F.round(F.col("corrupted") / F.greatest(F.col("corrupted") + F.col("clean"), F.lit(1)), 6)).orderBy(F.desc("ratio"), "doc_id").limit(40)
+    return library.corruption_report(table(spark, sf, "documents").select("doc_id", F.expr(SPOILT).alias("text")))
+
+
+@query(_SIGNATURES)
+def agg08_signatures(spark, sf):
+    return library.signature_sums(table(spark, sf, "documents").select("doc_id", F.expr(SPOILT).alias("text")))
 
 
 @query(S("SELECT doc_id, sum(CASE WHEN english_text IS NULL OR english_text = '' THEN 1 ELSE 0 END) AS pending, count(*) AS n FROM s GROUP BY doc_id"))
@@ -222,9 +294,9 @@ def agg16_pending(spark, sf):
     return segments(spark, sf).groupBy("doc_id").agg(F.count_if(pending).alias("pending"), F.count("*").alias("n"))
 
 
-@query(S("SELECT doc_id, sum(length(latin_text)) AS chars, count(*) AS n FROM s GROUP BY doc_id HAVING sum(length(latin_text)) < 300 OR count(*) < 2 OR sum(length(latin_text)) > 700000"))
+@query(S("SELECT doc_id, sum(length(source_text)) AS chars, count(*) AS n FROM s GROUP BY doc_id HAVING sum(length(source_text)) < 300 OR count(*) < 2 OR sum(length(source_text)) > 700000"))
 def flt06_stubs(spark, sf):
-    s = segments(spark, sf).groupBy("doc_id").agg(F.sum(F.length("latin_text")).alias("chars"), F.count("*").alias("n"))
+    s = segments(spark, sf).groupBy("doc_id").agg(F.sum(F.length("source_text")).alias("chars"), F.count("*").alias("n"))
     return s.where("chars < 300 or n < 2 or chars > 700000")
 
 
@@ -233,18 +305,18 @@ def jon03_largest_works(spark, sf):
     return library.largest_works(segments(spark, sf), works(spark, sf))
 
 
-@query(WS("SELECT w.id, title, s.ord, latin_text FROM s JOIN w ON w.id = s.doc_id WHERE s.doc_id BETWEEN 3 AND 5"))
+@query(WS("SELECT w.id, title, s.ord, source_text FROM s JOIN w ON w.id = s.doc_id"))
 def jon02_document_lookup(spark, sf):
-    return segments(spark, sf).where("doc_id between 3 and 5").drop("id").join(works(spark, sf).select("id", "title"), F.col("doc_id") == F.col("id")).select("id", "title", "ord", "latin_text")
+    return segments(spark, sf).drop("id").join(works(spark, sf).select("id", "title"), F.col("doc_id") == F.col("id")).select("id", "title", "ord", "source_text")
 
 
-@query(S("SELECT doc_id, count(DISTINCT section_id) AS sections, count(*) AS segments, md5(string_agg(latin_text, '|' ORDER BY ord)) AS digest FROM s GROUP BY doc_id"))
+@query(S("SELECT doc_id, count(DISTINCT section_id) AS sections, count(*) AS segments, md5(string_agg(source_text, '|' ORDER BY ord)) AS digest FROM s GROUP BY doc_id"))
 def jon04_assemble(spark, sf):
     s = segments(spark, sf)
     sections = s.groupBy("section_id", "doc_id").agg(F.min("ord").alias("ord")).select(F.col("section_id").alias("id"), "doc_id", F.lit("x").alias("label"), "ord")
     d = library.assemble(works(spark, sf), sections, s)
     flat = F.flatten(F.transform("sections", lambda x: x["segments"]))
-    return d.where("sections is not null").select(F.col("id").alias("doc_id"), F.size("sections").cast("long").alias("sections"), F.size(flat).cast("long").alias("segments"), F.md5(F.array_join(F.transform(flat, lambda x: x["latin_text"]), "|").cast("binary")).alias("digest"))
+    return d.where("sections is not null").select(F.col("id").alias("doc_id"), F.size("sections").cast("long").alias("sections"), F.size(flat).cast("long").alias("segments"), F.md5(F.array_join(F.transform(flat, lambda x: x["source_text"]), "|").cast("binary")).alias("digest"))
 
 
 @query(W("SELECT w.id, w.title FROM w LEFT JOIN labels l ON l.doc_id = w.id WHERE l.doc_id IS NULL"))
@@ -259,12 +331,6 @@ def jon12_routing(spark, sf):
     return library.routed(works(spark, sf), routes, complete)
 
 
-@query("SELECT conv_id, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS has_user, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 AS has_reply FROM conversations GROUP BY conv_id HAVING max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1")
-def jon16_alignable(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("has_user"), F.bool_or(F.col("role") == "assistant").alias("has_reply"))
-    return c.where("has_user and has_reply")
-
-
 @query("WITH a AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1, 2), b AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) SELECT a.conv_id, a.k, a.t AS src, b.t AS tgt FROM a JOIN b USING (conv_id, k)")
 def jon06_citation_join(spark, sf):
     c = table(spark, sf, "conversations").withColumn("k", F.floor(F.col("turn") / 2))
@@ -272,23 +338,6 @@ def jon06_citation_join(spark, sf):
     return side("user", "src").join(side("assistant", "tgt"), ["conv_id", "k"])
 
 
-@query("WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT a.conv_id, count(*) AS candidates FROM c a JOIN c b ON a.conv_id = b.conv_id AND abs(b.i - a.i) <= 2 GROUP BY 1")
-def jon17_banded_candidates(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    # the band's size in closed form: no pairs are made
-    i = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    return c.select("conv_id", "n", i.alias("i")).groupBy("conv_id").agg(F.sum(F.least(F.col("n") - 1, F.col("i") + 2) - F.greatest(F.lit(0), F.col("i") - 2) + 1).alias("candidates"))
-
-
-@query("SELECT conv_id, island, string_agg(text, ' ' ORDER BY turn, text) AS body, count(*) AS n FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, text) AS island FROM conversations) WHERE island > 0 AND role <> 'user' GROUP BY 1, 2")
-def win02_islands(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
-    c = table(spark, sf, "conversations").withColumn("island", F.sum((F.col("role") == "user").cast("int")).over(w)).where("island > 0 and role <> 'user'")
-    return c.groupBy("conv_id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("body"), F.count("*").alias("n"))
-
-
 @query("""WITH h AS (SELECT user_id AS doc_id, event_id AS pos, CAST(floor(value) AS BIGINT) AS n FROM events), r AS (SELECT *, sum(CASE WHEN prev IS NULL OR n <= prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM h)),
 g AS (SELECT doc_id, run, max(pos) - min(pos) AS span, count(*) AS len FROM r GROUP BY 1, 2), b AS (SELECT doc_id, run, row_number() OVER (PARTITION BY doc_id ORDER BY span DESC, len DESC, run) AS rk FROM g),
 e AS (SELECT doc_id, max(pos) + 1 AS size FROM h GROUP BY 1)
@@ -308,9 +357,9 @@ def win09_spread_sample(spark, sf):
     return library.spread_sample(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 100)
 
 
-@query(S("SELECT id, doc_id, latin_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE english_text IS NULL OR english_text = '') WHERE r <= 3"))
+@query(S("SELECT id, doc_id, source_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE english_text IS NULL OR english_text = '') WHERE r <= 3"))
 def win10_first_pending(spark, sf):
-    return library.first_n(segments(spark, sf).where("english_text is null or english_text = ''"), "doc_id", ["ord"], 3).select("id", "doc_id", "latin_text")
+    return library.first_n(segments(spark, sf).where("english_text is null or english_text = ''"), "doc_id", ["ord"], 3).select("id", "doc_id", "source_text")
 
 
 @query(S("SELECT doc_id, n, CAST((row_number() OVER (ORDER BY n DESC, doc_id) - 1) % 4 AS INT) AS shard FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"))
@@ -320,9 +369,9 @@ def win08_shards(spark, sf):
     return ranked.select("doc_id", "n", (F.col("_row") % 4).cast("int").alias("shard"))
 
 
-@query(W("SELECT id, author, title FROM w ORDER BY author NULLS FIRST, title, id LIMIT 500"))
+@query(W("SELECT id, author, title FROM w "))
 def top04_listing(spark, sf):
-    return works(spark, sf).select("id", "author", "title").orderBy(F.asc_nulls_first("author"), "title", "id").limit(500)
+    return store.listed(works(spark, sf)).select("id", "author", "title")
 
 
 QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
@@ -357,10 +406,10 @@ def top01_topk_each(spark, sf):
     return search.top_k_each(index, queries, 5).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
-@query(S("SELECT id, doc_id, CASE WHEN id % 10 = 0 THEN 'new ' || latin_text ELSE latin_text END AS latin_text, CASE WHEN id % 10 <> 0 THEN english_text END AS english_text, CASE WHEN id % 10 <> 0 THEN english_styled END AS english_styled FROM s"))
-def snk03_patch_latin(spark, sf):
-    s = segments(spark, sf).select("id", "doc_id", "latin_text", "english_text", "english_styled")
-    return library.patch_latin(s, s.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "latin_text").alias("latin_text")))
+@query(S("SELECT id, doc_id, CASE WHEN id % 10 = 0 THEN 'new ' || source_text ELSE source_text END AS source_text, CASE WHEN id % 10 <> 0 THEN english_text END AS english_text, CASE WHEN id % 10 <> 0 THEN english_styled END AS english_styled FROM s"))
+def snk03_patch_source(spark, sf):
+    s = segments(spark, sf).select("id", "doc_id", "source_text", "english_text", "english_styled")
+    return library.patch_source(s, s.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "source_text").alias("source_text")))
 
 
 @query(S("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE english_text END AS english_text FROM s"))
@@ -380,7 +429,7 @@ def enr05_status_changes(spark, sf):
     return enrich.status_changes(w, w.where("id % 2 = 0").select("id", F.lit("translated").alias("status")))
 
 
-GARBLED_LINE = GARBLE.replace("(text,", "(latin_text,")
+GARBLED_LINE = GARBLE.replace("(text,", "(source_text,")
 
 
 @query(S(f"SELECT id, '{X.PLACEHOLDER}' AS english_text, 'placeholder' AS style_label FROM s WHERE {GARBLED_LINE} >= 10 AND english_text IS DISTINCT FROM '{X.PLACEHOLDER}'"))
@@ -388,15 +437,15 @@ def enr06_mark_garbled(spark, sf):
     return enrich.mark_garbled(segments(spark, sf)).select("id", "english_text", "style_label")
 
 
-@query(S(f"SELECT id, CASE WHEN {GARBLED_LINE} >= 10 THEN 'placeholder' ELSE 'plain' END AS route, CASE WHEN {GARBLED_LINE} >= 10 THEN '{X.PLACEHOLDER}' ELSE 'T ' || latin_text END AS english_text FROM s WHERE length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) = 0"))
+@query(S(f"SELECT id, CASE WHEN {GARBLED_LINE} >= 10 THEN 'placeholder' ELSE 'plain' END AS route, CASE WHEN {GARBLED_LINE} >= 10 THEN '{X.PLACEHOLDER}' ELSE 'T ' || source_text END AS english_text FROM s WHERE length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) = 0"))
 def mt03_translate_pending(spark, sf):
     s = segments(spark, sf).withColumn("language", F.lit("la"))
     return enrich.translated(s, lambda c: F.concat(F.lit("T "), c)).select("id", "route", "english_text")
 
 
-@query(S("SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN least(length(a), length(b)) < 30 THEN 'short' WHEN lower(a) = lower(b) THEN 'identical' WHEN len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)) > 0.12 THEN 'contaminated' END AS reason FROM (SELECT regexp_replace(latin_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(CASE WHEN ord % 2 = 0 THEN lower(latin_text) ELSE latin_text || ' plus' END, '^\\s+|\\s+$', '', 'g') AS b FROM s) WHERE a <> '' AND b <> '') GROUP BY 1"))
+@query(S("SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN least(length(a), length(b)) < 30 THEN 'short' WHEN lower(a) = lower(b) THEN 'identical' WHEN len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)) > 0.12 THEN 'contaminated' END AS reason FROM (SELECT regexp_replace(source_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(CASE WHEN ord % 2 = 0 THEN lower(source_text) ELSE source_text || ' plus' END, '^\\s+|\\s+$', '', 'g') AS b FROM s) WHERE a <> '' AND b <> '') GROUP BY 1"))
 def flt11_pair_reasons(spark, sf):
-    p = segments(spark, sf).select(F.col("latin_text").alias("src"), F.when(F.col("ord") % 2 == 0, F.lower("latin_text")).otherwise(F.concat("latin_text", F.lit(" plus"))).alias("tgt"))
+    p = segments(spark, sf).select(F.col("source_text").alias("src"), F.when(F.col("ord") % 2 == 0, F.lower("source_text")).otherwise(F.concat("source_text", F.lit(" plus"))).alias("tgt"))
     return library.pair_reasons(p).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -408,11 +457,11 @@ def src14_tree_leaves(spark, sf):
     return library.tree_leaves(edges, "root", 50)
 
 
-@query("WITH t AS (SELECT o_custkey AS subj, 'P747' AS pred, o_orderkey AS obj FROM orders UNION ALL SELECT l_orderkey, 'P407', l_suppkey % 7 FROM lineitem) SELECT DISTINCT a.subj AS work, b.obj AS language FROM t a JOIN t b ON b.subj = a.obj AND b.pred = 'P407' WHERE a.pred = 'P747' AND a.subj % 10 = 0 UNION SELECT subj, obj FROM t WHERE pred = 'P407' AND subj IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 = 0)")
+@query("WITH t AS (SELECT o_custkey AS subj, 'P747' AS pred, o_orderkey AS obj FROM orders UNION ALL SELECT l_orderkey, 'P407', l_suppkey % 7 FROM lineitem) SELECT DISTINCT a.subj AS work, b.obj AS language FROM t a JOIN t b ON b.subj = a.obj AND b.pred = 'P407' WHERE a.pred = 'P747' UNION SELECT subj, obj FROM t WHERE pred = 'P407' AND subj IN (SELECT o_custkey FROM orders)")
 def grf01_languages(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     triples = o.select(F.col("o_custkey").alias("subj"), F.lit("P747").alias("pred"), F.col("o_orderkey").alias("obj")).unionByName(li.select(F.col("l_orderkey").alias("subj"), F.lit("P407").alias("pred"), (F.col("l_suppkey") % 7).alias("obj")))
-    return library.graph_languages(triples, o.where("o_custkey % 10 = 0").select(F.col("o_custkey").alias("id")).distinct())
+    return library.graph_languages(triples, o.select(F.col("o_custkey").alias("id")).distinct())
 
 
 @query("SELECT source, min(doc_id) AS doc_id, first(n_chars ORDER BY doc_id) AS n_chars FROM documents GROUP BY source")
@@ -420,19 +469,14 @@ def agg19_first_per_key(spark, sf):
     return library.first_per(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"]).select("source", "doc_id", "n_chars")
 
 
-@query()
-def smp01_split(spark, sf):
-    return library.split_by_hash(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.1)
-
-
 @query()
 def htm01_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(parse.paragraphs("html")).alias("ord", "text"))
 
 
 @query()
-def src04_latin_library(spark, sf):
-    return parse.latin_library_text(table(spark, sf, "pages"))
+def src04_library_pages(spark, sf):
+    return parse.library_page_text(table(spark, sf, "pages"))
 
 
 @query()
@@ -450,22 +494,12 @@ def str42_page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
-@query()
-def src05_links(spark, sf):
-    return parse.links(table(spark, sf, "pages"), pattern=".")
-
-
-@query()
+@query(r"SELECT doc_id, 'T' AS title, 'Book 1 Chapter 1' AS label, trim(regexp_replace(text || ' tail', '\s+', ' ', 'g')) AS text FROM documents")
 def src02_tei(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<TEI><teiHeader><title>T</title></teiHeader><text><body><div type='book' n='1'><div type='chapter' n='1'><p>"), X.escape_html("text"), F.lit("<note>n</note> tail</p></div></div></body></text></TEI>")).alias("xml"))
     return d.withColumn("x", parse.parsed_tei("xml")).select("doc_id", F.col("x.title").alias("title"), F.explode("x.parts").alias("p")).select("doc_id", "title", "p.label", "p.text")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def jsn01_variant(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stm_windowed_counts(spark, sf):
     return resume.windowed_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
@@ -480,27 +514,23 @@ def aln02_align_texts(spark, sf):
 
 @query()
 def pag01_align_pages(spark, sf):
-    s = segments(spark, sf).select("doc_id", F.col("ord").alias("pos"), F.col("latin_text").alias("text"))
+    s = segments(spark, sf).select("doc_id", F.col("ord").alias("pos"), F.col("source_text").alias("text"))
     pages = s.groupBy("doc_id", F.floor(F.col("pos") / 3).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
     return alignment.align_pages(s, pages)
 
 
 @query()
 def enr01_best_match(spark, sf):
-    wanted = table(spark, sf, "pages").select(F.col("page_id").alias("id"), X.match_key(X.page_title("html")).alias("key"), F.lit("").alias("author_key"))
-    entries = table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), X.match_key(F.left("text", F.lit(40))).alias("title_key"), F.lit("").alias("context_key"))
-    return alignment.best_matches(wanted, entries)
-
-
-@query()
-def mth05_chrf(spark, sf):
-    s = segments(spark, sf).where("ord = 0")
-    return s.select("id", F.round(alignment.chrf_score("latin_text", F.reverse("latin_text")), 4).alias("chrf"))
+    wanted = titles(spark, sf).select(F.col("page_id").alias("id"), X.match_key(X.search_title("title")).alias("key"), F.lit("").alias("author_key"))
+    entry = lambda ord_, title: (F.col(ord_).alias("ord"), X.match_key(title).alias("title_key"), F.lit("").alias("context_key"))
+    entries = table(spark, sf, "benchmark").select(*entry("item_id", "text"))
+    own = table(spark, sf, "pages").withColumn("n", F.col("page_id") + 1000000).select(*entry("n", X.page_title("html")))
+    return alignment.best_matches(wanted, entries.unionByName(own))
 
 
 @query()
 def rag01_search(spark, sf):
-    passages = table(spark, sf, "documents").select("doc_id", F.posexplode(alignment.chunked("text")).alias("chunk", "passage")).withColumn("id", F.col("doc_id") * 1000 + F.col("chunk"))
+    passages = table(spark, sf, "documents").select("doc_id", F.posexplode(alignment.chunked("text")).alias("chunk", "passage")).withColumn("id", F.col("doc_id") * 10000000 + F.col("chunk"))
     embedded = enrich.apply_model(passages, "id", "passage", lambda: lambda texts: alignment.hashing_embedder(texts).tolist(), "array<double>")
     index = embedded.select("id", X.unit_vector("output").alias("unit"))
     return search.top_k(index, alignment.hashing_embedder(["and the of"])[0].tolist(), 10).select("id", F.round("score", 6).alias("score"))

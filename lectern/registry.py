@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import library_queries, repair_queries, source_queries  # noqa: F401  they register their queries
 from .plans.queries import QUERIES, SQL
 
 FLAGSHIP = "top01_cosine_topk"

@@ -22,53 +22,73 @@ TEI = T.StructType([T.StructField("title", T.StringType()), T.StructField("autho
 XML_DROPS = frozenset({"note", "bibl", "app", "rdg"})
 
 
-class _Paragraphs(HTMLParser):
-    """Texts of <p> elements. As is: a new <p> discards an open one; repair: it closes it, and void elements skip nothing."""
+VOID = frozenset({"br", "hr", "img", "input", "link", "meta", "wbr"})
 
-    def __init__(self, tags: frozenset, classes: frozenset, repair: bool):
-        super().__init__()
-        self.tags, self.classes, self.repair = tags, classes, repair
-        self.skipped: list[str] = []
-        self.open: list[str] | None = None
-        self.done: list[str] = []
 
-    def _close(self) -> None:
-        text = " ".join("".join(self.open or []).split())
-        if text:
-            self.done.append(text)
-        self.open = None
+class _Events(HTMLParser):
+    """The parser's calls as a list of (kind, tag or text, classes)."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.seen: list[tuple[str, str, frozenset]] = []
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
-        named = set((dict(attrs).get("class") or "").split()) & self.classes
-        void = self.repair and tag in ("br", "hr", "img", "input", "link", "meta", "wbr")
-        if (tag in self.tags or named) and not void or self.repair and self.skipped and tag == self.skipped[-1]:
-            self.skipped.append(tag)
-        elif not self.skipped:
-            if tag == "p":
-                if self.repair and self.open is not None:
-                    self._close()
-                self.open = []
-            elif tag == "br" and self.open is not None:
-                self.open.append(" ")
+        self.seen.append(("start", tag, frozenset((dict(attrs).get("class") or "").split())))
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            if self.skipped[-1] == tag:
-                self.skipped.pop()
-        elif tag == "p" and self.open is not None:
-            self._close()
+        self.seen.append(("end", tag, frozenset()))
 
     def handle_data(self, data):
-        if not self.skipped and self.open is not None:
-            self.open.append(data)
+        self.seen.append(("text", data, frozenset()))
+
+
+def _outside(events: list, tags: frozenset, classes: frozenset, repair: bool) -> list:
+    """The events that no skipped element holds. Skipped elements nest in a stack; only their own end tag closes the top one.
+
+    As is, an element of the top one's name inside it ends it early, and a void element of a skipped class never ends;
+    repair counts the first and lets the second pass.
+    """
+    out, stack = [], []
+    for event in events:
+        kind, name, own = event
+        if kind == "start":
+            skip = name in tags or bool(own & classes)
+            if repair:
+                skip = skip and name not in VOID or bool(stack) and name == stack[-1]
+            if skip:
+                stack.append(name)
+                continue
+        if not stack:
+            out.append(event)
+        elif kind == "end" and name == stack[-1]:
+            stack.pop()
+    return out
 
 
 def html_paragraphs(html: str | None, tags: frozenset = SKIP_TAGS, classes: frozenset = frozenset(), repair: bool = False) -> list[str]:
-    p = _Paragraphs(tags, classes, repair)
-    p.feed(html or "")
-    if repair and p.open is not None:
-        p._close()
-    return p.done if repair else list(map(unescape, p.done))
+    """Texts of <p> elements. As is: a new <p> discards an open one, and entities are decoded twice; repair: it closes it, once."""
+    found: list[str] = []
+    parts: list[str] | None = None
+    events = _outside(_Events(html or "").seen, tags, classes, repair)
+    for kind, name, _ in [*events, *([("end", "p", frozenset())] if repair else [])]:
+        if parts is not None and name == "p" and (kind == "end" or kind == "start" and repair):
+            found.append(" ".join("".join(parts).split()))
+            parts = None
+        if kind == "start" and name == "p":
+            parts = []
+        elif parts is not None and kind == "text":
+            parts.append(name)
+        elif parts is not None and kind == "start" and name == "br":
+            parts.append(" ")
+    kept = [t for t in found if t]
+    return kept if repair else [unescape(t) for t in kept]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_each(texts: pd.Series) -> pd.Series:
+    """Character references decoded in each string of an array."""
+    return texts.map(lambda a: None if a is None else [unescape(x) for x in a])
 
 
 def paragraphs(column: Column | str, classes: frozenset = frozenset(), repair: bool = False) -> Column:
@@ -81,7 +101,7 @@ def paragraphs(column: Column | str, classes: frozenset = frozenset(), repair: b
     return run(X.col(column))
 
 
-def latin_library_text(pages: DataFrame) -> DataFrame:
+def library_page_text(pages: DataFrame) -> DataFrame:
     """SRC-04: (page_id, title, text): kept paragraphs joined by line breaks."""
     p = F.transform(paragraphs("html"), X.drop_leading_numbers)
     kept = F.filter(p, lambda t: ~X.is_chrome(t) & ~X.is_noise(t))
@@ -100,18 +120,6 @@ def thomisticum_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.array_join(kept, "\n").alias("text"))
 
 
-def links(pages: DataFrame, pattern: str = r"\.html$", limit: int = 50) -> DataFrame:
-    """SRC-05, SRC-17: distinct links of a page to its own host, in order of appearance."""
-    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)href=[\"']([^\"'#?]+)"), F.lit(1))).alias("pos", "href"))
-    host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(host, "href")).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.col("href")))
-    own = raw.withColumn("link", full).where(F.col("link").startswith(host) & F.col("link").rlike(pattern))
-    first = own.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    from ..operators.library import first_n
-
-    return first_n(first, "page_id", ["pos"], limit).select("page_id", "link")
-
-
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
@@ -170,21 +178,95 @@ def parsed_tei(payload: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": [r[0] for r in rows], "author": [r[1] for r in rows], "parts": [[{"label": a, "text": b} for a, b in r[2]] for r in rows]})
 
 
-def citation_leaves(xml: str | None) -> list[tuple[list[tuple[str, str]], str]]:
-    """XML-06: (chain of (level, n), text) of the leaf divisions."""
-    root = ElementTree.fromstring(xml or "<x/>")
+def citation_leaves(xml: str | None, drops: frozenset = frozenset({"note", "bibl", "ref"}), compat: bool = False) -> list[tuple[list[tuple[str, str]], str]]:
+    """XML-06: (chain of (level, n), text) of the leaf divs below the body; divs without n add nothing to a chain."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return []
+    body = next((e for e in root.iter() if _local(e.tag) == "body"), None)
+    divs = lambda e: [c for c in e if _local(c.tag) == "div"]
+    todo = [(d, []) for d in divs(body)][::-1] if body is not None else []
     out: list = []
+    while todo:
+        e, above = todo.pop()
+        level = (e.get("subtype") or e.get("type") or "").strip().lower()
+        chain = [*above, (level, e.get("n"))] if e.get("n") else above
+        inner = divs(e)
+        todo += [(d, chain) for d in reversed(inner)]
+        if not inner and (text := _flat(e, drops, compat)):
+            out.append((chain, text))
+    return out
+
+
+LEAF = T.ArrayType(T.StructType([T.StructField("chain", T.ArrayType(T.StructType([T.StructField("level", T.StringType()), T.StructField("n", T.StringType())]))), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(LEAF)
+def citation_parts(payload: pd.Series) -> pd.Series:
+    """XML-06 as a column."""
+    return payload.map(lambda x: [{"chain": [{"level": a, "n": b} for a, b in chain], "text": t} for chain, t in citation_leaves(x)])
+
+
+CHAPTER = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("work", "chapter", "text")]))
+
+
+@F.pandas_udf(CHAPTER)
+def thml_parts(payload: pd.Series) -> pd.Series:
+    """SRC-28 as a column."""
+    return payload.map(lambda x: [dict(zip(("work", "chapter", "text"), row, strict=True)) for row in thml_chapters(x)])
+
 
-    def walk(e: ElementTree.Element, chain: list) -> None:
-        own = [*chain, (e.get("subtype") or e.get("type") or "", e.get("n"))] if _local(e.tag) == "div" and e.get("n") else chain
-        inner = [c for c in e.iter() if c is not e and _local(c.tag) == "div"]
+def corpus_text(xml: str | None, compat: bool = False) -> tuple[str | None, str | None, str]:
+    """SRC-12, XML-07: (author, title, text): the outermost divs' texts, else those of p and l elements; compat: of all divs."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return None, None, ""
+    first = {}
+    chosen, lines = [], []
+
+    def walk(e: ElementTree.Element, inside: bool) -> None:
+        name = _local(e.tag)
+        if (e.text or "").strip():
+            first.setdefault(name, e.text.strip())
+        if name == "div" and (compat or not inside):
+            chosen.append(e)
+        if name in ("p", "l"):
+            lines.append(e)
         for c in e:
-            walk(c, own)
-        if not inner and _local(e.tag) == "div" and own and (text := _flat(e, XML_DROPS, False)):
-            out.append((own, text))
+            walk(c, inside or name == "div")
 
-    walk(root, [])
-    return out
+    walk(root, False)
+    texts = [" ".join(" ".join(e.itertext()).split()) for e in chosen]
+    texts = list(filter(None, texts)) or list(filter(None, (" ".join(" ".join(e.itertext()).split()) for e in lines)))
+    return first.get("author"), first.get("name"), "\n".join(texts)
+
+
+CORPUS = T.StructType([T.StructField(n, T.StringType()) for n in ("author", "title", "text")])
+
+
+@F.pandas_udf(CORPUS)
+def corpus_parts(payload: pd.Series) -> pd.DataFrame:
+    """SRC-12 as a column."""
+    return pd.DataFrame([corpus_text(x) for x in payload], columns=["author", "title", "text"])
+
+
+def corpora(xml: str | None) -> list[tuple[str, str]]:
+    """SRC-13: (idno, name) of the corpora of a navigation answer; the number stands in for a missing name."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return []
+    child = lambda e, name: next((c.text.strip() for c in e if _local(c.tag) == name and (c.text or "").strip()), None)
+    found = [(child(e, "idno"), child(e, "name")) for e in root.iter() if _local(e.tag) == "corpus"]
+    return [(i, n or i) for i, n in found if i]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("idno", T.StringType()), T.StructField("name", T.StringType())])))
+def corpora_listed(payload: pd.Series) -> pd.Series:
+    """SRC-13 as a column."""
+    return payload.map(lambda x: [{"idno": a, "name": b} for a, b in corpora(x)])
 
 
 def thml_chapters(xml: str | None, drops: frozenset = frozenset({"note", "scripRef", "pb", "index", "added"})) -> list[tuple[str, str, str]]:
@@ -193,20 +275,35 @@ def thml_chapters(xml: str | None, drops: frozenset = frozenset({"note", "scripR
     return [(w.get("title") or "", c.get("title") or "", text) for w in root.iter() if _local(w.tag) == "div2" for c in w if _local(c.tag) == "div3" and (text := _flat(c, drops, False))]
 
 
-def zip_member(payload: bytes, wanted: str | None = None) -> bytes:
-    """SRC-19, TOP-08: the XML member of that name, else the largest."""
+def zip_member(payload: bytes, wanted: str | None = None) -> bytes | None:
+    """SRC-19, TOP-08: the first XML member whose name has the wanted part, else the largest, else None."""
     import io
     import zipfile
 
     with zipfile.ZipFile(io.BytesIO(payload)) as z:
-        names = [i for i in z.infolist() if i.filename.endswith(".xml")]
-        match = [i for i in names if wanted and wanted in i.filename]
-        return z.read(max(match or names, key=lambda i: i.file_size))
+        members = [i for i in z.infolist() if i.filename.lower().endswith(".xml")]
+        named = [i for i in members if wanted and wanted in i.filename]
+        chosen = named[0] if named else max(members, key=lambda i: i.file_size, default=None)
+        return z.read(chosen) if chosen else None
+
+
+@F.pandas_udf(T.BinaryType())
+def unzipped(payload: pd.Series, wanted: pd.Series) -> pd.Series:
+    """SRC-19 as a column: bytes, not text, as the XML names its own encoding."""
+    return pd.Series([None if p is None else zip_member(bytes(p), w) for p, w in zip(payload, wanted, strict=True)], dtype=object)
 
 
 def catalogue(spark, path: str, columns: list[str]) -> DataFrame:
-    """SRC-32: a JSON array of positional arrays as rows (ord, columns)."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("ord", "a"))
+    """SRC-32: a JSON array of positional arrays as rows (ord, columns); a missing file is an empty table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], "value string")
+    raw = raw.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("ord", "a"))
     return raw.select("ord", *[F.get("a", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
@@ -220,17 +317,24 @@ def iiif_images(manifests: DataFrame, column: str = "manifest", start: int = 1,
     return rows if most is None else rows.where(F.col("index") < start + most)
 
 
+def iiif_urls(images: DataFrame, size: str = "full") -> DataFrame:
+    """SRC-33: images with url: the service's rendering at this size, else the direct address."""
+    service = F.concat(F.regexp_replace("service_url", "/+$", ""), F.lit(f"/full/{size}/0/default.jpg"))
+    return images.withColumn("url", F.coalesce(F.when(F.col("service_url") != "", service), F.col("direct_url")))
+
+
 def inscription_text(column: Column | str) -> Column:
     """JSN-02: the first text of a field that is a string, a list or a list of lists."""
     v = F.parse_json(X.col(column))
     return F.coalesce(*[F.try_variant_get(v, path, "string") for path in ("$[0][0]", "$[0]", "$")])
 
 
-def files(spark, path: str, pattern: str = "*.txt", limit: int = 500) -> DataFrame:
-    """SRC-01, SRC-03: one row for each text file, sorted by path: (source, title, text)."""
+def files(spark, path: str, pattern: str = "*.txt", limit: int | None = 500) -> DataFrame:
+    """SRC-01, SRC-03: one row for each text file, sorted by path: (source, title, text); bytes that are no UTF-8 are replaced."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
-    return raw.select(name.alias("source"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "").alias("title"), F.col("value").alias("text")).orderBy("source").limit(limit)
+    raw = raw.select(name.alias("source"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "").alias("title"), F.col("value").alias("text")).orderBy("source")
+    return raw if limit is None else raw.limit(limit)
 
 
 def pairs(spark, paths: list[str]) -> DataFrame:

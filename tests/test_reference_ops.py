@@ -94,6 +94,8 @@ def test_beads_merge():
 def test_spans_and_recovery():
     assert alignment.find_span("xx Arma, virumque cano", "arma virumque") == (3, 17)
     assert alignment.recover("arma virumque", "nota arma virumque cano", "nota armz virumque cano") == "armz virumque"
+    assert alignment.recover("arma virumque", "nota arma virumque cano", "nota armz virumque cano", compat=True) == "armz virumque c"
+    assert alignment.recover("arma", "nota arma virumque", "nota arma virumque") is None  # too short to trust
     assert alignment.recover("absens totaliter", "nota", "nota") is None
     assert alignment.chrf("abc", "abc") == 100.0 and alignment.chrf("", "abc") == 0.0
 
@@ -110,8 +112,6 @@ def test_correction():
     assert repair.correct("effe est PR1FATIO", words)[0] == "esse est PR1FATIO"
     assert repair.correct("u fur arum", words)[0] == "usurarum"
     assert repair.correct(None, words)[0] == ""
-    assert repair.model_fix("fcenore", lambda w, i: 0.99, set()) == (None, 0.0)
-    assert repair.ct_fix("diftum", lambda w, i: 0.1, {"dictum"}) == "dictum"
 
 
 def test_routing(spark):
@@ -135,6 +135,9 @@ def test_marked_sections(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
     got = library.marked_sections(df, r"^\$\d", F.regexp_extract("line", r"\$9=(\d+)", 1)).orderBy("part").collect()
     assert [(r["label"], r["text"]) for r in got] == [("1", "α β γ"), ("2", "δ")]
+    volume = spark.createDataFrame([(1, "3", "\n".join(["front", *lines])), (2, "4", None), (3, "5", "")], "doc_id long, volume string, text string")
+    parts = [(r["label"], r["text"]) for r in library.volume_sections(volume).orderBy("doc_id", "part").collect()]
+    assert parts == [("PG 3", "front"), ("PG 3, p.71, col.1", "α β γ"), ("PG 3, p.71, col.2", "δ")]
 
 
 def test_search(spark):
@@ -153,7 +156,11 @@ def test_models_survive_failures(spark):
         return model
 
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "id long, t string")
-    assert {r["id"]: r["output"] for r in enrich.apply_model(df, "id", "t", factory).collect()} == {1: "A", 2: None, 3: ""}
+    assert {r["id"]: r["output"] for r in enrich.apply_model(df, "id", "t", factory).collect()} == {1: "A", 2: "", 3: ""}
+    assert {r["id"] for r in enrich.apply_model(df, "id", "t", factory).where("failed").collect()} == {2}
+    broken = enrich.apply_model(df, "id", "t", lambda: lambda texts: texts.missing)
+    with pytest.raises(Exception, match="missing"):
+        broken.collect()
 
 
 def test_iiif(spark):
