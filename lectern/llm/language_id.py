@@ -29,7 +29,7 @@ BUCKETS = 1 << 15
 CACHE = 200_000
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
-# fixed values: first code points of the script ranges, and the script that starts there (0: Latin and others)
+# fixed values: first code points of the script ranges, and the script that starts there (0: the first and all others)
 RANGES = [0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0xAC00, 0xD7B0]
 SCRIPT = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 0, 1, 0, 15, 16, 15, 13, 15, 13, 15]
 SCRIPTS = 17

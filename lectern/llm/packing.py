@@ -42,7 +42,7 @@ PACKED = PIECES + ", sequence_id long, offset long, open boolean"
 class UnitTokenizer:
     """Ids of texts as little-endian 32-bit bytes, equal to encode(text, add_special_tokens=False) of the tokenizers library.
 
-    Units are a space with the characters up to the next one. New units of plain Latin characters are encoded together by
+    Units are a space with the characters up to the next one. New units of plain ASCII characters are encoded together by
     the same vocabulary's rank file, if given, which is several times faster and gives the same ids (the two libraries'
     character classes can only differ on characters that young versions of Unicode added); others by the library itself.
     """
