@@ -10,8 +10,13 @@ A template is dropped where it recurs across documents: in at least `min_docs` o
 line by line are one document. So copies of a whole document neither count nor veto and are left to the near-duplicate
 stage, and a line's neighbours and repeats within a document do not matter. Lines of fewer than `min_tokens` tokens stay.
 
-Only hashes of lines are shuffled, texts once, for the result. Null texts stay null with no lines; other texts keep the
-lines that are not dropped, in order. Repeated rows are treated alike.
+Passages, lines of at least `long_tokens` tokens that agree in all but digits, recur by chance nowhere; they go where at
+least `long_docs` documents have them. As near copies of a document share its passages too and are not what is meant,
+documents whose least other template (by hash) is the same count as one here.
+
+Only hashes of lines are shuffled, and texts once for the result, those with lines in mixed leaves once more. Null texts
+stay null with no lines; other texts keep the lines that are not dropped, in order. Repeated rows are treated alike. Columns
+n_lines and n_dropped of the input are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ BROADCAST_LEAVES = 20_000
 
 def _masked() -> Column:
     """The text with tokens that hold digits as variable fields, single spaces and no outer spaces in lines."""
-    spaced = F.regexp_replace(F.col("text"), r"[^\S\n]+", " ")
-    return F.regexp_replace(spaced, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)
+    text = F.col("text")
+    spaced = F.regexp_replace(text, r"[^\S\n]{2,}|[^\S\n ]", " ")
+    # few texts hold digits, and looking for one is much cheaper than looking for such tokens
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(spaced)
 
 
 def _parsed(line: Column) -> Column:
@@ -38,15 +45,24 @@ def _parsed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("template"), tokens.alias("tokens"), F.xxhash64(F.substring_index(line, " ", LEAD), tokens).alias("leaf"))
 
 
-def parsed_lines(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, no, template, tokens, leaf, same): a row for each line; same stands for all texts of these templates."""
+def parsed_lines(keyed: DataFrame, min_tokens: int) -> DataFrame:
+    """(doc_id, text_hash, no, template, tokens, leaf, same, near): a row for each line of min_tokens or more.
+
+    same stands for all texts of these templates; near, the text's least other template, for its near copies as well.
+    """
     lines = keyed.withColumn("p", F.transform(F.split(_masked(), "\n"), _parsed)).withColumn("same", F.xxhash64("p.template"))
-    each = F.arrays_zip(F.col("p").alias("p"), F.array_repeat("same", F.size("p")).alias("same"))  # of p alone Spark would parse each text twice
-    return lines.select("doc_id", "text_hash", F.posexplode(each).alias("no", "x")).select("doc_id", "text_hash", "no", "x.p.*", "x.same")
+    templates = F.transform(F.filter("p", lambda x: x["tokens"] >= min_tokens), lambda x: x["template"])
+    lines = lines.withColumn("least", F.slice(F.array_sort(F.array_distinct(templates)), F.lit(1), F.lit(2)))
+    text = F.array_repeat(F.struct("same", "least"), F.size("p"))
+    each = F.arrays_zip(F.col("p").alias("p"), text.alias("t"))  # of p alone Spark would parse each text twice
+    rows = lines.select("doc_id", "text_hash", F.posexplode(each).alias("no", "x")).where(f"x.p.tokens >= {min_tokens}")
+    first = F.get("x.t.least", F.lit(0))
+    near = F.when(F.col("x.p.template") != first, first).otherwise(F.coalesce(F.get("x.t.least", F.lit(1)), first))
+    return rows.select("doc_id", "text_hash", "no", "x.p.*", "x.t.same", near.alias("near"))
 
 
-def _recurring(lines: DataFrame, key: list[str], min_docs: int) -> DataFrame:
-    return lines.select(*key, "same").distinct().groupBy(*key).agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select(*key)
+def _recurring(lines: DataFrame, key: list[str], min_docs: int, stands: str = "same") -> DataFrame:
+    return lines.select(*key, stands).distinct().groupBy(*key).agg(F.count("*").alias("n")).where(f"n >= {min_docs}").select(*key)
 
 
 def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float) -> DataFrame:
@@ -72,16 +88,20 @@ def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float
     return under.join(_recurring(under, ["leaf", "template"], min_docs), ["leaf", "template"], "left_semi").select("doc_id", "text_hash", "no")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree: float = 0.7) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree: float = 0.7, long_tokens: int = 50, long_docs: int = 3) -> DataFrame:
     """All columns of docs with the remaining text, and n_lines, n_dropped."""
     renamed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     renamed = renamed.withColumn("text_hash", F.xxhash64("text", F.length("text")))
     keyed = renamed.where("text is not null").select("doc_id", "text_hash", "text")
-    lines = materialize(parsed_lines(keyed).where(f"tokens >= {min_tokens}"), "lines")
-    exact = lines.join(_recurring(lines, ["template", "tokens"], min_docs), ["template", "tokens"], "left_semi").select("doc_id", "text_hash", "no")
-    drops = exact.unionByName(_generalised(keyed, lines, min_docs, agree)).groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("drops"))
+    lines = materialize(parsed_lines(keyed, min_tokens), "lines")
+    key = ["template", "tokens"]
+    recurring = _recurring(lines, key, min_docs).unionByName(_recurring(lines.where(f"tokens >= {long_tokens}"), key, long_docs, "near"))
+    exact = lines.join(recurring.distinct(), key, "left_semi").select("doc_id", "text_hash", "no")
+    drops = exact.unionByName(_generalised(keyed, lines.drop("near"), min_docs, agree)).groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("drops"))
     on = [F.equal_null(renamed["doc_id"], drops["doc_id"]), renamed["text_hash"] == drops["text_hash"]]
     joined = renamed.join(drops, on, "left").select("row", renamed["text"], F.split("text", "\n").alias("lines"), "drops")
     kept = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("drops", i)), "\n")
     text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias("text") if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    columns = [text.alias("text") if c.lower() == "text" else F.col(f"row.`{c}`") for c in own]
+    return joined.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
