@@ -223,7 +223,9 @@ def without_greek(c: Column | str) -> Column:
 def mixed_translation(c: Column | str, translate=lambda x: x) -> Column:
     """STR-27: translation of the rest, with the distinct Greek runs appended."""
     runs = F.array_distinct(greek_runs(c))
-    return F.when(F.size(runs) > 0, F.concat(translate(without_greek(c)), F.lit(" [Greek in source: "), F.array_join(runs, "; "), F.lit("]"))).otherwise(translate(col(c)))
+    return F.when(
+        F.size(runs) > 0, F.concat(translate(without_greek(c)), F.lit(" [Greek in source: "), F.array_join(runs, "; "), F.lit("]"))
+    ).otherwise(translate(col(c)))
 
 
 def match_key(c: Column | str) -> Column:
@@ -244,7 +246,9 @@ def search_title(c: Column | str) -> Column:
 def is_generic_title(key: Column | str) -> Column:
     """STR-30, on a match key."""
     content = F.filter(F.split(col(key), " "), lambda w: (w != "") & ~w.rlike(r"^(?:[ivxlcdm]+|\d+)$"))
-    return (F.size(content) == 0) | F.forall(content, lambda w: w.isin(GENERIC_WORDS)) | F.coalesce(F.get(content, F.lit(0)).isin(GENRE_HEADS), F.lit(False))
+    return (F.size(content) == 0) | F.forall(content, lambda w: w.isin(GENERIC_WORDS)) | F.coalesce(
+        F.get(content, F.lit(0)).isin(GENRE_HEADS), F.lit(False)
+    )
 
 
 def alnum(c: Column | str) -> Column:
@@ -255,7 +259,9 @@ def alnum(c: Column | str) -> Column:
 def unquote(c: Column | str) -> Column:
     """STR-36: stripped, without one pair of wrapping quotes."""
     t = strip(c)
-    return F.when(F.length(t) >= 2, F.when(t.rlike(r'^(?s)(".*"|\'.*\'|“.*”)$'), strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)).otherwise(t)
+    return F.when(
+        F.length(t) >= 2, F.when(t.rlike(r'^(?s)(".*"|\'.*\'|“.*”)$'), strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    ).otherwise(t)
 
 
 def century_label(c: Column | str) -> Column:
@@ -278,7 +284,11 @@ def mgh_id(c: Column | str) -> Column:
 
 
 def pg_id(c: Column | str) -> Column:
-    return F.concat(F.lit("PG"), F.lpad(F.regexp_extract(F.upper(strip(c)), r"^(?:PG)?(\d+)", 1), 3, "0"), F.regexp_extract(F.upper(strip(c)), r"^(?:PG)?\d+(.*)$", 1))
+    return F.concat(
+        F.lit("PG"),
+        F.lpad(F.regexp_extract(F.upper(strip(c)), r"^(?:PG)?(\d+)", 1), 3, "0"),
+        F.regexp_extract(F.upper(strip(c)), r"^(?:PG)?\d+(.*)$", 1),
+    )
 
 
 def cts_parts(c: Column | str) -> Column:
@@ -297,7 +307,12 @@ def roman(c: Column | str) -> Column:
     values = F.create_map(*[F.lit(x) for k, v in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items() for x in (k, v)])
     s = F.lower(strip(c))
     numbers = F.transform(F.split(s, ""), lambda ch: values[ch])
-    total = F.aggregate(F.reverse(numbers), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")), lambda a, v: F.struct((a["sum"] + F.when(v < a["top"], -v).otherwise(v)).alias("sum"), F.greatest(a["top"], v).alias("top")), lambda a: a["sum"])
+    total = F.aggregate(
+        F.reverse(numbers),
+        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")),
+        lambda a, v: F.struct((a["sum"] + F.when(v < a["top"], -v).otherwise(v)).alias("sum"), F.greatest(a["top"], v).alias("top")),
+        lambda a: a["sum"],
+    )
     return F.when(s.rlike("^[ivxlcdm]+$"), total).otherwise(0)
 
 
@@ -342,7 +357,9 @@ def is_clean_prose(c: Column | str) -> Column:
 def is_contaminated(source: Column | str, target: Column | str) -> Column:
     """FLT-10."""
     cjk = r"[　-鿿가-퟿＀-￯]"
-    return col(source).rlike(cjk) | col(target).rlike(cjk) | (count(source, r"[^\x00-\x7F]") / F.greatest(F.lit(1), F.length(col(source))) > 0.12)
+    return col(source).rlike(cjk) | col(target).rlike(cjk) | (
+        count(source, r"[^\x00-\x7F]") / F.greatest(F.lit(1), F.length(col(source))) > 0.12
+    )
 
 
 def translation_status(title: Column, genre: Column, series: Column, files: Column | None = None, default: str = "unknown") -> Column:
@@ -373,9 +390,25 @@ def f_variants(word: Column | str) -> Column:
     """STR-14, STR-44, ARR-02: (word, flips, mask) for every non-empty choice of f's to turn into s, at most six f's."""
     chars = F.split(col(word), "")
     at = F.filter(F.transform(chars, lambda c, i: F.when(c.isin("f", "F"), i)), lambda i: i.isNotNull())
-    masks = F.when(F.size(at).between(1, 6), F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.least(F.size(at), F.lit(6))) - 1)).otherwise(F.array().cast("array<int>"))
-    flipped = lambda m, i: F.coalesce((F.array_position(at, i).cast("int") > 0) & (F.getbit(m.cast("long"), F.greatest(F.array_position(at, i).cast("int") - 1, F.lit(0))) == 1), F.lit(False))
-    return F.transform(masks, lambda m: F.struct(F.array_join(F.transform(chars, lambda c, i: F.when(flipped(m, i), F.when(c == "f", "s").otherwise("S")).otherwise(c)), "").alias("candidate"), F.bit_count(m).alias("flips"), m.alias("mask")))
+    masks = F.when(
+        F.size(at).between(1, 6), F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.least(F.size(at), F.lit(6))) - 1)
+    ).otherwise(F.array().cast("array<int>"))
+    flipped = lambda m, i: F.coalesce(
+        (F.array_position(at, i).cast("int") > 0) & (
+            F.getbit(m.cast("long"), F.greatest(F.array_position(at, i).cast("int") - 1, F.lit(0))) == 1
+        ),
+        F.lit(False),
+    )
+    return F.transform(
+        masks,
+        lambda m: F.struct(
+            F.array_join(
+                F.transform(chars, lambda c, i: F.when(flipped(m, i), F.when(c == "f", "s").otherwise("S")).otherwise(c)), ""
+            ).alias("candidate"),
+            F.bit_count(m).alias("flips"),
+            m.alias("mask"),
+        ),
+    )
 
 
 def places(word: Column | str, letter: str) -> Column:
@@ -393,7 +426,9 @@ def substituted(word: Column | str, at: Column, letter: str) -> Column:
 def windows_at(word: Column | str, at: Column, reach: int = 5) -> Column:
     """STR-17: for each place, its left and right context around @, padded by ^ and $."""
     padded = F.concat(F.lit("^" * reach), F.lower(col(word)), F.lit("$" * reach))
-    return F.transform(at, lambda i: F.concat(F.substring(padded, i + 1, F.lit(reach)), F.lit("@"), F.substring(padded, i + reach + 2, F.lit(reach))))
+    return F.transform(
+        at, lambda i: F.concat(F.substring(padded, i + 1, F.lit(reach)), F.lit("@"), F.substring(padded, i + reach + 2, F.lit(reach)))
+    )
 
 
 def context_windows(word: Column | str, reach: int = 5) -> Column:

@@ -79,7 +79,9 @@ def chrf_of(stats: Column) -> Column:
     at = lambda i: F.get(stats, F.lit(i)).cast("double")
     both = [(at(3 * n) > 0) & (at(3 * n + 1) > 0) for n in range(ORDER)]
     orders = sum((b.cast("int") for b in both), F.lit(0))
-    mean = lambda k: sum((F.when(b, at(3 * n + 2) / at(3 * n + k)).otherwise(0.0) for n, b in enumerate(both)), F.lit(0.0)) / F.greatest(orders, F.lit(1))
+    mean = lambda k: sum(
+        (F.when(b, at(3 * n + 2) / at(3 * n + k)).otherwise(0.0) for n, b in enumerate(both)), F.lit(0.0)
+    ) / F.greatest(orders, F.lit(1))
     p, r = mean(0), mean(1)
     return F.when(p + r > 0, 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r)).otherwise(0.0)
 
@@ -91,7 +93,9 @@ def bleu_of(stats: Column) -> Column:
     for n in range(BLEU_ORDER):
         hit, total = at(2 * n), at(2 * n + 1)
         halvings = halvings + (hit == 0).cast("int")
-        logs = logs + F.when(hit > 0, F.log(100 * hit / total)).otherwise(F.log(F.lit(100.0) / (F.pow(F.lit(2.0), halvings) * F.greatest(total, F.lit(1.0)))))
+        logs = logs + F.when(hit > 0, F.log(100 * hit / total)).otherwise(
+            F.log(F.lit(100.0) / (F.pow(F.lit(2.0), halvings) * F.greatest(total, F.lit(1.0))))
+        )
     own, ref = at(2 * BLEU_ORDER), at(2 * BLEU_ORDER + 1)
     brevity = F.when(own >= ref, 1.0).when(own > 0, F.exp(1 - ref / F.greatest(own, F.lit(1.0)))).otherwise(0.0)
     complete = (own > 0) & (at(2 * BLEU_ORDER - 1) > 0) & (at(0) > 0)
@@ -116,9 +120,29 @@ def style_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
     commit: how far the rewriting is from its source; register_gap: how much nearer the reference than the source is.
     """
     score = lambda a, b: chrf_of(chrf_stats(a, b))
-    own = pairs.select(*by, score("hyp", "src").alias("kept"), score("hyp", "ref").alias("near"), score("src", "ref").alias("was"), chrf_stats("hyp", "ref").alias("c"), (F.length("hyp") / F.greatest(F.lit(1), F.length("src"))).alias("r"))
-    sums = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg(100 - F.col("kept")).alias("commit"), F.avg(F.col("near") - F.col("was")).alias("gap"), summed("c", 3 * ORDER).alias("c"), F.avg("r").alias("len"))
-    return sums.select(*by, "n", F.bround("commit", 1).alias("commit"), F.bround("gap", 1).alias("register_gap"), F.bround(chrf_of(F.col("c")), 1).alias("chrf_vs_gold"), F.bround("len", 2).alias("len_ratio"))
+    own = pairs.select(
+        *by,
+        score("hyp", "src").alias("kept"),
+        score("hyp", "ref").alias("near"),
+        score("src", "ref").alias("was"),
+        chrf_stats("hyp", "ref").alias("c"),
+        (F.length("hyp") / F.greatest(F.lit(1), F.length("src"))).alias("r"),
+    )
+    sums = own.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(100 - F.col("kept")).alias("commit"),
+        F.avg(F.col("near") - F.col("was")).alias("gap"),
+        summed("c", 3 * ORDER).alias("c"),
+        F.avg("r").alias("len"),
+    )
+    return sums.select(
+        *by,
+        "n",
+        F.bround("commit", 1).alias("commit"),
+        F.bround("gap", 1).alias("register_gap"),
+        F.bround(chrf_of(F.col("c")), 1).alias("chrf_vs_gold"),
+        F.bround("len", 2).alias("len_ratio"),
+    )
 
 
 def model_spec(c: Column | str, stock: str) -> Column:

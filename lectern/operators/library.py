@@ -16,10 +16,18 @@ def _schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(n, KINDS[k]) for n, k in (c.split() for c in columns.split(", "))])
 
 
-DOCUMENTS = _schema("id BIGINT, title STRING, author STRING, century INT, genre STRING, language STRING, language_stage STRING, source STRING, shelfmark STRING, license STRING, has_existing_translation BOOLEAN, translation_status STRING")
+DOCUMENTS = _schema(
+    "id BIGINT, title STRING, author STRING, century INT, genre STRING, language STRING, language_stage STRING, source STRING, "
+    "shelfmark STRING, license STRING, has_existing_translation BOOLEAN, translation_status STRING"
+)
 SECTIONS = _schema("id BIGINT, doc_id BIGINT, label STRING, ord INT")
-SEGMENTS = _schema("id BIGINT, section_id BIGINT, ord INT, source_text STRING, english_text STRING, english_styled STRING, style_label STRING, source_loc STRING, image_region STRING, embed_text STRING, scansion STRING")
-PAIRS = _schema("src STRING, tgt STRING, citation STRING, src_lang STRING, era STRING, source STRING, score DOUBLE, style STRING, form STRING")
+SEGMENTS = _schema(
+    "id BIGINT, section_id BIGINT, ord INT, source_text STRING, english_text STRING, english_styled STRING, style_label STRING, "
+    "source_loc STRING, image_region STRING, embed_text STRING, scansion STRING"
+)
+PAIRS = _schema(
+    "src STRING, tgt STRING, citation STRING, src_lang STRING, era STRING, source STRING, score DOUBLE, style STRING, form STRING"
+)
 STATUSES = ("translated", "translated_paywalled", "untranslated", "unknown")
 DERIVED = ("english_text", "english_styled", "style_label", "embed_text", "scansion")
 # fixed values: translator routing (language, stage, rank, model, source code, strip diacritics)
@@ -51,7 +59,9 @@ def sectioned(works: DataFrame, parts: str = "parts") -> DataFrame:
 def assemble(documents: DataFrame, sections: DataFrame, segments: DataFrame) -> DataFrame:
     """JON-04: nested documents, sections and segments in order; one join each, no lookups."""
     inner = segments.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "source_text"))).alias("segments"))
-    outer = sections.join(inner, sections.id == inner.section_id, "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "label", "segments"))).alias("sections"))
+    outer = sections.join(inner, sections.id == inner.section_id, "left").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "id", "label", "segments"))).alias("sections")
+    )
     return documents.join(outer, documents.id == outer.doc_id, "left").drop("doc_id")
 
 
@@ -59,7 +69,12 @@ def patch(table: DataFrame, changes: DataFrame, columns: list[str], key: str = "
     """SNK-02: table with the columns of changed keys replaced, nulls included."""
     c = changes.select(F.col(key).alias("_key"), *[F.col(x).alias(f"_{x}") for x in columns])
     joined = table.join(c, F.col(key) == F.col("_key"), "left")
-    return joined.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in table.columns])
+    return joined.select(
+        *[
+            F.when(F.col("_key").isNotNull(), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x)
+            for x in table.columns
+        ]
+    )
 
 
 def patch_source(segments: DataFrame, changes: DataFrame) -> DataFrame:
@@ -67,12 +82,19 @@ def patch_source(segments: DataFrame, changes: DataFrame) -> DataFrame:
     c = changes.select(F.col("id").alias("_key"), F.col("source_text").alias("_new"))
     joined = segments.join(c, F.col("id") == F.col("_key"), "left")
     hit = F.col("_key").isNotNull()
-    return joined.select(*[F.when(hit, F.col("_new")).otherwise(F.col(x)).alias(x) if x == "source_text" else F.when(~hit, F.col(x)).alias(x) if x in DERIVED else F.col(x) for x in segments.columns])
+    return joined.select(
+        *[
+            F.when(hit, F.col("_new")).otherwise(F.col(x)).alias(x) if x == "source_text" else F.when(~hit, F.col(x)).alias(x) if x in DERIVED else F.col(x)
+            for x in segments.columns
+        ]
+    )
 
 
 def with_status(documents: DataFrame, status: Column) -> DataFrame:
     """SNK-04."""
-    return documents.withColumn("translation_status", status).withColumn("has_existing_translation", X.has_translation("translation_status"))
+    return documents.withColumn("translation_status", status).withColumn(
+        "has_existing_translation", X.has_translation("translation_status")
+    )
 
 
 def migrate(table: DataFrame, schema: T.StructType) -> DataFrame:
@@ -90,7 +112,13 @@ def global_counts(segments: DataFrame) -> DataFrame:
     """AGG-01, AGG-05 in one pass."""
     done, styled = X.is_filled("english_text"), X.is_filled("english_styled")
     n = F.count("*")
-    return segments.agg(F.count_distinct("doc_id").alias("documents"), n.alias("segments"), F.count_if(done).alias("translated"), F.count_if(styled).alias("styled"), F.round(100 * F.count_if(done) / F.greatest(n, F.lit(1)), 4).alias("percent"))
+    return segments.agg(
+        F.count_distinct("doc_id").alias("documents"),
+        n.alias("segments"),
+        F.count_if(done).alias("translated"),
+        F.count_if(styled).alias("styled"),
+        F.round(100 * F.count_if(done) / F.greatest(n, F.lit(1)), 4).alias("percent"),
+    )
 
 
 def counts_by(df: DataFrame, key: Column, blank: str, name: str) -> DataFrame:
@@ -113,7 +141,9 @@ def corruption_report(texts: DataFrame, least: int = 5, ratio: float = 0.15, top
     """FLT-14: the works with the highest share of corrupted signatures, with `least` of them and more than `ratio`."""
     sums = signature_sums(texts).where(F.col("corrupted") >= least)
     share = F.col("corrupted") / F.greatest(F.col("corrupted") + F.col("clean"), F.lit(1))
-    return sums.where(share > ratio).withColumn("ratio", share).orderBy(F.desc("ratio"), "doc_id").limit(top).withColumn("ratio", F.round("ratio", 6))
+    return sums.where(share > ratio).withColumn("ratio", share).orderBy(F.desc("ratio"), "doc_id").limit(top).withColumn(
+        "ratio", F.round("ratio", 6)
+    )
 
 
 def largest_works(segments: DataFrame, documents: DataFrame, k: int = 8) -> DataFrame:
@@ -133,7 +163,10 @@ def vocabulary(segments: DataFrame, exclude: DataFrame | None = None, column: st
 def stems(vocab: DataFrame) -> DataFrame:
     """AGG-07."""
     ends = F.array(*map(F.lit, X.ENDINGS))
-    cut = F.transform(F.filter(ends, lambda e: F.endswith(F.col("word"), e) & (F.length("word") - F.length(e) >= 4)), lambda e: F.substring(F.col("word"), F.lit(1), F.length("word") - F.length(e)))
+    cut = F.transform(
+        F.filter(ends, lambda e: F.endswith(F.col("word"), e) & (F.length("word") - F.length(e) >= 4)),
+        lambda e: F.substring(F.col("word"), F.lit(1), F.length("word") - F.length(e)),
+    )
     return vocab.where(F.length("word") >= 6).select(F.explode(cut).alias("stem")).distinct()
 
 
@@ -144,11 +177,18 @@ def best_fixes(words: DataFrame, vocab: DataFrame, stem_table: DataFrame) -> Dat
     order = F.reverse(F.lpad(F.bin(F.col("mask").cast("long")), 6, "0"))
     ranked = variants.withColumn("order", F.translate(order, "01", "10"))
     known = vocab.select(F.col("word").alias("key"), "freq")
-    exact = ranked.join(known, "key").select("word", "candidate", F.struct((-F.col("flips")).alias("a"), (-F.col("freq")).alias("b"), F.col("order").alias("c")).alias("rank"))
+    exact = ranked.join(known, "key").select(
+        "word", "candidate", F.struct((-F.col("flips")).alias("a"), (-F.col("freq")).alias("b"), F.col("order").alias("c")).alias("rank")
+    )
     exact = exact.groupBy("word").agg(F.min_by("candidate", "rank").alias("exact"))
     ends = F.array(*map(F.lit, X.ENDINGS))
-    cut = F.transform(F.filter(ends, lambda e: F.endswith(F.col("key"), e) & (F.length("key") - F.length(e) >= 4)), lambda e: F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(e)))
-    family = ranked.where(F.length("candidate") >= 6).select("word", "candidate", "flips", "order", F.explode(cut).alias("stem")).join(stem_table, "stem", "left_semi")
+    cut = F.transform(
+        F.filter(ends, lambda e: F.endswith(F.col("key"), e) & (F.length("key") - F.length(e) >= 4)),
+        lambda e: F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(e)),
+    )
+    family = ranked.where(F.length("candidate") >= 6).select(
+        "word", "candidate", "flips", "order", F.explode(cut).alias("stem")
+    ).join(stem_table, "stem", "left_semi")
     family = family.groupBy("word").agg(F.min_by("candidate", F.struct("flips", "order")).alias("stem"))
     return words.join(exact, "word", "left").join(family, "word", "left").select("word", "exact", "stem")
 
@@ -162,9 +202,13 @@ def routed(documents: DataFrame, routes: DataFrame, complete: DataFrame) -> Data
     """JON-12, WIN-12, MT-02: the first complete model: stage-specific ones first, then the language's, then stock."""
     r = F.broadcast(routes.join(complete, "model", "left_semi"))  # a fixed, tiny table
     on = (documents.language == r.lang) & (r.stage.isNull() | (r.stage == documents.language_stage))
-    best = documents.join(r, on, "left").groupBy(documents.id, documents.language).agg(F.min_by("model", F.struct(F.col("stage").isNull(), "rank")).alias("model"))
+    best = documents.join(r, on, "left").groupBy(documents.id, documents.language).agg(
+        F.min_by("model", F.struct(F.col("stage").isNull(), "rank")).alias("model")
+    )
     stock = F.create_map(*[F.lit(x) for k, v in STOCK.items() for x in (k, v)])
-    return best.select("id", F.coalesce("model", F.concat(F.lit("stock:"), F.coalesce(stock[F.col("language")], F.lit(STOCK["la"])))).alias("model"))
+    return best.select(
+        "id", F.coalesce("model", F.concat(F.lit("stock:"), F.coalesce(stock[F.col("language")], F.lit(STOCK["la"])))).alias("model")
+    )
 
 
 def first_per(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -187,7 +231,9 @@ def marked_sections(lines: DataFrame, marker: str, label: Column, first: Column
     parts = lines.withColumn("part", F.sum(at.cast("int")).over(w)).withColumn("label", own if first is None else F.coalesce(own, first))
     parts = parts.where(~at) if first is not None else parts.where(~at & (F.col("part") > 0))
     listed = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    joined = parts.groupBy("doc_id", "part").agg(F.first("label").alias("label"), X.strip(F.array_join(F.transform(listed, lambda x: x["line"]), " ")).alias("text"))
+    joined = parts.groupBy("doc_id", "part").agg(
+        F.first("label").alias("label"), X.strip(F.array_join(F.transform(listed, lambda x: x["line"]), " ")).alias("text")
+    )
     return joined.where("text <> ''")
 
 
@@ -255,7 +301,9 @@ def split_by_hash(df: DataFrame, key: str, share: float, seed: int = 42) -> Data
 def pair_reasons(pairs: DataFrame, least: int = 30, chrf: Column | None = None, low: float = 12.0, high: float = 62.0) -> DataFrame:
     """FLT-11: pairs with the first reason to drop each, null to keep it; empty sides are left out."""
     p = pairs.withColumn("src", X.strip("src")).withColumn("tgt", X.strip("tgt")).where("src <> '' and tgt <> ''")
-    reason = F.when(F.least(F.length("src"), F.length("tgt")) < least, "short").when(F.lower("src") == F.lower("tgt"), "identical").when(X.is_contaminated("src", "tgt"), "contaminated")
+    reason = F.when(
+        F.least(F.length("src"), F.length("tgt")) < least, "short"
+    ).when(F.lower("src") == F.lower("tgt"), "identical").when(X.is_contaminated("src", "tgt"), "contaminated")
     if chrf is not None:
         reason = reason.when(chrf > high, "near_copy").when(chrf < low, "too_low")
     return p.withColumn("reason", reason)
@@ -286,8 +334,15 @@ def tree_leaves(edges: DataFrame, root: str, limit: int, budget: int | None = No
     seen, found, opened = here.select("node"), None, 0
     while opened < budget:
         here = here.orderBy("path").limit(budget - opened)
-        below = edges.join(here, edges["parent"] == here["node"]).select("child", "is_text", F.concat("path", F.array(F.col("ord").cast("long"))).alias("path"))
-        below = stored(below.groupBy("child").agg(F.bool_or("is_text").alias("is_text"), F.min("path").alias("path")).join(seen.withColumnRenamed("node", "child"), "child", "left_anti"), "tree")
+        below = edges.join(here, edges["parent"] == here["node"]).select(
+            "child", "is_text", F.concat("path", F.array(F.col("ord").cast("long"))).alias("path")
+        )
+        below = stored(
+            below.groupBy("child").agg(
+                F.bool_or("is_text").alias("is_text"), F.min("path").alias("path")
+            ).join(seen.withColumnRenamed("node", "child"), "child", "left_anti"),
+            "tree",
+        )
         opened += here.count()
         texts = below.where("is_text").select("child", "path")
         found = texts if found is None else stored(found.unionByName(texts).orderBy("path").limit(limit), "tree")

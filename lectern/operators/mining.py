@@ -31,7 +31,9 @@ def levels(leaves: DataFrame) -> DataFrame:
     """AGG-12: (work, levels) the names of levels in the order in which they are first seen, wrappers left out."""
     each = leaves.select("work", "pos", F.posexplode("chain").alias("depth", "c")).where(~F.col("c.level").isin(WRAPPERS))
     first = each.groupBy("work", F.col("c.level").alias("level")).agg(F.min(F.struct("pos", "depth")).alias("at"))
-    return first.groupBy("work").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "level"))), lambda x: x["level"]).alias("levels"))
+    return first.groupBy("work").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "level"))), lambda x: x["level"]).alias("levels")
+    )
 
 
 def citation_key(chain: Column | str, common: Column | str) -> Column:
@@ -45,7 +47,9 @@ def collapsed(leaves: DataFrame, common: DataFrame, name: str) -> DataFrame:
     """AGG-10: (work, key, pos, name) leaves' texts by their common citation (work, levels); leaves that do not reach it drop out."""
     keyed = leaves.join(common, "work").withColumn("key", citation_key("chain", "levels")).where("key is not null")
     listed = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return keyed.groupBy("work", "key").agg(F.min("pos").alias("pos"), F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias(name))
+    return keyed.groupBy("work", "key").agg(
+        F.min("pos").alias("pos"), F.array_join(F.transform(listed, lambda x: x["text"]), " ").alias(name)
+    )
 
 
 def citation_pairs(source: DataFrame, target: DataFrame, language: str = "la", era: str = "classical", label: str = "Perseus") -> DataFrame:
@@ -95,28 +99,51 @@ def headings(texts: pd.Series) -> pd.Series:
 
 def target_books(texts: DataFrame) -> DataFrame:
     """ALN-05, WIN-03: (work, book, text) of whole texts (work, text), cut at the best ascending run of book headings."""
-    marks = texts.select(F.col("work").alias("doc_id"), F.explode(headings("text")).alias("h")).select("doc_id", "h.pos", X.book_number("h.token").alias("n"))
+    marks = texts.select(
+        F.col("work").alias("doc_id"), F.explode(headings("text")).alias("h")
+    ).select("doc_id", "h.pos", X.book_number("h.token").alias("n"))
     marks = marks.where(F.col("n").between(1, MOST_BOOKS))
     cuts = library.best_run(marks, texts.select(F.col("work").alias("doc_id"), F.length("text").alias("size")))
     joined = cuts.join(texts, cuts["doc_id"] == texts["work"])
     # a book goes from its heading to the next one of the run
-    return joined.select("work", F.col("n").cast("string").alias("book"), F.substring("text", F.col("pos") + 1, F.col("until") - F.col("pos")).alias("text"))
+    return joined.select(
+        "work", F.col("n").cast("string").alias("book"), F.substring("text", F.col("pos") + 1, F.col("until") - F.col("pos")).alias("text")
+    )
 
 
 def common_books(source: DataFrame, target: DataFrame) -> DataFrame:
     """JON-07, SET-03: (work, n, src, tgt) of the books that both sides have; order by n."""
-    joined = source.select("work", "book", F.col("text").alias("src")).join(target.select("work", "book", F.col("text").alias("tgt")), ["work", "book"])
+    joined = source.select("work", "book", F.col("text").alias("src")).join(
+        target.select("work", "book", F.col("text").alias("tgt")), ["work", "book"]
+    )
     return joined.select("work", F.col("book").try_cast("int").alias("n"), "src", "tgt").where("n is not null")
 
 
-def mined_books(source: DataFrame, target: DataFrame, language: str = "la", era: str = "classical", style: str = "literal", form: str = "verse", label: str = "verse", **options) -> DataFrame:
+def mined_books(
+    source: DataFrame,
+    target: DataFrame,
+    language: str = "la",
+    era: str = "classical",
+    style: str = "literal",
+    form: str = "verse",
+    label: str = "verse",
+    **options,
+) -> DataFrame:
     """ALN-05: sentence pairs of common books, citation the book's number."""
     books = common_books(source, target)
-    cut = books.select(F.concat_ws("\t", "work", F.col("n").cast("string")).alias("key"), X.sentences("src", language).alias("src"), X.split_english("tgt").alias("tgt"))
+    cut = books.select(
+        F.concat_ws("\t", "work", F.col("n").cast("string")).alias("key"),
+        X.sentences("src", language).alias("src"),
+        X.split_english("tgt").alias("tgt"),
+    )
     pairs = alignment.align_texts(cut, "key", **options)
     return pairs.select(
-        "src", "tgt", "score", F.split_part("key", F.lit("\t"), F.lit(2)).alias("citation"), F.lit(language).alias("src_lang"), F.lit(era).alias("era"),
-        F.lit(style).alias("style"), F.lit(form).alias("form"), F.concat(F.lit(f"{label}:"), F.split_part("key", F.lit("\t"), F.lit(1))).alias("source"), "n",
+        "src", "tgt", "score", F.split_part(
+            "key", F.lit("\t"), F.lit(2)
+        ).alias("citation"), F.lit(language).alias("src_lang"), F.lit(era).alias("era"),
+        F.lit(style).alias("style"), F.lit(form).alias("form"), F.concat(
+            F.lit(f"{label}:"), F.split_part("key", F.lit("\t"), F.lit(1))
+        ).alias("source"), "n",
     )
 
 
@@ -131,5 +158,7 @@ def aligner(via: bool, embed=alignment.hashing_embedder, translate=None):
 
 def whole_texts(sections: DataFrame, segments: DataFrame) -> DataFrame:
     """AGG-22, JON-01: (doc_id, text) of works, their segments joined in the order of sections and segments."""
-    s = segments.select("section_id", "ord", "source_text").join(sections.select(F.col("id").alias("section_id"), "doc_id", F.col("ord").alias("section_ord")), "section_id")
+    s = segments.select("section_id", "ord", "source_text").join(
+        sections.select(F.col("id").alias("section_id"), "doc_id", F.col("ord").alias("section_ord")), "section_id"
+    )
     return in_order(s, ["doc_id"], ["section_ord", "ord"], "source_text", "text")

@@ -143,7 +143,9 @@ def write_change_log(result: DataFrame, path: str) -> None:
 def corroborated(cases: DataFrame, vocab: DataFrame, stem_table: DataFrame) -> DataFrame:
     """cases (..., candidate) with exact: a known word, and stem: an inflection of a known stem (STR-15)."""
     distinct = cases.select("candidate").where("candidate is not null").distinct().withColumn("key", X.fold("candidate"))
-    exact = distinct.join(vocab.select(F.col("word").alias("key")).distinct(), "key", "left_semi").select("candidate", F.lit(True).alias("exact"))
+    exact = distinct.join(
+        vocab.select(F.col("word").alias("key")).distinct(), "key", "left_semi"
+    ).select("candidate", F.lit(True).alias("exact"))
     cut = F.transform(
         F.filter(F.array(*map(F.lit, X.ENDINGS)), lambda e: F.endswith(F.col("key"), e) & (F.length("key") - F.length(e) >= 4)),
         lambda e: F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(e)),
@@ -187,7 +189,9 @@ def decisions(words: DataFrame, probabilities: DataFrame, vocab: DataFrame, stem
     # places in order: the choice with the lowest first place comes first
     rank = F.struct((~F.col("exact")).alias("a"), (-F.size("chosen")).alias("b"), F.col("chosen").alias("c"))
     ct = ct.where("exact or (`all` and stem)").groupBy("word").agg(F.min_by("candidate", rank).alias("ct"))
-    return words.select("word").distinct().join(found, "word", "left").join(ct, "word", "left").where("single is not null or merged is not null or ct is not null")
+    return words.select("word").distinct().join(found, "word", "left").join(ct, "word", "left").where(
+        "single is not null or merged is not null or ct is not null"
+    )
 
 
 def model_pass(text: str, known: set, entries: dict) -> tuple[str, list, list, list]:

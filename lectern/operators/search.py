@@ -33,7 +33,9 @@ def top_k_each(index: DataFrame, queries: DataFrame, k: int, most: int = 10_000)
     out, number = None, -(-queries.count() // most)
     for i in range(max(1, number)):
         part = queries if number <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == i)
-        scored = index.select("id", "unit").join(F.broadcast(part.select("query_id", F.col("unit").alias("q"))), F.lit(True)).select("query_id", "id", X.dot(F.col("unit"), F.col("q")).alias("score"))
+        scored = index.select("id", "unit").join(
+            F.broadcast(part.select("query_id", F.col("unit").alias("q"))), F.lit(True)
+        ).select("query_id", "id", X.dot(F.col("unit"), F.col("q")).alias("score"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)

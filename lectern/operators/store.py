@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import library, mining, search
 
-META = ["title", "author", "century", "genre", "language", "language_stage", "source", "shelfmark", "license", "has_existing_translation", "translation_status"]
+META = [
+    "title",
+    "author",
+    "century",
+    "genre",
+    "language",
+    "language_stage",
+    "source",
+    "shelfmark",
+    "license",
+    "has_existing_translation",
+    "translation_status",
+]
 DEFAULTS = {"language": "la", "language_stage": "unknown", "translation_status": "unknown", "has_existing_translation": False}
 # fixed values: names of languages and the word for an unnamed author
 LANGUAGES = {"la": "Latin", "grc": "Greek"}
@@ -36,19 +48,32 @@ def documents_of(works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in works.columns else F.lit(False)
     full = full.withColumn("id", F.xxhash64("source")).withColumn("verse", flag("verse")).withColumn("pre_segmented", flag("pre_segmented"))
     documents = full.select("id", *[F.col(c).cast(library.DOCUMENTS[c].dataType).alias(c) for c in META])
-    parts = full.select(F.col("id").alias("doc_id"), "source", "language", "verse", "pre_segmented", F.posexplode("parts").alias("ord", "p"))
+    parts = full.select(
+        F.col("id").alias("doc_id"), "source", "language", "verse", "pre_segmented", F.posexplode("parts").alias("ord", "p")
+    )
     parts = parts.withColumn("id", F.xxhash64("source", "ord"))
     whole = F.filter(F.array(X.strip("p.text")), lambda s: s != "")
     prose = F.when(F.col("language") == "grc", X.sentences("p.text", "grc")).otherwise(X.sentences("p.text"))
     cut = F.when(F.col("pre_segmented"), whole).when(F.col("verse"), X.verse_lines("p.text")).otherwise(prose)
-    rows = parts.select(F.col("id").alias("section_id"), "source", F.col("ord").alias("part"), F.posexplode(cut).alias("ord", "source_text"))
+    rows = parts.select(
+        F.col("id").alias("section_id"), "source", F.col("ord").alias("part"), F.posexplode(cut).alias("ord", "source_text")
+    )
     rows = rows.withColumn("id", F.xxhash64("source", "part", "ord")).withColumn("embed_text", X.embedding_text("source_text"))
     segments = library.migrate(rows.select("id", "section_id", "ord", "source_text", "embed_text"), library.SEGMENTS)
     sections = parts.select("id", "doc_id", F.col("p.label").alias("label"), "ord")
     return documents, sections, segments.select(library.SEGMENTS.fieldNames())
 
 
-def selected(documents: DataFrame, source_prefix: str | None = None, language: str | None = None, doc_id: int | None = None, skip_translated: bool = False, only_unknown: bool = False, skip_poetry: bool = False, limit: int | None = None) -> DataFrame:
+def selected(
+    documents: DataFrame,
+    source_prefix: str | None = None,
+    language: str | None = None,
+    doc_id: int | None = None,
+    skip_translated: bool = False,
+    only_unknown: bool = False,
+    skip_poetry: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
     """FLT-03: the documents that a job works on, as conditions that reach the scan; a limit takes the first by author and title."""
     if source_prefix:
         documents = documents.where(F.startswith("source", F.lit(source_prefix)))
@@ -91,7 +116,10 @@ def expected_source(kind: Column | str, identifier: Column | str) -> Column:
         .when(k == "pta", named("PTA", work))
         .when(k.isin("first1k_greek", "perseus", "perseus_greek"), named("Perseus", work))
         .when(k == "mgh", named("MGH", bsb))
-        .when((k == "pg_corpus") & (volume != ""), named("PG Corpus", F.concat(F.lit("PG"), padded, F.when(tail != "", F.concat(F.lit("_"), tail)).otherwise(""))))
+        .when(
+            (k == "pg_corpus") & (volume != ""),
+            named("PG Corpus", F.concat(F.lit("PG"), padded, F.when(tail != "", F.concat(F.lit("_"), tail)).otherwise(""))),
+        )
     )
 
 
@@ -114,7 +142,16 @@ def document_label(language: str = "language") -> Column:
     stage = F.replace(F.coalesce("language_stage", F.lit("unknown")), F.lit("_"), F.lit(" "))
     tongue = F.when(F.col(language) != "la", F.concat(F.coalesce(names[F.col(language)], F.col(language)), F.lit(", "))).otherwise("")
     flag = F.when(F.coalesce("has_existing_translation", F.lit(False)), "").otherwise("  · untranslated")
-    return F.concat(F.coalesce(F.nullif("author", F.lit("")), F.lit(ANONYMOUS)), F.lit(" — "), F.col("title"), F.lit(" ("), tongue, stage, flag, F.lit(")"))
+    return F.concat(
+        F.coalesce(F.nullif("author", F.lit("")), F.lit(ANONYMOUS)),
+        F.lit(" — "),
+        F.col("title"),
+        F.lit(" ("),
+        tongue,
+        stage,
+        flag,
+        F.lit(")"),
+    )
 
 
 def listing_line() -> Column:
@@ -126,7 +163,20 @@ def listing_line() -> Column:
     stage = F.replace(F.coalesce(F.nullif("language_stage", F.lit("")), F.lit("unknown")), F.lit("_"), F.lit(" "))
     verse = F.when(F.col("genre") == "poetry", ", verse").otherwise("")
     number = F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit(" "))
-    return F.concat(F.lit("  ["), number, F.lit("] "), wide(author, 22), F.lit(" "), F.col("title"), F.lit("  ("), F.coalesce(names[F.col("language")], F.col("language")), F.lit(", "), stage, verse, F.lit(")"))
+    return F.concat(
+        F.lit("  ["),
+        number,
+        F.lit("] "),
+        wide(author, 22),
+        F.lit(" "),
+        F.col("title"),
+        F.lit("  ("),
+        F.coalesce(names[F.col("language")], F.col("language")),
+        F.lit(", "),
+        stage,
+        verse,
+        F.lit(")"),
+    )
 
 
 def export_text() -> tuple[Column, Column]:
@@ -140,7 +190,9 @@ def export_text() -> tuple[Column, Column]:
 
 def reader_row(view: str = "Literal") -> Column:
     """SNK-11: a segment as a row of the reader's table."""
-    mark = F.when(X.is_filled("scansion"), F.concat(F.lit('<span class="scansion">'), X.escape_html("scansion"), F.lit("</span>"))).otherwise("")
+    mark = F.when(
+        X.is_filled("scansion"), F.concat(F.lit('<span class="scansion">'), X.escape_html("scansion"), F.lit("</span>"))
+    ).otherwise("")
     literal = X.escape_html(F.coalesce("english_text", F.lit("")))
     cell = F.when(~X.is_filled("english_text"), F.lit(f'<td class="en"><span class="untranslated">{UNTRANSLATED}</span>'))
     if view == "Stylized":
@@ -155,24 +207,46 @@ def reader_row(view: str = "Literal") -> Column:
 def reader_pages(documents: DataFrame, sections: DataFrame, segments: DataFrame, view: str = "Literal") -> DataFrame:
     """SNK-11: (doc_id, html) of whole documents, rows in the order of sections and segments."""
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    rows = segments.select("section_id", "ord", reader_row(view).alias("row")).join(sections.select(F.col("id").alias("section_id"), "doc_id", F.col("ord").alias("section_ord")), "section_id")
+    rows = segments.select("section_id", "ord", reader_row(view).alias("row")).join(
+        sections.select(F.col("id").alias("section_id"), "doc_id", F.col("ord").alias("section_ord")), "section_id"
+    )
     body = mining.in_order(rows, ["doc_id"], ["section_ord", "ord"], "row", "body", "")
     stage = F.replace(F.coalesce("language_stage", F.lit("unknown")), F.lit("_"), F.lit(" "))
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    meta = F.concat_ws(" · ", F.coalesce(filled("author"), F.lit(ANONYMOUS)), stage, X.century_label("century"), filled("genre"), filled("source"))
+    meta = F.concat_ws(
+        " · ", F.coalesce(filled("author"), F.lit(ANONYMOUS)), stage, X.century_label("century"), filled("genre"), filled("source")
+    )
     header = "English (stylized)" if view == "Stylized" else "English (AI)"
-    table = F.concat(F.lit('<table class="reader"><thead><tr><th>'), X.escape_html(F.coalesce(names[F.col("language")], F.col("language"))), F.lit(f"</th><th>{header}</th></tr></thead><tbody>"), F.coalesce("body", F.lit("")), F.lit("</tbody></table>"))
+    table = F.concat(
+        F.lit('<table class="reader"><thead><tr><th>'),
+        X.escape_html(F.coalesce(names[F.col("language")], F.col("language"))),
+        F.lit(f"</th><th>{header}</th></tr></thead><tbody>"),
+        F.coalesce("body", F.lit("")),
+        F.lit("</tbody></table>"),
+    )
     html = F.concat(F.lit("<h2>"), X.escape_html("title"), F.lit('</h2><p class="reader-meta">'), X.escape_html(meta), F.lit("</p>"), table)
     return documents.join(body, documents["id"] == body["doc_id"], "left").select(documents["id"].alias("doc_id"), html.alias("html"))
 
 
 def hit_blocks(hits: DataFrame) -> DataFrame:
     """SNK-11: (id, html) of search hits (id, score, author, title, source_loc, source_text, english_text)."""
-    where = F.concat(F.coalesce(F.nullif("author", F.lit("")), F.lit(ANONYMOUS)), F.lit(" — "), F.col("title"), F.when(X.is_filled("source_loc"), F.concat(F.lit(" · "), F.col("source_loc"))).otherwise(""))
-    english = F.when(X.is_filled("english_text"), X.escape_html("english_text")).otherwise(F.lit(f'<span class="untranslated">{UNTRANSLATED}</span>'))
+    where = F.concat(
+        F.coalesce(F.nullif("author", F.lit("")), F.lit(ANONYMOUS)),
+        F.lit(" — "),
+        F.col("title"),
+        F.when(X.is_filled("source_loc"), F.concat(F.lit(" · "), F.col("source_loc"))).otherwise(""),
+    )
+    english = F.when(
+        X.is_filled("english_text"), X.escape_html("english_text")
+    ).otherwise(F.lit(f'<span class="untranslated">{UNTRANSLATED}</span>'))
     div = lambda kind, c: F.concat(F.lit(f'<div class="{kind}">'), c, F.lit("</div>"))
     score = F.concat(F.lit('<span class="score">'), F.format_string("%.3f", "score"), F.lit("</span>"))
-    return hits.select("id", div("hit", F.concat(score, div("src", X.escape_html(where)), div("la", X.escape_html("source_text")), div("en", english))).alias("html"))
+    return hits.select(
+        "id",
+        div(
+            "hit", F.concat(score, div("src", X.escape_html(where)), div("la", X.escape_html("source_text")), div("en", english))
+        ).alias("html"),
+    )
 
 
 def report_lines(documents: DataFrame, segments: DataFrame, largest: int = 8) -> DataFrame:
@@ -185,28 +259,72 @@ def report_lines(documents: DataFrame, segments: DataFrame, largest: int = 8) ->
     thousands = lambda c: F.format_string("%,d", c)
     head = both.select(F.explode(F.array(
         F.struct(F.lit(0).alias("rank"), F.concat(F.lit("Documents: "), F.col("d").cast("string")).alias("line")),
-        F.struct(F.lit(1).alias("rank"), F.concat(F.lit("Segments: "), thousands("t"), F.lit(" / "), thousands("n"), F.lit(" translated ("), share, F.lit("%), "), thousands("s"), F.lit(" stylized")).alias("line")),
-        F.struct(F.lit(2).alias("rank"), F.concat(F.lit("Era span: "), F.coalesce(F.col("a").cast("string"), F.lit("None")), F.lit("c to "), F.coalesce(F.col("b").cast("string"), F.lit("None")), F.lit("c")).alias("line")),
+        F.struct(
+            F.lit(1).alias("rank"),
+            F.concat(
+                F.lit("Segments: "),
+                thousands("t"),
+                F.lit(" / "),
+                thousands("n"),
+                F.lit(" translated ("),
+                share,
+                F.lit("%), "),
+                thousands("s"),
+                F.lit(" stylized"),
+            ).alias("line"),
+        ),
+        F.struct(
+            F.lit(2).alias("rank"),
+            F.concat(
+                F.lit("Era span: "),
+                F.coalesce(F.col("a").cast("string"), F.lit("None")),
+                F.lit("c to "),
+                F.coalesce(F.col("b").cast("string"), F.lit("None")),
+                F.lit("c"),
+            ).alias("line"),
+        ),
     )).alias("x")).select(F.lit(0).alias("part"), "x.*")
     groups = [(F.col("language"), "unknown"), (F.col("language_stage"), "unknown"), (F.col("genre"), "unclassified")]
-    counted = [library.counts_by(documents, library.source_family("source"), "unknown", "key")] + [library.counts_by(documents, c, blank, "key") for c, blank in groups]
+    counted = [
+        library.counts_by(documents, library.source_family("source"), "unknown", "key")
+    ] + [library.counts_by(documents, c, blank, "key") for c, blank in groups]
     out = head
     for part, df in enumerate(counted, 1):
         width = F.greatest(F.lit(4), F.length(F.col("n").cast("string")))
         # few distinct names: one row each
         ranked = library.numbered_rows(df.withColumn("_minus", -F.col("n")), ["_minus", "key"], "rank")
-        out = out.unionByName(ranked.select(F.lit(part).alias("part"), F.col("rank").cast("int").alias("rank"), F.concat(F.lit("  "), F.lpad(F.col("n").cast("string"), width, F.lit(" ")), F.lit("  "), "key").alias("line")))
+        out = out.unionByName(
+            ranked.select(
+                F.lit(part).alias("part"),
+                F.col("rank").cast("int").alias("rank"),
+                F.concat(F.lit("  "), F.lpad(F.col("n").cast("string"), width, F.lit(" ")), F.lit("  "), "key").alias("line"),
+            )
+        )
     top = segments.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(largest)
     works = top.join(documents, top["doc_id"] == documents["id"]).select("n", "id", "title", "author", "source")
     ranked = library.numbered_rows(works.withColumn("_minus", -F.col("n")), ["_minus", "id"], "rank")
     width = F.greatest(F.lit(6), F.length(F.col("n").cast("string")))
-    line = F.concat(F.lit("  "), F.lpad(F.col("n").cast("string"), width, F.lit(" ")), F.lit(" segs  "), "title", F.lit(" ("), F.coalesce(F.nullif("author", F.lit("")), F.lit("anon")), F.lit(") ["), F.coalesce("source", F.lit("None")), F.lit("]"))
-    return out.unionByName(ranked.select(F.lit(len(counted) + 1).alias("part"), F.col("rank").cast("int").alias("rank"), line.alias("line")))
+    line = F.concat(
+        F.lit("  "),
+        F.lpad(F.col("n").cast("string"), width, F.lit(" ")),
+        F.lit(" segs  "),
+        "title",
+        F.lit(" ("),
+        F.coalesce(F.nullif("author", F.lit("")), F.lit("anon")),
+        F.lit(") ["),
+        F.coalesce("source", F.lit("None")),
+        F.lit("]"),
+    )
+    return out.unionByName(
+        ranked.select(F.lit(len(counted) + 1).alias("part"), F.col("rank").cast("int").alias("rank"), line.alias("line"))
+    )
 
 
 def backfilled(segments: DataFrame) -> DataFrame:
     """EMB-03: the patch (id, embed_text) of segments that lack their text for embedding and need one."""
-    return segments.where("embed_text is null").select("id", X.embedding_text("source_text").alias("embed_text")).where("embed_text is not null")
+    return segments.where("embed_text is null").select(
+        "id", X.embedding_text("source_text").alias("embed_text")
+    ).where("embed_text is not null")
 
 
 def reindexed(segments: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -241,7 +359,9 @@ class Library:
         """SRC-38: the last complete version, or an empty table."""
         schema = self.TABLES.get(name, "id bigint, unit array<double>")
         found = self._versions(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{found[-1]}") if found else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(
+            f"{self.path}/{name}/v{found[-1]}"
+        ) if found else self.spark.createDataFrame([], schema)
 
     def save(self, name: str, df: DataFrame) -> None:
         """SNK-06, SNK-10: a new version; the one before stays, as df may read it."""

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def apply_model(rows: DataFrame, key: str, column: str, factory: Callable[[], Callable[[list[str]], list]], kind: str = "string", batch: int = 32) -> DataFrame:
+def apply_model(
+    rows: DataFrame, key: str, column: str, factory: Callable[[], Callable[[list[str]], list]], kind: str = "string", batch: int = 32
+) -> DataFrame:
     """EMB-01, EMB-04, MT-01, MT-04, MT-05, SRT-01: (key, output, failed).
 
     The factory makes the model once for each worker, when its first text comes. Batches hold texts of similar lengths; one
@@ -54,18 +56,30 @@ def translation_input(segments: DataFrame, language: str = "language") -> DataFr
     """MT-03: what to do with each pending segment: placeholder, mixed or plain, and the text to translate."""
     garbled = X.garble_score("source_text") >= 10
     mixed = (F.col(language) == "la") & F.col("source_text").rlike(X.GREEK)
-    return segments.where(~X.is_filled("english_text")).withColumn("route", F.when(garbled, "placeholder").when(mixed, "mixed").otherwise("plain"))
+    return segments.where(~X.is_filled("english_text")).withColumn(
+        "route", F.when(garbled, "placeholder").when(mixed, "mixed").otherwise("plain")
+    )
 
 
 def translated(segments: DataFrame, translate: Callable[[Column], Column]) -> DataFrame:
     t = translation_input(segments)
-    return t.withColumn("english_text", F.when(F.col("route") == "placeholder", F.lit(X.PLACEHOLDER)).when(F.col("route") == "mixed", X.mixed_translation("source_text", translate)).otherwise(translate(F.col("source_text"))))
+    return t.withColumn(
+        "english_text",
+        F.when(F.col("route") == "placeholder", F.lit(X.PLACEHOLDER)).when(
+            F.col("route") == "mixed", X.mixed_translation("source_text", translate)
+        ).otherwise(translate(F.col("source_text"))),
+    )
 
 
 def mark_garbled(segments: DataFrame) -> DataFrame:
     """ENR-06: the patch for garbled segments that are not marked yet."""
     new = (X.garble_score("source_text") >= 10) & ~F.coalesce(F.col("english_text") == X.PLACEHOLDER, F.lit(False))
-    return segments.where(new).select("id", F.lit(X.PLACEHOLDER).alias("english_text"), F.lit(X.PLACEHOLDER).alias("english_styled"), F.lit("placeholder").alias("style_label"))
+    return segments.where(new).select(
+        "id",
+        F.lit(X.PLACEHOLDER).alias("english_text"),
+        F.lit(X.PLACEHOLDER).alias("english_styled"),
+        F.lit("placeholder").alias("style_label"),
+    )
 
 
 def first_confident(*statuses: Column) -> Column:
@@ -90,5 +104,10 @@ def meters(lines: DataFrame, meter: str = "elegiac") -> DataFrame:
 def prompt_meta(author: Column, era: Column, source: Column, language: Column) -> Column:
     """STR-36: the context lines of a restyling prompt."""
     who = F.concat_ws(" · ", F.nullif(author, F.lit("")), F.nullif(era, F.lit("")))
-    lines = F.array_compact(F.array(F.when(who != "", F.concat(F.lit("Source work: "), who, F.lit("."))), F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.coalesce(language, F.lit("original")), F.lit(" text: "), source))))
+    lines = F.array_compact(
+        F.array(
+            F.when(who != "", F.concat(F.lit("Source work: "), who, F.lit("."))),
+            F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.coalesce(language, F.lit("original")), F.lit(" text: "), source)),
+        )
+    )
     return F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise("")

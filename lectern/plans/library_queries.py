@@ -17,10 +17,15 @@ def raw_works(spark, sf):
     lines = F.split("text", "\n")
     half = F.floor(F.size(lines) / 2).cast("int")
     part = lambda label, c: F.struct(F.lit(label).alias("label"), c.alias("text"))
-    two = F.array(part("I", F.array_join(F.slice(lines, F.lit(1), half), "\n")), part("II", F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n")))
+    two = F.array(
+        part("I", F.array_join(F.slice(lines, F.lit(1), half), "\n")),
+        part("II", F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n")),
+    )
     parts = F.when(F.col("doc_id") % 2 == 0, two).otherwise(F.array(part("Text", F.col("text"))))
     return d.select(
-        F.concat(F.lit("src "), "doc_id").alias("source"), F.concat(F.lit("Work "), "doc_id").alias("title"), F.lit(None).cast("string").alias("author"),
+        F.concat(F.lit("src "), "doc_id").alias("source"), F.concat(
+            F.lit("Work "), "doc_id"
+        ).alias("title"), F.lit(None).cast("string").alias("author"),
         (F.col("doc_id") % 5 == 0).alias("verse"), (F.col("doc_id") % 7 == 0).alias("pre_segmented"), parts.alias("parts"), "doc_id",
     )
 
@@ -36,7 +41,9 @@ def snk01_add_document(spark, sf):
     works_ = raw_works(spark, sf).where("verse or pre_segmented")
     documents, sections, cut = store.documents_of(works_)
     named = documents.select(F.col("id").alias("doc"), F.substring("source", 5, 20).cast("long").alias("doc_id"))
-    placed = cut.join(sections.select(F.col("id").alias("section_id"), F.col("doc_id").alias("doc"), F.col("ord").alias("part")), "section_id").join(named, "doc")
+    placed = cut.join(
+        sections.select(F.col("id").alias("section_id"), F.col("doc_id").alias("doc"), F.col("ord").alias("part")), "section_id"
+    ).join(named, "doc")
     return placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
 
 
@@ -45,15 +52,27 @@ def flt07_metadata_defaults(spark, sf):
     documents, sections, _ = store.documents_of(raw_works(spark, sf))
     n = sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
     joined = documents.join(n, documents["id"] == n["doc_id"])
-    return joined.select(F.substring("source", 5, 20).cast("long").alias("doc_id"), "sections", "language", F.col("translation_status").alias("status"))
+    return joined.select(
+        F.substring("source", 5, 20).cast("long").alias("doc_id"), "sections", "language", F.col("translation_status").alias("status")
+    )
 
 
-@query(W("SELECT id FROM w WHERE starts_with(source, 'src1') AND language = 'la' AND translation_status <> 'translated' AND genre IS DISTINCT FROM 'poetry'"))
+@query(
+    W(
+        "SELECT id FROM w WHERE starts_with(source, 'src1') AND language = 'la' AND translation_status <> 'translated' AND genre IS "
+        "DISTINCT FROM 'poetry'"
+    )
+)
 def flt03_metadata_filters(spark, sf):
     return store.selected(works(spark, sf), source_prefix="src1", language="la", skip_translated=True, skip_poetry=True).select("id")
 
 
-@query(W("SELECT DISTINCT 'Author ' || s.n_name AS author FROM nation s WHERE 'Author ' || s.n_name NOT IN (SELECT author FROM w WHERE author IS NOT NULL) UNION SELECT 'Author src' || 999"))
+@query(
+    W(
+        "SELECT DISTINCT 'Author ' || s.n_name AS author FROM nation s WHERE 'Author ' || s.n_name NOT IN (SELECT author FROM w WHERE "
+        "author IS NOT NULL) UNION SELECT 'Author src' || 999"
+    )
+)
 def flt17_missing_authors(spark, sf):
     seeds = table(spark, sf, "nation").select(F.concat(F.lit("Author "), "n_name").alias("author"))
     more = spark.createDataFrame([("Author src999",), ("Author src1",)], "author string")
@@ -65,16 +84,25 @@ WHEN 4 THEN 'PG Corpus (PG' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, le
 def str39_expected_source(spark, sf):
     d, n = F.col("doc_id"), F.col("doc_id") % 6
     kinds = F.array(*map(F.lit, ["digiliblt", "pta", "perseus", "mgh", "pg_corpus", "edcs"]))
-    ident = F.when(n == 0, F.concat(F.lit("DLT"), d)).when(n == 1, F.concat(F.lit("urn:cts:greekLit:pta"), d, F.lit(".w1.x"))).when(n == 2, F.concat(F.lit("phi"), d, F.lit("/w2")))
-    ident = ident.when(n == 3, F.concat(F.lit("https://x/BSB"), d, F.lit(".zip"))).when(n == 4, F.concat(F.lit("pg0"), d, F.when(d % 4 == 0, "_2").otherwise(""))).otherwise("x")
+    ident = F.when(n == 0, F.concat(F.lit("DLT"), d)).when(
+        n == 1, F.concat(F.lit("urn:cts:greekLit:pta"), d, F.lit(".w1.x"))
+    ).when(n == 2, F.concat(F.lit("phi"), d, F.lit("/w2")))
+    ident = ident.when(n == 3, F.concat(F.lit("https://x/BSB"), d, F.lit(".zip"))).when(
+        n == 4, F.concat(F.lit("pg0"), d, F.when(d % 4 == 0, "_2").otherwise(""))
+    ).otherwise("x")
     return table(spark, sf, "documents").select("doc_id", store.expected_source(F.get(kinds, n.cast("int")), ident).alias("source"))
 
 
-@query("SELECT min(l.doc_id) AS pos, d.last AS doc_id FROM labels l JOIN (SELECT 'DLT' || doc_id // 2 AS k, max(doc_id) AS last FROM documents GROUP BY 1) d ON d.k = 'DLT' || l.doc_id // 3 GROUP BY d.last")
+@query(
+    "SELECT min(l.doc_id) AS pos, d.last AS doc_id FROM labels l JOIN (SELECT 'DLT' || doc_id // 2 AS k, max(doc_id) AS last FROM "
+    "documents GROUP BY 1) d ON d.k = 'DLT' || l.doc_id // 3 GROUP BY d.last"
+)
 def jon13_curated(spark, sf):
     ident = lambda n: F.concat(F.lit("DLT"), F.floor(F.col("doc_id") / n))
     wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.lit("digiliblt").alias("kind"), ident(3).alias("identifier"))
-    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("DigilibLT ("), ident(2), F.lit(")")).alias("source"))
+    documents = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("DigilibLT ("), ident(2), F.lit(")")).alias("source")
+    )
     return store.curated(wanted, documents)
 
 
@@ -92,7 +120,12 @@ _ENGLISH = "nullif(regexp_replace(coalesce(english_text, ''), '^\\s+|\\s+$', '',
 _STYLED = "nullif(regexp_replace(coalesce(english_styled, ''), '^\\s+|\\s+$', '', 'g'), '')"
 
 
-@query(S(f"SELECT id, CASE WHEN {_STYLED} IS NOT NULL THEN 'styled' WHEN {_ENGLISH} IS NOT NULL THEN 'plain' ELSE 'missing' END AS kind, coalesce({_STYLED}, {_ENGLISH}, '{store.FRAGMENT}') AS text FROM s"))
+@query(
+    S(
+        f"SELECT id, CASE WHEN {_STYLED} IS NOT NULL THEN 'styled' WHEN {_ENGLISH} IS NOT NULL THEN 'plain' ELSE 'missing' END AS "
+        f"kind, coalesce({_STYLED}, {_ENGLISH}, '{store.FRAGMENT}') AS text FROM s"
+    )
+)
 def snk09_export_text(spark, sf):
     kind, text = store.export_text()
     return segments(spark, sf).select("id", kind.alias("kind"), text.alias("text"))
@@ -120,18 +153,31 @@ def snk09_report(spark, sf):
     return lines.where("part in (1, 2) or part = 0 and rank in (0, 2)")
 
 
-@query("SELECT conv_id AS id, '{\"src\":\"' || text || '\",\"tgt\":\"' || role || '\",\"citation\":\"' || conv_id || '.' || turn || '\"}' AS value FROM conversations WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%\\%'")
+@query(
+    "SELECT conv_id AS id, '{\"src\":\"' || text || '\",\"tgt\":\"' || role || '\",\"citation\":\"' || conv_id || '.' || turn || '\"}' "
+    "AS value FROM conversations WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%\\%'"
+)
 def snk07_pair_lines(spark, sf):
     c = table(spark, sf, "conversations").where(~F.col("text").rlike('["\n\\\\]'))
-    pairs = c.select("conv_id", F.col("text").alias("src"), F.col("role").alias("tgt"), F.concat_ws(".", "conv_id", "turn").alias("citation"))
+    pairs = c.select(
+        "conv_id", F.col("text").alias("src"), F.col("role").alias("tgt"), F.concat_ws(".", "conv_id", "turn").alias("citation")
+    )
     record = F.to_json(F.struct("src", "tgt", "citation"))
     return pairs.select(F.col("conv_id").alias("id"), record.alias("value"))
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(source_text, '()[]<>{}', ''), '/+', ' ', 'g'), '-{2,}', ' ', 'g'), '\.{2,}', ' ', 'g'), '[+*=~^|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(source_text, '()[]<>{}', ''), '/+', ' ', "
+    r"'g'), '-{2,}', ' ', 'g'), '\.{2,}', ' ', 'g'), '[+*=~^|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+)
 
 
-@query(S(f"SELECT id, {_CLEAN} AS embed_text FROM s WHERE ord % 3 <> 0 AND {_CLEAN} <> '' AND {_CLEAN} <> regexp_replace(source_text, '^\\s+|\\s+$', '', 'g')"))
+@query(
+    S(
+        f"SELECT id, {_CLEAN} AS embed_text FROM s WHERE ord % 3 <> 0 AND {_CLEAN} <> '' AND {_CLEAN} <> regexp_replace(source_text, "
+        f"'^\\s+|\\s+$', '', 'g')"
+    )
+)
 def emb03_backfill(spark, sf):
     return store.backfilled(segments(spark, sf).withColumn("embed_text", F.when(F.col("ord") % 3 == 0, "done")))
 
@@ -146,7 +192,11 @@ def agg20_index_size(spark, sf):
 # leaves: a section for each line of the source edition, a chapter for each two lines of the target
 def leaves(spark, sf, chapters):
     s = segments(spark, sf)
-    chain = [F.struct(F.lit("edition").alias("level"), F.lit("x").alias("n")), F.struct(F.lit("book").alias("level"), F.floor(F.col("ord") / 8).cast("string").alias("n")), F.struct(F.lit("chapter").alias("level"), F.floor(F.col("ord") / 2).cast("string").alias("n"))]
+    chain = [
+        F.struct(F.lit("edition").alias("level"), F.lit("x").alias("n")),
+        F.struct(F.lit("book").alias("level"), F.floor(F.col("ord") / 8).cast("string").alias("n")),
+        F.struct(F.lit("chapter").alias("level"), F.floor(F.col("ord") / 2).cast("string").alias("n")),
+    ]
     if not chapters:
         chain.append(F.struct(F.lit("section").alias("level"), (F.col("ord") % 2).cast("string").alias("n")))
         chain[0] = F.struct(F.lit("book").alias("level"), F.lit("outer").alias("n"))
@@ -166,33 +216,54 @@ def agg12_levels(spark, sf):
     return mining.levels(leaves(spark, sf, False)).select("work", F.array_join("levels", ",").alias("levels"))
 
 
-@query(S("SELECT doc_id, book AS n, src, 'x ' || src AS tgt FROM (SELECT doc_id, ord // 8 AS book, string_agg(source_text, ' ' ORDER BY ord) AS src FROM s GROUP BY ALL) WHERE book % 2 = 0"))
+@query(
+    S(
+        "SELECT doc_id, book AS n, src, 'x ' || src AS tgt FROM (SELECT doc_id, ord // 8 AS book, string_agg(source_text, ' ' ORDER BY "
+        "ord) AS src FROM s GROUP BY ALL) WHERE book % 2 = 0"
+    )
+)
 def jon07_common_books(spark, sf):
     source = mining.source_books(leaves(spark, sf, False))
     target = source.where(F.col("book").cast("int") % 2 == 0).withColumn("text", F.concat(F.lit("x "), "text"))
     return mining.common_books(source, target).select(F.col("work").alias("doc_id"), "n", "src", "tgt")
 
 
-@query("SELECT doc_id AS work, CAST(n AS VARCHAR) AS book, length('BOOK ' || n) + 1 + length(line) + 1 AS chars FROM (SELECT doc_id, unnest(range(1, least(len(l), 24) + 1)) AS n, unnest(l[1:24]) AS line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*(BOOK|GEORGIC)')) AS l FROM documents) WHERE len(l) > 1)")
+@query(
+    "SELECT doc_id AS work, CAST(n AS VARCHAR) AS book, length('BOOK ' || n) + 1 + length(line) + 1 AS chars FROM (SELECT doc_id, "
+    "unnest(range(1, least(len(l), 24) + 1)) AS n, unnest(l[1:24]) AS line FROM (SELECT doc_id, list_filter(string_split(text, "
+    "chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*(BOOK|GEORGIC)')) AS l FROM documents) WHERE len(l) > 1)"
+)
 def aln05_target_books(spark, sf):
     lines = F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^[ \t]*(BOOK|GEORGIC)")), F.lit(1), F.lit(24))
     # a list of contents comes first, close together; the books themselves span more
     names = F.array(*[F.lit(x) for x in X.ORDINALS])
     body = F.transform(lines, lambda x, i: F.concat(F.lit("BOOK THE "), F.upper(F.get(names, i)), F.lit("\n"), x, F.lit("\n")))
     contents = F.transform(lines, lambda x, i: F.concat(F.lit("BOOK THE "), F.upper(F.get(names, i)), F.lit("\n")))
-    texts = table(spark, sf, "documents").where(F.size(lines) > 1).select(F.col("doc_id").alias("work"), F.concat(F.array_join(contents, ""), F.lit("\n"), F.array_join(body, "")).alias("text"))
+    texts = table(spark, sf, "documents").where(F.size(lines) > 1).select(
+        F.col("doc_id").alias("work"), F.concat(F.array_join(contents, ""), F.lit("\n"), F.array_join(body, "")).alias("text")
+    )
     books = mining.target_books(texts)
     n = F.col("book").cast("int")
     numeral = F.length(F.get(names, n - 1)) + F.length(F.lit("BOOK THE "))
-    return books.select("work", "book", (F.length("text") - numeral + F.length(F.concat(F.lit("BOOK "), "book"))).cast("long").alias("chars"))
+    return books.select(
+        "work", "book", (F.length("text") - numeral + F.length(F.concat(F.lit("BOOK "), "book"))).cast("long").alias("chars")
+    )
 
 
-_SIDES = "WITH c AS (SELECT conv_id AS key, count(*) FILTER (role = 'user') AS n, count(*) FILTER (role <> 'user') AS m FROM conversations GROUP BY 1)"
+_SIDES = (
+    "WITH c AS (SELECT conv_id AS key, count(*) FILTER (role = 'user') AS n, count(*) FILTER (role <> 'user') AS m FROM conversations "
+    "GROUP BY 1)"
+)
 
 
-@query(f"{_SIDES}, p AS (SELECT key, n, m, unnest(range(0, n)) AS i FROM c), q AS (SELECT *, unnest(range(0, m)) AS j FROM p) SELECT key, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM q WHERE abs(j - round_even(i * m / n, 0)) <= 1")
+@query(
+    f"{_SIDES}, p AS (SELECT key, n, m, unnest(range(0, n)) AS i FROM c), q AS (SELECT *, unnest(range(0, m)) AS j FROM p) SELECT key, "
+    f"CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM q WHERE abs(j - round_even(i * m / n, 0)) <= 1"
+)
 def jon17_band_candidates(spark, sf):
-    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.count_if(F.col("role") == "user").cast("int").alias("n"), F.count_if(F.col("role") != "user").cast("int").alias("m"))
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("key")).agg(
+        F.count_if(F.col("role") == "user").cast("int").alias("n"), F.count_if(F.col("role") != "user").cast("int").alias("m")
+    )
     return alignment.band_candidates(c, 1).select("key", "i", "j")
 
 
@@ -213,7 +284,9 @@ def aln04_refined(spark, sf):
 @query()
 def aln01_align_sentences(spark, sf):
     c = table(spark, sf, "conversations")
-    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias(name))
+    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias(name)
+    )
     return alignment.align_sentences(side("user", "src").join(side("assistant", "tgt"), "conv_id"), "conv_id")
 
 
@@ -224,7 +297,9 @@ _HYP = "array_to_string(list_filter(string_split(source_text, ' '), lambda x, i:
 def hypotheses(spark, sf):
     kept = F.filter(F.split("source_text", " "), lambda x, i: (i + 1 + F.col("doc_id")) % 5 != 0)
     era = F.when(F.col("doc_id") % 3 == 0, "classical").otherwise("medieval")
-    return segments(spark, sf).select("id", era.alias("era"), F.col("source_text").alias("ref"), F.array_join(kept, " ").alias("hyp"), F.lower("source_text").alias("src"))
+    return segments(spark, sf).select(
+        "id", era.alias("era"), F.col("source_text").alias("ref"), F.array_join(kept, " ").alias("hyp"), F.lower("source_text").alias("src")
+    )
 
 
 _GRAMS = f"""p AS (SELECT id, CASE WHEN doc_id % 3 = 0 THEN 'classical' ELSE 'medieval' END AS era, regexp_replace({_HYP}, '\\s', '', 'g') AS h, regexp_replace(source_text, '\\s', '', 'g') AS r FROM s),
@@ -251,7 +326,10 @@ def ml04_style_scores(spark, sf):
     return evaluation.style_scores(hypotheses(spark, sf), ["era"])
 
 
-@query("SELECT doc_id, 'M' || doc_id AS label, CASE doc_id % 3 WHEN 0 THEN 'stock/model' ELSE 'a=b/' || source END AS path, doc_id % 2 = 0 AS norm FROM documents")
+@query(
+    "SELECT doc_id, 'M' || doc_id AS label, CASE doc_id % 3 WHEN 0 THEN 'stock/model' ELSE 'a=b/' || source END AS path, doc_id % 2 = "
+    "0 AS norm FROM documents"
+)
 def str45_model_spec(spark, sf):
     path = F.when(F.col("doc_id") % 3 == 0, "stock").otherwise(F.concat(F.lit("a=b/"), "source"))
     spec = F.concat(F.lit("M"), "doc_id", F.lit("="), path, F.when(F.col("doc_id") % 2 == 0, ":norm").otherwise(""))
@@ -271,7 +349,10 @@ def agg21_routed_examples(spark, sf):
     return evaluation.routed_examples(table(spark, sf, "documents").select(lang.alias("src_lang")))
 
 
-@query("SELECT user_id, round(count(*) / (max(event_id) - min(event_id) + 1), 6) AS rate, round((10000 - count(*)) * (max(event_id) - min(event_id) + 1) / count(*), 4) AS eta FROM events GROUP BY 1")
+@query(
+    "SELECT user_id, round(count(*) / (max(event_id) - min(event_id) + 1), 6) AS rate, round((10000 - count(*)) * (max(event_id) - "
+    "min(event_id) + 1) / count(*), 4) AS eta FROM events GROUP BY 1"
+)
 def mth06_progress(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.max("event_id") - F.min("event_id") + 1).alias("s"))
     p = e.select("user_id", evaluation.progress(F.col("n"), F.lit(10000), F.col("s")).alias("p"))
@@ -286,7 +367,12 @@ def sty02_batches(spark, sf):
     return styling.style_batches(segments(spark, sf), 2).select("id", "batch")
 
 
-@query(S(f"SELECT id, replace(regexp_replace(english_text, '^\\s+|\\s+$', '', 'g'), 'e', '3') AS english_styled, 'victorian_prose' AS style_label FROM s WHERE {_PENDING}"))
+@query(
+    S(
+        f"SELECT id, replace(regexp_replace(english_text, '^\\s+|\\s+$', '', 'g'), 'e', '3') AS english_styled, 'victorian_prose' AS "
+        f"style_label FROM s WHERE {_PENDING}"
+    )
+)
 def sty01_styled(spark, sf):
     # the stub's model answers the numbered list, or the one text, with another letter
     def factory():
@@ -318,11 +404,23 @@ def scn01_scan(spark, sf):
     def factory():
         return lambda line, meter: f"m{len(line)}" if len(line) % 2 == 0 else None
 
-    found = styling.scanned(lines.withColumn("source_text", F.when(F.length("source_text") == F.length(X.strip("source_text")), F.col("source_text")).otherwise(X.strip("source_text"))), factory, "elegiac")
+    found = styling.scanned(
+        lines.withColumn(
+            "source_text",
+            F.when(F.length("source_text") == F.length(X.strip("source_text")), F.col("source_text")).otherwise(X.strip("source_text")),
+        ),
+        factory,
+        "elegiac",
+    )
     return found
 
 
-@query(S(f"SELECT id, doc_id, english_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE {_FILLED('english_text')}) WHERE r <= 2"))
+@query(
+    S(
+        f"SELECT id, doc_id, english_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE "
+        f"{_FILLED('english_text')}) WHERE r <= 2"
+    )
+)
 def flt18_preview(spark, sf):
     return styling.preview(segments(spark, sf), 2).select("id", "doc_id", "english_text")
 
@@ -337,7 +435,11 @@ def flt15_distilled(spark, sf):
 _T = "regexp_replace(source_text, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(S(f"""SELECT min(id) AS pos, t AS tgt FROM (SELECT id, {_T} AS t FROM s) WHERE length(t) BETWEEN 40 AND 300 AND NOT regexp_matches(t, '[\\x{{0391}}-\\x{{03A9}}\\x{{03B1}}-\\x{{03C9}}\\x{{1F00}}-\\x{{1FFC}}]') AND NOT regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{4,}}($|[^\\p{{L}}\\p{{N}}_])') AND NOT regexp_matches(t, '(?i)\\(\\s*(?:Enter|Exit|Exeunt|Aside|to\\s+\\w+self|sings|aside)\\b') AND NOT regexp_matches(t, '(?i)\\b(?:mentul|cinaed|pathic|catamit)\\w*') AND len(regexp_extract_all(t, '[()]')) <= 1 AND len(regexp_extract_all(t, '\\p{{L}}')) >= 0.6 * length(t) GROUP BY t"""))
+@query(
+    S(
+        f"""SELECT min(id) AS pos, t AS tgt FROM (SELECT id, {_T} AS t FROM s) WHERE length(t) BETWEEN 40 AND 300 AND NOT regexp_matches(t, '[\\x{{0391}}-\\x{{03A9}}\\x{{03B1}}-\\x{{03C9}}\\x{{1F00}}-\\x{{1FFC}}]') AND NOT regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{4,}}($|[^\\p{{L}}\\p{{N}}_])') AND NOT regexp_matches(t, '(?i)\\(\\s*(?:Enter|Exit|Exeunt|Aside|to\\s+\\w+self|sings|aside)\\b') AND NOT regexp_matches(t, '(?i)\\b(?:mentul|cinaed|pathic|catamit)\\w*') AND len(regexp_extract_all(t, '[()]')) <= 1 AND len(regexp_extract_all(t, '\\p{{L}}')) >= 0.6 * length(t) GROUP BY t"""
+    )
+)
 def flt16_gathered(spark, sf):
     return styling.gathered(segments(spark, sf).select(F.col("id").alias("pos"), F.col("source_text").alias("tgt")), None)
 

@@ -38,10 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def works(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf, "documents").select(
-        d.alias("id"), F.concat(F.lit("Work "), d).alias("title"), F.when(d % 7 != 0, F.concat(F.lit("Author "), F.col("source"))).alias("author"), (d % 15 - 2).cast("int").alias("century"),
-        F.when(d % 5 == 0, None).when(d % 5 == 1, "").when(d % 5 == 2, "poetry").otherwise("letters").alias("genre"), F.when(F.col("lang") == "en", "la").otherwise("grc").alias("language"),
-        F.when(d % 4 == 0, "late_antique").when(d % 4 == 1, "archaic").when(d % 4 == 2, "medieval").alias("language_stage"), F.concat("source", F.lit(" (part "), d % 3, F.lit(")")).alias("source"),
-        F.when(d % 6 == 0, "translated").when(d % 6 == 1, "translated_paywalled").when(d % 6 == 2, "untranslated").otherwise("unknown").alias("translation_status"),
+        d.alias("id"), F.concat(F.lit("Work "), d).alias("title"), F.when(
+            d % 7 != 0, F.concat(F.lit("Author "), F.col("source"))
+        ).alias("author"), (d % 15 - 2).cast("int").alias("century"),
+        F.when(d % 5 == 0, None).when(d % 5 == 1, "").when(d % 5 == 2, "poetry").otherwise("letters").alias("genre"), F.when(
+            F.col("lang") == "en", "la"
+        ).otherwise("grc").alias("language"),
+        F.when(d % 4 == 0, "late_antique").when(d % 4 == 1, "archaic").when(d % 4 == 2, "medieval").alias("language_stage"), F.concat(
+            "source", F.lit(" (part "), d % 3, F.lit(")")
+        ).alias("source"),
+        F.when(d % 6 == 0, "translated").when(
+            d % 6 == 1, "translated_paywalled"
+        ).when(d % 6 == 2, "untranslated").otherwise("unknown").alias("translation_status"),
     )
 
 
@@ -54,7 +62,9 @@ CASE doc_id % 6 WHEN 0 THEN 'translated' WHEN 1 THEN 'translated_paywalled' WHEN
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "source_text"))
     o = F.col("ord")
-    return s.withColumn("id", F.col("doc_id") * 10000000 + o).withColumn("section_id", F.col("doc_id") * 10000000 + F.floor(o / 4)).withColumn("english_text", F.when(o % 4 == 0, F.concat(F.lit("T "), "source_text")).when(o % 4 == 1, "").when(o % 4 == 2, None).otherwise("x")).withColumn("english_styled", F.when(o % 8 == 0, F.lower("source_text")))
+    return s.withColumn("id", F.col("doc_id") * 10000000 + o).withColumn("section_id", F.col("doc_id") * 10000000 + F.floor(o / 4)).withColumn(
+        "english_text", F.when(o % 4 == 0, F.concat(F.lit("T "), "source_text")).when(o % 4 == 1, "").when(o % 4 == 2, None).otherwise("x")
+    ).withColumn("english_styled", F.when(o % 8 == 0, F.lower("source_text")))
 
 
 SEGMENTS = """s AS (SELECT doc_id, CAST(ord AS INT) AS ord, doc_id * 10000000 + ord AS id, doc_id * 10000000 + ord // 4 AS section_id, source_text,
@@ -85,34 +95,105 @@ def text_query(name: str, sql: str | None, **columns) -> None:
         SQL[name] = f"SELECT doc_id, {sql} FROM documents"
 
 
-CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '()[]<>{}', ''), '/+', ' ', 'g'), '-{2,}', ' ', 'g'), '\.{2,}', ' ', 'g'), '[+*=~^|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+CLEAN = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '()[]<>{}', ''), '/+', ' ', 'g'), "
+    r"'-{2,}', ' ', 'g'), '\.{2,}', ' ', 'g'), '[+*=~^|]+', ' ', 'g'), '\s+', ' ', 'g'))"
+)
 STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 text_query("str01_normalize", CLEAN + " AS clean", clean=lambda: X.normalize_for_embedding("text"))
-text_query("str02_embedding_text", f"CASE WHEN {CLEAN} <> '' AND {CLEAN} <> {STRIPPED} THEN {CLEAN} END AS embed_text", embed_text=lambda: X.embedding_text("text"))
+text_query(
+    "str02_embedding_text",
+    f"CASE WHEN {CLEAN} <> '' AND {CLEAN} <> {STRIPPED} THEN {CLEAN} END AS embed_text",
+    embed_text=lambda: X.embedding_text("text"),
+)
 text_query("str03_strip_diacritics", "strip_accents(text) AS bare", bare=lambda: alignment.strip_diacritics("text"))
 FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-text_query("str05_segment_greek", rf"len(list_filter(list_transform(string_split(regexp_replace({FLAT}, '([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace({FLAT}, '([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), '|')) AS digest", n=lambda: F.size(X.sentences("text", "grc")).cast("long"), digest=lambda: F.md5(F.array_join(X.sentences("text", "grc"), "|").cast("binary")))
-text_query("str06_verse_lines", r"len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), '|')) AS digest", n=lambda: F.size(X.verse_lines("text")).cast("long"), digest=lambda: F.md5(F.array_join(X.verse_lines("text"), "|").cast("binary")))
-text_query("str09_split_english", rf"len(list_filter(string_split(regexp_replace({FLAT}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) > 1)) AS n", n=lambda: F.size(X.split_english("text")).cast("long"))
-text_query("str10_chunks", None, n=lambda: F.size(alignment.chunked("text")), digest=lambda: F.md5(F.array_join(alignment.chunked("text"), "|").cast("binary")))
+text_query(
+    "str05_segment_greek",
+    rf"len(list_filter(list_transform(string_split(regexp_replace({FLAT}, '([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: "
+    rf"trim(x)), lambda x: x <> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace({FLAT}, "
+    rf"'([.;?·])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), '|')) AS digest",
+    n=lambda: F.size(X.sentences("text", "grc")).cast("long"),
+    digest=lambda: F.md5(F.array_join(X.sentences("text", "grc"), "|").cast("binary")),
+)
+text_query(
+    "str06_verse_lines",
+    r"len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x "
+    r"<> '')) AS n, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ "
+    r"\t]+', ' ', 'g'))), lambda x: x <> ''), '|')) AS digest",
+    n=lambda: F.size(X.verse_lines("text")).cast("long"),
+    digest=lambda: F.md5(F.array_join(X.verse_lines("text"), "|").cast("binary")),
+)
+text_query(
+    "str09_split_english",
+    rf"len(list_filter(string_split(regexp_replace({FLAT}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: "
+    rf"length(x) > 1)) AS n",
+    n=lambda: F.size(X.split_english("text")).cast("long"),
+)
+text_query(
+    "str10_chunks",
+    None,
+    n=lambda: F.size(alignment.chunked("text")),
+    digest=lambda: F.md5(F.array_join(alignment.chunked("text"), "|").cast("binary")),
+)
 text_query("str11_fold", "lower(translate(text, 'vVUjJI', 'uuuiii')) AS folded", folded=lambda: X.fold("text"))
-text_query("str12_tokenize", r"len(regexp_extract_all(text, '\s+|[A-Za-z]+|[^A-Za-z\s]+')) AS n_tokens, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words", n_tokens=lambda: F.regexp_count("text", F.lit(r"(?U)\s+|[A-Za-z]+|[^A-Za-z\s]+")).cast("long"), n_words=lambda: F.size(X.letter_words("text")).cast("long"))
+text_query(
+    "str12_tokenize",
+    r"len(regexp_extract_all(text, '\s+|[A-Za-z]+|[^A-Za-z\s]+')) AS n_tokens, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words",
+    n_tokens=lambda: F.regexp_count("text", F.lit(r"(?U)\s+|[A-Za-z]+|[^A-Za-z\s]+")).cast("long"),
+    n_words=lambda: F.size(X.letter_words("text")).cast("long"),
+)
 _sum = lambda i: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p[i]}', ''))) // {len(p[i])}" for p in X.SIGNATURES)
-text_query("str13_long_s_score", f"CAST({_sum(1)} AS BIGINT) AS corrupted, CAST({_sum(0)} AS BIGINT) AS clean", corrupted=lambda: X.long_s_counts("text")[0], clean=lambda: X.long_s_counts("text")[1])
-text_query("str20_leading_numbers", r"regexp_replace(regexp_replace(text, '^(?:\s*\d+){3,}\s*', ''), '^\s+|\s+$', '', 'g') AS cleaned", cleaned=lambda: X.drop_leading_numbers("text"))
+text_query(
+    "str13_long_s_score",
+    f"CAST({_sum(1)} AS BIGINT) AS corrupted, CAST({_sum(0)} AS BIGINT) AS clean",
+    corrupted=lambda: X.long_s_counts("text")[0],
+    clean=lambda: X.long_s_counts("text")[1],
+)
+text_query(
+    "str20_leading_numbers",
+    r"regexp_replace(regexp_replace(text, '^(?:\s*\d+){3,}\s*', ''), '^\s+|\s+$', '', 'g') AS cleaned",
+    cleaned=lambda: X.drop_leading_numbers("text"),
+)
 _n = lambda p: rf"len(regexp_extract_all(text, '{p}'))"
 text_query("str21_noise", rf"({_n(r'\p{L}')} < 15 OR {_n(r'\p{Nd}')} > {_n(r'\p{L}')}) AS noise", noise=lambda: X.is_noise("text"))
-CHROME_INPUT = "CASE doc_id % 6 WHEN 0 THEN 'Back to The Latin Library ' || text WHEN 1 THEN 'THE LATIN LIBRARY' WHEN 2 THEN text || ' the classics page' WHEN 3 THEN '   ' ELSE text END"
+CHROME_INPUT = (
+    "CASE doc_id % 6 WHEN 0 THEN 'Back to The Latin Library ' || text WHEN 1 THEN 'THE LATIN LIBRARY' WHEN 2 THEN text || ' the classics "
+    "page' WHEN 3 THEN '   ' ELSE text END"
+)
 text_query(
     "str22_chrome", f"regexp_matches({CHROME_INPUT}, '(?i)(the latin library|the classics page|christian latin|medieval latin|^\\s*$)') AS chrome",
     chrome=lambda: X.is_chrome(F.expr(CHROME_INPUT)),
 )
-text_query("str23_wiki_marks", r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[\s*(recensere|recense|edit)\s*\]', '', 'g'), '\[\s*\d+\s*\]', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned", cleaned=lambda: X.wiki_text("text"))
-GARBLE = rf"CASE WHEN {_n('[A-Za-z]+')} > 0 THEN (3 * {_n(r'[«»%\\^]')} + 2 * {_n(r'[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]')} + 2 * {_n('(?i)[bcdfghjklmnpqrstvwxz]{6,}')}) / {_n('[A-Za-z]+')} * 10 ELSE 0.0 END"
-text_query("str25_garble_score", f"round({GARBLE}, 6) AS score, {GARBLE} >= 10 AS garbled", score=lambda: F.round(X.garble_score("text"), 6), garbled=lambda: X.garble_score("text") >= 10)
+text_query(
+    "str23_wiki_marks",
+    r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[\s*(recensere|recense|edit)\s*\]', '', 'g'), '\[\s*\d+\s*\]', '', "
+    r"'g'), '^\s+|\s+$', '', 'g') AS cleaned",
+    cleaned=lambda: X.wiki_text("text"),
+)
+GARBLE = (
+    rf"CASE WHEN {_n('[A-Za-z]+')} > 0 THEN (3 * {_n(r'[«»%\\^]')} + 2 * {_n(r'[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]')} + 2 * "
+    rf"{_n('(?i)[bcdfghjklmnpqrstvwxz]{6,}')}) / {_n('[A-Za-z]+')} * 10 ELSE 0.0 END"
+)
+text_query(
+    "str25_garble_score",
+    f"round({GARBLE}, 6) AS score, {GARBLE} >= 10 AS garbled",
+    score=lambda: F.round(X.garble_score("text"), 6),
+    garbled=lambda: X.garble_score("text") >= 10,
+)
 _MIXED = "concat(text, ' λόγος καὶ λόγος ', source)"
-text_query("str26_scripts", r"length(regexp_replace(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')) AS n_other, array_to_string(regexp_extract_all(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+'), '|') AS greek", n_other=lambda: F.length(X.without_greek(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source"))).cast("long"), greek=lambda: F.array_join(X.greek_runs(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source")), "|"))
-MIXED = "CASE WHEN doc_id % 3 = 0 THEN text ELSE concat('λόγος', substr('αβγδεζηθικλμνξοπρ', CAST(doc_id % 17 + 1 AS INT), 1), ' ', text, ' καὶ λόγος καὶ ', substr('αβγδε', CAST(doc_id % 5 + 1 AS INT), 1), ' ', source) END"
+text_query(
+    "str26_scripts",
+    r"length(regexp_replace(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')) AS n_other, "
+    r"array_to_string(regexp_extract_all(concat(text, ' λόγος καὶ λόγος ', source), '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+'), '|') AS "
+    r"greek",
+    n_other=lambda: F.length(X.without_greek(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source"))).cast("long"),
+    greek=lambda: F.array_join(X.greek_runs(F.concat("text", F.lit(" λόγος καὶ λόγος "), "source")), "|"),
+)
+MIXED = (
+    "CASE WHEN doc_id % 3 = 0 THEN text ELSE concat('λόγος', substr('αβγδεζηθικλμνξοπρ', CAST(doc_id % 17 + 1 AS INT), 1), ' ', text, ' "
+    "καὶ λόγος καὶ ', substr('αβγδε', CAST(doc_id % 5 + 1 AS INT), 1), ' ', source) END"
+)
 GREEK_RUNS = r"regexp_extract_all(m, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+')"
 KEPT = r"'T ' || regexp_replace(m, '[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}]+', '', 'g')"
 
@@ -124,11 +205,20 @@ def str27_mixed_translation(spark, sf):
     return d.select("doc_id", X.mixed_translation("m", lambda c: F.concat(F.lit("T "), c)).alias("translated"))
 
 
-KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\(.*?\)', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+KEY = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\(.*?\)', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', "
+    r"' ', 'g'))"
+)
 text_query("str28_match_key", KEY + " AS key", key=lambda: X.match_key("text"))
 TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g'))"
-HEAD = r"regexp_replace(regexp_replace(regexp_split_to_array(title, '[/(:;]')[1], '(?i)\b(recensio|rec\.|pars|liber|lib\.)\b.*$', ''), '(^|[^\p{L}\p{N}_])[A-Z]\.\s*', '\1', 'g')"
-TITLES = f"(SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'In L. ' ELSE 'De ' END || {TITLE} || CASE page_id % 3 WHEN 0 THEN ' / Liber P' WHEN 1 THEN ', liber II (pars)' ELSE '' END AS title FROM pages)"
+HEAD = (
+    r"regexp_replace(regexp_replace(regexp_split_to_array(title, '[/(:;]')[1], '(?i)\b(recensio|rec\.|pars|liber|lib\.)\b.*$', ''), "
+    r"'(^|[^\p{L}\p{N}_])[A-Z]\.\s*', '\1', 'g')"
+)
+TITLES = (
+    f"(SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'In L. ' ELSE 'De ' END || {TITLE} || CASE page_id % 3 WHEN 0 THEN ' / "
+    f"Liber P' WHEN 1 THEN ', liber II (pars)' ELSE '' END AS title FROM pages)"
+)
 
 
 def titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,22 +234,47 @@ def str29_search_title(spark, sf):
 
 
 _list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-text_query("str30_generic_title", rf"len(c) = 0 OR len(list_filter(c, lambda w: NOT list_contains({_list(X.GENERIC_WORDS)}, w))) = 0 OR list_contains({_list(X.GENRE_HEADS)}, c[1]) AS generic FROM (SELECT doc_id, list_filter(string_split(regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'vita ' WHEN 1 THEN 'carminum appendix ii' WHEN 2 THEN 'xiv 3' ELSE '' END || CASE WHEN doc_id % 4 IN (0, 3) THEN source ELSE '' END, '\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[ivxlcdm]+|\d+')) AS c FROM documents) AS documents", generic=lambda: X.is_generic_title(F.concat(F.when(F.col("doc_id") % 4 == 0, "vita ").when(F.col("doc_id") % 4 == 1, "carminum appendix ii").when(F.col("doc_id") % 4 == 2, "xiv 3").otherwise(""), F.when((F.col("doc_id") % 4).isin(0, 3), F.col("source")).otherwise(""))))
+text_query(
+    "str30_generic_title",
+    rf"len(c) = 0 OR len(list_filter(c, lambda w: NOT list_contains({_list(X.GENERIC_WORDS)}, w))) = 0 OR "
+    rf"list_contains({_list(X.GENRE_HEADS)}, c[1]) AS generic FROM (SELECT doc_id, list_filter(string_split(regexp_replace(CASE doc_id "
+    rf"% 4 WHEN 0 THEN 'vita ' WHEN 1 THEN 'carminum appendix ii' WHEN 2 THEN 'xiv 3' ELSE '' END || CASE WHEN doc_id % 4 IN (0, 3) "
+    rf"THEN source ELSE '' END, '\s+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_full_match(w, '[ivxlcdm]+|\d+')) AS c FROM "
+    rf"documents) AS documents",
+    generic=lambda: X.is_generic_title(
+        F.concat(
+            F.when(F.col("doc_id") % 4 == 0, "vita ").when(
+                F.col("doc_id") % 4 == 1, "carminum appendix ii"
+            ).when(F.col("doc_id") % 4 == 2, "xiv 3").otherwise(""),
+            F.when((F.col("doc_id") % 4).isin(0, 3), F.col("source")).otherwise(""),
+        )
+    ),
+)
 SQL["str30_generic_title"] = SQL["str30_generic_title"].removesuffix(" FROM documents")
 
 
 @query()
 def str31_similarity(spark, sf):
-    return titles(spark, sf).select("page_id", F.round(alignment.similarity(X.match_key("title"), F.lit("carmina et epistolae")), 6).alias("ratio"))
+    return titles(spark, sf).select(
+        "page_id", F.round(alignment.similarity(X.match_key("title"), F.lit("carmina et epistolae")), 6).alias("ratio")
+    )
 
 
 text_query("str32_alnum", "lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS plain", plain=lambda: X.alnum("text"))
-QUOTED = "CASE doc_id % 5 WHEN 0 THEN ' ' || chr(34) || text || ' ' || chr(34) WHEN 1 THEN chr(39) || text || chr(39) WHEN 2 THEN ' “ ' || text || '”' WHEN 3 THEN chr(34) || text ELSE text END"
+QUOTED = (
+    "CASE doc_id % 5 WHEN 0 THEN ' ' || chr(34) || text || ' ' || chr(34) WHEN 1 THEN chr(39) || text || chr(39) WHEN 2 THEN ' “ ' || text "
+    "|| '”' WHEN 3 THEN chr(34) || text ELSE text END"
+)
 BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-text_query("str36_unquote", f"CASE WHEN doc_id % 5 = 3 THEN chr(34) || regexp_replace(text, '\\s+$', '') ELSE {BARE} END AS plain", plain=lambda: X.unquote(F.expr(QUOTED)))
+text_query(
+    "str36_unquote",
+    f"CASE WHEN doc_id % 5 = 3 THEN chr(34) || regexp_replace(text, '\\s+$', '') ELSE {BARE} END AS plain",
+    plain=lambda: X.unquote(F.expr(QUOTED)),
+)
 text_query(
     "str37_century_label",
-    "CASE WHEN n_chars % 41 > 20 THEN (n_chars % 41 - 20) || 'c CE' WHEN n_chars % 41 < 20 THEN (20 - n_chars % 41) || 'c BCE' END AS label",
+    "CASE WHEN n_chars % 41 > 20 THEN (n_chars % 41 - 20) || 'c CE' WHEN n_chars % 41 < 20 THEN (20 - n_chars % 41) || 'c BCE' END AS "
+    "label",
     label=lambda: X.century_label(F.col("n_chars") % 41 - 20),
 )
 text_query("str40_work_stem", "source || '|' || doc_id AS stem", stem=lambda: X.work_stem(F.concat_ws("|", "source", "doc_id", "n_chars")))
@@ -172,17 +287,40 @@ text_query(
     "str41_roman", "CASE WHEN doc_id % 7 = 0 THEN doc_id % 24 + 1 WHEN doc_id % 90 > 0 THEN doc_id % 90 END AS n",
     n=lambda: X.book_number(F.expr(NUMBERED)).cast("long"),
 )
-text_query("str43_strip_tags", r"trim(regexp_replace(regexp_replace('<i>' || text || '</i>', '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS plain", plain=lambda: X.strip_tags(F.concat(F.lit("<i>"), "text", F.lit("</i>"))))
-text_query("snk11_html_escape", "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html", html=lambda: X.escape_html("text"))
-DATES = f"CASE doc_id % 4 WHEN 0 THEN 'saec. ' || {NUMERAL} || ' - saec. XC' WHEN 1 THEN '† ' || (200 + n_chars % 1300) || '/45 - ' || (1600 + doc_id % 9) WHEN 2 THEN (n_chars % 90) || ' ignotum' ELSE 'Saec ' || lower({NUMERAL}) || ', 1100' END"
+text_query(
+    "str43_strip_tags",
+    r"trim(regexp_replace(regexp_replace('<i>' || text || '</i>', '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS plain",
+    plain=lambda: X.strip_tags(F.concat(F.lit("<i>"), "text", F.lit("</i>"))),
+)
+text_query(
+    "snk11_html_escape",
+    "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html",
+    html=lambda: X.escape_html("text"),
+)
+DATES = (
+    f"CASE doc_id % 4 WHEN 0 THEN 'saec. ' || {NUMERAL} || ' - saec. XC' WHEN 1 THEN '† ' || (200 + n_chars % 1300) || '/45 - ' || (1600 + "
+    f"doc_id % 9) WHEN 2 THEN (n_chars % 90) || ' ignotum' ELSE 'Saec ' || lower({NUMERAL}) || ', 1100' END"
+)
 # xc is beyond the letters of a century, so it counts for x alone
 text_query(
     "dat01_earliest_century",
-    "CASE doc_id % 4 WHEN 1 THEN (200 + n_chars % 1300) // 100 + 1 WHEN 2 THEN NULL WHEN 0 THEN CASE WHEN doc_id % 90 BETWEEN 1 AND 10 THEN doc_id % 90 ELSE 10 END ELSE CASE WHEN doc_id % 90 > 0 THEN doc_id % 90 ELSE 12 END END AS century",
+    "CASE doc_id % 4 WHEN 1 THEN (200 + n_chars % 1300) // 100 + 1 WHEN 2 THEN NULL WHEN 0 THEN CASE WHEN doc_id % 90 BETWEEN 1 AND 10 "
+    "THEN doc_id % 90 ELSE 10 END ELSE CASE WHEN doc_id % 90 > 0 THEN doc_id % 90 ELSE 12 END END AS century",
     century=lambda: X.earliest_century(F.expr(DATES)).cast("long"),
 )
-text_query("flt09_clean_prose", rf"NOT regexp_matches(text, '[\x{{0391}}-\x{{03A9}}\x{{03B1}}-\x{{03C9}}\x{{1F00}}-\x{{1FFC}}]') AND NOT regexp_matches(text, '(?i)\(\s*(?:Enter|Exit|Exeunt|Aside|to\s+\w+self|sings|aside)\b') AND NOT regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[A-Z]{{4,}}($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(text, '(?i)\b(?:mentul|cinaed|pathic|catamit)\w*') AND {_n('[()]')} <= 1 AND {_n(r'\p{L}')} >= 0.6 * length(text) AS clean", clean=lambda: X.is_clean_prose("text"))
-text_query("flt10_contaminated", rf"{_n(r'[^\x00-\x7F]')} / greatest(1, length(text)) > 0.12 AS contaminated", contaminated=lambda: X.is_contaminated("text", F.lit("")))
+text_query(
+    "flt09_clean_prose",
+    rf"NOT regexp_matches(text, '[\x{{0391}}-\x{{03A9}}\x{{03B1}}-\x{{03C9}}\x{{1F00}}-\x{{1FFC}}]') AND NOT regexp_matches(text, "
+    rf"'(?i)\(\s*(?:Enter|Exit|Exeunt|Aside|to\s+\w+self|sings|aside)\b') AND NOT regexp_matches(text, "
+    rf"'(^|[^\p{{L}}\p{{N}}_])[A-Z]{{4,}}($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(text, "
+    rf"'(?i)\b(?:mentul|cinaed|pathic|catamit)\w*') AND {_n('[()]')} <= 1 AND {_n(r'\p{L}')} >= 0.6 * length(text) AS clean",
+    clean=lambda: X.is_clean_prose("text"),
+)
+text_query(
+    "flt10_contaminated",
+    rf"{_n(r'[^\x00-\x7F]')} / greatest(1, length(text)) > 0.12 AS contaminated",
+    contaminated=lambda: X.is_contaminated("text", F.lit("")),
+)
 HAY = "CASE doc_id % 5 WHEN 0 THEN 'MGH Diplomata: ' || text WHEN 1 THEN text || ' Urkundenbuch' ELSE text END"
 _files = lambda: F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("a-lat1.xml"), F.lit("x-eng1.xml"))).otherwise(F.array(F.lit("a-eng.txt")))
 text_query(
@@ -200,7 +338,10 @@ def str04_segment_sentences(spark, sf):
     return s.where(F.size("s") > 0).select("doc_id", "ord", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("joined"))
 
 
-VOCAB = "v AS (SELECT lower(translate(w, 'vVUjJI', 'uuuiii')) AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY 1)"
+VOCAB = (
+    "v AS (SELECT lower(translate(w, 'vVUjJI', 'uuuiii')) AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, "
+    "'[A-Za-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY 1)"
+)
 
 
 @query(f"WITH {VOCAB} SELECT word, freq FROM v")
@@ -208,7 +349,10 @@ def agg06_vocabulary(spark, sf):
     return library.vocabulary(table(spark, sf, "documents"), column="text")
 
 
-STEMS = f"t AS (SELECT DISTINCT left(word, length(word) - length(e)) AS stem FROM v, (SELECT unnest({_list(X.ENDINGS)}) AS e) WHERE length(word) >= 6 AND suffix(word, e) AND length(word) - length(e) >= 4)"
+STEMS = (
+    f"t AS (SELECT DISTINCT left(word, length(word) - length(e)) AS stem FROM v, (SELECT unnest({_list(X.ENDINGS)}) AS e) WHERE "
+    f"length(word) >= 6 AND suffix(word, e) AND length(word) - length(e) >= 4)"
+)
 
 
 @query(f"WITH {VOCAB}, {STEMS} SELECT stem FROM t")
@@ -235,10 +379,14 @@ def str16_correct_long_s(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"s(?=[a-z])", "f").alias("text"))
     v = stored(library.vocabulary(table(spark, sf, "documents"), column="text"), "vocabulary")
     fixes = library.best_fixes(repair.candidates(docs), v, library.stems(v))
-    return repair.corrected(docs, v, fixes).select("doc_id", "n_changes", "n_suggestions", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return repair.corrected(docs, v, fixes).select(
+        "doc_id", "n_changes", "n_suggestions", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest")
+    )
 
 
-@query(rf"""WITH {VOCAB} SELECT word, string_agg(substr('^^^^^' || word || '$$$$$', i, 5) || '@' || substr('^^^^^' || word || '$$$$$', i + 6, 5), ' ' ORDER BY i) AS windows FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v) WHERE substr(word, i, 1) = 'f' GROUP BY word""")
+@query(
+    rf"""WITH {VOCAB} SELECT word, string_agg(substr('^^^^^' || word || '$$$$$', i, 5) || '@' || substr('^^^^^' || word || '$$$$$', i + 6, 5), ' ' ORDER BY i) AS windows FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v) WHERE substr(word, i, 1) = 'f' GROUP BY word"""
+)
 def str17_context_windows(spark, sf):
     v = library.vocabulary(table(spark, sf, "documents"), column="text").where("word like '%f%'")
     return v.select("word", F.array_join(X.context_windows("word"), " ").alias("windows"))
@@ -247,7 +395,14 @@ def str17_context_windows(spark, sf):
 # relational
 
 
-@query(WS("SELECT count(DISTINCT doc_id) AS documents, count(*) AS segments, count_if(length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) > 0) AS translated, count_if(length(regexp_replace(coalesce(english_styled, ''), '\\s', '', 'g')) > 0) AS styled, round(100 * count_if(length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) > 0) / greatest(count(*), 1), 4) AS percent FROM s"))
+@query(
+    WS(
+        "SELECT count(DISTINCT doc_id) AS documents, count(*) AS segments, count_if(length(regexp_replace(coalesce(english_text, ''), "
+        "'\\s', '', 'g')) > 0) AS translated, count_if(length(regexp_replace(coalesce(english_styled, ''), '\\s', '', 'g')) > 0) AS "
+        "styled, round(100 * count_if(length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) > 0) / greatest(count(*), 1), "
+        "4) AS percent FROM s"
+    )
+)
 def agg01_global_counts(spark, sf):
     return library.global_counts(segments(spark, sf))
 
@@ -288,35 +443,64 @@ def agg08_signatures(spark, sf):
     return library.signature_sums(table(spark, sf, "documents").select("doc_id", F.expr(SPOILT).alias("text")))
 
 
-@query(S("SELECT doc_id, sum(CASE WHEN english_text IS NULL OR english_text = '' THEN 1 ELSE 0 END) AS pending, count(*) AS n FROM s GROUP BY doc_id"))
+@query(
+    S(
+        "SELECT doc_id, sum(CASE WHEN english_text IS NULL OR english_text = '' THEN 1 ELSE 0 END) AS pending, count(*) AS n FROM s "
+        "GROUP BY doc_id"
+    )
+)
 def agg16_pending(spark, sf):
     pending = F.col("english_text").isNull() | (F.col("english_text") == "")
     return segments(spark, sf).groupBy("doc_id").agg(F.count_if(pending).alias("pending"), F.count("*").alias("n"))
 
 
-@query(S("SELECT doc_id, sum(length(source_text)) AS chars, count(*) AS n FROM s GROUP BY doc_id HAVING sum(length(source_text)) < 300 OR count(*) < 2 OR sum(length(source_text)) > 700000"))
+@query(
+    S(
+        "SELECT doc_id, sum(length(source_text)) AS chars, count(*) AS n FROM s GROUP BY doc_id HAVING sum(length(source_text)) < 300 "
+        "OR count(*) < 2 OR sum(length(source_text)) > 700000"
+    )
+)
 def flt06_stubs(spark, sf):
     s = segments(spark, sf).groupBy("doc_id").agg(F.sum(F.length("source_text")).alias("chars"), F.count("*").alias("n"))
     return s.where("chars < 300 or n < 2 or chars > 700000")
 
 
-@query(WS("SELECT w.id, title, n FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 8) JOIN w ON w.id = doc_id"))
+@query(
+    WS(
+        "SELECT w.id, title, n FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 8) JOIN w ON "
+        "w.id = doc_id"
+    )
+)
 def jon03_largest_works(spark, sf):
     return library.largest_works(segments(spark, sf), works(spark, sf))
 
 
 @query(WS("SELECT w.id, title, s.ord, source_text FROM s JOIN w ON w.id = s.doc_id"))
 def jon02_document_lookup(spark, sf):
-    return segments(spark, sf).drop("id").join(works(spark, sf).select("id", "title"), F.col("doc_id") == F.col("id")).select("id", "title", "ord", "source_text")
+    return segments(spark, sf).drop("id").join(
+        works(spark, sf).select("id", "title"), F.col("doc_id") == F.col("id")
+    ).select("id", "title", "ord", "source_text")
 
 
-@query(S("SELECT doc_id, count(DISTINCT section_id) AS sections, count(*) AS segments, md5(string_agg(source_text, '|' ORDER BY ord)) AS digest FROM s GROUP BY doc_id"))
+@query(
+    S(
+        "SELECT doc_id, count(DISTINCT section_id) AS sections, count(*) AS segments, md5(string_agg(source_text, '|' ORDER BY ord)) "
+        "AS digest FROM s GROUP BY doc_id"
+    )
+)
 def jon04_assemble(spark, sf):
     s = segments(spark, sf)
-    sections = s.groupBy("section_id", "doc_id").agg(F.min("ord").alias("ord")).select(F.col("section_id").alias("id"), "doc_id", F.lit("x").alias("label"), "ord")
+    sections = s.groupBy("section_id", "doc_id").agg(F.min("ord").alias("ord")).select(
+        F.col("section_id").alias("id"), "doc_id", F.lit("x").alias("label"), "ord"
+    )
     d = library.assemble(works(spark, sf), sections, s)
     flat = F.flatten(F.transform("sections", lambda x: x["segments"]))
-    return d.where("sections is not null").select(F.col("id").alias("doc_id"), F.size("sections").cast("long").alias("sections"), F.size(flat).cast("long").alias("segments"), F.md5(F.array_join(F.transform(flat, lambda x: x["source_text"]), "|").cast("binary")).alias("digest"))
+    return d.where("sections is not null").select(
+        F.col("id").alias("doc_id"),
+        F.size("sections").cast("long").alias("sections"),
+        F.size(flat).cast("long").alias("segments"),
+        F.md5(F.array_join(F.transform(flat, lambda x: x["source_text"]), "|").cast("binary")).alias("digest"),
+    )
 
 
 @query(W("SELECT w.id, w.title FROM w LEFT JOIN labels l ON l.doc_id = w.id WHERE l.doc_id IS NULL"))
@@ -324,17 +508,28 @@ def jon10_not_present(spark, sf):
     return library.not_present(works(spark, sf).select("id", "title"), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
 
 
-@query(W("SELECT id, CASE WHEN language = 'la' THEN 'models/nllb-latin' WHEN language_stage = 'archaic' THEN 'models/nllb-greek-archaic' ELSE 'models/nllb-greek' END AS model FROM w"))
+@query(
+    W(
+        "SELECT id, CASE WHEN language = 'la' THEN 'models/nllb-latin' WHEN language_stage = 'archaic' THEN "
+        "'models/nllb-greek-archaic' ELSE 'models/nllb-greek' END AS model FROM w"
+    )
+)
 def jon12_routing(spark, sf):
     routes = spark.createDataFrame(library.ROUTES, "lang string, stage string, rank int, model string, code string, strip boolean")
     complete = spark.createDataFrame([("models/nllb-latin",), ("models/nllb-greek",), ("models/nllb-greek-archaic",)], "model string")
     return library.routed(works(spark, sf), routes, complete)
 
 
-@query("WITH a AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1, 2), b AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) SELECT a.conv_id, a.k, a.t AS src, b.t AS tgt FROM a JOIN b USING (conv_id, k)")
+@query(
+    "WITH a AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP "
+    "BY 1, 2), b AS (SELECT conv_id, turn // 2 AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations WHERE role = "
+    "'assistant' GROUP BY 1, 2) SELECT a.conv_id, a.k, a.t AS src, b.t AS tgt FROM a JOIN b USING (conv_id, k)"
+)
 def jon06_citation_join(spark, sf):
     c = table(spark, sf, "conversations").withColumn("k", F.floor(F.col("turn") / 2))
-    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias(name))
+    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id", "k").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias(name)
+    )
     return side("user", "src").join(side("assistant", "tgt"), ["conv_id", "k"])
 
 
@@ -347,22 +542,43 @@ def win03_best_run(spark, sf):
     return library.best_run(h, h.groupBy("doc_id").agg((F.max("pos") + 1).alias("size")))
 
 
-@query(S("SELECT id, section_id, CASE WHEN (row_number() OVER (PARTITION BY section_id ORDER BY ord)) % 2 = 1 THEN 'hexameter' ELSE 'pentameter' END AS meter FROM s"))
+@query(
+    S(
+        "SELECT id, section_id, CASE WHEN (row_number() OVER (PARTITION BY section_id ORDER BY ord)) % 2 = 1 THEN 'hexameter' ELSE "
+        "'pentameter' END AS meter FROM s"
+    )
+)
 def win05_elegiac(spark, sf):
     return enrich.meters(segments(spark, sf)).select("id", "section_id", "meter")
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r IN (SELECT CAST(floor(i * n / 100) AS BIGINT) FROM (SELECT unnest(range(0, 100)) AS i, (SELECT count(*) FROM documents) AS n)) OR n <= 100")
+@query(
+    "SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM "
+    "documents) WHERE r IN (SELECT CAST(floor(i * n / 100) AS BIGINT) FROM (SELECT unnest(range(0, 100)) AS i, (SELECT count(*) FROM "
+    "documents) AS n)) OR n <= 100"
+)
 def win09_spread_sample(spark, sf):
     return library.spread_sample(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 100)
 
 
-@query(S("SELECT id, doc_id, source_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE english_text IS NULL OR english_text = '') WHERE r <= 3"))
+@query(
+    S(
+        "SELECT id, doc_id, source_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM s WHERE "
+        "english_text IS NULL OR english_text = '') WHERE r <= 3"
+    )
+)
 def win10_first_pending(spark, sf):
-    return library.first_n(segments(spark, sf).where("english_text is null or english_text = ''"), "doc_id", ["ord"], 3).select("id", "doc_id", "source_text")
+    return library.first_n(
+        segments(spark, sf).where("english_text is null or english_text = ''"), "doc_id", ["ord"], 3
+    ).select("id", "doc_id", "source_text")
 
 
-@query(S("SELECT doc_id, n, CAST((row_number() OVER (ORDER BY n DESC, doc_id) - 1) % 4 AS INT) AS shard FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"))
+@query(
+    S(
+        "SELECT doc_id, n, CAST((row_number() OVER (ORDER BY n DESC, doc_id) - 1) % 4 AS INT) AS shard FROM (SELECT doc_id, count(*) "
+        "AS n FROM s GROUP BY doc_id)"
+    )
+)
 def win08_shards(spark, sf):
     n = segments(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"))
     ranked = library.numbered_rows(n.withColumn("_minus", -F.col("n")), ["_minus", "doc_id"])
@@ -375,7 +591,10 @@ def top04_listing(spark, sf):
 
 
 QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
-COSINE = "(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) / (sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(q, q))))"
+COSINE = (
+    "(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q) / (sqrt(list_dot_product(list_transform(embedding, "
+    "lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(q, q))))"
+)
 _Q = "(SELECT [" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "] AS q)"
 
 
@@ -385,28 +604,46 @@ def top01_cosine_topk(spark, sf):
     return search.top_k(index, QUERY_VECTOR, 10).select("id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT vec_id AS id, label, round({COSINE}, 5) AS score FROM embeddings, {_Q} WHERE label % 2 = 0 ORDER BY {COSINE} DESC, vec_id LIMIT 10")
+@query(
+    f"SELECT vec_id AS id, label, round({COSINE}, 5) AS score FROM embeddings, {_Q} WHERE label % 2 = 0 ORDER BY {COSINE} DESC, vec_id "
+    f"LIMIT 10"
+)
 def top02_filtered_topk(spark, sf):
     index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", X.unit_vector("embedding").alias("unit"))
     return search.top_k(index, QUERY_VECTOR, 10, F.col("label") % 2 == 0).select("id", "label", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT vec_id AS id, round(score, 5) AS score, n_chars, lang FROM (SELECT vec_id, {COSINE} AS score FROM embeddings, {_Q} ORDER BY {COSINE} DESC, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id")
+@query(
+    f"SELECT vec_id AS id, round(score, 5) AS score, n_chars, lang FROM (SELECT vec_id, {COSINE} AS score FROM embeddings, {_Q} ORDER "
+    f"BY {COSINE} DESC, vec_id LIMIT 10) JOIN documents ON doc_id = vec_id"
+)
 def jon05_hits(spark, sf):
     index = search.add_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("segment_id"), "n_chars", F.col("doc_id"))
     meta = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return search.hits(search.top_k(index, QUERY_VECTOR, 10), docs, meta).select(F.col("segment_id").alias("id"), F.round("score", 5).alias("score"), "n_chars", "lang")
+    return search.hits(search.top_k(index, QUERY_VECTOR, 10), docs, meta).select(
+        F.col("segment_id").alias("id"), F.round("score", 5).alias("score"), "n_chars", "lang"
+    )
 
 
-@query("WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS m FROM u) SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v) / (a.m * b.m), 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) / (a.m * b.m) DESC, b.vec_id) AS r FROM n a, n b WHERE a.vec_id % 100 = 0) WHERE r <= 5")
+@query(
+    "WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, v, "
+    "sqrt(list_dot_product(v, v)) AS m FROM u) SELECT query_id, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, "
+    "round(list_dot_product(a.v, b.v) / (a.m * b.m), 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY "
+    "list_dot_product(a.v, b.v) / (a.m * b.m) DESC, b.vec_id) AS r FROM n a, n b WHERE a.vec_id % 100 = 0) WHERE r <= 5"
+)
 def top01_topk_each(spark, sf):
     index = search.add_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
     queries = index.where("id % 100 = 0").select(F.col("id").alias("query_id"), "unit")
     return search.top_k_each(index, queries, 5).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
-@query(S("SELECT id, doc_id, CASE WHEN id % 10 = 0 THEN 'new ' || source_text ELSE source_text END AS source_text, CASE WHEN id % 10 <> 0 THEN english_text END AS english_text, CASE WHEN id % 10 <> 0 THEN english_styled END AS english_styled FROM s"))
+@query(
+    S(
+        "SELECT id, doc_id, CASE WHEN id % 10 = 0 THEN 'new ' || source_text ELSE source_text END AS source_text, CASE WHEN id % 10 <> "
+        "0 THEN english_text END AS english_text, CASE WHEN id % 10 <> 0 THEN english_styled END AS english_styled FROM s"
+    )
+)
 def snk03_patch_source(spark, sf):
     s = segments(spark, sf).select("id", "doc_id", "source_text", "english_text", "english_styled")
     return library.patch_source(s, s.where("id % 10 = 0").select("id", F.concat(F.lit("new "), "source_text").alias("source_text")))
@@ -432,41 +669,81 @@ def enr05_status_changes(spark, sf):
 GARBLED_LINE = GARBLE.replace("(text,", "(source_text,")
 
 
-@query(S(f"SELECT id, '{X.PLACEHOLDER}' AS english_text, 'placeholder' AS style_label FROM s WHERE {GARBLED_LINE} >= 10 AND english_text IS DISTINCT FROM '{X.PLACEHOLDER}'"))
+@query(
+    S(
+        f"SELECT id, '{X.PLACEHOLDER}' AS english_text, 'placeholder' AS style_label FROM s WHERE {GARBLED_LINE} >= 10 AND "
+        f"english_text IS DISTINCT FROM '{X.PLACEHOLDER}'"
+    )
+)
 def enr06_mark_garbled(spark, sf):
     return enrich.mark_garbled(segments(spark, sf)).select("id", "english_text", "style_label")
 
 
-@query(S(f"SELECT id, CASE WHEN {GARBLED_LINE} >= 10 THEN 'placeholder' ELSE 'plain' END AS route, CASE WHEN {GARBLED_LINE} >= 10 THEN '{X.PLACEHOLDER}' ELSE 'T ' || source_text END AS english_text FROM s WHERE length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) = 0"))
+@query(
+    S(
+        f"SELECT id, CASE WHEN {GARBLED_LINE} >= 10 THEN 'placeholder' ELSE 'plain' END AS route, CASE WHEN {GARBLED_LINE} >= 10 THEN "
+        f"'{X.PLACEHOLDER}' ELSE 'T ' || source_text END AS english_text FROM s WHERE length(regexp_replace(coalesce(english_text, "
+        f"''), '\\s', '', 'g')) = 0"
+    )
+)
 def mt03_translate_pending(spark, sf):
     s = segments(spark, sf).withColumn("language", F.lit("la"))
     return enrich.translated(s, lambda c: F.concat(F.lit("T "), c)).select("id", "route", "english_text")
 
 
-@query(S("SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN least(length(a), length(b)) < 30 THEN 'short' WHEN lower(a) = lower(b) THEN 'identical' WHEN len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)) > 0.12 THEN 'contaminated' END AS reason FROM (SELECT regexp_replace(source_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(CASE WHEN ord % 2 = 0 THEN lower(source_text) ELSE source_text || ' plus' END, '^\\s+|\\s+$', '', 'g') AS b FROM s) WHERE a <> '' AND b <> '') GROUP BY 1"))
+@query(
+    S(
+        "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN least(length(a), length(b)) < 30 THEN 'short' "
+        "WHEN lower(a) = lower(b) THEN 'identical' WHEN len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)) > 0.12 "
+        "THEN 'contaminated' END AS reason FROM (SELECT regexp_replace(source_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(CASE "
+        "WHEN ord % 2 = 0 THEN lower(source_text) ELSE source_text || ' plus' END, '^\\s+|\\s+$', '', 'g') AS b FROM s) WHERE a <> '' "
+        "AND b <> '') GROUP BY 1"
+    )
+)
 def flt11_pair_reasons(spark, sf):
-    p = segments(spark, sf).select(F.col("source_text").alias("src"), F.when(F.col("ord") % 2 == 0, F.lower("source_text")).otherwise(F.concat("source_text", F.lit(" plus"))).alias("tgt"))
+    p = segments(spark, sf).select(
+        F.col("source_text").alias("src"),
+        F.when(F.col("ord") % 2 == 0, F.lower("source_text")).otherwise(F.concat("source_text", F.lit(" plus"))).alias("tgt"),
+    )
     return library.pair_reasons(p).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("WITH RECURSIVE e AS (SELECT CAST(doc_id AS VARCHAR) AS child, CASE WHEN doc_id = 0 THEN 'root' ELSE CAST((doc_id - 1) // 3 AS VARCHAR) END AS parent, doc_id AS ord, doc_id >= (SELECT (max(doc_id) + 2) // 3 FROM documents) AS is_text FROM documents), t AS (SELECT child, is_text, [ord] AS path FROM e WHERE parent = 'root' UNION ALL SELECT e.child, e.is_text, list_append(t.path, e.ord) FROM t JOIN e ON e.parent = t.child WHERE NOT t.is_text) SELECT child FROM t WHERE is_text ORDER BY path LIMIT 50")
+@query(
+    "WITH RECURSIVE e AS (SELECT CAST(doc_id AS VARCHAR) AS child, CASE WHEN doc_id = 0 THEN 'root' ELSE CAST((doc_id - 1) // 3 AS "
+    "VARCHAR) END AS parent, doc_id AS ord, doc_id >= (SELECT (max(doc_id) + 2) // 3 FROM documents) AS is_text FROM documents), t AS "
+    "(SELECT child, is_text, [ord] AS path FROM e WHERE parent = 'root' UNION ALL SELECT e.child, e.is_text, list_append(t.path, "
+    "e.ord) FROM t JOIN e ON e.parent = t.child WHERE NOT t.is_text) SELECT child FROM t WHERE is_text ORDER BY path LIMIT 50"
+)
 def src14_tree_leaves(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     top = d.agg(F.floor((F.max("doc_id") + 2) / 3)).first()[0]
-    edges = d.select(F.when(F.col("doc_id") == 0, "root").otherwise(F.floor((F.col("doc_id") - 1) / 3).cast("string")).alias("parent"), F.col("doc_id").cast("string").alias("child"), F.col("doc_id").alias("ord"), (F.col("doc_id") >= top).alias("is_text"))
+    edges = d.select(
+        F.when(F.col("doc_id") == 0, "root").otherwise(F.floor((F.col("doc_id") - 1) / 3).cast("string")).alias("parent"),
+        F.col("doc_id").cast("string").alias("child"),
+        F.col("doc_id").alias("ord"),
+        (F.col("doc_id") >= top).alias("is_text"),
+    )
     return library.tree_leaves(edges, "root", 50)
 
 
-@query("WITH t AS (SELECT o_custkey AS subj, 'P747' AS pred, o_orderkey AS obj FROM orders UNION ALL SELECT l_orderkey, 'P407', l_suppkey % 7 FROM lineitem) SELECT DISTINCT a.subj AS work, b.obj AS language FROM t a JOIN t b ON b.subj = a.obj AND b.pred = 'P407' WHERE a.pred = 'P747' UNION SELECT subj, obj FROM t WHERE pred = 'P407' AND subj IN (SELECT o_custkey FROM orders)")
+@query(
+    "WITH t AS (SELECT o_custkey AS subj, 'P747' AS pred, o_orderkey AS obj FROM orders UNION ALL SELECT l_orderkey, 'P407', l_suppkey "
+    "% 7 FROM lineitem) SELECT DISTINCT a.subj AS work, b.obj AS language FROM t a JOIN t b ON b.subj = a.obj AND b.pred = 'P407' "
+    "WHERE a.pred = 'P747' UNION SELECT subj, obj FROM t WHERE pred = 'P407' AND subj IN (SELECT o_custkey FROM orders)"
+)
 def grf01_languages(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    triples = o.select(F.col("o_custkey").alias("subj"), F.lit("P747").alias("pred"), F.col("o_orderkey").alias("obj")).unionByName(li.select(F.col("l_orderkey").alias("subj"), F.lit("P407").alias("pred"), (F.col("l_suppkey") % 7).alias("obj")))
+    triples = o.select(F.col("o_custkey").alias("subj"), F.lit("P747").alias("pred"), F.col("o_orderkey").alias("obj")).unionByName(
+        li.select(F.col("l_orderkey").alias("subj"), F.lit("P407").alias("pred"), (F.col("l_suppkey") % 7).alias("obj"))
+    )
     return library.graph_languages(triples, o.select(F.col("o_custkey").alias("id")).distinct())
 
 
 @query("SELECT source, min(doc_id) AS doc_id, first(n_chars ORDER BY doc_id) AS n_chars FROM documents GROUP BY source")
 def agg19_first_per_key(spark, sf):
-    return library.first_per(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"]).select("source", "doc_id", "n_chars")
+    return library.first_per(
+        table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"]
+    ).select("source", "doc_id", "n_chars")
 
 
 @query()
@@ -489,15 +766,30 @@ def src16_thomisticum(spark, sf):
     return parse.thomisticum_text(table(spark, sf, "pages"))
 
 
-@query(r"SELECT page_id, coalesce(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages")
+@query(
+    r"SELECT page_id, coalesce(trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS "
+    r"title FROM pages"
+)
 def str42_page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
-@query(r"SELECT doc_id, 'T' AS title, 'Book 1 Chapter 1' AS label, trim(regexp_replace(text || ' tail', '\s+', ' ', 'g')) AS text FROM documents")
+@query(
+    r"SELECT doc_id, 'T' AS title, 'Book 1 Chapter 1' AS label, trim(regexp_replace(text || ' tail', '\s+', ' ', 'g')) AS text FROM "
+    r"documents"
+)
 def src02_tei(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("<TEI><teiHeader><title>T</title></teiHeader><text><body><div type='book' n='1'><div type='chapter' n='1'><p>"), X.escape_html("text"), F.lit("<note>n</note> tail</p></div></div></body></text></TEI>")).alias("xml"))
-    return d.withColumn("x", parse.parsed_tei("xml")).select("doc_id", F.col("x.title").alias("title"), F.explode("x.parts").alias("p")).select("doc_id", "title", "p.label", "p.text")
+    d = table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(
+            F.lit("<TEI><teiHeader><title>T</title></teiHeader><text><body><div type='book' n='1'><div type='chapter' n='1'><p>"),
+            X.escape_html("text"),
+            F.lit("<note>n</note> tail</p></div></div></body></text></TEI>"),
+        ).alias("xml"),
+    )
+    return d.withColumn("x", parse.parsed_tei("xml")).select(
+        "doc_id", F.col("x.title").alias("title"), F.explode("x.parts").alias("p")
+    ).select("doc_id", "title", "p.label", "p.text")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -508,20 +800,26 @@ def stm_windowed_counts(spark, sf):
 @query()
 def aln02_align_texts(spark, sf):
     c = table(spark, sf, "conversations")
-    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias(name))
+    side = lambda role, name: c.where(F.col("role") == role).groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias(name)
+    )
     return alignment.align_texts(side("user", "src").join(side("assistant", "tgt"), "conv_id"), "conv_id")
 
 
 @query()
 def pag01_align_pages(spark, sf):
     s = segments(spark, sf).select("doc_id", F.col("ord").alias("pos"), F.col("source_text").alias("text"))
-    pages = s.groupBy("doc_id", F.floor(F.col("pos") / 3).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    pages = s.groupBy("doc_id", F.floor(F.col("pos") / 3).cast("int").alias("page")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text")
+    )
     return alignment.align_pages(s, pages)
 
 
 @query()
 def enr01_best_match(spark, sf):
-    wanted = titles(spark, sf).select(F.col("page_id").alias("id"), X.match_key(X.search_title("title")).alias("key"), F.lit("").alias("author_key"))
+    wanted = titles(spark, sf).select(
+        F.col("page_id").alias("id"), X.match_key(X.search_title("title")).alias("key"), F.lit("").alias("author_key")
+    )
     entry = lambda ord_, title: (F.col(ord_).alias("ord"), X.match_key(title).alias("title_key"), F.lit("").alias("context_key"))
     entries = table(spark, sf, "benchmark").select(*entry("item_id", "text"))
     own = table(spark, sf, "pages").withColumn("n", F.col("page_id") + 1000000).select(*entry("n", X.page_title("html")))
@@ -530,7 +828,11 @@ def enr01_best_match(spark, sf):
 
 @query()
 def rag01_search(spark, sf):
-    passages = table(spark, sf, "documents").select("doc_id", F.posexplode(alignment.chunked("text")).alias("chunk", "passage")).withColumn("id", F.col("doc_id") * 10000000 + F.col("chunk"))
-    embedded = enrich.apply_model(passages, "id", "passage", lambda: lambda texts: alignment.hashing_embedder(texts).tolist(), "array<double>")
+    passages = table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(alignment.chunked("text")).alias("chunk", "passage")
+    ).withColumn("id", F.col("doc_id") * 10000000 + F.col("chunk"))
+    embedded = enrich.apply_model(
+        passages, "id", "passage", lambda: lambda texts: alignment.hashing_embedder(texts).tolist(), "array<double>"
+    )
     index = embedded.select("id", X.unit_vector("output").alias("unit"))
     return search.top_k(index, alignment.hashing_embedder(["and the of"])[0].tolist(), 10).select("id", F.round("score", 6).alias("score"))

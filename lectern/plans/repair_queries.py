@@ -39,13 +39,17 @@ def _model(spark, sf):
 def ml01_long_s_classifier(spark, sf):
     model, examples = _model(spark, sf)
     right = (F.col("prediction") == F.col("label")).cast("int")
-    return repair.classified(model, examples.where("held_out")).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(right), 4).alias("accuracy"))
+    return repair.classified(model, examples.where("held_out")).groupBy("kind").agg(
+        F.count("*").alias("n"), F.round(F.avg(right), 4).alias("accuracy")
+    )
 
 
 def spoilt(spark, sf):
     """The documents with every s but final ones written as f, every fourth one with its words' ct as ft."""
     text = F.regexp_replace("text", "s(?=[a-z])", "f")
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("ct"), F.lit("ft"))).otherwise(text).alias("text"))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("ct"), F.lit("ft"))).otherwise(text).alias("text")
+    )
 
 
 def _decided(spark, sf, docs):
@@ -59,7 +63,9 @@ def _decided(spark, sf, docs):
 def str18_model_tier(spark, sf):
     docs = spoilt(spark, sf)
     v, decided = _decided(spark, sf, docs)
-    return repair.apply_tier(docs, v, decided, "model").select("doc_id", "n_changes", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return repair.apply_tier(docs, v, decided, "model").select(
+        "doc_id", "n_changes", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest")
+    )
 
 
 @query()
@@ -85,4 +91,6 @@ def jon14_recovered(spark, sf):
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("t")))), lambda x: x["t"]), " ")
     pages = s.groupBy("page").agg(joined(bad).alias("old"), joined(F.col("source_text")).alias("new"))
     garbled = s.where("ord % 2 = 0").select("id", bad.alias("text"))
-    return alignment.recovered(garbled, s.select("id", "page"), pages.select("page", F.col("old").alias("text")), pages.select("page", F.col("new").alias("text")))
+    return alignment.recovered(
+        garbled, s.select("id", "page"), pages.select("page", F.col("old").alias("text")), pages.select("page", F.col("new").alias("text"))
+    )

@@ -31,7 +31,9 @@ def restyled_units(units: list[str], generate: Callable[[str, str], str], system
     """STY-01: exactly one text for each unit: a whole passage with numbered lines, else one by one; blank units stay blank."""
     if len(units) > 1:
         numbered = "\n".join(f"{i}. {u.strip()}" for i, u in enumerate(units, 1))
-        got = parse_numbered(generate(system, f"{instruction}\n\nKeep the numbers 1 to {len(units)}, one entry each:\n\n{numbered}"), len(units))
+        got = parse_numbered(
+            generate(system, f"{instruction}\n\nKeep the numbers 1 to {len(units)}, one entry each:\n\n{numbered}"), len(units)
+        )
         if got is not None:
             return list(map(cleaned, got))
     return [cleaned(generate(system, f"{instruction}\n\n{u.strip()}")) if u.strip() else "" for u in units]
@@ -50,7 +52,14 @@ def style_batches(segments: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
-def styled(segments: DataFrame, factory: Callable[[], Callable[[str, str], str]], preset: str, system: str = "", instruction: str = "", size: int = BATCH) -> DataFrame:
+def styled(
+    segments: DataFrame,
+    factory: Callable[[], Callable[[str, str], str]],
+    preset: str,
+    system: str = "",
+    instruction: str = "",
+    size: int = BATCH,
+) -> DataFrame:
     """STY-02: the patch (id, english_styled, style_label) of pending segments; a batch that fails is halved, one that fails alone is left pending."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset}; one of {', '.join(PRESETS)}")
@@ -74,7 +83,9 @@ def styled(segments: DataFrame, factory: Callable[[], Callable[[str, str], str]]
     batches = style_batches(segments, size).select("section_id", "batch", "id", "ord", "english_text")
     done = batches.groupBy("section_id", "batch").applyInPandas(run, "id long, english_styled string")
     done = done.withColumn("style_label", F.lit(preset))
-    copied = pending_style(segments).where("route = 'placeholder'").select("id", F.lit(X.PLACEHOLDER).alias("english_styled"), F.lit("placeholder").alias("style_label"))
+    copied = pending_style(segments).where("route = 'placeholder'").select(
+        "id", F.lit(X.PLACEHOLDER).alias("english_styled"), F.lit("placeholder").alias("style_label")
+    )
     return done.unionByName(copied)
 
 

@@ -54,7 +54,9 @@ def limited(rows: DataFrame, key: list[str], limit: int | None, pos: str = "pos"
 def listing(payloads: DataFrame, kind: str) -> DataFrame:
     """JSN-05: (id, pos, name) of the entries of one type in directory listings, JSON arrays of {name, type}."""
     entries = F.from_json("payload", "array<struct<name:string,type:string>>")
-    return payloads.select("id", F.posexplode(entries).alias("pos", "e")).where(F.col("e.type") == kind).select("id", "pos", F.col("e.name").alias("name"))
+    return payloads.select(
+        "id", F.posexplode(entries).alias("pos", "e")
+    ).where(F.col("e.type") == kind).select("id", "pos", F.col("e.name").alias("name"))
 
 
 def matches(column: str, query: str) -> Column:
@@ -136,7 +138,9 @@ def wiki_titles(payloads: DataFrame) -> DataFrame:
     """SRC-07: (id, pos, title) of category members or search hits."""
     hit = "array<struct<title:string>>"
     q = F.from_json("payload", f"struct<query:struct<categorymembers:{hit},search:{hit}>>")["query"]
-    return payloads.select("id", F.posexplode(F.coalesce(q["categorymembers"], q["search"])).alias("pos", "h")).select("id", "pos", F.col("h.title").alias("title"))
+    return payloads.select(
+        "id", F.posexplode(F.coalesce(q["categorymembers"], q["search"])).alias("pos", "h")
+    ).select("id", "pos", F.col("h.title").alias("title"))
 
 
 def canon_pages(base: str, limit: int) -> list[str]:
@@ -176,7 +180,9 @@ def bsb_id(c: Column | str) -> Column:
     s = X.strip(X.col(c))
     named = F.nullif(F.lower(F.regexp_extract(s, r"(?i)(bsb\d+)", 1)), F.lit(""))
     digits = F.regexp_replace(s, r"^0+(?=\d)", "")
-    return F.coalesce(named, F.when(s.rlike(r"^\d+$"), F.concat(F.lit("bsb"), F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0")))))
+    return F.coalesce(
+        named, F.when(s.rlike(r"^\d+$"), F.concat(F.lit("bsb"), F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0"))))
+    )
 
 
 def manifest(payloads: DataFrame) -> DataFrame:
@@ -193,7 +199,9 @@ def manifest_query(entries: DataFrame, query: str = "all", limit: int | None = 1
     if q.startswith("c") and q[1:].isdigit() and len(q) in (2, 3):
         entries = entries.where(F.col("century") == int(q[1:]))
     elif q not in EVERYTHING:
-        entries = entries.where(F.contains(F.lower(F.concat(F.coalesce("author", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))), F.lit(q)))
+        entries = entries.where(
+            F.contains(F.lower(F.concat(F.coalesce("author", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))), F.lit(q))
+        )
     entries = entries.orderBy("pos")
     return (entries if limit is None else entries.limit(limit)).select("code")
 
@@ -206,7 +214,9 @@ def crawled(works: DataFrame, max_year: int) -> DataFrame:
     rows = works.withColumn("century", X.earliest_century("dates")).where(F.col("century") <= max_year // 100)
     rows = rows.withColumn("code", F.regexp_extract("href", r"codice/(.+)$", 1)).where("code <> ''")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("carmina"))
-    return rows.groupBy("code").agg(F.min_by(F.struct("author", "dates", "century", title.alias("title")), "pos").alias("e")).select("code", "e.*")
+    return rows.groupBy("code").agg(
+        F.min_by(F.struct("author", "dates", "century", title.alias("title")), "pos").alias("e")
+    ).select("code", "e.*")
 
 
 def archive_query(query: str) -> str:
@@ -283,7 +293,9 @@ def edcs_segments(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     rows = rows.select("id", "at", F.try_variant_get("d", "$.obj", "variant").alias("o")).where("o is not null")
     raw = F.coalesce(get("$.inschriften[0][0]"), get("$.inschriften[0]"), get("$.inschriften"))
     text = X.collapse(F.replace(raw, F.lit("/"), F.lit(" / ")))
-    cite = F.array_join(F.filter(F.coalesce(get("$.belege[0]", "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), " ")
+    cite = F.array_join(
+        F.filter(F.coalesce(get("$.belege[0]", "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), " "
+    )
     filled = lambda c: F.nullif(c, F.lit(""))
     place = F.coalesce(filled(get("$.provinz")), filled(get("$.ort")))
     label = F.concat_ws(" · ", F.coalesce(get("$.edcs-id"), F.lit("EDCS-?")), filled(cite), place)
@@ -305,7 +317,9 @@ def section_codes(pages: DataFrame) -> DataFrame:
         return F.when(flat.rlike(r"(?U)^\d+$"), F.concat(F.lit("pars "), flat)).when(flat == "", "carmen").otherwise(flat)
 
     listed = F.zip_with("_values", "_names", lambda v, n: F.struct(X.strip(v).alias("section"), label(n).alias("label")))
-    found = F.when(F.size("_values") > 0, listed).otherwise(F.array(F.struct(F.col("code").alias("section"), F.lit("carmen").alias("label"))))
+    found = F.when(F.size("_values") > 0, listed).otherwise(
+        F.array(F.struct(F.col("code").alias("section"), F.lit("carmen").alias("label")))
+    )
     return rows.select("code", F.posexplode(found).alias("ord", "s")).select("code", "ord", "s.*")
 
 
@@ -323,10 +337,14 @@ def verse_parts(works: DataFrame, sections: DataFrame) -> DataFrame:
     """
     codes = section_codes(works)
     pages = sections.select(F.col("section").alias("_s"), F.col("html").alias("_h"))
-    texts = codes.join(pages, codes["section"] == F.col("_s"), "left").join(works.select(F.col("code").alias("_c"), F.col("html").alias("_own")), F.col("code") == F.col("_c"))
+    texts = codes.join(pages, codes["section"] == F.col("_s"), "left").join(
+        works.select(F.col("code").alias("_c"), F.col("html").alias("_own")), F.col("code") == F.col("_c")
+    )
     page = F.coalesce(F.when(F.col("section") == F.col("code"), F.col("_own")), F.col("_h"))
     parts = texts.select("code", "ord", "label", F.array_join(verse_lines(page), "\n").alias("text")).where("text <> ''")
-    rest = works.join(parts.select("code").distinct(), "code", "left_anti").select("code", F.lit(0).alias("ord"), F.lit("carmen").alias("label"), F.array_join(verse_lines("html"), "\n").alias("text"))
+    rest = works.join(parts.select("code").distinct(), "code", "left_anti").select(
+        "code", F.lit(0).alias("ord"), F.lit("carmen").alias("label"), F.array_join(verse_lines("html"), "\n").alias("text")
+    )
     return parts.unionByName(rest)
 
 
@@ -356,7 +374,9 @@ def manifest_url(kind: str, *parts: Column) -> Column:
     """SRC-34: addresses of image manifests by library: vatican, bodleian, bnf (one part) and ecodices (collection, manuscript)."""
     first = parts[0]
     if kind == "vatican":
-        return F.concat(F.lit("https://digi.vatlib.it/iiif/MSS_"), F.replace(X.strip(first), F.lit(" "), F.lit(".")), F.lit("/manifest.json"))
+        return F.concat(
+            F.lit("https://digi.vatlib.it/iiif/MSS_"), F.replace(X.strip(first), F.lit(" "), F.lit(".")), F.lit("/manifest.json")
+        )
     if kind == "bodleian":
         encoded = F.replace(F.replace(F.url_encode(F.translate(first, " .", "__")), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
         return F.concat(F.lit("https://iiif.bodleian.ox.ac.uk/iiif/manifest/"), encoded, F.lit(".json"))
@@ -377,17 +397,23 @@ def manuscripts(spark, query: str) -> DataFrame:
 def repertory_rows(payloads: DataFrame, limit: int | None = 25) -> DataFrame:
     """JSN-04: (id, pos, werk, title, sort_title) of search answers whose cells hold a link to a work."""
     cells = F.from_json("payload", "struct<data:array<map<string,string>>>")["data"]
-    rows = payloads.select("id", F.posexplode(cells).alias("pos", "r")).select("id", "pos", F.from_json(F.col("r")["1"], "struct<_:string,s:string>").alias("c"))
+    rows = payloads.select("id", F.posexplode(cells).alias("pos", "r")).select(
+        "id", "pos", F.from_json(F.col("r")["1"], "struct<_:string,s:string>").alias("c")
+    )
     title = X.strip(F.regexp_replace(F.regexp_extract("c._", "(?s)<cite>(.*?)</cite>", 1), "(?s)<[^>]+>", ""))
     werk = F.regexp_extract("c._", r"/werk/(\d+)", 1)
-    named = rows.select("id", "pos", werk.alias("werk"), title.alias("title"), F.lower(F.coalesce(F.nullif("c.s", F.lit("")), title)).alias("sort_title"))
+    named = rows.select(
+        "id", "pos", werk.alias("werk"), title.alias("title"), F.lower(F.coalesce(F.nullif("c.s", F.lit("")), title)).alias("sort_title")
+    )
     return limited(named.where("werk <> ''").withColumn("werk", F.col("werk").cast("long")), ["id"], limit)
 
 
 def translations_listed(html: Column | str) -> Column:
     """HTM-02: the languages under the translations heading of a work's page, up to the next heading of its rank."""
     block = F.regexp_extract(X.col(html), r"(?is)<h2[^>]*>[^<]*bersetzung(.*?)(?:<h2[^>]*>|\z)", 1)
-    names = F.transform(F.regexp_extract_all(block, F.lit(r"(?s)<h3[^>]*>(.*?)</h3>"), F.lit(1)), lambda h: X.strip(F.regexp_replace(h, "(?s)<[^>]+>", "")))
+    names = F.transform(
+        F.regexp_extract_all(block, F.lit(r"(?s)<h3[^>]*>(.*?)</h3>"), F.lit(1)), lambda h: X.strip(F.regexp_replace(h, "(?s)<[^>]+>", ""))
+    )
     return F.filter(names, lambda n: n != "")
 
 
@@ -398,20 +424,30 @@ def repertory_status(languages: Column) -> Column:
 
 def edition_status(languages: Column) -> Column:
     """ENR-03: as repertory_status, but unknown where no edition is listed."""
-    return F.when(F.exists(languages, lambda x: F.lower(x) == "english"), "translated").when(F.size(languages) > 0, "untranslated").otherwise("unknown")
+    return F.when(
+        F.exists(languages, lambda x: F.lower(x) == "english"), "translated"
+    ).when(F.size(languages) > 0, "untranslated").otherwise("unknown")
 
 
 def entity_rows(payloads: DataFrame) -> DataFrame:
     """JSN-04: (id, pos, qid, label, description) of entity search answers."""
     hits = F.from_json("payload", "struct<search:array<struct<id:string,label:string,description:string>>>")["search"]
     rows = payloads.select("id", F.posexplode(hits).alias("pos", "h"))
-    return rows.select("id", "pos", F.col("h.id").alias("qid"), F.coalesce("h.label", F.lit("")).alias("label"), F.coalesce("h.description", F.lit("")).alias("description"))
+    return rows.select(
+        "id",
+        "pos",
+        F.col("h.id").alias("qid"),
+        F.coalesce("h.label", F.lit("")).alias("label"),
+        F.coalesce("h.description", F.lit("")).alias("description"),
+    )
 
 
 def binding_labels(payloads: DataFrame) -> DataFrame:
     """JSN-04: (id, pos, language) of query answers' language labels."""
     b = F.from_json("payload", "struct<results:struct<bindings:array<struct<langLabel:struct<value:string>>>>>")["results"]["bindings"]
-    return payloads.select("id", F.posexplode(b).alias("pos", "b")).where("b.langLabel.value is not null").select("id", "pos", F.col("b.langLabel.value").alias("language"))
+    return payloads.select("id", F.posexplode(b).alias("pos", "b")).where("b.langLabel.value is not null").select(
+        "id", "pos", F.col("b.langLabel.value").alias("language")
+    )
 
 
 def loeb_rows(payloads: DataFrame, limit: int | None = 25) -> DataFrame:
@@ -419,7 +455,9 @@ def loeb_rows(payloads: DataFrame, limit: int | None = 25) -> DataFrame:
     pair = r'(?s)bibliographicAuthorName">.*?</span>.*?workTitle">.*?</span>'
     rows = payloads.select("id", F.posexplode(F.regexp_extract_all("payload", F.lit(pair), F.lit(0))).alias("pos", "x"))
     bare = lambda name: X.strip(F.regexp_replace(F.regexp_extract("x", rf'(?s){name}">(.*?)</span>', 1), "(?s)<[^>]+>", ""))
-    return limited(rows.select("id", "pos", bare("bibliographicAuthorName").alias("author"), bare("workTitle").alias("title")), ["id"], limit)
+    return limited(
+        rows.select("id", "pos", bare("bibliographicAuthorName").alias("author"), bare("workTitle").alias("title")), ["id"], limit
+    )
 
 
 def gutenberg_urls(number: int | str, tries: int = 3) -> list[str]:

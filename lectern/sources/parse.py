@@ -16,9 +16,13 @@ from ..functions import text as X
 
 SKIP_TAGS = frozenset({"script", "style", "head", "sup"})
 # fixed values: classes of wiki markup that is no text
-WIKI_CLASSES = frozenset({"mw-editsection", "reference", "noprint", "mw-cite-backlink", "navigation-not-searchable", "ws-noexport", "mw-references-wrap"})
+WIKI_CLASSES = frozenset(
+    {"mw-editsection", "reference", "noprint", "mw-cite-backlink", "navigation-not-searchable", "ws-noexport", "mw-references-wrap"}
+)
 PART = T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType())])
-TEI = T.StructType([T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("parts", T.ArrayType(PART))])
+TEI = T.StructType(
+    [T.StructField("title", T.StringType()), T.StructField("author", T.StringType()), T.StructField("parts", T.ArrayType(PART))]
+)
 XML_DROPS = frozenset({"note", "bibl", "app", "rdg"})
 
 
@@ -116,7 +120,9 @@ def wiki_page_text(pages: DataFrame) -> DataFrame:
 
 def thomisticum_text(pages: DataFrame) -> DataFrame:
     """SRC-16."""
-    kept = F.filter(F.transform(paragraphs("html"), lambda t: X.collapse(F.regexp_replace(t, r"\[[^\]]*\d[^\]]*\]", ""))), lambda t: F.length(t) >= 30)
+    kept = F.filter(
+        F.transform(paragraphs("html"), lambda t: X.collapse(F.regexp_replace(t, r"\[[^\]]*\d[^\]]*\]", ""))), lambda t: F.length(t) >= 30
+    )
     return pages.select("page_id", F.array_join(kept, "\n").alias("text"))
 
 
@@ -149,7 +155,9 @@ def _label(e: ElementTree.Element) -> str:
     return f"{kind} {e.get('n')}" if e.get("n") else ""
 
 
-def tei_parts(xml: bytes | str | None, drops: frozenset = XML_DROPS, compat: bool = False) -> tuple[str | None, str | None, list[tuple[str, str]]]:
+def tei_parts(
+    xml: bytes | str | None, drops: frozenset = XML_DROPS, compat: bool = False
+) -> tuple[str | None, str | None, list[tuple[str, str]]]:
     """SRC-02, XML-01..05: title, author and labelled leaf divisions; the whole body if there is none. Bad XML: no parts."""
     try:
         root = ElementTree.fromstring(xml or "")
@@ -175,10 +183,14 @@ def tei_parts(xml: bytes | str | None, drops: frozenset = XML_DROPS, compat: boo
 @F.pandas_udf(TEI)
 def parsed_tei(payload: pd.Series) -> pd.DataFrame:
     rows = [tei_parts(x) for x in payload]
-    return pd.DataFrame({"title": [r[0] for r in rows], "author": [r[1] for r in rows], "parts": [[{"label": a, "text": b} for a, b in r[2]] for r in rows]})
+    return pd.DataFrame(
+        {"title": [r[0] for r in rows], "author": [r[1] for r in rows], "parts": [[{"label": a, "text": b} for a, b in r[2]] for r in rows]}
+    )
 
 
-def citation_leaves(xml: str | None, drops: frozenset = frozenset({"note", "bibl", "ref"}), compat: bool = False) -> list[tuple[list[tuple[str, str]], str]]:
+def citation_leaves(
+    xml: str | None, drops: frozenset = frozenset({"note", "bibl", "ref"}), compat: bool = False
+) -> list[tuple[list[tuple[str, str]], str]]:
     """XML-06: (chain of (level, n), text) of the leaf divs below the body; divs without n add nothing to a chain."""
     try:
         root = ElementTree.fromstring(xml or "")
@@ -199,7 +211,14 @@ def citation_leaves(xml: str | None, drops: frozenset = frozenset({"note", "bibl
     return out
 
 
-LEAF = T.ArrayType(T.StructType([T.StructField("chain", T.ArrayType(T.StructType([T.StructField("level", T.StringType()), T.StructField("n", T.StringType())]))), T.StructField("text", T.StringType())]))
+LEAF = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("chain", T.ArrayType(T.StructType([T.StructField("level", T.StringType()), T.StructField("n", T.StringType())]))),
+            T.StructField("text", T.StringType()),
+        ]
+    )
+)
 
 
 @F.pandas_udf(LEAF)
@@ -269,10 +288,15 @@ def corpora_listed(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: [{"idno": a, "name": b} for a, b in corpora(x)])
 
 
-def thml_chapters(xml: str | None, drops: frozenset = frozenset({"note", "scripRef", "pb", "index", "added"})) -> list[tuple[str, str, str]]:
+def thml_chapters(
+    xml: str | None, drops: frozenset = frozenset({"note", "scripRef", "pb", "index", "added"})
+) -> list[tuple[str, str, str]]:
     """SRC-28: (work, chapter, text) of div2 works and their div3 chapters."""
     root = ElementTree.fromstring(xml or "<x/>")
-    return [(w.get("title") or "", c.get("title") or "", text) for w in root.iter() if _local(w.tag) == "div2" for c in w if _local(c.tag) == "div3" and (text := _flat(c, drops, False))]
+    return [
+        (w.get("title") or "", c.get("title") or "", text)
+        for w in root.iter() if _local(w.tag) == "div2" for c in w if _local(c.tag) == "div3" and (text := _flat(c, drops, False))
+    ]
 
 
 def zip_member(payload: bytes, wanted: str | None = None) -> bytes | None:
@@ -309,11 +333,35 @@ def catalogue(spark, path: str, columns: list[str]) -> DataFrame:
 
 def iiif_images(manifests: DataFrame, column: str = "manifest", start: int = 1, most: int | None = None) -> DataFrame:
     """JSN-01, SRC-33: (id, index, service_url, direct_url, format) of version 2 and 3 manifests."""
-    v2 = F.from_json(column, "struct<sequences:array<struct<canvases:array<struct<images:array<struct<resource:struct<`@id`:string,format:string,service:struct<`@id`:string>>>>>>>>>")
-    v3 = F.from_json(column, "struct<items:array<struct<items:array<struct<items:array<struct<body:struct<id:string,format:string,service:array<struct<id:string,`@id`:string>>>>>>>>>>")
-    two = F.transform(F.flatten(F.transform(v2["sequences"], lambda s: s["canvases"])), lambda c: F.struct(c["images"][0]["resource"]["service"]["@id"].alias("service_url"), c["images"][0]["resource"]["@id"].alias("direct_url"), c["images"][0]["resource"]["format"].alias("format")))
-    three = F.transform(v3["items"], lambda c: F.struct(F.coalesce(c["items"][0]["items"][0]["body"]["service"][0]["id"], c["items"][0]["items"][0]["body"]["service"][0]["@id"]).alias("service_url"), c["items"][0]["items"][0]["body"]["id"].alias("direct_url"), c["items"][0]["items"][0]["body"]["format"].alias("format")))
-    rows = manifests.select("id", F.posexplode(F.coalesce(two, three)).alias("index", "i")).select("id", (F.col("index") + 1).alias("index"), "i.*").where(F.col("index") >= start)
+    v2 = F.from_json(
+        column,
+        "struct<sequences:array<struct<canvases:array<struct<images:array<struct<resource:struct<`@id`:string,format:string,service:struct<`@id`:string>>>>>>>>>",
+    )
+    v3 = F.from_json(
+        column,
+        "struct<items:array<struct<items:array<struct<items:array<struct<body:struct<id:string,format:string,service:array<struct<id:string,`@id`:string>>>>>>>>>>",
+    )
+    two = F.transform(
+        F.flatten(F.transform(v2["sequences"], lambda s: s["canvases"])),
+        lambda c: F.struct(
+            c["images"][0]["resource"]["service"]["@id"].alias("service_url"),
+            c["images"][0]["resource"]["@id"].alias("direct_url"),
+            c["images"][0]["resource"]["format"].alias("format"),
+        ),
+    )
+    three = F.transform(
+        v3["items"],
+        lambda c: F.struct(
+            F.coalesce(
+                c["items"][0]["items"][0]["body"]["service"][0]["id"], c["items"][0]["items"][0]["body"]["service"][0]["@id"]
+            ).alias("service_url"),
+            c["items"][0]["items"][0]["body"]["id"].alias("direct_url"),
+            c["items"][0]["items"][0]["body"]["format"].alias("format"),
+        ),
+    )
+    rows = manifests.select(
+        "id", F.posexplode(F.coalesce(two, three)).alias("index", "i")
+    ).select("id", (F.col("index") + 1).alias("index"), "i.*").where(F.col("index") >= start)
     return rows if most is None else rows.where(F.col("index") < start + most)
 
 
@@ -333,7 +381,11 @@ def files(spark, path: str, pattern: str = "*.txt", limit: int | None = 500) ->
     """SRC-01, SRC-03: one row for each text file, sorted by path: (source, title, text); bytes that are no UTF-8 are replaced."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
-    raw = raw.select(name.alias("source"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "").alias("title"), F.col("value").alias("text")).orderBy("source")
+    raw = raw.select(
+        name.alias("source"),
+        F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "").alias("title"),
+        F.col("value").alias("text"),
+    ).orderBy("source")
     return raw if limit is None else raw.limit(limit)
 
 

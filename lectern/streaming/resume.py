@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def enrich_stream(spark: SparkSession, source: str, schema, enrich: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
+def enrich_stream(
+    spark: SparkSession, source: str, schema, enrich: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str
+) -> StreamingQuery:
     """STM-01..03: enriches new files once each; a batch that is run again overwrites its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         enrich(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def distinct_sources(stream: DataFrame, time: str = "ts", late: str = "1 hour", key: str = "source") -> DataFrame:
@@ -25,4 +29,6 @@ def distinct_sources(stream: DataFrame, time: str = "ts", late: str = "1 hour",
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Beyond the reference: event-time counts by type, for batch and stream alike."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        F.col("w.start").alias("start"), "event_type", "n", "total"
+    )

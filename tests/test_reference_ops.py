@@ -115,7 +115,9 @@ def test_correction():
 
 
 def test_routing(spark):
-    docs = spark.createDataFrame([(1, "grc", "late_antique"), (2, "la", "medieval"), (3, "grc", None)], "id long, language string, language_stage string")
+    docs = spark.createDataFrame(
+        [(1, "grc", "late_antique"), (2, "la", "medieval"), (3, "grc", None)], "id long, language string, language_stage string"
+    )
     routes = spark.createDataFrame(library.ROUTES, "lang string, stage string, rank int, model string, code string, strip boolean")
     none = library.routed(docs, routes, routes.select("model").limit(0))
     assert {r["id"]: r["model"] for r in none.collect()} == {1: "stock:ell_Grek", 2: "stock:lat_Latn", 3: "stock:ell_Grek"}
@@ -135,13 +137,17 @@ def test_marked_sections(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, line string")
     got = library.marked_sections(df, r"^\$\d", F.regexp_extract("line", r"\$9=(\d+)", 1)).orderBy("part").collect()
     assert [(r["label"], r["text"]) for r in got] == [("1", "α β γ"), ("2", "δ")]
-    volume = spark.createDataFrame([(1, "3", "\n".join(["front", *lines])), (2, "4", None), (3, "5", "")], "doc_id long, volume string, text string")
+    volume = spark.createDataFrame(
+        [(1, "3", "\n".join(["front", *lines])), (2, "4", None), (3, "5", "")], "doc_id long, volume string, text string"
+    )
     parts = [(r["label"], r["text"]) for r in library.volume_sections(volume).orderBy("doc_id", "part").collect()]
     assert parts == [("PG 3", "front"), ("PG 3, p.71, col.1", "α β γ"), ("PG 3, p.71, col.2", "δ")]
 
 
 def test_search(spark):
-    index = search.add_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (1, [1.0, 0.0])], "id long, v array<float>"), "id", "v")
+    index = search.add_vectors(
+        spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (1, [1.0, 0.0])], "id long, v array<float>"), "id", "v"
+    )
     got = search.top_k(index, [2.0, 0.0], 5).collect()
     assert [(r["id"], round(r["score"], 6)) for r in got] == [(1, 1.0), (2, 0.0)]
 
@@ -182,21 +188,30 @@ def test_stream_resume(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, "a")], "id long, t string").write.parquet(src)
     for _ in range(2):
-        resume.enrich_stream(spark, src, "id long, t string", lambda d: d.withColumn("u", F.upper("t")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        resume.enrich_stream(
+            spark, src, "id long, t string", lambda d: d.withColumn("u", F.upper("t")), str(tmp_path / "out"), str(tmp_path / "cp")
+        ).awaitTermination()
     assert [r["u"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["A"]
 
 
 def test_correct_with_own_entries(spark):
     r = np.random.default_rng(3)
     words = ["".join(r.choice(list("aeifstu"), r.integers(2, 8))) for _ in range(120)]
-    rows = [(i if i % 9 else None, " ".join(r.choice(words, 40))) for i in range(40)] + [(50, None), (51, ""), (52, "u fur arum 3effe"), (52, "u fur arum 3effe")]
+    rows = [
+        (i if i % 9 else None, " ".join(r.choice(words, 40)))
+        for i in range(40)
+    ] + [(50, None), (51, ""), (52, "u fur arum 3effe"), (52, "u fur arum 3effe")]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
-    known = spark.createDataFrame([(w, 1) for w in sorted({repair.folded(w) for w in words if "f" not in w} | {"usurarum"})], "word string, freq long")
+    known = spark.createDataFrame(
+        [(w, 1) for w in sorted({repair.folded(w) for w in words if "f" not in w} | {"usurarum"})], "word string, freq long"
+    )
     fixes = library.best_fixes(repair.candidates(texts), known, library.stems(known))
     whole = repair.Dictionary({x["word"] for x in known.collect()}, {x["word"]: (x["exact"], x["stem"]) for x in fixes.collect()})
     plan = repair.corrected(texts, known, fixes)
     got = sorted(((x["doc_id"], x["text"], x["n_changes"], x["n_suggestions"], x["n_unresolved"]) for x in plan.collect()), key=repr)
     want = sorted(((i, c[0], len(c[1]), len(c[2]), len(c[3])) for i, c in ((i, repair.correct(t, whole)) for i, t in rows)), key=repr)
     assert got == want and any(x[2] for x in got)
-    many = spark.range(2_100_000).selectExpr("concat('f', translate(cast(id as string), '0123456789', 'abcdeghikl')) as word", "'sum' as exact", "cast(null as string) as stem")
+    many = spark.range(2_100_000).selectExpr(
+        "concat('f', translate(cast(id as string), '0123456789', 'abcdeghikl')) as word", "'sum' as exact", "cast(null as string) as stem"
+    )
     assert repair.corrected(spark.createDataFrame([(1, "fb est")], "doc_id long, text string"), known, many).first()["text"] == "sum est"

@@ -20,7 +20,9 @@ def decided(spark, probabilities: dict, vocab: list):
 def test_tier_goldens(spark):
     cases = {
         "diftum": {2: 0.1}, "Leftor": {2: 0.05}, "contraftus": {6: 0.1}, "fcenore": {0: 0.9998}, "eft": {1: 0.95}, "unfure": {2: 0.5},
-        "ufurarum": {1: 0.876}, "fuiftent": {0: 0.9995, 3: 0.9995}, "effe": {1: 0.99, 2: 0.99}, "ftftftftft": {0: 0.1, 2: 0.1, 4: 0.1, 6: 0.1, 8: 0.1},
+        "ufurarum": {1: 0.876}, "fuiftent": {0: 0.9995, 3: 0.9995}, "effe": {1: 0.99, 2: 0.99}, "ftftftftft": {
+            0: 0.1, 2: 0.1, 4: 0.1, 6: 0.1, 8: 0.1
+        },
     }
     got, _ = decided(spark, cases, ["dictum", "lector", "contractus", "usuram", "usuras", "esse", "est"])
     assert got["diftum"][2] == "dictum" and got["Leftor"][2] == "Lector" and got["contraftus"][2] == "contractus"
@@ -157,8 +159,12 @@ def test_best_match_is_exact(spark):
         score, place = max((ratio(t, c), -i) for i, t, c in entries)
         got = matcher.best(want, author)
         assert (got[0], got[1]) == (-place, pytest.approx(score))
-    wanted = spark.createDataFrame([(1, "carmina", ""), (2, "vita antonii", "athanasius"), (3, None, None)], "id long, key string, author_key string")
-    shelf = spark.createDataFrame([(5, "carmina", "x"), (6, "vita antoni", "athanasius"), (7, None, None)], "ord long, title_key string, context_key string")
+    wanted = spark.createDataFrame(
+        [(1, "carmina", ""), (2, "vita antonii", "athanasius"), (3, None, None)], "id long, key string, author_key string"
+    )
+    shelf = spark.createDataFrame(
+        [(5, "carmina", "x"), (6, "vita antoni", "athanasius"), (7, None, None)], "ord long, title_key string, context_key string"
+    )
     got = {x["id"]: (x["ord"], x["confident"]) for x in alignment.best_matches(wanted, shelf, block=1).collect()}
     assert got == {1: (None, False), 2: (6, True), 3: (None, False)}  # generic titles need the author
     assert alignment.best_matches(wanted, shelf.limit(0)).where("confident").count() == 0
@@ -169,5 +175,8 @@ def test_greedy_alignment_and_band(spark):
     got = {(x["key"], x["i"], x["j"]) for x in alignment.band_candidates(sides, 1).collect()}
     want = {(k, i, j) for k, n, m in (("a", 5, 3), ("c", 2, 9)) for i in range(n) for j in range(m) if abs(j - round(i * m / n)) <= 1}
     assert got == want
-    pairs = spark.createDataFrame([("k", ["alpha beta gamma delta epsilon", "x"], ["alpha beta gamma delta epsilon", "y"]), ("e", [], [])], "key string, src array<string>, tgt array<string>")
+    pairs = spark.createDataFrame(
+        [("k", ["alpha beta gamma delta epsilon", "x"], ["alpha beta gamma delta epsilon", "y"]), ("e", [], [])],
+        "key string, src array<string>, tgt array<string>",
+    )
     assert [(x["i"], x["j"]) for x in alignment.align_sentences(pairs, "key").collect()] == [(0, 0)]
