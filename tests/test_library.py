@@ -1,0 +1,246 @@
+"""Stored libraries, discovery, mining, evaluation and styling over goldens, nulls, empty tables and repeated rows."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
+from lectern.operators import evaluation, library, mining, store, tables
+from lectern.plans import styling
+from lectern.sources import catalogs, parse
+
+WORKS = "source string, title string, author string, century int, language string, verse boolean, parts array<struct<label:string,text:string>>"
+
+
+def works(spark, rows):
+    return spark.createDataFrame(rows, WORKS)
+
+
+def test_library_round_trip(spark, tmp_path):
+    lib = store.Library(spark, str(tmp_path / "lib"))
+    assert lib.list_documents().count() == 0 and lib.index_size() == 0 and lib.search([1.0, 0.0]).count() == 0
+    first = works(spark, [
+        ("a", "T", "Vergil", -1, "la", True, [("I", "arma virumque\n\ncano"), ("II", "")]),
+        ("b", "U", None, None, None, False, [("Text", "Cn. Pompeius venit. Abiit (mox).")]),
+        ("b", "again", None, None, None, False, [("Text", "x")]), (None, "no source", None, None, None, None, None),
+    ])
+    assert lib.ingest(first) == 2
+    assert lib.ingest(first) == 2  # idempotent
+    assert lib.table("sections").count() == 3
+    texts = sorted(r["source_text"] for r in lib.table("segments").collect())
+    assert texts == ["Abiit (mox).", "Cn. Pompeius venit.", "arma virumque", "cano"]
+    assert [r["author"] for r in lib.list_documents().collect()] == [None, "Vergil"]
+    doc = lib.list_documents().where("title = 'T'").first()
+    nested = lib.get_document(doc["id"]).first()
+    assert [(s["label"], len(s["segments"] or [])) for s in nested["sections"]] == [("I", 2), ("II", 0)]
+    assert lib.get_document(12345).count() == 0
+    cano = lib.table("segments").where("source_text = 'cano'").first()["id"]
+    lib.patch(spark.createDataFrame([(cano, "I sing")], "id long, english_text string"), ["english_text"])
+    assert lib.get_segment(cano).first()["english_text"] == "I sing"
+    embed = lambda df: df.select("id", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("vector"))
+    assert lib.reindex(embed) == 4
+    hits = lib.search([4.0, 1.0], 2).orderBy(F.desc("score")).collect()
+    assert hits[0]["source_text"] == "cano" and len(hits) == 2 and hits[0]["title"] == "T"
+    assert {r["title"] for r in lib.search([4.0, 1.0], 4, only_untranslated=True).collect()} == {"T", "U"}
+    assert lib.search([1.0, 1.0], 4, language_stage="medieval").count() == 0
+
+
+def test_backfill_writes_only_what_differs(spark):
+    rows = spark.createDataFrame([(1, "a / b", None), (2, "Gallia est.", None), (3, "x / y", "done"), (4, None, None)], "id long, source_text string, embed_text string")
+    assert [(r["id"], r["embed_text"]) for r in store.backfilled(rows).collect()] == [(1, "a b")]
+
+
+def test_renderings_escape(spark):
+    docs = spark.createDataFrame([(1, "A & B", None, -1, "", "grc", None, "s<1>", False)], "id long, title string, author string, century int, genre string, language string, language_stage string, source string, has_existing_translation boolean")
+    sections = spark.createDataFrame([(9, 1, 0)], "id long, doc_id long, ord int")
+    segs = spark.createDataFrame([(9, 0, "<x>", "y & z", None, None), (9, 1, "w", "  ", None, "-u")], "section_id long, ord int, source_text string, english_text string, english_styled string, scansion string")
+    html = store.reader_pages(docs, sections, segs).first()["html"]
+    assert "<h2>A &amp; B</h2>" in html and "Anon. · unknown · 1c BCE · s&lt;1&gt;" in html and "<th>Greek</th>" in html
+    assert '<td class="la">&lt;x&gt;</td><td class="en">y &amp; z</td>' in html and "not yet translated" in html and '<span class="scansion">-u</span>' in html
+    assert "not yet stylized" in store.reader_pages(docs, sections, segs, "Stylized").first()["html"]
+    assert store.reader_pages(docs, sections, segs.limit(0)).first()["html"].endswith("<tbody></tbody></table>")
+    hit = spark.createDataFrame([(1, 0.98765, None, "T", "p. 3", "<q>", None)], "id long, score double, author string, title string, source_loc string, source_text string, english_text string")
+    block = store.hit_blocks(hit).first()["html"]
+    assert "0.988" in block and "Anon. — T · p. 3" in block and "&lt;q&gt;" in block
+    assert docs.select(store.document_label().alias("l")).first()["l"] == "Anon. — A & B (Greek, unknown  · untranslated)"
+
+
+def test_report_of_an_empty_library(spark):
+    docs, segs = spark.createDataFrame([], library.DOCUMENTS), spark.createDataFrame([], library.SEGMENTS).withColumn("doc_id", F.lit(1).cast("long"))
+    lines = [r["line"] for r in store.report_lines(docs, segs).orderBy("part", "rank").collect()]
+    assert lines == ["Documents: 0", "Segments: 0 / 0 translated (0.0%), 0 stylized", "Era span: Nonec to Nonec"]
+
+
+def test_citation_mining(spark):
+    leaf = "work string, pos int, chain array<struct<level:string,n:string>>, text string"
+    src = [("w", 0, [("edition", "x"), ("book", "1"), ("chapter", "1"), ("section", "1")], "a"), ("w", 1, [("book", "1"), ("chapter", "1"), ("section", "2")], "b"), ("w", 2, [("book", "1"), ("chapter", "2")], " "), ("w", 3, [("book", "9")], "c"), ("v", 0, [("line", "1")], "d")]
+    tgt = [("w", 0, [("book", "1"), ("chapter", "1")], "A"), ("w", 1, [("book", "1"), ("chapter", "2")], "B"), ("v", 0, [("card", "1")], "D")]
+    got = mining.citation_pairs(spark.createDataFrame(src, leaf), spark.createDataFrame(tgt, leaf)).collect()
+    assert [(r["src"], r["tgt"], r["citation"], r["source"]) for r in got] == [("a b", "A", "1.1", "Perseus w")]
+    xml = "<TEI><text><body><div type='edition' n='e'><div subtype='Book' n='1'><p>alpha <note>x</note> beta</p></div><div><p>plain</p></div></div></body></text></TEI>"
+    assert parse.citation_leaves(xml) == [([("edition", "e"), ("book", "1")], "alpha beta"), ([("edition", "e")], "plain")]
+    assert parse.citation_leaves("<x") == [] and parse.citation_leaves(None) == []
+
+
+def test_books(spark):
+    text = "BOOK I\nBOOK II\nBOOK III\n\nBOOK I\n" + "a" * 300 + "\nBOOK II\n" + "b" * 300 + "\nBook of\nBOOK III\nccc"
+    got = {r["book"]: r["text"] for r in mining.target_books(spark.createDataFrame([("w", text), ("x", "no books"), ("y", None)], "work string, text string")).collect()}
+    assert set(got) == {"1", "2", "3"} and got["3"] == "BOOK III\nccc" and got["1"].count("a") == 300
+    sides = spark.createDataFrame([("w", "2", "s"), ("w", "None", "t")], "work string, book string, text string")
+    assert [(r["n"], r["src"]) for r in mining.common_books(sides, spark.createDataFrame([("w", b, t) for b, t in got.items()], "work string, book string, text string")).collect()] == [(2, "s")]
+
+
+def test_scores_against_plain_formulas(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc.,-1") for _ in range(r.randint(1, 6)))
+    pairs = [(" ".join(word() for _ in range(r.randint(0, 9))), " ".join(word() for _ in range(r.randint(0, 9)))) for _ in range(40)] + [("same text here now", "same text here now"), ("", "x"), (None, None)]
+
+    def chrf(rows):
+        p = q = n = 0
+        for k in range(1, 7):
+            h = m = t = 0
+            for a, b in rows:
+                a, b = (re.sub(r"\s", "", x or "") for x in (a, b))
+                x, y = (Counter(s[i : i + k] for i in range(len(s) - k + 1)) for s in (a, b))
+                h, t, m = h + (x.total() if y else 0), t + y.total(), m + (x & y).total()
+            if h and t:
+                p, q, n = p + m / h, q + m / t, n + 1
+        p, q = (p / n, q / n) if n else (0, 0)
+        return 100 * 5 * p * q / (4 * p + q) if p + q else 0.0
+
+    frame = spark.createDataFrame([("m", *x) for x in pairs], "model string, hyp string, ref string")
+    whole = evaluation.corpus_scores(frame, ["model"]).first()
+    assert whole["chrf"] == pytest.approx(chrf(pairs)) and whole["n"] == len(pairs)
+    same = spark.createDataFrame([("m", "the cat sat on the mat .", "the cat sat on the mat .")], "model string, hyp string, ref string")
+    assert evaluation.corpus_scores(same, ["model"]).first()["bleu"] == pytest.approx(100.0)
+    short = spark.createDataFrame([("m", "the cat sat on", "the cat sat on the mat")], "model string, hyp string, ref string")
+    assert evaluation.corpus_scores(short, ["model"]).first()["bleu"] == pytest.approx(100 * math.exp(1 - 6 / 4))
+    smooth = spark.createDataFrame([("m", "the cat dog sat there", "the cat sat on mat")], "model string, hyp string, ref string")
+    want = math.exp(sum(map(math.log, (3 / 5, 1 / 4, 1 / (2 * 3), 1 / (4 * 2)))) / 4) * 100
+    assert evaluation.corpus_scores(smooth, ["model"]).first()["bleu"] == pytest.approx(want)
+    assert evaluation.bleu_tokens("a,b 1,000-2 (c)") == ["a", ",", "b", "1,000", "-", "2", "(", "c", ")"]
+    assert evaluation.corpus_scores(frame.limit(0), ["model"]).count() == 0
+
+
+def test_style_scores_and_specs(spark):
+    rows = spark.createDataFrame([("t", "abcdef", "abcdef", "abcdef"), ("t", "", None, "x")], "m string, src string, hyp string, ref string")
+    got = evaluation.style_scores(rows.fillna(""), ["m"]).first()
+    assert got["n"] == 2 and got["commit"] == 50.0
+    specs = spark.createDataFrame([("a=stock:norm",), ("b",), ("c=x=y",)], "s string").select(evaluation.model_spec("s", "S").alias("m")).collect()
+    assert [tuple(x["m"]) for x in specs] == [("a", "S", True), ("b", "", False), ("c", "x=y", False)]
+
+
+def test_restyling_keeps_counts():
+    answer = lambda system, user: user.split("\n\n")[-1].upper()
+    assert styling.restyled_units(["a b", "“c”"], answer, "", "") == ["A B", "C"]
+    lost = lambda system, user: "1. only one" if "1 to" in user else f'"{user.split()[-1]}!"'
+    assert styling.restyled_units(["a", " ", "c"], lost, "", "x") == ["a!", "", "c!"]
+    assert styling.restyled_units([], answer, "", "") == []
+
+
+def test_styling_plan(spark):
+    seg = "id long, section_id long, ord int, english_text string, english_styled string"
+    rows = spark.createDataFrame([(1, 1, 0, "a", None), (2, 1, 1, X.PLACEHOLDER, ""), (3, 1, 2, "boom", None), (4, 1, 3, "d", "done"), (5, 1, 4, None, None), (6, 1, 5, "f", None)], seg)
+
+    def factory():
+        def generate(system, user):
+            if "boom" in user:
+                raise RuntimeError("too long")
+            return user.split("\n\n")[-1] + "!"
+
+        return generate
+
+    got = {r["id"]: (r["english_styled"], r["style_label"]) for r in styling.styled(rows, factory, "verse_blank").collect()}
+    assert got == {1: ("a!", "verse_blank"), 2: (X.PLACEHOLDER, "placeholder"), 6: ("f!", "verse_blank")}
+    with pytest.raises(ValueError, match="preset"):
+        styling.styled(rows, factory, "unknown")
+
+
+def test_scansion_never_fails(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "arma", "la"), (2, 1, 1, " ", "la"), (3, 1, 2, "menin", "grc"), (4, 1, 3, "bad", "la"), (5, 1, 4, None, "la")], "id long, section_id long, ord int, source_text string, language string")
+
+    def factory():
+        return lambda line, meter: f"{meter[0]}-" if line == "arma" else 1 / 0
+
+    got = {r["id"]: (r["scansion"], r["note"]) for r in styling.scanned(lines, factory).collect()}
+    assert got[1] == ("h-", None) and got[2][1] == "empty line" and got[3][1].startswith("Greek") and "division" in got[4][1] and got[5][1] == "empty line"
+    assert styling.scanned(lines, None).where("scansion is not null").count() == 0
+
+
+def test_catalogues_survive_bad_payloads(spark):
+    bad = spark.createDataFrame([("a", None), ("b", ""), ("c", "{broken"), ("d", "[]")], "id string, payload string")
+    for f in (lambda p: catalogs.listing(p, "dir"), catalogs.wiki_titles, catalogs.archive_ids, catalogs.entity_rows, catalogs.binding_labels, catalogs.repertory_rows, catalogs.loeb_rows, catalogs.mgh_catalogue, catalogs.manifest, catalogs.dlt_ids):
+        assert f(bad).count() == 0
+        assert f(bad.limit(0)).count() == 0
+    page = spark.createDataFrame([("a", '<span class="bibliographicAuthorName"><i>Ovid</i></span> x <span class="workTitle"> Fasti </span>')], "id string, payload string")
+    assert [(r["author"], r["title"]) for r in catalogs.loeb_rows(page).collect()] == [("Ovid", "Fasti")]
+    answer = spark.createDataFrame([("q", '{"results":{"bindings":[{"langLabel":{"value":"English"}},{}]}}')], "id string, payload string")
+    assert [r["language"] for r in catalogs.binding_labels(answer).collect()] == ["English"]
+
+
+def test_requests():
+    assert catalogs.wiki_request("Categoria:X", 900)["cmlimit"] == "500" and catalogs.wiki_request("x")["list"] == "search"
+    assert catalogs.canon_pages("b", 20) == ["b/canone?l=16&o=0", "b/canone?l=16&o=16", "b/canone?l=16&o=32"]
+    assert catalogs.edcs_filter("provinz = Roma") == {"provinz": "Roma"} and catalogs.edcs_filter("x") == {"searchtext1": "x"}
+    pages = catalogs.edcs_requests("x", 250)
+    assert [(p["start"], p["length"]) for p in pages] == [("0", "100"), ("100", "100"), ("200", "50")]
+    assert catalogs.camena_request("Cera:ab") == (["cera"], "ab") and len(catalogs.camena_request("all")[0]) == 4
+    with pytest.raises(ValueError, match="collection"):
+        catalogs.camena_request("other")
+    assert catalogs.archive_query("a") == 'title:"a"' and catalogs.archive_query("x:y") == "x:y" and len(catalogs.gutenberg_urls(7)) == 9
+
+
+def test_identifiers_and_missing_files(spark, tmp_path):
+    rows = spark.createDataFrame([("785",), ("https://x/BSB00000001.zip",), ("idno/dlt000003",), ("none",), (None,)], "s string")
+    got = rows.select(catalogs.bsb_id("s").alias("b"), catalogs.dlt_id("s").alias("d")).collect()
+    assert [tuple(r) for r in got] == [("bsb00000785", None), ("bsb00000001", None), (None, "DLT000003"), (None, None), (None, None)]
+    assert parse.catalogue(spark, str(tmp_path / "missing.json"), ["a", "b"]).collect() == []
+    (tmp_path / "c.json").write_text('[["1","x"],["2",null]]')
+    assert [(r["ord"], r["a"], r["b"]) for r in parse.catalogue(spark, str(tmp_path / "c.json"), ["a", "b"]).collect()] == [(0, "1", "x"), (1, "2", None)]
+
+
+def test_zip_members(spark):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("small.XML", "<a/>")
+        z.writestr("bsb1.xml", "<b>xx</b>")
+        z.writestr("large.xml", "<c>" + "y" * 50 + "</c>")
+    rows = spark.createDataFrame([(bytearray(buffer.getvalue()), "bsb1"), (bytearray(buffer.getvalue()), "other"), (None, "x")], "p binary, w string")
+    got = [r["x"] for r in rows.select(parse.unzipped("p", "w").alias("x")).collect()]
+    assert bytes(got[0]) == b"<b>xx</b>" and bytes(got[1]).startswith(b"<c>") and got[2] is None
+
+
+def test_tree_cycles_and_budget(spark):
+    edges = spark.createDataFrame([("r", "a", 0, False), ("r", "t1", 1, True), ("a", "r", 0, False), ("a", "t2", 1, True), ("a", "b", 2, False), ("b", "a", 0, False), ("b", "t3", 1, True)], "parent string, child string, ord int, is_text boolean")
+    assert [r["child"] for r in library.tree_leaves(edges, "r", 10).collect()] == ["t2", "t3", "t1"]
+    assert [r["child"] for r in library.tree_leaves(edges, "r", 10, budget=1).collect()] == ["t1"]
+    assert library.tree_leaves(edges, "nowhere", 5).count() == 0
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session())
+
+
+def test_corpus_xml():
+    nested = "<r><author> A </author><name>N</name><body><div>one <div>two</div></div></body></r>"
+    assert parse.corpus_text(nested) == ("A", "N", "one two")
+    assert parse.corpus_text(nested, compat=True)[2] == "one two\ntwo"
+    assert parse.corpus_text("<r><p>x</p><l>y</l></r>") == (None, None, "x\ny") and parse.corpus_text(None) == (None, None, "")
