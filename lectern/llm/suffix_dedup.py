@@ -1,7 +1,9 @@
 """Suffix-array dedup: removes bytes covered by a string of `length` bytes that also starts anywhere else.
 
-Only equality of suffixes to a depth of `length` bytes matters, so suffixes are ordered by a 64-bit hash of their first
-`length` bytes in place of the bytes themselves: any order that puts equal suffixes side by side gives the same matches.
+Only equality of suffixes to a depth of `length` bytes matters, so suffixes are ordered by a hash of their first `length`
+bytes in place of the bytes themselves: any order that puts equal suffixes side by side gives the same matches. Two
+independent 64-bit hashes must agree in the index (of the string and of the anchor in it elsewhere), so accidental matches
+are not to be expected at any size of corpus.
 
 1. Anchors: of each window of `length` bytes the GRAM-byte string with the least hash, leftmost on ties, is its anchor.
    It depends on the window's content alone, so equal windows have equal anchors at equal places; runs of windows share
@@ -15,6 +17,10 @@ Only equality of suffixes to a depth of `length` bytes matters, so suffixes are
    mark for a long match, so n equal suffixes cost one entry.
 4. The matched windows are joined to their documents, which drop the covered bytes.
 
+Beside the bytes, `n_shared` counts a document's word runs that other documents have too: of each window of SHARED_WORDS
+words the string of SHARED_GRAM words with the least hash is kept, and those that two rows have are counted, each once. Any
+run of SHARED_WORDS words in two documents gives both at least one; nothing is removed for it.
+
 An anchor string with more than `hot` different contexts is not dealt to one partition; its windows become rows instead,
 counted with map-side combining and joined back, which gives the same matches.
 
@@ -31,14 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, map_arrow, materialize, mix, ranges
+from .common import WordHash, blocks, doc_text, map_arrow, materialize, mix
 
 GRAM = 100
 BLOCK = 1 << 18
 _RANDOM = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+SHARED_WORDS, SHARED_GRAM = 51, 26
 _BASE = 0x9E6C63D0876A9A47
 _UP = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * BLOCK, _BASE, np.uint64))])
 _DOWN = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * BLOCK, pow(_BASE, -1, 1 << 64), np.uint64))])
+_RANDOM2 = mix(_RANDOM + np.uint64(0x2545F4914F6CDD1D))
+_BASE2 = 0xC2B2AE3D27D4EB4F
+_UP2 = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * BLOCK, _BASE2, np.uint64))])
+_DOWN2 = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * BLOCK, pow(_BASE2, -1, 1 << 64), np.uint64))])
 BATCH = 1024
 
 
@@ -103,7 +114,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class LogIndex:
-    """Suffix arrays in levels of geometric sizes: per suffix its hash, the anchor string's hash, its owner and a mark."""
+    """Suffix arrays in levels of geometric sizes: per suffix its two hashes, its owner and a mark."""
 
     def __init__(self) -> None:
         self.levels: list[list[np.ndarray]] = []
@@ -113,22 +124,22 @@ class LogIndex:
         """Places in a and b of the suffixes that both hold."""
         at = np.searchsorted(a[0], b[0])
         ok = at < len(a[0])
-        ok[ok] = a[0][at[ok]] == b[0][ok]
+        ok[ok] = (a[0][at[ok]] == b[0][ok]) & (a[1][at[ok]] == b[1][ok])
         return at[ok], ok.nonzero()[0]
 
-    def add(self, suffix: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def add(self, suffix: np.ndarray, second: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Adds a batch; returns the owners of its suffixes that have been seen before, in it or in a level."""
-        order = np.argsort(suffix, kind="stable")
-        s, o = suffix[order], owner[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        order = np.lexsort((second, suffix))
+        s, t, o = suffix[order], second[order], owner[order]
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, bool)
         start = new.nonzero()[0]
         again = np.diff(start, append=len(s)) > 1
         seen = [o[~new]]
-        level = [s[start], o[start], again]
+        level = [s[start], t[start], o[start], again]
         for old in self.levels:
             there, here = self._equal(old, level)
-            old[2][there] = True
-            seen.append(level[1][here])
+            old[3][there] = True
+            seen.append(level[2][here])
             level = [np.delete(c, here) for c in level]
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
             old = self.levels.pop()
@@ -139,14 +150,52 @@ class LogIndex:
 
     def marked(self) -> np.ndarray:
         """Owners of the first occurrences that have been met again."""
-        return np.concatenate([o[m] for _, o, m in self.levels] or [np.zeros(0, np.int64)])
+        return np.concatenate([o[m] for _, _, o, m in self.levels] or [np.zeros(0, np.int64)])
 
 
-def _suffixes(text: bytes, number: int, place: int, gram: int, length: int) -> np.ndarray:
-    sums = prefix_sums(np.frombuffer(text, np.uint8))
+def _suffixes(text: bytes, number: int, place: int, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window."""
+    x = np.frombuffer(text, np.uint8)
     w = np.arange(number)
     # the anchor's string and its place in the window are part of what must be equal
-    return mix(range_hash(sums, w, w + length) + np.uint64(gram & ((1 << 64) - 1)) + (place - w).astype(np.uint64))
+    first = mix(range_hash(prefix_sums(x), w, w + length) + np.uint64(gram & ((1 << 64) - 1)) + (place - w).astype(np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_RANDOM2[x] * _UP2[: len(x)])])
+    return first, mix((sums[w + length] - sums[w]) * _DOWN2[w])
+
+
+def shared_runs(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shared) of the rows that share word runs; only hashes are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        hashed = WordHash()
+        width = SHARED_WORDS - SHARED_GRAM + 1
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in blocks(texts):
+                kept = []
+                for h in hashed.many([t.split() for t in texts[a:b]]):
+                    if len(h) < SHARED_WORDS:
+                        kept.append(np.zeros(0, np.int64))
+                        continue
+                    g = h
+                    for step in (1, 2, 4, 8):  # runs of 16 words, then two of them
+                        g = mix(g[:-step] * np.uint64(0x9E3779B97F4A7C15) + g[step:])
+                    rest = SHARED_GRAM - 16
+                    g = mix(g[:-rest] * np.uint64(0x9E3779B97F4A7C15) + g[rest:])
+                    low, step = g, 1
+                    while 2 * step <= width:
+                        low = np.minimum(low[:-step], low[step:])
+                        step *= 2
+                    n = len(h) - SHARED_WORDS + 1
+                    low = np.minimum(low[:n], low[width - step : width - step + n])
+                    kept.append(np.unique(low).view(np.int64))
+                n = [len(k) for k in kept]
+                rows = pa.array(np.repeat(np.arange(a, b), n))
+                yield {"doc_id": batch.column("doc_id").take(rows), "text_hash": batch.column("text_hash").take(rows), "run": np.concatenate(kept)}
+
+    rows = materialize(map_arrow(keyed.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, run long"), "runs")
+    common = rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    return rows.join(common, "run", "left_semi").groupBy("doc_id", "text_hash", "run").agg(F.lit(1).alias("one")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_shared"))
 
 
 CONTEXT = "doc_id long, text_hash long, first long, number long, place long, gram long, only boolean, bytes binary"
@@ -199,10 +248,11 @@ def index_matches(table: DataFrame, length: int) -> DataFrame:
                 hashes += column["text_hash"]
                 firsts += column["first"]
                 only += column["only"]
-                suffix = [_suffixes(b, n, p - f, g, length) for b, n, p, f, g in zip(column["bytes"], column["number"], column["place"], column["first"], column["gram"], strict=True)]
-                owner = [(np.int64(base + i) << 20) + np.arange(len(x)) for i, x in enumerate(suffix)]
-                if suffix:
-                    yield rows(index.add(np.concatenate(suffix), np.concatenate(owner)))
+                columns = zip(column["bytes"], column["number"], column["place"], column["first"], column["gram"], strict=True)
+                both = [_suffixes(b, n, p - f, g, length) for b, n, p, f, g in columns]
+                owner = [(np.int64(base + i) << 20) + np.arange(len(x)) for i, (x, _) in enumerate(both)]
+                if both:
+                    yield rows(index.add(np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both]), np.concatenate(owner)))
         yield rows(index.marked())
 
     return map_arrow(table, run, MATCHED)
@@ -214,7 +264,7 @@ def row_matches(table: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = _suffixes(row["bytes"], row["number"], row["place"] - row["first"], row["gram"], length).view(np.int64)
+                s = _suffixes(row["bytes"], row["number"], row["place"] - row["first"], row["gram"], length)[0].view(np.int64)
                 n = len(s)
                 yield {"doc_id": [row["doc_id"]] * n, "text_hash": [row["text_hash"]] * n, "start": row["first"] + np.arange(n), "gram": [row["gram"]] * n, "suffix": s, "only": [row["only"]] * n}
 
@@ -223,8 +273,8 @@ def row_matches(table: DataFrame, length: int) -> DataFrame:
     return windows.where("only").join(twice, ["gram", "suffix"], "left_semi").select("doc_id", "text_hash", "start")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 20_000, per_partition: int = 12_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are the removed runs as start:end."""
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 5_000, per_partition: int = 12_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared): spans are the removed runs as start:end."""
     keyed = doc_text(docs).withColumn("text_hash", F.xxhash64("text", F.length("text")))
     rows = materialize(anchor_rows(keyed, length, gram), "anchors")
     kinds = rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "number", "place")).alias("one"))
@@ -241,9 +291,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int
         if size[1] > hot:
             found = found.unionByName(row_matches(contexts(many, keyed, length), length))
         spans = spans.unionByName(found.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end")))
-    merged = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    rows = spans.withColumn("n_shared", F.lit(None).cast("long")).unionByName(shared_runs(keyed), allowMissingColumns=True)
+    merged = rows.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.max("n_shared").alias("n_shared"))
     on = [F.equal_null(keyed["doc_id"], merged["doc_id"]), keyed["text_hash"] == merged["text_hash"]]
-    joined = keyed.join(merged, on, "left").select(keyed["doc_id"], F.col("text").cast("binary").alias("bytes"), "start", "end")
+    joined = keyed.join(merged, on, "left").select(keyed["doc_id"], F.col("text").cast("binary").alias("bytes"), "start", "end", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -267,6 +318,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int
                 out["n_spans"].append(len(cuts))
                 out["kept_sha256"].append(digest.hexdigest())
                 out["spans"].append(",".join(f"{a}:{b}" for a, b in cuts))
-            yield {"doc_id": batch.column("doc_id")} | out
+            yield {"doc_id": batch.column("doc_id"), "n_shared": batch.column("n_shared")} | out
 
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, n_shared long")
