@@ -128,7 +128,7 @@ def looks_abbreviated(piece: Column) -> Column:
 
 
 def sentences(c: Column | str, language: str = "la") -> Column:
-    """STR-04, STR-05: array of sentences. A piece joins the one before if that ends in an abbreviation.
+    """STR-04, STR-05, WIN-04: array of sentences. A piece joins the one before if that ends in an abbreviation.
 
     Ends of abbreviations are marked first and their spaces put back after the cut, so time is linear in the text.
     """
@@ -221,7 +221,7 @@ def without_greek(c: Column | str) -> Column:
 
 
 def mixed_translation(c: Column | str, translate=lambda x: x) -> Column:
-    """STR-27: translation of the rest, with the distinct Greek runs appended."""
+    """STR-27, SET-06: translation of the rest, with the distinct Greek runs appended."""
     runs = F.array_distinct(greek_runs(c))
     return F.when(
         F.size(runs) > 0, F.concat(translate(without_greek(c)), F.lit(" [Greek in source: "), F.array_join(runs, "; "), F.lit("]"))

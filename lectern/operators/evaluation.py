@@ -183,6 +183,14 @@ def progress(done: Column, total: Column, seconds: Column) -> Column:
     return F.struct(rate.alias("rate"), F.when(rate > 0, (total - done) / rate).alias("eta"))
 
 
+def training_records(pairs: DataFrame, default: str = "la", most: int | None = None, seed: int = 42) -> DataFrame:
+    """ML-03, AGG-21: (src_lang, src, tgt, evaluation) what a fine-tuning job reads; training itself is out of scope."""
+    rows = pairs.where(X.is_filled("src") & X.is_filled("tgt")).withColumn("src_lang", F.coalesce(F.nullif("src_lang", F.lit("")), F.lit(default)))
+    rows = rows.withColumn("_k", F.xxhash64("src", "tgt"))
+    split = evaluation_split(rows if most is None else held_out(rows, "_k", most, 0, seed), "_k", 0.02, seed)
+    return split.select("src_lang", "src", "tgt", "evaluation")
+
+
 def routed_examples(pairs: DataFrame, default: str = "la") -> DataFrame:
     """AGG-21: (src_lang, n) of training pairs by the language whose tokenizer they go to."""
     return pairs.groupBy(F.coalesce(F.nullif("src_lang", F.lit("")), F.lit(default)).alias("src_lang")).agg(F.count("*").alias("n"))

@@ -131,6 +131,31 @@ def source_family(c: Column | str) -> Column:
     return F.regexp_replace(X.col(c), r"(?U)\s*\(.*", "")
 
 
+def is_untranslated(c: Column | str = "english_text") -> Column:
+    """FLT-02: nothing written, not even white space; FLT-01 is the stricter predicate of the library."""
+    return X.col(c).isNull() | (X.col(c) == "")
+
+
+def sizes(segments: DataFrame) -> DataFrame:
+    """AGG-17: (doc_id, chars, n) of works over their segments."""
+    return segments.groupBy("doc_id").agg(F.sum(F.length("source_text")).alias("chars"), F.count("*").alias("n"))
+
+
+def out_of_bounds(works: DataFrame, least_chars: int = 300, least_segments: int = 2, most_chars: int = 700_000) -> DataFrame:
+    """FLT-06: works of sizes() that are stubs or too large."""
+    return works.where((F.col("chars") < least_chars) | (F.col("n") < least_segments) | (F.col("chars") > most_chars))
+
+
+def century_span(documents: DataFrame) -> DataFrame:
+    """AGG-04."""
+    return documents.agg(F.min("century").alias("first"), F.max("century").alias("last"))
+
+
+def most_common(counted: DataFrame, order: list[str], k: int) -> DataFrame:
+    """TOP-05: the k rows with the greatest n, ties by order."""
+    return counted.orderBy(F.desc("n"), *order).limit(k)
+
+
 def signature_sums(texts: DataFrame) -> DataFrame:
     """AGG-08: (doc_id, corrupted, clean) signature counts of works over all their texts (doc_id, text)."""
     bad, good = X.long_s_counts("text")

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans import enrich, styling
 from . import library, mining, search
+from .tables import stored
 
 META = [
     "title",
@@ -338,6 +340,12 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     mining.pair_json(pairs).write.mode("overwrite").text(path)
 
 
+def prose_report(lines: list[str], generate: Callable[[str, str], str], system: str = "") -> str:
+    """STY-04: a model's account of the report's lines, which follow it."""
+    table = "\n".join(lines)
+    return generate(system, f"Summarize the state of this library. Use no number that is not below.\n\n{table}").strip() + f"\n\n---\n\n{table}\n"
+
+
 class Library:
     """LIB-01: a thin façade over the stored tables."""
 
@@ -411,7 +419,7 @@ class Library:
         return self.table("vectors").count()
 
     def search(self, query: list[float], k: int = 5, language_stage: str | None = None, only_untranslated: bool = False) -> DataFrame:
-        """TOP-01, TOP-02, JON-05: the k best hits with their rows; an empty index has none."""
+        """TOP-01, TOP-02, FLT-04, JON-05: the k best hits with their rows; an empty index has none."""
         index, documents = self.table("vectors"), self.table("documents")
         segments = self.segments()
         if language_stage or only_untranslated:
@@ -423,3 +431,37 @@ class Library:
             index = index.join(allowed.select("id"), "id", "left_semi")
         named = documents.select("id", "title", "author")
         return search.hits(search.top_k(index, query, k), segments.withColumnRenamed("id", "segment_id"), named)
+
+    def translate(self, model: Callable[[DataFrame], DataFrame], doc_id: int | None = None) -> int:
+        """LIB-02, MT-03: translates pending segments, of one document or all; model takes (id, text) to (id, english_text).
+
+        Garbled ones get the placeholder; returns how many were pending.
+        """
+        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
+        rows = rows.join(self.table("documents").select(F.col("id").alias("doc_id"), "language"), "doc_id")
+        todo = stored(enrich.translation_input(rows), "pending")
+        garbled = todo.where("route = 'placeholder'").select("id", F.lit(X.PLACEHOLDER).alias("english_text"))
+        texts = todo.where("route <> 'placeholder'").select("id", F.col("source_text").alias("text"))
+        self.patch(model(texts).select("id", "english_text").unionByName(garbled), ["english_text"])
+        return todo.count()
+
+    def stylize(self, factory, preset: str, doc_id: int | None = None) -> None:
+        """LIB-02, STY-02: styles what is translated, of one document or all."""
+        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
+        self.patch(styling.styled(rows, factory, preset), ["english_styled", "style_label"])
+
+    def scan(self, factory, meter: str = "hexameter", doc_id: int | None = None) -> None:
+        """LIB-02, SCN-01: writes the patterns that a scanner finds."""
+        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
+        rows = rows.join(self.table("documents").select(F.col("id").alias("doc_id"), "language"), "doc_id")
+        self.patch(styling.scanned(rows, factory, meter).where("scansion is not null").select("id", "scansion"), ["scansion"])
+
+    def reader(self, doc_id: int, view: str = "Literal") -> str | None:
+        """LIB-02, SNK-11: a document's page, or None."""
+        documents = self.table("documents").where(F.col("id") == doc_id)
+        row = reader_pages(documents, self.table("sections").where(F.col("doc_id") == doc_id), self.table("segments"), view).first()
+        return row and row["html"]
+
+    def report(self) -> list[str]:
+        """SNK-09: the report's lines; few, one for each distinct source, language, stage and genre."""
+        return [r["line"] for r in report_lines(self.table("documents"), self.segments()).orderBy("part", "rank").collect()]

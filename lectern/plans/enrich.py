@@ -17,7 +17,7 @@ from ..functions import text as X
 def apply_model(
     rows: DataFrame, key: str, column: str, factory: Callable[[], Callable[[list[str]], list]], kind: str = "string", batch: int = 32
 ) -> DataFrame:
-    """EMB-01, EMB-04, MT-01, MT-04, MT-05, SRT-01: (key, output, failed).
+    """EMB-01, EMB-04, MT-01, MT-04, MT-05, SRT-01, JON-15: (key, output, failed), by key and never by place.
 
     The factory makes the model once for each worker, when its first text comes. Batches hold texts of similar lengths; one
     that the model cannot hold is halved, and a text that fails alone gives the empty string, or null for other kinds, and

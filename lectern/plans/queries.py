@@ -424,7 +424,7 @@ def agg03_by_source(spark, sf):
 
 @query(W("SELECT min(century) AS first, max(century) AS last FROM w"))
 def agg04_century_span(spark, sf):
-    return works(spark, sf).agg(F.min("century").alias("first"), F.max("century").alias("last"))
+    return library.century_span(works(spark, sf))
 
 
 SPOILT = "CASE WHEN doc_id % 3 = 0 THEN replace(text, 's', 'f') ELSE text END"
@@ -450,8 +450,7 @@ def agg08_signatures(spark, sf):
     )
 )
 def agg16_pending(spark, sf):
-    pending = F.col("english_text").isNull() | (F.col("english_text") == "")
-    return segments(spark, sf).groupBy("doc_id").agg(F.count_if(pending).alias("pending"), F.count("*").alias("n"))
+    return segments(spark, sf).groupBy("doc_id").agg(F.count_if(library.is_untranslated()).alias("pending"), F.count("*").alias("n"))
 
 
 @query(
@@ -461,8 +460,7 @@ def agg16_pending(spark, sf):
     )
 )
 def flt06_stubs(spark, sf):
-    s = segments(spark, sf).groupBy("doc_id").agg(F.sum(F.length("source_text")).alias("chars"), F.count("*").alias("n"))
-    return s.where("chars < 300 or n < 2 or chars > 700000")
+    return library.out_of_bounds(library.sizes(segments(spark, sf)))
 
 
 @query(

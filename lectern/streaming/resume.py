@@ -32,3 +32,39 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 m
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("start"), "event_type", "n", "total"
     )
+
+
+POINTER = "page int, missed int"
+
+
+def align_stream(segments: DataFrame, pages: DataFrame, key_len: int = 20, least: int = 10, window: int = 6, widest: int = 80) -> DataFrame:
+    """STM-05, PAG-01: page alignment of segments that arrive as a stream, in order within a document: (doc_id, pos, page, confident).
+
+    pages (doc_id, page, text) is static. The state of a document is its pointer: the last page and the misses since.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..functions import text as X
+    from ..operators.alignment import page_hits
+
+    plain = X.alnum(F.coalesce("text", F.lit("")))
+    sheets = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", plain.alias("plain")))).alias("pages"))
+    keyed = segments.select("doc_id", "pos", F.left(plain, F.lit(key_len)).alias("key")).join(sheets, "doc_id")
+
+    def run(key, frames, state):
+        page, missed = state.get if state.exists else (0, 0)
+        rows = pd.concat(frames).sort_values("pos")
+        out = []
+        held = [x["plain"] for x in rows["pages"].iloc[0]]
+        keys = [k if len(k) >= least else "" for k in rows["key"]]
+        for pos, own, places in zip(rows["pos"], keys, page_hits(keys, held), strict=True):
+            ahead = [p for p in places if page <= p < page + min(window + 6 * missed, widest)][:1]
+            page = ahead[0] if ahead else page
+            missed = 0 if ahead else missed + bool(own)
+            out.append((key[0], pos, page, bool(ahead)))
+        state.update((page, missed))
+        yield pd.DataFrame(out, columns=["doc_id", "pos", "page", "confident"])
+
+    schema = "doc_id long, pos int, page int, confident boolean"
+    return keyed.groupBy("doc_id").applyInPandasWithState(run, schema, POINTER, "append", GroupStateTimeout.NoTimeout)

@@ -244,3 +244,78 @@ def test_corpus_xml():
     assert parse.corpus_text(nested) == ("A", "N", "one two")
     assert parse.corpus_text(nested, compat=True)[2] == "one two\ntwo"
     assert parse.corpus_text("<r><p>x</p><l>y</l></r>") == (None, None, "x\ny") and parse.corpus_text(None) == (None, None, "")
+
+
+def test_raw_works(spark):
+    from lectern.sources import works as W
+
+    tei = "<TEI><teiHeader><title>De re</title><author>Cato</author></teiHeader><text><body><div type='book' n='1'><p>alpha</p></div></body></text></TEI>"
+    rows = spark.createDataFrame([("urn:cts:greekLit:tlg1.tlg2", ["x-grc1.xml", "x-eng1.xml"], tei), ("a/b", ["x-grc2.xml"], tei), ("c.d", ["x-lat1.xml"], tei), ("e.f", ["x-grc1.xml"], "<bad")], "identifier string, files array<string>, xml string")
+    got = {r["source"]: r for r in W.edition_works(rows, "pta").collect()}
+    assert set(got) == {"PTA (tlg1.tlg2)", "PTA (a.b)"} and got["PTA (a.b)"]["translation_status"] == "unknown"
+    assert got["PTA (tlg1.tlg2)"]["has_existing_translation"] and got["PTA (a.b)"]["language"] == "grc" and got["PTA (a.b)"]["author"] == "Cato"
+    assert W.tei_works(rows.select(F.lit("DLT1").alias("identifier"), "xml"), "digiliblt", {"century": 5}).first()["century"] == 5
+    answer = spark.createDataFrame([("7", "<r><name>N</name><div>prose</div></r>")], "identifier string, xml string")
+    assert [r["source"] for n in ("corpuscorporum", "alim") for r in W.corpus_works(answer, n).collect()] == ["Corpus Corporum (7)", "ALIM (7)"]
+    assert W.plain_works(spark.createDataFrame([("i", "t")], "identifier string, text string")).first()["parts"][0]["text"] == "t"
+    with pytest.raises(KeyError):
+        W.plain_works(spark.createDataFrame([("i", "t")], "identifier string, text string"), "none")
+
+
+def test_library_actions(spark, tmp_path, capsys):
+    from lectern.__main__ import embed, main
+
+    path = str(tmp_path / "lib")
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Gallia est omnis divisa. In partes tres.")
+    (folder / "b.txt").write_text("x«1«2«3 y")
+    assert main([path, "ingest", str(folder)]) == 0 and main([path, "list"]) == 0 and main([path, "report"]) == 0
+    assert "Documents: 2" in capsys.readouterr().out
+    lib = store.Library(spark, path)
+    assert lib.translate(lambda t: t.select("id", F.upper("text").alias("english_text"))) == 3
+    lib.stylize(lambda: lambda system, user: user.split("\n\n")[-1] + "~", "verse_blank")
+    lib.scan(lambda: lambda line, meter: "-u" if "tres" in line else None)
+    rows = {r["source_text"]: (r["english_text"], r["english_styled"], r["scansion"]) for r in lib.segments().collect()}
+    assert rows["In partes tres."][0] == "IN PARTES TRES." and rows["In partes tres."][2] == "-u" and rows["x«1«2«3 y"][:2] == (X.PLACEHOLDER, X.PLACEHOLDER)
+    assert main([path, "reindex"]) == 0 and lib.index_size() == 3 and embed is not None
+    doc = lib.list_documents().where("title = 'a'").first()["id"]
+    assert main([path, "export", str(doc), str(tmp_path / "a.html")]) == 0 and "GALLIA" in (tmp_path / "a.html").read_text()
+    assert main([path, "export", "1", "x"]) == 1 and main([path]) == 2 and lib.reader(1) is None
+    assert store.prose_report(["a"], lambda s, u: " told ").startswith("told\n\n---")
+
+
+def test_optional_tokenizer(spark):
+    from lectern.operators import alignment
+
+    df = spark.createDataFrame([("A b. C d.",), (None,)], "t string")
+
+    def missing():
+        raise ImportError
+
+    assert [r["s"] for r in df.select(alignment.sentences_by(missing)("t").alias("s")).collect()] == [["A b.", "C d."], []]
+    assert [r["s"] for r in df.select(alignment.sentences_by(lambda: lambda t: t.split(" "))("t").alias("s")).collect()] == [["A", "b.", "C", "d."], []]
+
+
+def test_page_pointer_as_a_stream(spark, tmp_path):
+    from lectern.operators import alignment
+    from lectern.streaming import resume
+
+    r = random.Random(3)
+    pages = [" ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(20)) for _ in range(9)]
+    segs = [(1, i, pages[min(8, i // 2)][(i % 2) * 30 :][:40] if i % 5 else "elsewhere altogether") for i in range(16)]
+    right = spark.createDataFrame([(1, i, p) for i, p in enumerate(pages)], "doc_id long, page int, text string")
+    schema = "doc_id long, pos int, text string"
+    want = sorted(tuple(x) for x in alignment.align_pages(spark.createDataFrame(segs, schema), right).collect())
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for half in (segs[:7], segs[7:]):
+        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = resume.align_stream(spark.readStream.schema(schema).parquet(source), right)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(x) for x in spark.read.parquet(sink).select("doc_id", "pos", "page", "confident").collect()) == want
+
+
+def test_training_records(spark):
+    pairs = spark.createDataFrame([("a", "b", ""), ("c", "d", "grc"), (" ", "x", "la")], "src string, tgt string, src_lang string")
+    rows = evaluation.training_records(pairs).collect()
+    assert sorted(x["src_lang"] for x in rows) == ["grc", "la"] and sum(x["evaluation"] for x in rows) == 1
