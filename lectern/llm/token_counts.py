@@ -1,12 +1,14 @@
-"""Token counts by map-side two-tier lookup: no pre-token is ever shuffled.
+"""Token counts by map-side two-tier lookup: no pre-token is ever shuffled, only a bounded summary of each task.
 
 The pieces of this tokenizer hold the word mark only at their start, so the encoding of a text is the
 concatenation of the encodings of its pre-tokens: a run of word marks (spaces) with the characters up to the next.
 
-Tier 1 is a broadcast hash table pre-token -> length for the whole-word pieces of the tokenizer's own vocabulary,
-the pre-tokens that the tokenizer's training found frequent; it has at most as many entries as the vocabulary,
-whatever the size of the corpus. Tier 2 encodes misses with the library and keeps them in a bounded cache of the
-Python worker. The job is one map over the documents.
+Tier 1 is a broadcast hash table pre-token -> length. It holds the whole-word pieces of the tokenizer's own vocabulary and
+the corpus's frequent pre-tokens, `keep` at most: every task counts its pre-tokens in a table that is pruned to its more
+frequent half whenever it has BOUND entries, and sends the PER_TASK most frequent with their counts; of their sums those
+above a bound are kept, the lowest in steps of an eighth of an octave that leaves `keep` of them. A pre-token that such a
+summary misses is a miss of tier 1, no more. Tier 2 encodes misses with the library and keeps them in a bounded cache of
+the Python worker.
 
 Null text: 0 bytes, 0 tokens. Very long texts are cut at pre-tokens, so no encoding of a whole text is ever held.
 """
@@ -14,27 +16,70 @@ Null text: 0 bytes, 0 tokens. Very long texts are cut at pre-tokens, so no encod
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, worker_cache
+from .common import blocks, map_arrow, materialize, worker_cache
 
 MARK = "▁"
 CACHE = 600_000
+RUNS = re.compile(" *[^ ]+| +").findall
+KEEP, PER_TASK, BOUND = 100_000, 50_000, 400_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def frequent_lengths(model_file: str) -> dict[str, int]:
-    """Tier 1: lengths of the pre-tokens that are whole-word pieces of the vocabulary, keyed without their mark."""
+def frequent_lengths(model_file: str, corpus: list[str] | None = None) -> dict[str, int]:
+    """Tier 1: lengths of the pre-tokens that are whole-word pieces of the vocabulary or frequent, keyed without their mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    words = [p[1:] for p in map(sp.id_to_piece, range(sp.get_piece_size())) if p.startswith(MARK) and len(p) > 1 and MARK not in p[1:]]
+    pieces = map(sp.id_to_piece, range(sp.get_piece_size()))
+    words = [p[1:] for p in pieces if p.startswith(MARK) and len(p) > 1 and MARK not in p[1:]]
+    words = list(dict.fromkeys([*words, *(corpus or [])]))
     return dict(zip(words, map(len, sp.encode(words, num_threads=1)), strict=True))
 
 
+def units(text: str) -> list[str]:
+    """Pre-tokens without their first mark: the library puts one before what it encodes."""
+    text = text.replace(MARK, " ")
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [u[1:] for u in RUNS(" " + text)]
+    return text.split(" ")
+
+
+def frequent_units(docs: DataFrame, keep: int = KEEP) -> list[str]:
+    """At most `keep` frequent pre-tokens of docs (text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: Counter = Counter()
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in blocks(texts):
+                for t in texts[a:b]:
+                    seen.update(units(t))
+                if len(seen) > BOUND:
+                    seen = Counter(dict(seen.most_common(BOUND // 2)))
+        seen.pop("", None)
+        found = [(u, n) for u, n in seen.most_common(PER_TASK) if len(u) <= 64]
+        yield {"unit": [u for u, _ in found], "n": [n for _, n in found]}
+
+    sums = map_arrow(docs.select("text"), count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    sums = materialize(sums.withColumn("power", F.floor(8 * F.log2("n")).cast("int")), "frequent")
+    total, least = 0, None
+    for row in sorted(sums.groupBy("power").agg(F.count("*").alias("n")).collect(), reverse=True):  # 512 rows at most
+        total += row["n"]
+        if total > keep:
+            break
+        least = row["power"]
+    return [] if least is None else [r["unit"] for r in sums.where(F.col("power") >= least).select("unit").collect()]
+
+
 class TokenCounter:
     """Counts the tokens of texts exactly as encode() of the library would."""
 
@@ -43,22 +88,12 @@ class TokenCounter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.table, self.cache, self.bound = table, worker_cache(f"token counts {model_file}"), cache
-        self.runs = re.compile(" *[^ ]+| +").findall
-
-    def units(self, text: str) -> list[str]:
-        """Pre-tokens without their first mark: the library puts one before what it encodes."""
-        text = text.replace(MARK, " ")
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [u[1:] for u in self.runs(" " + text)]
-        return text.split(" ")
 
     def many(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         table, cache = self.table, self.cache
         for a, b in blocks(texts):
-            lists = list(map(self.units, texts[a:b]))
+            lists = list(map(units, texts[a:b]))
             needed = set().union(*lists).difference(table)
             needed.discard("")
             missing = list(needed.difference(cache))
@@ -76,13 +111,19 @@ class TokenCounter:
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, cache: int = CACHE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, null text as empty; repeated rows count alike."""
     spark: SparkSession = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_lengths(model_file))
+    # at most the vocabulary and KEEP short strings
+    table = spark.sparkContext.broadcast(frequent_lengths(model_file, frequent_units(docs)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counter = TokenCounter(model_file, table.value, cache)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = counter.many(texts)
-            yield {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
+            yield {
+                "doc_id": batch.column("doc_id"),
+                "n_bytes": [len(t.encode()) for t in texts],
+                "n_tokens": counts,
+                "over_limit": [n > limit for n in counts],
+            }
 
     return map_arrow(docs.select("doc_id", "text"), count, SCHEMA)
