@@ -17,6 +17,8 @@ are not to be expected at any size of corpus.
    mark for a long match, so n equal suffixes cost one entry.
 4. The matched windows are joined to their documents, which drop the covered bytes.
 
+`StoredIndex` keeps the anchors between runs, in levels that grow by merging, so that later batches meet earlier ones.
+
 Beside the bytes, `n_shared` counts a document's word runs that other documents have too: of each window of SHARED_WORDS
 words the string of SHARED_GRAM words with the least hash is kept, and those that two rows have are counted, each once. Any
 run of SHARED_WORDS words in two documents gives both at least one; nothing is removed for it.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, blocks, doc_text, map_arrow, materialize, mix
@@ -78,7 +80,11 @@ def anchors(x: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], (place[1:] != place[:-1]).nonzero()[0] + 1])
     number = np.diff(first, append=len(place))
     place = place[first]
-    context = mix(range_hash(sums, first, first + number - 1 + length) + (place - first).astype(np.uint64) * np.uint64(0x10001) + number.astype(np.uint64))
+    context = mix(
+        range_hash(
+            sums, first, first + number - 1 + length
+        ) + (place - first).astype(np.uint64) * np.uint64(0x10001) + number.astype(np.uint64)
+    )
     return first, number, place, h[place], context
 
 
@@ -94,9 +100,14 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             def rows() -> dict:
                 columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
                 n = [len(p[0]) for p in parts]
-                return {"doc_id": pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))), "text_hash": np.repeat(np.array(hashes, np.int64), n)} | {k: c.view(np.int64) for k, c in zip(names, columns, strict=True)}
-
-            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
+                return {
+                    "doc_id": pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                    "text_hash": np.repeat(np.array(hashes, np.int64), n),
+                } | {k: c.view(np.int64) for k, c in zip(names, columns, strict=True)}
+
+            for doc_id, text_hash, text in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True
+            ):
                 x = np.frombuffer(text.as_buffer(), np.uint8)
                 for s in range(0, len(x) - length + 1, BLOCK):
                     part = anchors(x[s : s + BLOCK + length - 1], length, gram)
@@ -110,7 +121,11 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if parts:
                 yield rows()
 
-    return map_arrow(docs.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, first long, number long, place long, gram long, context long")
+    return map_arrow(
+        docs.select("doc_id", "text_hash", "text"),
+        run,
+        "doc_id long, text_hash long, first long, number long, place long, gram long, context long",
+    )
 
 
 class LogIndex:
@@ -129,7 +144,7 @@ class LogIndex:
 
     def add(self, suffix: np.ndarray, second: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Adds a batch; returns the owners of its suffixes that have been seen before, in it or in a level."""
-        order = np.lexsort((second, suffix))
+        order = np.argsort(suffix, kind="stable")  # equal first hashes of different strings are not to be expected in a batch
         s, t, o = suffix[order], second[order], owner[order]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, bool)
         start = new.nonzero()[0]
@@ -191,11 +206,17 @@ def shared_runs(keyed: DataFrame) -> DataFrame:
                     kept.append(np.unique(low).view(np.int64))
                 n = [len(k) for k in kept]
                 rows = pa.array(np.repeat(np.arange(a, b), n))
-                yield {"doc_id": batch.column("doc_id").take(rows), "text_hash": batch.column("text_hash").take(rows), "run": np.concatenate(kept)}
+                yield {
+                    "doc_id": batch.column("doc_id").take(rows),
+                    "text_hash": batch.column("text_hash").take(rows),
+                    "run": np.concatenate(kept),
+                }
 
     rows = materialize(map_arrow(keyed.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, run long"), "runs")
     common = rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    return rows.join(common, "run", "left_semi").groupBy("doc_id", "text_hash", "run").agg(F.lit(1).alias("one")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_shared"))
+    return rows.join(common, "run", "left_semi").groupBy("doc_id", "text_hash", "run").agg(F.lit(1).alias("one")).groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n_shared")
+    )
 
 
 CONTEXT = "doc_id long, text_hash long, first long, number long, place long, gram long, only boolean, bytes binary"
@@ -206,16 +227,37 @@ def contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "number", "place", "gram", "only")).alias("a"))
     on = [F.equal_null(docs["doc_id"], lists["doc_id"]), docs["text_hash"] == lists["text_hash"]]
     one = docs.join(lists, on).select(docs["doc_id"], docs["text_hash"], "a", "text")
-    cut = one.select("doc_id", "text_hash", F.col("text").cast("binary").alias("bytes"), "a.first", "a.number", "a.place", "a.gram", F.transform("a.only", lambda x: x.cast("int")).alias("only"))
+    cut = one.select(
+        "doc_id",
+        "text_hash",
+        F.col("text").cast("binary").alias("bytes"),
+        "a.first",
+        "a.number",
+        "a.place",
+        "a.gram",
+        F.transform("a.only", lambda x: x.cast("int")).alias("only"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
                 raw = row["bytes"].as_buffer()
-                first, number, place, gram, only = (np.array(row[n].as_py(), np.int64) for n in ("first", "number", "place", "gram", "only"))
+                first, number, place, gram, only = (
+                    np.array(row[n].as_py(), np.int64)
+                    for n in ("first", "number", "place", "gram", "only")
+                )
                 n = len(first)
-                yield {"doc_id": [row["doc_id"].as_py()] * n, "text_hash": [row["text_hash"].as_py()] * n, "first": first, "number": number, "place": place, "gram": gram, "only": only.astype(bool), "bytes": [raw[int(a) : int(a + k - 1 + length)].to_pybytes() for a, k in zip(first, number, strict=True)]}
+                yield {
+                    "doc_id": [row["doc_id"].as_py()] * n,
+                    "text_hash": [row["text_hash"].as_py()] * n,
+                    "first": first,
+                    "number": number,
+                    "place": place,
+                    "gram": gram,
+                    "only": only.astype(bool),
+                    "bytes": [raw[int(a) : int(a + k - 1 + length)].to_pybytes() for a, k in zip(first, number, strict=True)],
+                }
 
     return map_arrow(cut, run, CONTEXT)
 
@@ -237,12 +279,19 @@ def index_matches(table: DataFrame, length: int) -> DataFrame:
             r = owner >> 20
             keep = np.array(only, bool)[r] if len(r) else np.zeros(0, bool)
             r, w = r[keep], (owner & ((1 << 20) - 1))[keep]
-            return {"doc_id": [ids[i] for i in r], "text_hash": np.array(hashes, np.int64)[r] if len(r) else [], "start": np.array(firsts, np.int64)[r] + w if len(r) else []}
+            return {
+                "doc_id": [ids[i] for i in r],
+                "text_hash": np.array(hashes, np.int64)[r] if len(r) else [],
+                "start": np.array(firsts, np.int64)[r] + w if len(r) else [],
+            }
 
         for batch in batches:
             for s in range(0, batch.num_rows, BATCH):
                 part = batch.slice(s, BATCH)
-                column = {n: part.column(n).to_pylist() for n in ("doc_id", "text_hash", "first", "number", "place", "gram", "only", "bytes")}
+                column = {
+                    n: part.column(n).to_pylist()
+                    for n in ("doc_id", "text_hash", "first", "number", "place", "gram", "only", "bytes")
+                }
                 base = len(ids)
                 ids += column["doc_id"]
                 hashes += column["text_hash"]
@@ -266,35 +315,112 @@ def row_matches(table: DataFrame, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 s = _suffixes(row["bytes"], row["number"], row["place"] - row["first"], row["gram"], length)[0].view(np.int64)
                 n = len(s)
-                yield {"doc_id": [row["doc_id"]] * n, "text_hash": [row["text_hash"]] * n, "start": row["first"] + np.arange(n), "gram": [row["gram"]] * n, "suffix": s, "only": [row["only"]] * n}
+                yield {
+                    "doc_id": [row["doc_id"]] * n,
+                    "text_hash": [row["text_hash"]] * n,
+                    "start": row["first"] + np.arange(n),
+                    "gram": [row["gram"]] * n,
+                    "suffix": s,
+                    "only": [row["only"]] * n,
+                }
 
     windows = map_arrow(table, run, MATCHED + ", gram long, suffix long, only boolean")
     twice = windows.groupBy("gram", "suffix").agg(F.count("*").alias("n")).where("n > 1").select("gram", "suffix")
     return windows.where("only").join(twice, ["gram", "suffix"], "left_semi").select("doc_id", "text_hash", "start")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 5_000, per_partition: int = 12_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared): spans are the removed runs as start:end."""
-    keyed = doc_text(docs).withColumn("text_hash", F.xxhash64("text", F.length("text")))
-    rows = materialize(anchor_rows(keyed, length, gram), "anchors")
-    kinds = rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "number", "place")).alias("one"))
+def matches(rows: DataFrame, keyed: DataFrame, length: int, hot: int, per_partition: int) -> DataFrame:
+    """(doc_id, text_hash, start, end) covered bytes of the documents whose anchor rows are new; keyed holds all their texts."""
+    one = F.min(F.struct("doc_id", "text_hash", "first", "number", "place")).alias("one")
+    kinds = rows.groupBy("gram", "context").agg(F.count("*").alias("n"), one, F.bool_or("new").alias("new"))
     strings = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = materialize(kinds.join(strings, "gram", "left").where("n > 1 or kinds > 1"), "kinds")
-    whole = rows.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("number") - 1 + length).alias("end"))
-    wanted = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") == 1).alias("only"), "kinds")
+    whole = rows.where("new").join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
+    spans = whole.select("doc_id", "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("number") - 1 + length).alias("end"))
+    wanted = kinds.where("kinds > 1").select("one.*", "gram", (F.col("new") & (F.col("n") == 1)).alias("only"), "kinds")
     size = wanted.agg(F.count("*"), F.max("kinds")).first()
-    spans = whole
     if size[0]:
         few, many = wanted.where(f"kinds <= {hot}").drop("kinds"), wanted.where(f"kinds > {hot}").drop("kinds")
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size[0] // per_partition))
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size[0] // per_partition))
         found = index_matches(contexts(few, keyed, length).repartition(parts, "gram"), length)
         if size[1] > hot:
             found = found.unionByName(row_matches(contexts(many, keyed, length), length))
         spans = spans.unionByName(found.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end")))
+    return spans
+
+
+class StoredIndex:
+    """The logarithmic family between runs: a folder in shared storage with levels of anchors, one for a range of batches each.
+
+    A batch is matched against itself and all levels, becomes a level, and levels of at most twice the last one's size merge
+    into it, so there are as many levels as the logarithm of the rows. A level that a merge has replaced is left out by
+    its range, whether or not it has been deleted yet.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = 400, gram: int = GRAM):
+        self.spark, self.path, self.length, self.gram = spark, path.rstrip("/"), length, gram
+
+    def levels(self) -> list[tuple[int, int, int]]:
+        """(first batch, last batch, rows) of the levels in force, in order."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        found = sorted(tuple(map(int, p.getName().split("-"))) for p in done)
+        return [x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found)]
+
+    def _read(self, level: tuple[int, int, int]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{'-'.join(map(str, level))}")
+
+    def _write(self, rows: DataFrame, first: int, last: int, size: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{first}-{last}-{size}")
+
+    def add(self, batch: DataFrame, earlier: DataFrame | None = None, hot: int = 5_000, per_partition: int = 12_000) -> DataFrame:
+        """(doc_id, text_hash, start, end): bytes of a batch's documents covered by strings that also start elsewhere in it or
+        in an earlier batch; overlapping ranges are not merged. earlier: the documents of the batches before."""
+        keyed = doc_text(batch).withColumn("text_hash", F.xxhash64("text", F.length("text")))
+        own = materialize(anchor_rows(keyed, self.length, self.gram), "anchors")
+        levels = self.levels()
+        rows, texts = own.withColumn("new", F.lit(True)), keyed
+        if levels:
+            strings = own.select("gram").distinct()
+            for level in levels:
+                rows = rows.unionByName(self._read(level).join(strings, "gram", "left_semi").select(*own.columns).withColumn("new", F.lit(False)))
+            rows = materialize(rows, "met")
+            old = doc_text(earlier).withColumn("text_hash", F.xxhash64("text", F.length("text")))
+            texts = keyed.unionByName(old)
+        found = materialize(matches(rows, texts, self.length, hot, per_partition).distinct(), "matches")
+        self._add_level(own, levels)
+        return found
+
+    def _add_level(self, rows: DataFrame, levels: list[tuple[int, int, int]]) -> None:
+        number = levels[-1][1] + 1 if levels else 0
+        first, size = number, rows.count()
+        while levels and levels[-1][2] <= 2 * size:
+            level = levels.pop()
+            rows, first, size = rows.unionByName(self._read(level)), level[0], size + level[2]
+        self._write(rows, first, number, size)
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 5_000, per_partition: int = 12_000) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared): spans are the removed runs as start:end."""
+    keyed = doc_text(docs).withColumn("text_hash", F.xxhash64("text", F.length("text")))
+    anchored = materialize(anchor_rows(keyed, length, gram), "anchors").withColumn("new", F.lit(True))
+    spans = matches(anchored, keyed, length, hot, per_partition)
     rows = spans.withColumn("n_shared", F.lit(None).cast("long")).unionByName(shared_runs(keyed), allowMissingColumns=True)
-    merged = rows.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.max("n_shared").alias("n_shared"))
+    merged = rows.groupBy("doc_id", "text_hash").agg(
+        F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.max("n_shared").alias("n_shared")
+    )
     on = [F.equal_null(keyed["doc_id"], merged["doc_id"]), keyed["text_hash"] == merged["text_hash"]]
-    joined = keyed.join(merged, on, "left").select(keyed["doc_id"], F.col("text").cast("binary").alias("bytes"), "start", "end", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    joined = keyed.join(merged, on, "left").select(
+        keyed["doc_id"],
+        F.col("text").cast("binary").alias("bytes"),
+        "start",
+        "end",
+        F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -320,4 +446,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int
                 out["spans"].append(",".join(f"{a}:{b}" for a, b in cuts))
             yield {"doc_id": batch.column("doc_id"), "n_shared": batch.column("n_shared")} | out
 
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, n_shared long")
+    return map_arrow(
+        joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, n_shared long"
+    )
