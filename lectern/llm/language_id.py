@@ -30,7 +30,33 @@ CACHE = 200_000
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 # fixed values: first code points of the script ranges, and the script that starts there (0: the first and all others)
-RANGES = [0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xA00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0x3130, 0x3190, 0xAC00, 0xD7B0]
+RANGES = [
+    0,
+    0x370,
+    0x400,
+    0x530,
+    0x590,
+    0x600,
+    0x780,
+    0x900,
+    0x980,
+    0xA00,
+    0xE00,
+    0xE80,
+    0x10A0,
+    0x1100,
+    0x1200,
+    0x1E00,
+    0x1F00,
+    0x2000,
+    0x2E80,
+    0x3040,
+    0x3100,
+    0x3130,
+    0x3190,
+    0xAC00,
+    0xD7B0,
+]
 SCRIPT = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 0, 1, 0, 15, 16, 15, 13, 15, 13, 15]
 SCRIPTS = 17
 
@@ -51,7 +77,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         buckets.append((h[ok] % np.uint64(BUCKETS)).astype(np.int64))
         owners.append(word[: len(h)][ok])
     if len(words):  # whole words
-        total = np.add.reduceat(mix(text + np.uint64(0xABCD) * (place - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64)), np.cumsum(lengths) - lengths)
+        total = np.add.reduceat(
+            mix(text + np.uint64(0xABCD) * (place - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64)),
+            np.cumsum(lengths) - lengths,
+        )
         for salt in (1, 2):
             buckets.append((mix(total + np.uint64(salt)) % np.uint64(BUCKETS)).astype(np.int64))
             owners.append(np.arange(len(words)))
@@ -62,10 +91,16 @@ def scripts(words: list[str]) -> np.ndarray:
     return np.array(SCRIPT)[np.searchsorted(RANGES, [ord(w[0]) for w in words], side="right") - 1] if words else np.zeros(0, int)
 
 
-def train(docs: DataFrame, train_docs: int = 5000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log probabilities (language x bucket) and the scripts seen with each language. docs: doc_id, text, lang."""
+def train(docs: DataFrame, train_docs: int = 5000, most: int = 512) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, log probabilities (language x bucket) and the scripts seen with each language. docs: doc_id, text, lang.
+
+    The `most` most frequent labels are learned, so dirty ones do not make the model grow.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {
+        r["lang"]: r["n"]
+        for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    }
     if not sizes:
         return [], np.zeros((0, BUCKETS)), np.zeros((0, SCRIPTS), bool)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, train_docs / n)))])[F.col("lang")]
@@ -86,7 +121,9 @@ def train(docs: DataFrame, train_docs: int = 5000) -> tuple[list[str], np.ndarra
 
     langs = sorted(sizes)
     counts = np.zeros((len(langs), BUCKETS + SCRIPTS))
-    for r in map_arrow(picked, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_arrow(
+        picked, count, "lang string, bucket long, n long"
+    ).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
     grams, seen = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
     return langs, np.log(grams / grams.sum(1, keepdims=True)), seen > 0.001 * np.maximum(1, seen.sum(1, keepdims=True))
@@ -171,7 +208,9 @@ class Labeller:
         return self.langs[best], float(weight[best] / letters[-1]), ",".join(f"{self.langs[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(
+    docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], penalty: float = 12.0, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, lang_pred, score, spans) and the columns to carry: spans as language:first word:end word, comma-joined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,10 +218,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], p
         labeller = Labeller(*shared.value, penalty)
         for batch in batches:
             got = list(labeller.many(batch.column("text").to_pylist()))
-            yield {"doc_id": batch.column("doc_id"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "spans": [g[2] for g in got]} | {c: batch.column(c) for c in carry}
+            yield {
+                "doc_id": batch.column("doc_id"),
+                "lang_pred": [g[0] for g in got],
+                "score": [g[1] for g in got],
+                "spans": [g[2] for g in got],
+            } | {c: batch.column(c) for c in carry}
 
     kinds = dict(docs.dtypes)
-    schema = ["doc_id long", "lang_pred string", "score double", "spans string", *(f"{c} {kinds[c].replace('bigint', 'long')}" for c in carry)]
+    schema = [
+        "doc_id long", "lang_pred string", "score double", "spans string", *(f"{c} {kinds[c].replace('bigint', 'long')}" for c in carry)
+    ]
     return map_arrow(docs.select("doc_id", *dict.fromkeys(("text", *carry))), label, ", ".join(schema))
 
 

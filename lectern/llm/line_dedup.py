@@ -21,6 +21,9 @@ n_lines and n_dropped of the input are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +37,18 @@ BROADCAST_LEAVES = 20_000
 def _masked() -> Column:
     """The text with tokens that hold digits as variable fields, single spaces and no outer spaces in lines."""
     text = F.col("text")
-    spaced = F.regexp_replace(text, r"[^\S\n]{2,}|[^\S\n ]", " ")
-    # few texts hold digits, and looking for one is much cheaper than looking for such tokens
+    odd = reduce(or_, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
+    spaced = F.when(odd, F.regexp_replace(text, r"[^\S\n]{2,}|[^\S\n ]", " ")).otherwise(text)
+    # few texts hold odd spaces or digits, and looking for one is much cheaper than looking for such runs and tokens
     return F.when(text.rlike("[0-9]"), F.regexp_replace(spaced, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(spaced)
 
 
 def _parsed(line: Column) -> Column:
     line = F.trim(line)
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    return F.struct(F.xxhash64(line).alias("template"), tokens.alias("tokens"), F.xxhash64(F.substring_index(line, " ", LEAD), tokens).alias("leaf"))
+    return F.struct(
+        F.xxhash64(line).alias("template"), tokens.alias("tokens"), F.xxhash64(F.substring_index(line, " ", LEAD), tokens).alias("leaf")
+    )
 
 
 def parsed_lines(keyed: DataFrame, min_tokens: int) -> DataFrame:
@@ -68,27 +74,59 @@ def _recurring(lines: DataFrame, key: list[str], min_docs: int, stands: str = "s
 def _generalised(keyed: DataFrame, lines: DataFrame, min_docs: int, agree: float) -> DataFrame:
     """(doc_id, text_hash, no) of the lines under generalised templates that recur."""
     kinds = lines.select("leaf", "template", "same").distinct().groupBy("leaf", "template").agg(F.count("*").alias("n"))
-    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where(f"kinds > 1 and n >= {min_docs}").select("leaf")
+    leaves = kinds.groupBy("leaf").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("n")
+    ).where(f"kinds > 1 and n >= {min_docs}").select("leaf")
     leaves = materialize(leaves, "leaves")
     few = leaves.count()
     if not few:
         return lines.select("doc_id", "text_hash", "no").limit(0)
-    places = lines.join(F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf").select("doc_id", "text_hash", "no", "leaf", "tokens", "same")
+    places = lines.join(
+        F.broadcast(leaves) if few <= BROADCAST_LEAVES else leaves, "leaf"
+    ).select("doc_id", "text_hash", "no", "leaf", "tokens", "same")
     per_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("no", "leaf", "tokens", "same")).alias("l"))
     on = [F.equal_null(keyed["doc_id"], per_doc["doc_id"]), keyed["text_hash"] == per_doc["text_hash"]]
     masked = keyed.join(per_doc, on).select(keyed["doc_id"], keyed["text_hash"], F.split(_masked(), "\n").alias("lines"), "l")
-    cut = masked.select("doc_id", "text_hash", F.explode(F.transform("l", lambda x: F.struct(x.alias("x"), F.transform(F.split(F.trim(F.get("lines", x["no"])), " "), lambda w: F.xxhash64(w)).alias("words")))).alias("y"))
+    cut = masked.select(
+        "doc_id",
+        "text_hash",
+        F.explode(
+            F.transform(
+                "l",
+                lambda x: F.struct(
+                    x.alias("x"), F.transform(F.split(F.trim(F.get("lines", x["no"])), " "), lambda w: F.xxhash64(w)).alias("words")
+                ),
+            )
+        ).alias("y"),
+    )
     lines = materialize(cut.select("doc_id", "text_hash", "y.x.*", "y.words").dropDuplicates(["doc_id", "text_hash", "no"]), "leaf-lines")
     words = lines.select("doc_id", "text_hash", "no", "leaf", "tokens", "same", F.posexplode("words").alias("pos", "word"))
-    held = words.select("leaf", "pos", "word", "same").distinct().groupBy("leaf", "pos", "word").agg(F.count("*").alias("n")).where(f"n >= {min_docs}")
-    ordered = words.join(held, ["leaf", "pos", "word"]).groupBy("doc_id", "text_hash", "no", "leaf", "tokens", "same").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))).alias("held"))
-    ordered = ordered.withColumn("least", F.greatest(F.lit(1), F.ceil(F.lit(agree) * F.col("tokens"))).cast("int")).where("size(held) >= least")
-    under = ordered.select("doc_id", "text_hash", "no", "leaf", "same", F.explode(F.transform(F.sequence("least", F.size("held")), lambda k: F.xxhash64(F.slice("held", 1, k)))).alias("template"))
+    held = words.select(
+        "leaf", "pos", "word", "same"
+    ).distinct().groupBy("leaf", "pos", "word").agg(F.count("*").alias("n")).where(f"n >= {min_docs}")
+    ordered = words.join(held, ["leaf", "pos", "word"]).groupBy("doc_id", "text_hash", "no", "leaf", "tokens", "same").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "pos", "word"))).alias("held")
+    )
+    ordered = ordered.withColumn(
+        "least", F.greatest(F.lit(1), F.ceil(F.lit(agree) * F.col("tokens"))).cast("int")
+    ).where("size(held) >= least")
+    under = ordered.select(
+        "doc_id",
+        "text_hash",
+        "no",
+        "leaf",
+        "same",
+        F.explode(F.transform(F.sequence("least", F.size("held")), lambda k: F.xxhash64(F.slice("held", 1, k)))).alias("template"),
+    )
     under = materialize(under, "generalised")
-    return under.join(_recurring(under, ["leaf", "template"], min_docs), ["leaf", "template"], "left_semi").select("doc_id", "text_hash", "no")
+    return under.join(
+        _recurring(under, ["leaf", "template"], min_docs), ["leaf", "template"], "left_semi"
+    ).select("doc_id", "text_hash", "no")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree: float = 0.7, long_tokens: int = 50, long_docs: int = 3) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree: float = 0.7, long_tokens: int = 50, long_docs: int = 3
+) -> DataFrame:
     """All columns of docs with the remaining text, and n_lines, n_dropped."""
     renamed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     renamed = renamed.withColumn("text_hash", F.xxhash64("text", F.length("text")))
@@ -97,11 +135,17 @@ def line_dedup(docs: DataFrame, min_docs: int = 20, min_tokens: int = 4, agree:
     key = ["template", "tokens"]
     recurring = _recurring(lines, key, min_docs).unionByName(_recurring(lines.where(f"tokens >= {long_tokens}"), key, long_docs, "near"))
     exact = lines.join(recurring.distinct(), key, "left_semi").select("doc_id", "text_hash", "no")
-    drops = exact.unionByName(_generalised(keyed, lines.drop("near"), min_docs, agree)).groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("drops"))
+    drops = exact.unionByName(
+        _generalised(keyed, lines.drop("near"), min_docs, agree)
+    ).groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("drops"))
     on = [F.equal_null(renamed["doc_id"], drops["doc_id"]), renamed["text_hash"] == drops["text_hash"]]
     joined = renamed.join(drops, on, "left").select("row", renamed["text"], F.split("text", "\n").alias("lines"), "drops")
     kept = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("drops", i)), "\n")
     text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     columns = [text.alias("text") if c.lower() == "text" else F.col(f"row.`{c}`") for c in own]
-    return joined.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(
+        *columns,
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
