@@ -39,6 +39,7 @@ M, BANDS = 128, 32
 SHINGLE = 5
 SMALL, PIVOTS, MORE = 43, 256, 8  # a set of 32 shingles has partners of at most 42
 PER_TASK = 256
+SLICE = 512  # rows that a worker holds as Python objects at a time
 LAST = np.uint64((1 << 64) - 1)
 
 
@@ -86,7 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, one, two, bands, few = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), hashed):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -121,10 +122,14 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.select("doc_id", "n_shingles", F.explode("elements").alias("element"))
     shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
-    held = each.join(shared, "element").groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("held"))
+    held = each.join(shared, "element").groupBy("doc_id", "n_shingles").agg(
+        F.sort_array(F.collect_list(F.struct("n", "element"))).alias("held")
+    )
     # the shingles that no other set has come first in the order
     room = F.expr(f"cast(size(held) - ceil({percent} * n_shingles / 100) + 1 as int)")
-    cut = held.withColumn("room", room).where("room > 0").select("doc_id", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h"))
+    cut = held.withColumn("room", room).where("room > 0").select(
+        "doc_id", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h")
+    )
     return cut.select("h.element", "doc_id", "n_shingles", (F.col("size") - F.col("i")).alias("after"))
 
 
@@ -135,16 +140,27 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     texts = doc_text(docs)
     groups = pairs.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK).cast("int"))
-    members = pairs.join(groups, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("member").alias("doc_id"))
-    pivots = groups.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc_id"))
+    members = pairs.join(groups, "pivot").select(
+        "pivot",
+        F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"),
+        F.lit(1).alias("role"),
+        F.col("member").alias("doc_id"),
+    )
+    pivots = groups.select(
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc_id")
+    )
     rows = members.unionByName(pivots).join(texts, "doc_id").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
         at, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             u, v = [], []
-            for p, salt, role, doc, s in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "doc_id")), shingle_sets(batch.column("text").to_pylist(), hashed), strict=True):
+            for p, salt, role, doc, s in zip(
+                *(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "doc_id")),
+                shingle_sets(batch.column("text").to_pylist(), hashed),
+                strict=True,
+            ):
                 if role == 0:
                     at, pivot = (p, salt), s
                 elif at == (p, salt):
@@ -166,17 +182,25 @@ def _joined(found: DataFrame, links: DataFrame, parts: DataFrame, texts: DataFra
     while True:
         of = parts.select(F.col("node").alias("doc_id"), "component")
         placed = materialize(found.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
-        groups = placed.groupBy("element").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("element")
+        groups = placed.groupBy("element").agg(
+            F.min("component").alias("a"), F.max("component").alias("b")
+        ).where("a <> b").select("element")
         found = materialize(placed.join(groups, "element", "left_semi"), "prefixes")
         # the next pivots of each group; every task sends its own few
         row = F.struct("doc_id", "n_shingles", "after", "component")
         task = F.spark_partition_id().alias("task")
-        own = found.select("element", row.alias("p"), F.row_number().over(Window.partitionBy("element", task).orderBy("doc_id")).alias("k")).where(f"k <= {pivots}")
-        heads = own.select("element", "p", F.row_number().over(Window.partitionBy("element").orderBy("p.doc_id")).alias("k")).where(f"k <= {pivots}").select("element", "p")
+        own = found.select(
+            "element", row.alias("p"), F.row_number().over(Window.partitionBy("element", task).orderBy("doc_id")).alias("k")
+        ).where(f"k <= {pivots}")
+        heads = own.select(
+            "element", "p", F.row_number().over(Window.partitionBy("element").orderBy("p.doc_id")).alias("k")
+        ).where(f"k <= {pivots}").select("element", "p")
         heads = materialize(heads, "heads")
         if heads.isEmpty():
             return parts
-        pairs = found.join(heads, "element").where(f"doc_id > p.doc_id and component <> p.component and {able}").select(F.col("p.doc_id").alias("pivot"), F.col("doc_id").alias("member")).distinct()
+        pairs = found.join(heads, "element").where(f"doc_id > p.doc_id and component <> p.component and {able}").select(
+            F.col("p.doc_id").alias("pivot"), F.col("doc_id").alias("member")
+        ).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["pivot", "member"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -195,7 +219,9 @@ def _joined(found: DataFrame, links: DataFrame, parts: DataFrame, texts: DataFra
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets = materialize(sketches(docs), "sketches")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "few")).alias("rep"))
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(
+        F.min(F.struct("doc_id", "n_shingles", "bands", "few")).alias("rep")
+    )
     classes = materialize(classes.select("set1", "set2", "rep.*"), "classes")
     bands = classes.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -210,22 +236,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     def placed(parts: DataFrame) -> DataFrame:
         """members with their components so far."""
         of = parts.select(F.col("node").alias("doc_id"), "component")
-        return members.join(of, "doc_id", "left").select("band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        return members.join(of, "doc_id", "left").select(
+            "band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        )
 
-    first = members.groupBy(F.col("doc_id").alias("member")).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
+    first = members.groupBy(
+        F.col("doc_id").alias("member")
+    ).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
     links = materialize(verify(first, texts, percent), "links")
     # members and their bucket's smallest that are still apart
     parts = components(links)
     now = materialize(placed(parts), "placed")
     heads = now.where("doc_id = pivot").select("band", F.col("component").alias("head"))
-    apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select("pivot", F.col("doc_id").alias("member")).distinct()
+    apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select(
+        "pivot", F.col("doc_id").alias("member")
+    ).distinct()
     apart = materialize(apart.join(first, ["pivot", "member"], "left_anti"), "apart")
     if not apart.isEmpty():
         links = materialize(links.unionByName(verify(apart, texts, percent)), "links")
         parts = components(links)
         now = materialize(placed(parts), "placed")
     # all others: the sets of buckets that are still mixed, and small sets
-    mixed = now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")).where("mixed and n > 2").select("band")
+    mixed = now.groupBy("band").agg(
+        (F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")
+    ).where("mixed and n > 2").select("band")
     left = now.where(f"n_shingles > {SMALL}").join(mixed, "band", "left_semi").select("doc_id").distinct()
     large = prefixes(elements(texts.join(left, "doc_id", "left_semi")).dropDuplicates(["doc_id", "n_shingles"]), percent)
     of = _joined(short.unionByName(large), links, parts, texts, percent).select(F.col("node").alias("doc_id"), "component")
