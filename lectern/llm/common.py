@@ -34,7 +34,16 @@ def doc_text(docs: DataFrame) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with fn yielding dicts of columns; schema is a DDL string whose types name Arrow's."""
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    types = {
+        "long": pa.int64(),
+        "int": pa.int32(),
+        "double": pa.float64(),
+        "string": pa.string(),
+        "boolean": pa.bool_(),
+        "binary": pa.binary(),
+        "array<long>": pa.list_(pa.int64()),
+        "array<int>": pa.list_(pa.int32()),
+    }
     fields = [tuple(part.split(" ", 1)) for part in schema.split(", ")]
     arrow = pa.schema([(name, types[kind]) for name, kind in fields])
 

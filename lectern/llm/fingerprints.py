@@ -185,7 +185,10 @@ def fingerprints(texts: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch.column("doc_id"), "fingerprint": list(map(str, digests([(t or "").encode() for t in batch.column("text").to_pylist()])))}
+            yield {
+                "doc_id": batch.column("doc_id"),
+                "fingerprint": list(map(str, digests([(t or "").encode() for t in batch.column("text").to_pylist()]))),
+            }
 
     return map_arrow(texts.select("doc_id", F.col(column).alias("text")), run, "doc_id long, fingerprint string")
 
@@ -200,7 +203,9 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 20_000) -> Da
     from pyspark.ml.feature import Bucketizer
 
     least = -(1 << 63)
-    keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(least)).alias("place"))
+    keyed = docs.select(
+        "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(least)).alias("place")
+    )
     places = keyed.select("place")
     n = min(most, places.count() // per_bucket + 1)
     bounds = places.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
@@ -208,7 +213,9 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 20_000) -> Da
 
     def bucketed(df: DataFrame) -> DataFrame:
         at = df.withColumn("_place", F.col("place").cast("double"))
-        return Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(at).withColumn("bucket", -F.col("_bucket").cast("int")).drop("_place", "_bucket") if len(splits) > 2 else at.withColumn("bucket", F.lit(0)).drop("_place")
+        return Bucketizer(
+            splits=splits, inputCol="_place", outputCol="_bucket"
+        ).transform(at).withColumn("bucket", -F.col("_bucket").cast("int")).drop("_place", "_bucket") if len(splits) > 2 else at.withColumn("bucket", F.lit(0)).drop("_place")
 
     firsts = {r["bucket"]: r["place"] for r in bucketed(places).groupBy("bucket").agg(F.max("place").alias("place")).collect()}
     order = sorted(firsts)  # downwards in doc_id
@@ -219,7 +226,9 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, most: int = 20_000) -> Da
         first = F.broadcast(spark.createDataFrame(list(follows.items()), "place long, follows int"))  # `most` rows at most
         ahead = own.join(first, "place").withColumn("bucket", F.col("follows")).withColumn("ahead", F.lit(1)).drop("follows")
         own = own.unionByName(ahead)
-    return own.repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "ahead", F.col("place").desc(), "text").select("bucket", "ahead", "doc_id", "text")
+    return own.repartition(max(1, len(order)), "bucket").sortWithinPartitions(
+        "bucket", "ahead", F.col("place").desc(), "text"
+    ).select("bucket", "ahead", "doc_id", "text")
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -234,7 +243,15 @@ def edited_fingerprints(docs: DataFrame, per_bucket: int = 2000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         waiting: tuple | None = None  # bucket, doc_id, text, digest
         for batch in batches:
-            rows = list(zip(batch.column("bucket").to_pylist(), batch.column("ahead").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
+            rows = list(
+                zip(
+                    batch.column("bucket").to_pylist(),
+                    batch.column("ahead").to_pylist(),
+                    batch.column("doc_id").to_pylist(),
+                    batch.column("text").to_pylist(),
+                    strict=True,
+                )
+            )
             for i in range(0, len(rows), 256):
                 part = rows[i : i + 256]
                 own = digests([r[3].encode() for r in part])

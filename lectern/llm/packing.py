@@ -83,7 +83,15 @@ class UnitTokenizer:
     def learn(self, units: list[str]) -> None:
         plain, rest = [], []
         for u in units:
-            (plain if self.fast and u[0] == " " and not self.odd(u) and len(u) <= LONG_UNIT and len(u) > 1 and u[1] > " " and u[-1] > " " else rest).append(u)
+            (
+                plain if self.fast
+                and u[0] == " "
+                and not self.odd(u)
+                and len(u) <= LONG_UNIT
+                and len(u) > 1
+                and u[1] > " "
+                and u[-1] > " " else rest
+            ).append(u)
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
             ids = self.fast.encode_to_numpy("".join(part), disallowed_special=()).astype("<u4")
@@ -201,12 +209,17 @@ def _round(table: DataFrame, parts: int, number: int, capacity: int, last: bool)
             elif room.max() > 0:
                 given[room.argmax()] = True
         base = (number << 56) + (TaskContext.get().partitionId() << 32)
-        yield {n: t.column(n).combine_chunks() for n in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": base + b, "offset": np.array(offsets, np.int64), "open": given[b]}
+        yield {
+            n: t.column(n).combine_chunks()
+            for n in ("doc_id", "piece", "start", "length", "ids_crc32")
+        } | {"sequence_id": base + b, "offset": np.array(offsets, np.int64), "open": given[b]}
 
     return map_arrow(dealt, pack, PACKED)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, capacity: int = 2048, per_partition: int = 200_000, rounds: int = 3) -> DataFrame:
+def best_fit_packing(
+    docs: DataFrame, tokenizer_file: str, rank_file: str | None = None, capacity: int = 2048, per_partition: int = 200_000, rounds: int = 3
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document, packed."""
     todo = materialize(pieces(docs, tokenizer_file, rank_file, capacity), "pieces")
     done: list[DataFrame] = []

@@ -143,7 +143,9 @@ def kth_least(values: DataFrame, k: int) -> tuple[float, int]:
             found = sorted(r["v"] for r in left.collect())
             return found[k - before - 1], before + sum(v < found[k - before - 1] for v in found)
         width = (high - low) / 1000
-        bins = left.groupBy(F.floor((F.col("v") - low) / width).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        bins = left.groupBy(F.floor((F.col("v") - low) / width).alias("b")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
         for r in sorted(bins.collect(), key=lambda r: r["b"]):  # about 1,000 rows
             if k <= before + r["n"]:
                 low, high = r["low"], r["high"]
@@ -164,16 +166,24 @@ def among_least(rows: DataFrame, order: list[str], k: int):
     return chosen | equal if k > 0 else chosen
 
 
-def importance_resampling(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 0, target_docs: int = 200_000) -> DataFrame:
+def importance_resampling(
+    docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 0, target_docs: int = 200_000
+) -> DataFrame:
     """Every document with its key and whether it is among the k greatest; keep: share kept, else the target's share of the labelled."""
-    per_doc = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"), (F.max("toxic") == 1).alias("toxic"))
+    per_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(
+        (F.min("quality") == 1).alias("good"), (F.max("toxic") == 1).alias("toxic")
+    )
     judged = materialize(per_doc.select("doc_id", F.coalesce(F.col("good") & ~F.col("toxic"), F.lit(False)).alias("is_target")), "judged")
     labelled, n_target = judged.agg(F.count("*"), F.count_if("is_target")).first()
     if keep is None:
         keep = n_target / labelled if labelled else 1.0
-    picked = judged.where("is_target").where(F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1_000_003)) < 1_000_003 * min(1.0, target_docs / max(n_target, 1)))
+    picked = judged.where("is_target").where(
+        F.pmod(F.xxhash64("doc_id", F.lit("target")), F.lit(1_000_003)) < 1_000_003 * min(1.0, target_docs / max(n_target, 1))
+    )
     # about target_docs ids at most: the broadcast side is bounded
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "is_target")), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    joined = docs.select("doc_id", "text").join(
+        F.broadcast(picked.select("doc_id", "is_target")), "doc_id", "left"
+    ).select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     n = docs.count()
     n_cells = cells(n)
     scored = score(docs, log_ratios(ngram_counts(joined, n_cells), n_cells), seed)

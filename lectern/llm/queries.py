@@ -27,7 +27,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_kept_chars"), sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.length("text").cast("long").alias("n_kept_chars"),
+        sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"),
+    )
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,20 +57,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.best_fit_packing(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
+    )
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, model).select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+    return language_id.identify(docs, model).select(
+        "doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans"
+    )
 
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS (
 """ + "\nUNION ALL\n".join(
-    f"SELECT doc_id, {o} AS ord, '{k}' AS kind, {least} AS least, regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, {p}, {g}) AS own, string_split_regex(text, {p}) AS gaps FROM d WHERE regexp_matches(text, {p})"
+    f"SELECT doc_id, {o} AS ord, '{k}' AS kind, {least} AS least, regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, "
+    f"{p}, {g}) AS own, string_split_regex(text, {p}) AS gaps FROM d WHERE regexp_matches(text, {p})"
     for o, k, p, g, least in (
         (0, "assign", """'(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", 2, 6),
         (1, "access", "'AKIA[A-Z0-9]+'", 0, 20), (2, "hex", "'[0-9a-f]+'", 0, 24), (3, "pem", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'", 0, 1),
@@ -97,7 +108,18 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_fingerprints, op3_line_dedup, op4_quality, op5_secrets, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_packing, op10_language_id]
+    found = [
+        op1_suffix_dedup,
+        op2_fingerprints,
+        op3_line_dedup,
+        op4_quality,
+        op5_secrets,
+        op6_decontamination,
+        op7_near_duplicates,
+        op8_token_counts,
+        op9_packing,
+        op10_language_id,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -67,14 +67,23 @@ def name(rule: Rule) -> str:
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows of blobs (blob, text, todo): todo lists the names of the rules to run on each."""
-    each = lambda r: F.when(F.array_contains("todo", name(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _lengths(r).alias("m")))
+    each = lambda r: F.when(
+        F.array_contains("todo", name(r)),
+        F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), _lengths(r).alias("m")),
+    )
     keys = blobs.select("blob", F.explode(F.array_compact(F.array(*map(each, rules)))).alias("r")).select("blob", "r.*")
     keys = materialize(keys.select("blob", "kind", "version", "least", "m"), "scanned")
-    rows = keys.where("m is not null").select("blob", "kind", "version", "least", F.posexplode("m").alias("i", "x")).select("blob", "kind", "version", "least", "i", "x.*").where("`all` is not null")
+    rows = keys.where("m is not null").select(
+        "blob", "kind", "version", "least", F.posexplode("m").alias("i", "x")
+    ).select("blob", "kind", "version", "least", "i", "x.*").where("`all` is not null")
     before = Window.partitionBy("blob", "kind", "version").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("all")).over(before)).where("own >= least")
-    found = rows.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("all")).alias("start"), "end"))).alias("found"))
-    return keys.select("blob", "kind", "version").join(found, ["blob", "kind", "version"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:long,end:long>>")))
+    found = rows.groupBy("blob", "kind", "version").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("all")).alias("start"), "end"))).alias("found")
+    )
+    return keys.select("blob", "kind", "version").join(found, ["blob", "kind", "version"], "left").withColumn(
+        "found", F.coalesce("found", F.array().cast("array<struct<start:long,end:long>>"))
+    )
 
 
 def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -82,10 +91,16 @@ def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger:
     texts = doc_text(versions).withColumn("text_hash", F.xxhash64("text", F.length("text")))
     paths = materialize(texts.select("doc_id", "text_hash", sha256_hex(F.col("text")).alias("blob")), "paths")
     # one row stands for each blob; its text is picked out by the row's cheap hash
-    todo = paths.groupBy("blob").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("blob", "row.*").withColumn("todo", F.array(*[F.lit(name(r)) for r in rules]))
+    todo = paths.groupBy("blob").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("row")
+    ).select("blob", "row.*").withColumn("todo", F.array(*[F.lit(name(r)) for r in rules]))
     if ledger is not None:
-        done = ledger.select("blob", F.concat_ws(":", "kind", "version").alias("name")).groupBy("blob").agg(F.collect_set("name").alias("done"))
-        todo = todo.join(done, "blob", "left").withColumn("todo", F.when(F.col("done").isNull(), F.col("todo")).otherwise(F.array_except("todo", "done"))).drop("done").where("size(todo) > 0")
+        done = ledger.select(
+            "blob", F.concat_ws(":", "kind", "version").alias("name")
+        ).groupBy("blob").agg(F.collect_set("name").alias("done"))
+        todo = todo.join(done, "blob", "left").withColumn(
+            "todo", F.when(F.col("done").isNull(), F.col("todo")).otherwise(F.array_except("todo", "done"))
+        ).drop("done").where("size(todo) > 0")
     on = [F.equal_null(texts["doc_id"], todo["doc_id"]), texts["text_hash"] == todo["text_hash"]]
     unseen = texts.join(todo, on).select("blob", "text", "todo")
     # the same version of the same path may be listed again: its keys are equal
@@ -108,12 +123,28 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataF
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; earlier ledger rows are used, not scanned again."""
     new, paths = scan_versions(docs, rules, ledger)
     wanted = F.concat_ws(":", "kind", "version").isin([name(r) for r in rules])
-    rows = new if ledger is None else new.unionByName(ledger.where(wanted).select("blob", "kind", "version", "found")).dropDuplicates(["blob", "kind", "version"])
+    rows = new if ledger is None else new.unionByName(
+        ledger.where(wanted).select("blob", "kind", "version", "found")
+    ).dropDuplicates(["blob", "kind", "version"])
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     base = [r.kind for r in BASE]
-    flat = rows.where(F.size("found") > 0).select("blob", "kind", F.explode("found").alias("s")).select("blob", "kind", F.struct(F.col("s.start"), order[F.col("kind")].alias("order"), F.col("kind"), F.col("s.end")).alias("s"))
-    per_blob = flat.groupBy("blob").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base], F.array_sort(F.collect_list("s")).alias("s"))
+    flat = rows.where(F.size("found") > 0).select("blob", "kind", F.explode("found").alias("s")).select(
+        "blob", "kind", F.struct(F.col("s.start"), order[F.col("kind")].alias("order"), F.col("kind"), F.col("s.end")).alias("s")
+    )
+    per_blob = flat.groupBy("blob").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base], F.array_sort(F.collect_list("s")).alias("s")
+    )
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    spans = per_blob.select("blob", *[f"n_{k}" for k in base], F.concat_ws(",", F.transform(F.filter("s", lambda s: s["order"] < len(base)), text)).alias("base"), F.concat_ws(",", F.transform("s", text)).alias("spans"))
+    spans = per_blob.select(
+        "blob",
+        *[f"n_{k}" for k in base],
+        F.concat_ws(",", F.transform(F.filter("s", lambda s: s["order"] < len(base)), text)).alias("base"),
+        F.concat_ws(",", F.transform("s", text)).alias("spans"),
+    )
     joined = paths.join(spans, "blob", "left")
-    return joined.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base], sha256_hex(F.coalesce("base", F.lit(""))).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return joined.select(
+        "doc_id",
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base],
+        sha256_hex(F.coalesce("base", F.lit(""))).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans"),
+    )
