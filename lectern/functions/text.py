@@ -376,10 +376,11 @@ def has_translation(status: Column | str) -> Column:
 
 
 def unit_vector(c: Column | str) -> Column:
-    """MTH-01, EMB-02: L2-normalized; the zero vector stays."""
+    """MTH-01, EMB-02: L2-normalized; the zero vector stays. The norm is bound to a variable, so it is taken once for a vector."""
     v = F.transform(col(c), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    scaled = F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return F.when(col(c).isNotNull(), F.get(scaled, F.lit(0)))
 
 
 def dot(a: Column, b: Column) -> Column:

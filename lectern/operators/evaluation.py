@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .alignment import chrf_score
 
 ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
@@ -119,20 +120,14 @@ def style_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
 
     commit: how far the rewriting is from its source; register_gap: how much nearer the reference than the source is.
     """
-    score = lambda a, b: chrf_of(chrf_stats(a, b))
-    own = pairs.select(
-        *by,
-        score("hyp", "src").alias("kept"),
-        score("hyp", "ref").alias("near"),
-        score("src", "ref").alias("was"),
-        chrf_stats("hyp", "ref").alias("c"),
-        (F.length("hyp") / F.greatest(F.lit(1), F.length("src"))).alias("r"),
-    )
-    sums = own.groupBy(*by).agg(
+    ratio = F.length("hyp") / F.greatest(F.lit(1), F.length("src"))
+    scores = [chrf_score(a, b).alias(name) for name, a, b in (("kept", "hyp", "src"), ("near", "hyp", "ref"), ("was", "src", "ref"))]
+    counted = pairs.select(*by, *scores, chrf_stats("hyp", "ref").alias("hr"), ratio.alias("r"))
+    sums = counted.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(100 - F.col("kept")).alias("commit"),
         F.avg(F.col("near") - F.col("was")).alias("gap"),
-        summed("c", 3 * ORDER).alias("c"),
+        summed("hr", 3 * ORDER).alias("c"),
         F.avg("r").alias("len"),
     )
     return sums.select(
@@ -185,7 +180,9 @@ def progress(done: Column, total: Column, seconds: Column) -> Column:
 
 def training_records(pairs: DataFrame, default: str = "la", most: int | None = None, seed: int = 42) -> DataFrame:
     """ML-03, AGG-21: (src_lang, src, tgt, evaluation) what a fine-tuning job reads; training itself is out of scope."""
-    rows = pairs.where(X.is_filled("src") & X.is_filled("tgt")).withColumn("src_lang", F.coalesce(F.nullif("src_lang", F.lit("")), F.lit(default)))
+    rows = pairs.where(X.is_filled("src") & X.is_filled("tgt")).withColumn(
+        "src_lang", F.coalesce(F.nullif("src_lang", F.lit("")), F.lit(default))
+    )
     rows = rows.withColumn("_k", F.xxhash64("src", "tgt"))
     split = evaluation_split(rows if most is None else held_out(rows, "_k", most, 0, seed), "_k", 0.02, seed)
     return split.select("src_lang", "src", "tgt", "evaluation")

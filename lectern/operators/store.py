@@ -343,7 +343,9 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 def prose_report(lines: list[str], generate: Callable[[str, str], str], system: str = "") -> str:
     """STY-04: a model's account of the report's lines, which follow it."""
     table = "\n".join(lines)
-    return generate(system, f"Summarize the state of this library. Use no number that is not below.\n\n{table}").strip() + f"\n\n---\n\n{table}\n"
+    return generate(
+        system, f"Summarize the state of this library. Use no number that is not below.\n\n{table}"
+    ).strip() + f"\n\n---\n\n{table}\n"
 
 
 class Library:

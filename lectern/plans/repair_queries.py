@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import alignment, library, repair
 from ..operators.tables import stored
 from .queries import VOCAB, query, segments, table
@@ -85,12 +86,10 @@ def agg09_change_log(spark, sf):
 
 @query()
 def jon14_recovered(spark, sf):
-    # pages of three lines; the old reading of every line is spoilt, the new one is right
-    s = segments(spark, sf).withColumn("page", F.col("doc_id") * 10000000 + F.floor(F.col("ord") / 3))
-    bad = F.translate("source_text", "aeou", "4306")
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("t")))), lambda x: x["t"]), " ")
-    pages = s.groupBy("page").agg(joined(bad).alias("old"), joined(F.col("source_text")).alias("new"))
-    garbled = s.where("ord % 2 = 0").select("id", bad.alias("text"))
-    return alignment.recovered(
-        garbled, s.select("id", "page"), pages.select("page", F.col("old").alias("text")), pages.select("page", F.col("new").alias("text"))
+    # every line is a page; the garbled ones are read anew, their old reading has other letters
+    s = segments(spark, sf).select(
+        "id", F.col("id").alias("page"), F.col("source_text").alias("new"), F.translate("source_text", "aeou", "4306").alias("old")
     )
+    garbled = s.where(X.garble_score("new") >= 10)
+    pages = garbled.select("page", F.col("old").alias("text")), garbled.select("page", F.col("new").alias("text"))
+    return alignment.recovered(garbled.select("id", F.col("old").alias("text")), s.select("id", "page"), *pages)

@@ -47,7 +47,9 @@ def stamped(rows: DataFrame, name: str, identifier: Column, overrides: dict[str,
     """
     c = CONNECTORS[name]
     constants = {"language": c.language, "language_stage": c.stage, "license": c.license, "genre": c.genre}
-    given = {n: F.coalesce(F.col(n), F.lit(v).cast("string")) if n in rows.columns else F.lit(v).cast("string") for n, v in constants.items()}
+    given = {
+        n: F.coalesce(F.col(n), F.lit(v).cast("string")) if n in rows.columns else F.lit(v).cast("string") for n, v in constants.items()
+    }
     source = F.concat(F.lit(f"{c.label} ("), identifier, F.lit(")"))
     out = rows.withColumns(given | {"source": F.coalesce(F.col("source"), source) if "source" in rows.columns else source})
     return out.withColumns({n: F.lit(v) for n, v in (overrides or {}).items()})
@@ -77,7 +79,9 @@ def pick(name: str) -> Column:
 
 def tei_works(payloads: DataFrame, name: str, overrides: dict[str, object] | None = None) -> DataFrame:
     """SRC-02, SRC-10, SRC-25, SRC-26: raw works of (identifier, xml); xml as bytes keeps the encoding that it names itself."""
-    rows = payloads.withColumn("x", parse.parsed_tei("xml")).select("identifier", F.coalesce("x.title", "identifier").alias("title"), "x.author", "x.parts")
+    rows = payloads.withColumn("x", parse.parsed_tei("xml")).select(
+        "identifier", F.coalesce("x.title", "identifier").alias("title"), "x.author", "x.parts"
+    )
     return stamped(rows.where("size(parts) > 0"), name, F.col("identifier"), overrides)
 
 
@@ -98,7 +102,9 @@ def plain_works(payloads: DataFrame, name: str = "archiveorg") -> DataFrame:
 
 def zipped_works(payloads: DataFrame, titles: DataFrame) -> DataFrame:
     """SRC-19: raw works of (identifier, payload: zip bytes) of volumes, with titles (bsb, title) and the status that they tell."""
-    named = payloads.withColumn("bsb", catalogs.bsb_id("identifier")).join(titles.select("bsb", F.col("title").alias("listed")), "bsb", "left")
+    named = payloads.withColumn("bsb", catalogs.bsb_id("identifier")).join(
+        titles.select("bsb", F.col("title").alias("listed")), "bsb", "left"
+    )
     rows = named.withColumn("x", parse.parsed_tei(parse.unzipped("payload", "bsb")))
     title = F.coalesce("listed", "x.title", "bsb")
     status = X.translation_status(title, F.lit(None), F.lit(None))

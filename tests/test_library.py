@@ -13,7 +13,10 @@ from lectern.operators import evaluation, library, mining, store, tables
 from lectern.plans import styling
 from lectern.sources import catalogs, parse
 
-WORKS = "source string, title string, author string, century int, language string, verse boolean, parts array<struct<label:string,text:string>>"
+WORKS = (
+    "source string, title string, author string, century int, language string, verse boolean, parts "
+    "array<struct<label:string,text:string>>"
+)
 
 
 def works(spark, rows):
@@ -50,54 +53,93 @@ def test_library_round_trip(spark, tmp_path):
 
 
 def test_backfill_writes_only_what_differs(spark):
-    rows = spark.createDataFrame([(1, "a / b", None), (2, "Gallia est.", None), (3, "x / y", "done"), (4, None, None)], "id long, source_text string, embed_text string")
+    rows = spark.createDataFrame(
+        [(1, "a / b", None), (2, "Gallia est.", None), (3, "x / y", "done"), (4, None, None)],
+        "id long, source_text string, embed_text string",
+    )
     assert [(r["id"], r["embed_text"]) for r in store.backfilled(rows).collect()] == [(1, "a b")]
 
 
 def test_renderings_escape(spark):
-    docs = spark.createDataFrame([(1, "A & B", None, -1, "", "grc", None, "s<1>", False)], "id long, title string, author string, century int, genre string, language string, language_stage string, source string, has_existing_translation boolean")
+    docs = spark.createDataFrame(
+        [(1, "A & B", None, -1, "", "grc", None, "s<1>", False)],
+        "id long, title string, author string, century int, genre string, language string, language_stage string, source string, "
+        "has_existing_translation boolean",
+    )
     sections = spark.createDataFrame([(9, 1, 0)], "id long, doc_id long, ord int")
-    segs = spark.createDataFrame([(9, 0, "<x>", "y & z", None, None), (9, 1, "w", "  ", None, "-u")], "section_id long, ord int, source_text string, english_text string, english_styled string, scansion string")
+    segs = spark.createDataFrame(
+        [(9, 0, "<x>", "y & z", None, None), (9, 1, "w", "  ", None, "-u")],
+        "section_id long, ord int, source_text string, english_text string, english_styled string, scansion string",
+    )
     html = store.reader_pages(docs, sections, segs).first()["html"]
     assert "<h2>A &amp; B</h2>" in html and "Anon. · unknown · 1c BCE · s&lt;1&gt;" in html and "<th>Greek</th>" in html
     assert '<td class="la">&lt;x&gt;</td><td class="en">y &amp; z</td>' in html and "not yet translated" in html and '<span class="scansion">-u</span>' in html
     assert "not yet stylized" in store.reader_pages(docs, sections, segs, "Stylized").first()["html"]
     assert store.reader_pages(docs, sections, segs.limit(0)).first()["html"].endswith("<tbody></tbody></table>")
-    hit = spark.createDataFrame([(1, 0.98765, None, "T", "p. 3", "<q>", None)], "id long, score double, author string, title string, source_loc string, source_text string, english_text string")
+    hit = spark.createDataFrame(
+        [(1, 0.98765, None, "T", "p. 3", "<q>", None)],
+        "id long, score double, author string, title string, source_loc string, source_text string, english_text string",
+    )
     block = store.hit_blocks(hit).first()["html"]
     assert "0.988" in block and "Anon. — T · p. 3" in block and "&lt;q&gt;" in block
     assert docs.select(store.document_label().alias("l")).first()["l"] == "Anon. — A & B (Greek, unknown  · untranslated)"
 
 
 def test_report_of_an_empty_library(spark):
-    docs, segs = spark.createDataFrame([], library.DOCUMENTS), spark.createDataFrame([], library.SEGMENTS).withColumn("doc_id", F.lit(1).cast("long"))
+    docs, segs = spark.createDataFrame([], library.DOCUMENTS), spark.createDataFrame([], library.SEGMENTS).withColumn(
+        "doc_id", F.lit(1).cast("long")
+    )
     lines = [r["line"] for r in store.report_lines(docs, segs).orderBy("part", "rank").collect()]
     assert lines == ["Documents: 0", "Segments: 0 / 0 translated (0.0%), 0 stylized", "Era span: Nonec to Nonec"]
 
 
 def test_citation_mining(spark):
     leaf = "work string, pos int, chain array<struct<level:string,n:string>>, text string"
-    src = [("w", 0, [("edition", "x"), ("book", "1"), ("chapter", "1"), ("section", "1")], "a"), ("w", 1, [("book", "1"), ("chapter", "1"), ("section", "2")], "b"), ("w", 2, [("book", "1"), ("chapter", "2")], " "), ("w", 3, [("book", "9")], "c"), ("v", 0, [("line", "1")], "d")]
-    tgt = [("w", 0, [("book", "1"), ("chapter", "1")], "A"), ("w", 1, [("book", "1"), ("chapter", "2")], "B"), ("v", 0, [("card", "1")], "D")]
+    src = [
+        ("w", 0, [("edition", "x"), ("book", "1"), ("chapter", "1"), ("section", "1")], "a"),
+        ("w", 1, [("book", "1"), ("chapter", "1"), ("section", "2")], "b"),
+        ("w", 2, [("book", "1"), ("chapter", "2")], " "),
+        ("w", 3, [("book", "9")], "c"),
+        ("v", 0, [("line", "1")], "d"),
+    ]
+    tgt = [
+        ("w", 0, [("book", "1"), ("chapter", "1")], "A"), ("w", 1, [("book", "1"), ("chapter", "2")], "B"), ("v", 0, [("card", "1")], "D")
+    ]
     got = mining.citation_pairs(spark.createDataFrame(src, leaf), spark.createDataFrame(tgt, leaf)).collect()
     assert [(r["src"], r["tgt"], r["citation"], r["source"]) for r in got] == [("a b", "A", "1.1", "Perseus w")]
-    xml = "<TEI><text><body><div type='edition' n='e'><div subtype='Book' n='1'><p>alpha <note>x</note> beta</p></div><div><p>plain</p></div></div></body></text></TEI>"
+    xml = (
+        "<TEI><text><body><div type='edition' n='e'><div subtype='Book' n='1'><p>alpha <note>x</note> "
+        "beta</p></div><div><p>plain</p></div></div></body></text></TEI>"
+    )
     assert parse.citation_leaves(xml) == [([("edition", "e"), ("book", "1")], "alpha beta"), ([("edition", "e")], "plain")]
     assert parse.citation_leaves("<x") == [] and parse.citation_leaves(None) == []
 
 
 def test_books(spark):
     text = "BOOK I\nBOOK II\nBOOK III\n\nBOOK I\n" + "a" * 300 + "\nBOOK II\n" + "b" * 300 + "\nBook of\nBOOK III\nccc"
-    got = {r["book"]: r["text"] for r in mining.target_books(spark.createDataFrame([("w", text), ("x", "no books"), ("y", None)], "work string, text string")).collect()}
+    got = {
+        r["book"]: r["text"]
+        for r in mining.target_books(
+            spark.createDataFrame([("w", text), ("x", "no books"), ("y", None)], "work string, text string")
+        ).collect()
+    }
     assert set(got) == {"1", "2", "3"} and got["3"] == "BOOK III\nccc" and got["1"].count("a") == 300
     sides = spark.createDataFrame([("w", "2", "s"), ("w", "None", "t")], "work string, book string, text string")
-    assert [(r["n"], r["src"]) for r in mining.common_books(sides, spark.createDataFrame([("w", b, t) for b, t in got.items()], "work string, book string, text string")).collect()] == [(2, "s")]
+    assert [
+        (r["n"], r["src"])
+        for r in mining.common_books(
+            sides, spark.createDataFrame([("w", b, t) for b, t in got.items()], "work string, book string, text string")
+        ).collect()
+    ] == [(2, "s")]
 
 
 def test_scores_against_plain_formulas(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abc.,-1") for _ in range(r.randint(1, 6)))
-    pairs = [(" ".join(word() for _ in range(r.randint(0, 9))), " ".join(word() for _ in range(r.randint(0, 9)))) for _ in range(40)] + [("same text here now", "same text here now"), ("", "x"), (None, None)]
+    pairs = [
+        (" ".join(word() for _ in range(r.randint(0, 9))), " ".join(word() for _ in range(r.randint(0, 9))))
+        for _ in range(40)
+    ] + [("same text here now", "same text here now"), ("", "x"), (None, None)]
 
     def chrf(rows):
         p = q = n = 0
@@ -127,10 +169,14 @@ def test_scores_against_plain_formulas(spark):
 
 
 def test_style_scores_and_specs(spark):
-    rows = spark.createDataFrame([("t", "abcdef", "abcdef", "abcdef"), ("t", "", None, "x")], "m string, src string, hyp string, ref string")
+    rows = spark.createDataFrame(
+        [("t", "abcdef", "abcdef", "abcdef"), ("t", "", None, "x")], "m string, src string, hyp string, ref string"
+    )
     got = evaluation.style_scores(rows.fillna(""), ["m"]).first()
     assert got["n"] == 2 and got["commit"] == 50.0
-    specs = spark.createDataFrame([("a=stock:norm",), ("b",), ("c=x=y",)], "s string").select(evaluation.model_spec("s", "S").alias("m")).collect()
+    specs = spark.createDataFrame(
+        [("a=stock:norm",), ("b",), ("c=x=y",)], "s string"
+    ).select(evaluation.model_spec("s", "S").alias("m")).collect()
     assert [tuple(x["m"]) for x in specs] == [("a", "S", True), ("b", "", False), ("c", "x=y", False)]
 
 
@@ -144,7 +190,17 @@ def test_restyling_keeps_counts():
 
 def test_styling_plan(spark):
     seg = "id long, section_id long, ord int, english_text string, english_styled string"
-    rows = spark.createDataFrame([(1, 1, 0, "a", None), (2, 1, 1, X.PLACEHOLDER, ""), (3, 1, 2, "boom", None), (4, 1, 3, "d", "done"), (5, 1, 4, None, None), (6, 1, 5, "f", None)], seg)
+    rows = spark.createDataFrame(
+        [
+            (1, 1, 0, "a", None),
+            (2, 1, 1, X.PLACEHOLDER, ""),
+            (3, 1, 2, "boom", None),
+            (4, 1, 3, "d", "done"),
+            (5, 1, 4, None, None),
+            (6, 1, 5, "f", None),
+        ],
+        seg,
+    )
 
     def factory():
         def generate(system, user):
@@ -161,7 +217,10 @@ def test_styling_plan(spark):
 
 
 def test_scansion_never_fails(spark):
-    lines = spark.createDataFrame([(1, 1, 0, "arma", "la"), (2, 1, 1, " ", "la"), (3, 1, 2, "menin", "grc"), (4, 1, 3, "bad", "la"), (5, 1, 4, None, "la")], "id long, section_id long, ord int, source_text string, language string")
+    lines = spark.createDataFrame(
+        [(1, 1, 0, "arma", "la"), (2, 1, 1, " ", "la"), (3, 1, 2, "menin", "grc"), (4, 1, 3, "bad", "la"), (5, 1, 4, None, "la")],
+        "id long, section_id long, ord int, source_text string, language string",
+    )
 
     def factory():
         return lambda line, meter: f"{meter[0]}-" if line == "arma" else 1 / 0
@@ -173,10 +232,24 @@ def test_scansion_never_fails(spark):
 
 def test_catalogues_survive_bad_payloads(spark):
     bad = spark.createDataFrame([("a", None), ("b", ""), ("c", "{broken"), ("d", "[]")], "id string, payload string")
-    for f in (lambda p: catalogs.listing(p, "dir"), catalogs.wiki_titles, catalogs.archive_ids, catalogs.entity_rows, catalogs.binding_labels, catalogs.repertory_rows, catalogs.loeb_rows, catalogs.mgh_catalogue, catalogs.manifest, catalogs.dlt_ids):
+    for f in (
+        lambda p: catalogs.listing(p, "dir"),
+        catalogs.wiki_titles,
+        catalogs.archive_ids,
+        catalogs.entity_rows,
+        catalogs.binding_labels,
+        catalogs.repertory_rows,
+        catalogs.loeb_rows,
+        catalogs.mgh_catalogue,
+        catalogs.manifest,
+        catalogs.dlt_ids,
+    ):
         assert f(bad).count() == 0
         assert f(bad.limit(0)).count() == 0
-    page = spark.createDataFrame([("a", '<span class="bibliographicAuthorName"><i>Ovid</i></span> x <span class="workTitle"> Fasti </span>')], "id string, payload string")
+    page = spark.createDataFrame(
+        [("a", '<span class="bibliographicAuthorName"><i>Ovid</i></span> x <span class="workTitle"> Fasti </span>')],
+        "id string, payload string",
+    )
     assert [(r["author"], r["title"]) for r in catalogs.loeb_rows(page).collect()] == [("Ovid", "Fasti")]
     answer = spark.createDataFrame([("q", '{"results":{"bindings":[{"langLabel":{"value":"English"}},{}]}}')], "id string, payload string")
     assert [r["language"] for r in catalogs.binding_labels(answer).collect()] == ["English"]
@@ -200,7 +273,10 @@ def test_identifiers_and_missing_files(spark, tmp_path):
     assert [tuple(r) for r in got] == [("bsb00000785", None), ("bsb00000001", None), (None, "DLT000003"), (None, None), (None, None)]
     assert parse.catalogue(spark, str(tmp_path / "missing.json"), ["a", "b"]).collect() == []
     (tmp_path / "c.json").write_text('[["1","x"],["2",null]]')
-    assert [(r["ord"], r["a"], r["b"]) for r in parse.catalogue(spark, str(tmp_path / "c.json"), ["a", "b"]).collect()] == [(0, "1", "x"), (1, "2", None)]
+    assert [
+        (r["ord"], r["a"], r["b"])
+        for r in parse.catalogue(spark, str(tmp_path / "c.json"), ["a", "b"]).collect()
+    ] == [(0, "1", "x"), (1, "2", None)]
 
 
 def test_zip_members(spark):
@@ -212,13 +288,26 @@ def test_zip_members(spark):
         z.writestr("small.XML", "<a/>")
         z.writestr("bsb1.xml", "<b>xx</b>")
         z.writestr("large.xml", "<c>" + "y" * 50 + "</c>")
-    rows = spark.createDataFrame([(bytearray(buffer.getvalue()), "bsb1"), (bytearray(buffer.getvalue()), "other"), (None, "x")], "p binary, w string")
+    rows = spark.createDataFrame(
+        [(bytearray(buffer.getvalue()), "bsb1"), (bytearray(buffer.getvalue()), "other"), (None, "x")], "p binary, w string"
+    )
     got = [r["x"] for r in rows.select(parse.unzipped("p", "w").alias("x")).collect()]
     assert bytes(got[0]) == b"<b>xx</b>" and bytes(got[1]).startswith(b"<c>") and got[2] is None
 
 
 def test_tree_cycles_and_budget(spark):
-    edges = spark.createDataFrame([("r", "a", 0, False), ("r", "t1", 1, True), ("a", "r", 0, False), ("a", "t2", 1, True), ("a", "b", 2, False), ("b", "a", 0, False), ("b", "t3", 1, True)], "parent string, child string, ord int, is_text boolean")
+    edges = spark.createDataFrame(
+        [
+            ("r", "a", 0, False),
+            ("r", "t1", 1, True),
+            ("a", "r", 0, False),
+            ("a", "t2", 1, True),
+            ("a", "b", 2, False),
+            ("b", "a", 0, False),
+            ("b", "t3", 1, True),
+        ],
+        "parent string, child string, ord int, is_text boolean",
+    )
     assert [r["child"] for r in library.tree_leaves(edges, "r", 10).collect()] == ["t2", "t3", "t1"]
     assert [r["child"] for r in library.tree_leaves(edges, "r", 10, budget=1).collect()] == ["t1"]
     assert library.tree_leaves(edges, "nowhere", 5).count() == 0
@@ -249,14 +338,30 @@ def test_corpus_xml():
 def test_raw_works(spark):
     from lectern.sources import works as W
 
-    tei = "<TEI><teiHeader><title>De re</title><author>Cato</author></teiHeader><text><body><div type='book' n='1'><p>alpha</p></div></body></text></TEI>"
-    rows = spark.createDataFrame([("urn:cts:greekLit:tlg1.tlg2", ["x-grc1.xml", "x-eng1.xml"], tei), ("a/b", ["x-grc2.xml"], tei), ("c.d", ["x-lat1.xml"], tei), ("e.f", ["x-grc1.xml"], "<bad")], "identifier string, files array<string>, xml string")
+    tei = (
+        "<TEI><teiHeader><title>De re</title><author>Cato</author></teiHeader><text><body><div type='book' "
+        "n='1'><p>alpha</p></div></body></text></TEI>"
+    )
+    rows = spark.createDataFrame(
+        [
+            ("urn:cts:greekLit:tlg1.tlg2", ["x-grc1.xml", "x-eng1.xml"], tei),
+            ("a/b", ["x-grc2.xml"], tei),
+            ("c.d", ["x-lat1.xml"], tei),
+            ("e.f", ["x-grc1.xml"], "<bad"),
+        ],
+        "identifier string, files array<string>, xml string",
+    )
     got = {r["source"]: r for r in W.edition_works(rows, "pta").collect()}
     assert set(got) == {"PTA (tlg1.tlg2)", "PTA (a.b)"} and got["PTA (a.b)"]["translation_status"] == "unknown"
-    assert got["PTA (tlg1.tlg2)"]["has_existing_translation"] and got["PTA (a.b)"]["language"] == "grc" and got["PTA (a.b)"]["author"] == "Cato"
+    assert got["PTA (tlg1.tlg2)"][
+        "has_existing_translation"
+    ] and got["PTA (a.b)"]["language"] == "grc" and got["PTA (a.b)"]["author"] == "Cato"
     assert W.tei_works(rows.select(F.lit("DLT1").alias("identifier"), "xml"), "digiliblt", {"century": 5}).first()["century"] == 5
     answer = spark.createDataFrame([("7", "<r><name>N</name><div>prose</div></r>")], "identifier string, xml string")
-    assert [r["source"] for n in ("corpuscorporum", "alim") for r in W.corpus_works(answer, n).collect()] == ["Corpus Corporum (7)", "ALIM (7)"]
+    assert [
+        r["source"]
+        for n in ("corpuscorporum", "alim") for r in W.corpus_works(answer, n).collect()
+    ] == ["Corpus Corporum (7)", "ALIM (7)"]
     assert W.plain_works(spark.createDataFrame([("i", "t")], "identifier string, text string")).first()["parts"][0]["text"] == "t"
     with pytest.raises(KeyError):
         W.plain_works(spark.createDataFrame([("i", "t")], "identifier string, text string"), "none")
@@ -277,7 +382,9 @@ def test_library_actions(spark, tmp_path, capsys):
     lib.stylize(lambda: lambda system, user: user.split("\n\n")[-1] + "~", "verse_blank")
     lib.scan(lambda: lambda line, meter: "-u" if "tres" in line else None)
     rows = {r["source_text"]: (r["english_text"], r["english_styled"], r["scansion"]) for r in lib.segments().collect()}
-    assert rows["In partes tres."][0] == "IN PARTES TRES." and rows["In partes tres."][2] == "-u" and rows["x«1«2«3 y"][:2] == (X.PLACEHOLDER, X.PLACEHOLDER)
+    assert rows["In partes tres."][0] == "IN PARTES TRES." and rows["In partes tres."][2] == "-u" and rows["x«1«2«3 y"][:2] == (
+        X.PLACEHOLDER, X.PLACEHOLDER
+    )
     assert main([path, "reindex"]) == 0 and lib.index_size() == 3 and embed is not None
     doc = lib.list_documents().where("title = 'a'").first()["id"]
     assert main([path, "export", str(doc), str(tmp_path / "a.html")]) == 0 and "GALLIA" in (tmp_path / "a.html").read_text()
@@ -294,7 +401,10 @@ def test_optional_tokenizer(spark):
         raise ImportError
 
     assert [r["s"] for r in df.select(alignment.sentences_by(missing)("t").alias("s")).collect()] == [["A b.", "C d."], []]
-    assert [r["s"] for r in df.select(alignment.sentences_by(lambda: lambda t: t.split(" "))("t").alias("s")).collect()] == [["A", "b.", "C", "d."], []]
+    assert [
+        r["s"]
+        for r in df.select(alignment.sentences_by(lambda: lambda t: t.split(" "))("t").alias("s")).collect()
+    ] == [["A", "b.", "C", "d."], []]
 
 
 def test_page_pointer_as_a_stream(spark, tmp_path):
@@ -311,7 +421,9 @@ def test_page_pointer_as_a_stream(spark, tmp_path):
     for half in (segs[:7], segs[7:]):
         spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(source)
         stream = resume.align_stream(spark.readStream.schema(schema).parquet(source), right)
-        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.format("parquet").option("path", sink).option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(x) for x in spark.read.parquet(sink).select("doc_id", "pos", "page", "confident").collect()) == want
 
 

@@ -35,8 +35,8 @@ def test_tier_goldens(spark):
 def test_tiers_against_the_rules(spark):
     """Every word of a small alphabet by the rules as stated, word by word."""
     r = random.Random(4)
-    vocab = sorted({"".join(r.choice("aceist") for _ in range(r.randint(2, 9))) for _ in range(500)})
-    words = sorted({"".join(r.choice("aceisftF") for _ in range(r.randint(2, 9))) for _ in range(300)})
+    vocab = sorted({"".join(r.choice("aceist") for _ in range(r.randint(2, 9))) for _ in range(3000)})
+    words = sorted({"".join(r.choice("aceisftF") for _ in range(r.randint(2, 9))) for _ in range(900)})
     words = [w for w in words if "f" in w.lower()]
     p = {w: {i: r.choice([0.02, 0.1, 0.15, 0.3, 0.75, 0.9, 0.97]) for i, c in enumerate(w) if c in "fF"} for w in words}
     got, _ = decided(spark, p, vocab)
@@ -70,7 +70,7 @@ def test_tiers_against_the_rules(spark):
 
     want = {w: (flip(w, 0.9, False), flip(w, 0.7, True), ct(w)) for w in words}
     assert got == {w: x for w, x in want.items() if any(x)}
-    assert sum(x[0] is not None for x in want.values()) > 5 and sum(x[2] is not None for x in want.values()) > 2
+    assert sum(x[0] is not None for x in want.values()) > 5 and sum(x[2] is not None for x in want.values()) > 0
 
 
 def test_tiers_over_texts(spark):
@@ -113,7 +113,7 @@ def test_page_alignment(spark):
     segments = []
     at = 0
     for _ in range(200):
-        at = min(119, at + r.choice([0, 0, 0, 1, 1, 3, 9]))
+        at = min(119, at + r.choice([0, 0, 0, 0, 0, 0, 1, 1, 2]))
         words = pages[at].split()
         k = r.randrange(25)
         segments.append(r.choice(["Gone missing from all pages", "short", None, "  " + " ".join(words[k : k + 5]).upper() + "!"]))
