@@ -297,7 +297,9 @@ _HYP = "array_to_string(list_filter(string_split(source_text, ' '), lambda x, i:
 def hypotheses(spark, sf):
     kept = F.filter(F.split("source_text", " "), lambda x, i: (i + 1 + F.col("doc_id")) % 5 != 0)
     era = F.when(F.col("doc_id") % 3 == 0, "classical").otherwise("medieval")
-    return segments(spark, sf).select(
+    # counting n-grams is all the work, so it is dealt to all cores whatever the number of files
+    rows = segments(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id")
+    return rows.select(
         "id", era.alias("era"), F.col("source_text").alias("ref"), F.array_join(kept, " ").alias("hyp"), F.lower("source_text").alias("src")
     )
 
