@@ -5,6 +5,8 @@ White space, digits and letters are the Unicode classes throughout ((?U), \\p{L}
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,16 +66,17 @@ GENRE_HEADS = [
 DOCUMENTARY = [
     "diplom", "urkunden", "formul", "necrolog", "inscript", "epigraph", "papyr",
 ]
-# fixed value: what stands for a text that cannot be translated
-PLACEHOLDER = "[untranslatable: source text corrupted or non-Latin]"
+# what stands for a text that cannot be translated
+PLACEHOLDER = "[untranslatable: source text corrupted or in another script]"
 # fixed values: ordinal words from first on
 ORDINALS = [
     "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh",
     "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth",
     "twentieth", "twenty-first", "twenty-second", "twenty-third", "twenty-fourth",
 ]
-# fixed values: patterns of site chrome, wiki marks, garbled letters, stage directions and crude words
-CHROME = r"(?iu)(the latin library|the classics page|christian latin|medieval latin|^\s*$)"
+# phrases of a site's chrome; callers name those of their sites
+CHROME = ("the classics page",)
+# fixed values: patterns of wiki marks, garbled letters, stage directions and crude words
 WIKI_EDIT = r"(?iuU)\[\s*(recensere|recense|edit)\s*\]"
 WIKI_NOTE = r"(?U)\[\s*\d+\s*\]"
 TELLTALE = r"[«»%\\^]"
@@ -194,9 +197,10 @@ def is_noise(c: Column | str) -> Column:
     return F.coalesce((letters(c) < 15) | (count(c, r"\p{Nd}") > letters(c)), F.lit(True))
 
 
-def is_chrome(c: Column | str) -> Column:
-    """STR-22."""
-    return F.coalesce(col(c).rlike(CHROME), F.lit(True))
+def is_chrome(c: Column | str, phrases: tuple[str, ...] = CHROME) -> Column:
+    """STR-22: blank, or holds one of the phrases in any case."""
+    found = "|".join(re.escape(p) for p in phrases)
+    return F.coalesce(col(c).rlike(rf"(?iu)({found}|^\s*$)"), F.lit(True))
 
 
 def wiki_text(c: Column | str) -> Column:

@@ -32,7 +32,7 @@ STATUSES = ("translated", "translated_paywalled", "untranslated", "unknown")
 DERIVED = ("english_text", "english_styled", "style_label", "embed_text", "scansion")
 # fixed values: translator routing (language, stage, rank, model, source code, strip diacritics)
 ROUTES = [
-    ("la", None, 1, "models/nllb-latin", "lat_Latn", False),
+    ("la", None, 1, "models/nllb-la", "lat_Latn", False),
     ("grc", None, 1, "models/nllb-greek-v2", "ell_Grek", True),
     ("grc", None, 2, "models/nllb-greek", "ell_Grek", False),
     ("grc", "late_antique", 0, "models/nllb-greek-v3", "ell_Grek", True),

@@ -32,8 +32,9 @@ META = [
     "translation_status",
 ]
 DEFAULTS = {"language": "la", "language_stage": "unknown", "translation_status": "unknown", "has_existing_translation": False}
-# fixed values: names of languages and the word for an unnamed author
-LANGUAGES = {"la": "Latin", "grc": "Greek"}
+# names of languages for readers, which callers can add to; a language without one shows its code
+LANGUAGES = {"grc": "Greek"}
+# fixed values: the word for an unnamed author and notes on what is missing
 ANONYMOUS = "Anon."
 UNTRANSLATED = "— not yet translated —"
 UNSTYLED = "— not yet stylized —"
@@ -138,9 +139,9 @@ def looked_up(keys: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     return keys.join(first, key, "left")
 
 
-def document_label(language: str = "language") -> Column:
+def document_label(language: str = "language", languages: dict[str, str] = LANGUAGES) -> Column:
     """STR-46: what a picker shows for a document."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
     stage = F.replace(F.coalesce("language_stage", F.lit("unknown")), F.lit("_"), F.lit(" "))
     tongue = F.when(F.col(language) != "la", F.concat(F.coalesce(names[F.col(language)], F.col(language)), F.lit(", "))).otherwise("")
     flag = F.when(F.coalesce("has_existing_translation", F.lit(False)), "").otherwise("  · untranslated")
@@ -156,9 +157,9 @@ def document_label(language: str = "language") -> Column:
     )
 
 
-def listing_line() -> Column:
+def listing_line(languages: dict[str, str] = LANGUAGES) -> Column:
     """STR-46: a document's line in a command's listing."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
     author = F.coalesce(F.nullif("author", F.lit("")), F.lit(ANONYMOUS))
     wide = lambda c, n: F.rpad(c, F.greatest(F.lit(n), F.length(c)), F.lit(" "))
     number = F.col("id").cast("string")
@@ -206,9 +207,11 @@ def reader_row(view: str = "Literal") -> Column:
     return F.concat(F.lit('<tr><td class="la">'), X.escape_html("source_text"), mark, F.lit("</td>"), cell, F.lit("</td></tr>"))
 
 
-def reader_pages(documents: DataFrame, sections: DataFrame, segments: DataFrame, view: str = "Literal") -> DataFrame:
+def reader_pages(
+    documents: DataFrame, sections: DataFrame, segments: DataFrame, view: str = "Literal", languages: dict[str, str] = LANGUAGES
+) -> DataFrame:
     """SNK-11: (doc_id, html) of whole documents, rows in the order of sections and segments."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
     rows = segments.select("section_id", "ord", reader_row(view).alias("row")).join(
         sections.select(F.col("id").alias("section_id"), "doc_id", F.col("ord").alias("section_ord")), "section_id"
     )

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import alignment, evaluation, library, mining, search, store
 from ..operators.tables import stored
 from . import enrich, styling
-from .queries import S, W, WS, query, segments, table, works
+from .queries import S, W, WS, _list, query, segments, table, works
 
 
 def raw_works(spark, sf):
@@ -34,17 +34,26 @@ _PARTS = """p AS (SELECT doc_id, 0 AS part, CASE WHEN doc_id % 2 = 0 THEN 'I' EL
 UNION ALL SELECT doc_id, 1, 'II', array_to_string(l[len(l) // 2 + 1:], chr(10)) FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) WHERE doc_id % 2 = 0)"""
 
 
-@query(f"""WITH {_PARTS}, v AS (SELECT doc_id, part, len(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')) AS n, t FROM p WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0)
-SELECT doc_id, CAST(part AS INT) AS part, n FROM v WHERE n > 0 UNION ALL SELECT doc_id, CAST(part AS INT), 1 FROM p WHERE doc_id % 7 = 0 AND regexp_replace(t, '\\s', '', 'g') <> ''""")
+_ABBREVIATED = f"list_contains({_list(X.ABBREVIATIONS)}, lower(regexp_replace(list_extract(regexp_split_to_array(trim(piece), '[\\s(]'), -1), '[.;:?!]+$', '')))"
+
+
+# verse by line, cut parts whole, prose by sentence: a piece that ends in an abbreviation goes on
+@query(rf"""WITH {_PARTS}, whole AS (SELECT doc_id, part, 0 AS i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS line FROM p WHERE doc_id % 7 = 0),
+verse AS (SELECT doc_id, part, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, part, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) AS l FROM p WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0)),
+pieces AS (SELECT doc_id, part, unnest(range(0, len(ps))) AS i, unnest(ps) AS piece FROM (SELECT doc_id, part, string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.;:?!])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM p WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0)),
+joined AS (SELECT *, lag({_ABBREVIATED}) OVER (PARTITION BY doc_id, part ORDER BY i) AS on_ FROM pieces), grouped AS (SELECT *, sum(CASE WHEN i = 0 OR NOT on_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY i) AS g FROM joined),
+prose AS (SELECT doc_id, part, g AS i, trim(string_agg(piece, ' ' ORDER BY i)) AS line FROM grouped GROUP BY doc_id, part, g)
+SELECT doc_id, CAST(part AS INT) AS part, count(*) AS n, md5(string_agg(line, '|' ORDER BY i)) AS digest FROM (SELECT * FROM whole UNION ALL SELECT * FROM verse UNION ALL SELECT * FROM prose) WHERE line <> '' GROUP BY doc_id, part""")
 def snk01_add_document(spark, sf):
-    # ids are hashes, so places are counted through the joins back to the works
-    works_ = raw_works(spark, sf).where("verse or pre_segmented")
-    documents, sections, cut = store.documents_of(works_)
+    # ids are hashes, so places are found through the joins back to the works
+    documents, sections, cut = store.documents_of(raw_works(spark, sf))
     named = documents.select(F.col("id").alias("doc"), F.substring("source", 5, 20).cast("long").alias("doc_id"))
     placed = cut.join(
         sections.select(F.col("id").alias("section_id"), F.col("doc_id").alias("doc"), F.col("ord").alias("part")), "section_id"
     ).join(named, "doc")
-    return placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "source_text")))
+    digest = F.md5(F.array_join(F.transform(listed, lambda x: x["source_text"]), "|").cast("binary"))
+    return placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"), digest.alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS sections, 'la' AS language, 'unknown' AS status FROM documents")
@@ -110,7 +119,7 @@ _STAGE = "replace(coalesce(language_stage, 'unknown'), '_', ' ')"
 
 
 @query(W(f"""SELECT id, coalesce(author, 'Anon.') || ' — ' || title || ' (' || CASE WHEN language <> 'la' THEN 'Greek, ' ELSE '' END || {_STAGE} || CASE WHEN translation_status IN ('translated', 'translated_paywalled') THEN '' ELSE '  · untranslated' END || ')' AS label,
-'  [' || lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INT), ' ') || '] ' || rpad(coalesce(author, 'Anon.'), 22, ' ') || ' ' || title || '  (' || CASE WHEN language = 'la' THEN 'Latin' ELSE 'Greek' END || ', ' || {_STAGE} || CASE WHEN genre = 'poetry' THEN ', verse' ELSE '' END || ')' AS line FROM w"""))
+'  [' || lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INT), ' ') || '] ' || rpad(coalesce(author, 'Anon.'), 22, ' ') || ' ' || title || '  (' || CASE WHEN language = 'la' THEN 'la' ELSE 'Greek' END || ', ' || {_STAGE} || CASE WHEN genre = 'poetry' THEN ', verse' ELSE '' END || ')' AS line FROM w"""))
 def str46_labels(spark, sf):
     d = library.with_status(works(spark, sf), F.col("translation_status"))
     return d.select("id", store.document_label().alias("label"), store.listing_line().alias("line"))
@@ -135,7 +144,7 @@ _ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '
 _FILLED = lambda c: f"length(regexp_replace(coalesce({c}, ''), '\\s', '', 'g')) > 0"
 
 
-@query(WS(f"""SELECT w.id AS doc_id, md5('<h2>' || {_ESC('any_value(w.title)')} || '</h2><p class="reader-meta">' || {_ESC(f"concat_ws(' · ', coalesce(any_value(author), 'Anon.'), any_value({_STAGE}), CASE WHEN any_value(century) < 0 THEN abs(any_value(century)) || 'c BCE' WHEN any_value(century) > 0 THEN any_value(century) || 'c CE' END, nullif(any_value(genre), ''), any_value(source))")} || '</p><table class="reader"><thead><tr><th>' || CASE WHEN any_value(language) = 'la' THEN 'Latin' ELSE 'Greek' END || '</th><th>English (stylized)</th></tr></thead><tbody>' ||
+@query(WS(f"""SELECT w.id AS doc_id, md5('<h2>' || {_ESC('any_value(w.title)')} || '</h2><p class="reader-meta">' || {_ESC(f"concat_ws(' · ', coalesce(any_value(author), 'Anon.'), any_value({_STAGE}), CASE WHEN any_value(century) < 0 THEN abs(any_value(century)) || 'c BCE' WHEN any_value(century) > 0 THEN any_value(century) || 'c CE' END, nullif(any_value(genre), ''), any_value(source))")} || '</p><table class="reader"><thead><tr><th>' || CASE WHEN any_value(language) = 'la' THEN 'la' ELSE 'Greek' END || '</th><th>English (stylized)</th></tr></thead><tbody>' ||
 string_agg('<tr><td class="la">' || {_ESC('source_text')} || '</td>' || CASE WHEN NOT {_FILLED('english_text')} THEN '<td class="en"><span class="untranslated">— not yet translated —</span>' WHEN {_FILLED('english_styled')} THEN '<td class="en styled">' || {_ESC('english_styled')} ELSE '<td class="en"><span class="unstyled">— not yet stylized —</span><br>' || {_ESC("coalesce(english_text, '')")} END || '</td></tr>', '' ORDER BY ord) || '</tbody></table>') AS digest
 FROM w JOIN s ON s.doc_id = w.id GROUP BY w.id"""))
 def snk11_reader(spark, sf):
@@ -145,25 +154,38 @@ def snk11_reader(spark, sf):
     return pages.select("doc_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
-@query(W("""SELECT 1 AS part, CAST(row_number() OVER (ORDER BY n DESC, key) - 1 AS INT) AS rank, '  ' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INT), ' ') || '  ' || key AS line FROM (SELECT regexp_replace(source, '\\s*\\(.*', '') AS key, count(*) AS n FROM w GROUP BY 1)
-UNION ALL SELECT 2, CAST(row_number() OVER (ORDER BY n DESC, key) - 1 AS INT), '  ' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INT), ' ') || '  ' || key FROM (SELECT language AS key, count(*) AS n FROM w GROUP BY 1)
-UNION ALL SELECT 0, 0, 'Documents: ' || count(*) FROM w UNION ALL SELECT 0, 2, 'Era span: ' || min(century) || 'c to ' || max(century) || 'c' FROM w"""))
+_GROUPED = "\nUNION ALL ".join(
+    f"SELECT {part} AS part, CAST(row_number() OVER (ORDER BY n DESC, key) - 1 AS INT) AS rank, '  ' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n "
+    f"AS VARCHAR))) AS INT), ' ') || '  ' || key AS line FROM (SELECT {key} AS key, count(*) AS n FROM w GROUP BY 1)"
+    for part, key in (
+        (1, "regexp_replace(source, '\\s*\\(.*', '')"), (2, "language"), (3, "coalesce(language_stage, 'unknown')"), (4, "coalesce(nullif(trim(genre), ''), 'unclassified')"),
+    )
+)
+_COUNT = lambda c: f"count_if({_FILLED(c)})"
+
+
+@query(WS(f"""{_GROUPED}
+UNION ALL SELECT 0, 0, 'Documents: ' || count(*) FROM w UNION ALL SELECT 0, 2, 'Era span: ' || min(century) || 'c to ' || max(century) || 'c' FROM w
+UNION ALL SELECT 0, 1, 'Segments: ' || format('{{:,}}', {_COUNT('english_text')}) || ' / ' || format('{{:,}}', count(*)) || ' translated (' || printf('%.1f', 100 * {_COUNT('english_text')} / count(*)) || '%), ' || format('{{:,}}', {_COUNT('english_styled')}) || ' stylized' FROM s
+UNION ALL SELECT 5, CAST(row_number() OVER (ORDER BY n DESC, id) - 1 AS INT), '  ' || lpad(CAST(n AS VARCHAR), CAST(greatest(6, length(CAST(n AS VARCHAR))) AS INT), ' ') || ' segs  ' || title || ' (' || coalesce(author, 'anon') || ') [' || source || ']'
+FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 8) JOIN w ON w.id = doc_id"""))
 def snk09_report(spark, sf):
-    lines = store.report_lines(works(spark, sf), segments(spark, sf))
-    return lines.where("part in (1, 2) or part = 0 and rank in (0, 2)")
+    return store.report_lines(works(spark, sf), segments(spark, sf))
 
 
 @query(
-    "SELECT conv_id AS id, '{\"src\":\"' || text || '\",\"tgt\":\"' || role || '\",\"citation\":\"' || conv_id || '.' || turn || '\"}' "
-    "AS value FROM conversations WHERE text NOT LIKE '%\"%' AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%\\%'"
+    "SELECT to_json({src: text, tgt: role, citation: conv_id || '.' || turn, source: CASE WHEN turn % 2 = 0 THEN 'a/b' || chr(9) END}) AS line, "
+    "count(*) AS n FROM conversations WHERE turn % 2 = 0 GROUP BY 1 UNION ALL SELECT to_json({src: text, tgt: role, citation: conv_id || '.' || "
+    "turn}), count(*) FROM conversations WHERE turn % 2 <> 0 GROUP BY 1"
 )
 def snk07_pair_lines(spark, sf):
-    c = table(spark, sf, "conversations").where(~F.col("text").rlike('["\n\\\\]'))
-    pairs = c.select(
-        "conv_id", F.col("text").alias("src"), F.col("role").alias("tgt"), F.concat_ws(".", "conv_id", "turn").alias("citation")
+    pairs = table(spark, sf, "conversations").select(
+        F.col("text").alias("src"),
+        F.col("role").alias("tgt"),
+        F.concat_ws(".", "conv_id", "turn").alias("citation"),
+        F.when(F.col("turn") % 2 == 0, F.lit("a/b\t")).alias("source"),
     )
-    record = F.to_json(F.struct("src", "tgt", "citation"))
-    return pairs.select(F.col("conv_id").alias("id"), record.alias("value"))
+    return mining.pair_json(pairs).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 _CLEAN = (
@@ -211,9 +233,21 @@ def aln03_citation_pairs(spark, sf):
     return mining.citation_pairs(leaves(spark, sf, False), leaves(spark, sf, True)).select("src", "tgt", "citation", "source")
 
 
-@query(S("SELECT doc_id AS work, 'book,chapter,section' AS levels FROM s GROUP BY 1"))
+# wrappers, a level that only some leaves have, and names that depend on the work
+@query(S("""SELECT work, string_agg(level, ',' ORDER BY pos, depth) AS levels FROM (SELECT work, level, min(pos) AS pos, arg_min(depth, pos) AS depth FROM (
+SELECT doc_id AS work, ord AS pos, unnest(range(0, 4)) AS depth, unnest(['edition', CASE WHEN doc_id % 2 = 0 THEN 'book' ELSE 'letter' END, CASE WHEN ord % 5 = 3 THEN 'poem' WHEN doc_id % 3 = 0 THEN 'section' ELSE 'chapter' END, CASE WHEN ord % 4 = 2 THEN 'translation' ELSE 'section' END]) AS level FROM s)
+WHERE level NOT IN ('edition', 'translation') GROUP BY work, level) GROUP BY work"""))
 def agg12_levels(spark, sf):
-    return mining.levels(leaves(spark, sf, False)).select("work", F.array_join("levels", ",").alias("levels"))
+    d, o = F.col("doc_id"), F.col("ord")
+    names = [
+        F.lit("edition"),
+        F.when(d % 2 == 0, "book").otherwise("letter"),
+        F.when(o % 5 == 3, "poem").when(d % 3 == 0, "section").otherwise("chapter"),
+        F.when(o % 4 == 2, "translation").otherwise("section"),
+    ]
+    chain = F.array(*[F.struct(c.alias("level"), o.cast("string").alias("n")) for c in names])
+    rows = segments(spark, sf).select(d.alias("work"), o.alias("pos"), chain.alias("chain"))
+    return mining.levels(rows).select("work", F.array_join("levels", ",").alias("levels"))
 
 
 @query(
@@ -228,24 +262,30 @@ def jon07_common_books(spark, sf):
     return mining.common_books(source, target).select(F.col("work").alias("doc_id"), "n", "src", "tgt")
 
 
+# all lines of a text in 24 books at most, as many as there are names; a list of contents comes first, close together
 @query(
-    "SELECT doc_id AS work, CAST(n AS VARCHAR) AS book, length('BOOK ' || n) + 1 + length(line) + 1 AS chars FROM (SELECT doc_id, "
-    "unnest(range(1, least(len(l), 24) + 1)) AS n, unnest(l[1:24]) AS line FROM (SELECT doc_id, list_filter(string_split(text, "
-    "chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*(BOOK|GEORGIC)')) AS l FROM documents) WHERE len(l) > 1)"
+    "WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*(BOOK|GEORGIC)')) AS l FROM documents), "
+    "r AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line, len(l) AS n FROM l WHERE len(l) > 1) "
+    "SELECT doc_id AS work, CAST(i * least(n, 24) // n + 1 AS VARCHAR) AS book, length('BOOK ' || (i * least(n, 24) // n + 1)) + 1 + "
+    "length(string_agg(line, chr(10) ORDER BY i)) + 1 AS chars FROM r GROUP BY doc_id, n, i * least(n, 24) // n"
 )
 def aln05_target_books(spark, sf):
-    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^[ \t]*(BOOK|GEORGIC)")), F.lit(1), F.lit(24))
-    # a list of contents comes first, close together; the books themselves span more
+    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^[ \t]*(BOOK|GEORGIC)"))
     names = F.array(*[F.lit(x) for x in X.ORDINALS])
-    body = F.transform(lines, lambda x, i: F.concat(F.lit("BOOK THE "), F.upper(F.get(names, i)), F.lit("\n"), x, F.lit("\n")))
-    contents = F.transform(lines, lambda x, i: F.concat(F.lit("BOOK THE "), F.upper(F.get(names, i)), F.lit("\n")))
-    texts = table(spark, sf, "documents").where(F.size(lines) > 1).select(
-        F.col("doc_id").alias("work"), F.concat(F.array_join(contents, ""), F.lit("\n"), F.array_join(body, "")).alias("text")
+    books = F.sequence(F.lit(0), F.col("k") - 1)
+    start = lambda b: F.ceil(b * F.size("lines") / F.col("k")).cast("int")
+    title = lambda b: F.concat(F.lit("BOOK THE "), F.upper(F.get(names, b)), F.lit("\n"))
+    chapter = lambda b: F.array_join(F.slice("lines", start(b) + 1, start(b + 1) - start(b)), "\n")
+    body = F.transform(books, lambda b: F.concat(title(b), chapter(b), F.lit("\n")))
+    cut = table(spark, sf, "documents").select("doc_id", lines.alias("lines")).where("size(lines) > 1")
+    cut = cut.withColumn("k", F.least(F.size("lines"), F.lit(len(X.ORDINALS))))
+    texts = cut.select(
+        F.col("doc_id").alias("work"),
+        F.concat(F.array_join(F.transform(books, title), ""), F.lit("\n"), F.array_join(body, "")).alias("text"),
     )
-    books = mining.target_books(texts)
-    n = F.col("book").cast("int")
-    numeral = F.length(F.get(names, n - 1)) + F.length(F.lit("BOOK THE "))
-    return books.select(
+    found = mining.target_books(texts)
+    numeral = F.length(F.get(names, F.col("book").cast("int") - 1)) + F.length(F.lit("BOOK THE "))
+    return found.select(
         "work", "book", (F.length("text") - numeral + F.length(F.concat(F.lit("BOOK "), "book"))).cast("long").alias("chars")
     )
 

@@ -158,12 +158,12 @@ text_query(
 _n = lambda p: rf"len(regexp_extract_all(text, '{p}'))"
 text_query("str21_noise", rf"({_n(r'\p{L}')} < 15 OR {_n(r'\p{Nd}')} > {_n(r'\p{L}')}) AS noise", noise=lambda: X.is_noise("text"))
 CHROME_INPUT = (
-    "CASE doc_id % 6 WHEN 0 THEN 'Back to The Latin Library ' || text WHEN 1 THEN 'THE LATIN LIBRARY' WHEN 2 THEN text || ' the classics "
+    "CASE doc_id % 6 WHEN 0 THEN 'Back to The Work Library ' || text WHEN 1 THEN 'THE WORK LIBRARY' WHEN 2 THEN text || ' the classics "
     "page' WHEN 3 THEN '   ' ELSE text END"
 )
 text_query(
-    "str22_chrome", f"regexp_matches({CHROME_INPUT}, '(?i)(the latin library|the classics page|christian latin|medieval latin|^\\s*$)') AS chrome",
-    chrome=lambda: X.is_chrome(F.expr(CHROME_INPUT)),
+    "str22_chrome", f"regexp_matches({CHROME_INPUT}, '(?i)(the work library|the classics page|^\\s*$)') AS chrome",
+    chrome=lambda: X.is_chrome(F.expr(CHROME_INPUT), ("the work library", "the classics page")),
 )
 text_query(
     "str23_wiki_marks",
@@ -360,15 +360,16 @@ def agg07_stems(spark, sf):
     return library.stems(library.vocabulary(table(spark, sf, "documents"), column="text"))
 
 
-FLIPS = f"""w AS (SELECT word, list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) = 'f') AS p FROM v WHERE contains(word, 'f')),
-m AS (SELECT word, p, unnest(range(1, CAST(pow(2, len(p)) AS BIGINT))) AS m FROM w WHERE len(p) <= 6),
-c AS (SELECT word, m, bit_count(m) AS flips, array_to_string(list_transform(range(1, length(word) + 1), lambda i: CASE WHEN list_position(p, i) > 0 AND (m >> CAST(list_position(p, i) - 1 AS BIGINT)) & 1 = 1 THEN 's' ELSE substr(word, i, 1) END), '') AS cand,
+FLIPS = f"""p AS (SELECT word, string_split(word, 'f') AS p FROM v WHERE contains(word, 'f')),
+m AS (SELECT word, p, unnest(range(1, CAST(pow(2, len(p) - 1) AS BIGINT))) AS m FROM p WHERE len(p) <= 7),
+c AS (SELECT word, bit_count(m) AS flips, p[1] || array_to_string(list_transform(p[2:], lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN 's' ELSE 'f' END || x), '') AS cand,
 array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN '0' ELSE '1' END), '') AS o FROM m),
 x AS (SELECT c.word, arg_min(cand, (-flips, -freq, o)) AS exact FROM c JOIN v ON v.word = cand GROUP BY 1),
-y AS (SELECT c.word, arg_min(cand, (flips, o)) AS stem FROM c, (SELECT unnest({_list(X.ENDINGS)}) AS e) WHERE length(cand) >= 6 AND suffix(cand, e) AND length(cand) - length(e) >= 4 AND left(cand, length(cand) - length(e)) IN (SELECT stem FROM t) GROUP BY 1)"""
+e AS (SELECT word, cand, flips, o, unnest(list_filter({_list(X.ENDINGS)}, lambda e: suffix(cand, e) AND length(cand) - length(e) >= 4)) AS e FROM c WHERE length(cand) >= 6),
+y AS (SELECT e.word, arg_min(cand, (flips, o)) AS stem FROM e JOIN t ON t.stem = left(cand, length(cand) - length(e)) GROUP BY 1)"""
 
 
-@query(f"WITH {VOCAB}, {STEMS}, {FLIPS} SELECT w.word, exact, stem FROM w LEFT JOIN x ON x.word = w.word LEFT JOIN y ON y.word = w.word")
+@query(f"WITH {VOCAB}, {STEMS}, {FLIPS} SELECT p.word, exact, y.stem AS stem FROM p LEFT JOIN x ON x.word = p.word LEFT JOIN y ON y.word = p.word")
 def str14_best_fixes(spark, sf):
     v = stored(library.vocabulary(table(spark, sf, "documents"), column="text"), "vocabulary")
     return library.best_fixes(v.where("word like '%f%'").select("word"), v, library.stems(v))
@@ -508,13 +509,13 @@ def jon10_not_present(spark, sf):
 
 @query(
     W(
-        "SELECT id, CASE WHEN language = 'la' THEN 'models/nllb-latin' WHEN language_stage = 'archaic' THEN "
+        "SELECT id, CASE WHEN language = 'la' THEN 'models/nllb-la' WHEN language_stage = 'archaic' THEN "
         "'models/nllb-greek-archaic' ELSE 'models/nllb-greek' END AS model FROM w"
     )
 )
 def jon12_routing(spark, sf):
     routes = spark.createDataFrame(library.ROUTES, "lang string, stage string, rank int, model string, code string, strip boolean")
-    complete = spark.createDataFrame([("models/nllb-latin",), ("models/nllb-greek",), ("models/nllb-greek-archaic",)], "model string")
+    complete = spark.createDataFrame([("models/nllb-la",), ("models/nllb-greek",), ("models/nllb-greek-archaic",)], "model string")
     return library.routed(works(spark, sf), routes, complete)
 
 

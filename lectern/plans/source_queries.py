@@ -17,10 +17,18 @@ ENTRIES = (
 KIND = "CASE WHEN doc_id % 3 = 0 THEN 'file' ELSE 'dir' END"
 
 
+# fixed values: names of collections
+CAMENA = ["cera", "poemata", "thesaurus", "historicapolitica"]
+
+
 def listings(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.expr(ENTRIES).alias("name"), F.expr(KIND).alias("type"))
+    return _listed(table(spark, sf, "documents"), "source")
+
+
+def _listed(docs, key):
+    d = docs.select(key, "doc_id", F.expr(ENTRIES).alias("name"), F.expr(KIND).alias("type"))
     listed = F.array_sort(F.collect_list(F.struct("doc_id", "name", "type")))
-    return d.groupBy(F.col("source").alias("id")).agg(
+    return d.groupBy(F.col(key).alias("id")).agg(
         F.to_json(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type")))).alias("payload")
     )
 
@@ -61,14 +69,12 @@ def src25_xml_stems(spark, sf):
 
 
 @query(
-    f"SELECT c || '/' || replace(name, '.xml', '') AS identifier FROM (SELECT name, CASE source WHEN 'src0' THEN 'cera' WHEN 'src1' "
-    f"THEN 'poemata' WHEN 'src2' THEN 'thesaurus' ELSE 'historicapolitica' END AS c, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 3 "
-    f"WHEN 'src2' THEN 4 ELSE 2 END AS r, pos FROM {_ROWS} WHERE source IN ('src0', 'src1', 'src2', 'src3') AND kind = 'file') ORDER "
-    f"BY r, pos LIMIT 200"
+    f"SELECT c || '/' || replace(name, '.xml', '') AS identifier FROM (SELECT doc_id, {ENTRIES} AS name, {KIND} AS kind, (['cera', 'poemata', 'thesaurus', "
+    f"'historicapolitica'])[doc_id % 4 + 1] AS c, ([1, 3, 4, 2])[doc_id % 4 + 1] AS r FROM documents) WHERE kind = 'file' ORDER BY r, doc_id LIMIT 200"
 )
 def src26_camena_ids(spark, sf):
-    named = F.create_map(*[F.lit(x) for x in ("src0", "cera", "src1", "poemata", "src2", "thesaurus", "src3", "historicapolitica")])
-    return catalogs.camena_ids(listings(spark, sf).withColumn("id", named[F.col("id")]).where("id is not null"))
+    d = table(spark, sf, "documents").withColumn("source", F.get(F.array(*map(F.lit, CAMENA)), (F.col("doc_id") % 4).cast("int")))
+    return catalogs.camena_ids(_listed(d, "source"))
 
 
 @query(
@@ -238,12 +244,11 @@ def src05_links(spark, sf):
 
 
 @query(
-    "SELECT page_id, link FROM (SELECT source AS page_id, 'https://lib.org/cth' || doc_id || '.html' AS link, row_number() OVER "
-    "(PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 8 = 6) WHERE n <= 50 UNION ALL SELECT source, "
-    "'https://lib.org/top' || doc_id || '.html' FROM documents WHERE false"
+    "SELECT page_id, link FROM (SELECT source AS page_id, 'https://lib.org/' || CASE doc_id % 8 WHEN 6 THEN 'cth' WHEN 1 THEN 'top' ELSE 'up' END || "
+    "doc_id || '.html' AS link, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 8 IN (1, 5, 6)) WHERE n <= 50"
 )
 def src17_numbered_links(spark, sf):
-    return catalogs.page_links(_indexes(spark, sf), "lib.org", "numbered").where("link like '%cth%'").select("page_id", "link")
+    return catalogs.page_links(_indexes(spark, sf), "lib.org", "numbered").select("page_id", "link")
 
 
 _PLAIN = r"trim(regexp_replace(replace(text, '/', ' / '), '\s+', ' ', 'g'))"

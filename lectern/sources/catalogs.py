@@ -261,10 +261,17 @@ def resolved(base: Column, href: Column) -> Column:
         .when(href.startswith("/"), F.concat(origin, href))
         .otherwise(F.concat(folder, href))
     )
-    joined = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(4):  # a folder and the way back out of it
-        joined = F.regexp_replace(joined, r"(?<![:/])/(?!\.\.)[^/]+/\.\./", "/")
-    return joined
+    whole = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)$"
+    step = F.split(F.substring(F.regexp_extract(joined, whole, 2), 2, 1 << 30), "/")
+    last = F.element_at(step, -1)
+    step = F.when(last.isin(".", ".."), F.array_append(step, "")).otherwise(step)  # a folder
+    start = F.array().cast("array<string>")
+    # a folder and the way back out of it; there is no way out of the root
+    way = F.aggregate(
+        step, start, lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    )
+    plain = F.concat(F.regexp_extract(joined, whole, 1), F.lit("/"), F.array_join(way, "/"), F.regexp_extract(joined, whole, 3))
+    return F.when(joined.rlike(whole), plain).otherwise(joined)
 
 
 def edcs_filter(query: str) -> dict[str, str]:

@@ -42,7 +42,7 @@ def one(spark, value, expression, kind="string"):
     ("of", X.book_number, None),
     ("785", X.mgh_id, "bsb00000785"),
     ("3", X.pg_id, "PG003"),
-    ("urn:cts:latinLit:phi0448.phi001", lambda c: X.cts_parts(c)["work"], "phi001"),
+    ("urn:cts:greekLit:phi0448.phi001", lambda c: X.cts_parts(c)["work"], "phi001"),
     ("phi0448/phi001", lambda c: X.cts_parts(c)["textgroup"], "phi0448"),
     ("esfe", lambda c: X.context_windows(c)[0], "^^^es@e$$$$"),
     ("dicit λόγος et λόγος.", X.mixed_translation, "dicit  et . [Greek in source: λόγος]"),
@@ -122,7 +122,7 @@ def test_routing(spark):
     none = library.routed(docs, routes, routes.select("model").limit(0))
     assert {r["id"]: r["model"] for r in none.collect()} == {1: "stock:ell_Grek", 2: "stock:lat_Latn", 3: "stock:ell_Grek"}
     all_ = library.routed(docs, routes, routes.select("model"))
-    assert {r["id"]: r["model"] for r in all_.collect()} == {1: "models/nllb-greek-v3", 2: "models/nllb-latin", 3: "models/nllb-greek-v2"}
+    assert {r["id"]: r["model"] for r in all_.collect()} == {1: "models/nllb-greek-v3", 2: "models/nllb-la", 3: "models/nllb-greek-v2"}
 
 
 def test_best_run(spark):
