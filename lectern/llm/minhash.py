@@ -5,10 +5,10 @@ element once, in an order (a permutation drawn from the element's hash): in roun
 j + random to its j-th register, so ranks are correlated and no register can be won by a late round once all have been
 won by earlier ones, which is where it stops. The registers make BANDS band keys of M / BANDS registers.
 
-Documents of equal sets are one class and only its smallest doc_id goes on. Checks are on full sets and come in rounds,
-each with the components of all links so far, and only between different components:
+Documents of equal sets are one class, a node with a number of its own, and only one of its texts goes on. Checks are on full
+sets and come in rounds, each with the components of all links so far, and only between different components:
 
-1. each document against the smallest of its buckets' smallest members, so that a group of n copies costs n checks;
+1. each node against the smallest of its buckets' smallest members, so that a group of n copies costs n checks;
 2. each member of a bucket against the bucket's smallest;
 3. an exact prefix join, for members of buckets that are still mixed, and for all sets of at most SMALL shingles, for which
    banding is weakest. Shingles are ordered by rarity among these sets. Similar sets share one of the
@@ -18,9 +18,10 @@ each with the components of all links so far, and only between different compone
    until its members are of one component or have all been pivots; only pairs that pass both bounds leave the join, and a
    group that turns out to be one cluster costs a bounded number of comparisons for each member, never all its pairs.
 
-Texts without words have the empty set, are linked with nothing and are kept. Rows with a null doc_id belong to the
-class of their set, take its component and count as kept only if that is null. Repeated rows are copies of each other;
-rows of one doc_id with different texts are one node, linked with whatever any of them is linked with.
+A component's id is its smallest doc_id, taken once the components of nodes are known. So rows of one doc_id with different
+sets are different nodes, not linked by their id: each has the id of its own text's component. Rows with a null doc_id belong
+to the node of their set, take its component and count as kept only if that is null (it has no other id). Repeated rows are copies
+of each other. Texts without words have the empty set, are linked with nothing and are kept.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, bands, few): set1 and set2 are a 128-bit hash of the whole set, few a small set itself."""
+    """(doc_id, text_hash, n_shingles, set1, set2, bands, few): set1 and set2 are a 128-bit hash of the whole set, few a small set itself."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -96,13 +97,18 @@ def sketches(docs: DataFrame) -> DataFrame:
                 two.append((d & ((1 << 64) - 1)) - (1 << 63))
                 bands.append(band_keys(superminhash(s)) if len(s) else np.zeros(0, np.int64))
                 few.append(s.view(np.int64) if len(s) <= SMALL else np.zeros(0, np.int64))
-            yield {"doc_id": batch.column("doc_id"), "n_shingles": n, "set1": one, "set2": two, "bands": _lists(bands), "few": _lists(few)}
+            yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": n, "set1": one, "set2": two, "bands": _lists(bands), "few": _lists(few)}
 
-    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, few array<long>")
+    fields = "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, bands array<long>, few array<long>"
+    return map_arrow(hashed_text(docs), run, fields)
 
 
-def elements(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, elements): the whole sets."""
+def hashed_text(docs: DataFrame) -> DataFrame:
+    return doc_text(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+def elements(texts: DataFrame) -> DataFrame:
+    """(node, n_shingles, elements): the whole sets of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
@@ -110,54 +116,53 @@ def elements(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), hashed)]
-                yield {"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "elements": _lists(sets)}
+                yield {"node": part.column("node"), "n_shingles": [len(s) for s in sets], "elements": _lists(sets)}
 
-    return map_arrow(doc_text(docs), run, "doc_id long, n_shingles long, elements array<long>")
+    return map_arrow(texts, run, "node long, n_shingles long, elements array<long>")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(element, doc_id, n_shingles, after): the shingles of each set's prefix in order of rarity that other sets have too.
+    """(element, node, n_shingles, after): the shingles of each set's prefix in order of rarity that other sets have too.
 
     after: how many shingles of the set follow the element in that order, itself included.
     """
-    each = sets.select("doc_id", "n_shingles", F.explode("elements").alias("element"))
+    each = sets.select("node", "n_shingles", F.explode("elements").alias("element"))
     shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
-    held = each.join(shared, "element").groupBy("doc_id", "n_shingles").agg(
+    held = each.join(shared, "element").groupBy("node", "n_shingles").agg(
         F.sort_array(F.collect_list(F.struct("n", "element"))).alias("held")
     )
     # the shingles that no other set has come first in the order
     room = F.expr(f"cast(size(held) - ceil({percent} * n_shingles / 100) + 1 as int)")
     cut = held.withColumn("room", room).where("room > 0").select(
-        "doc_id", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h")
+        "node", "n_shingles", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("i", "h")
     )
-    return cut.select("h.element", "doc_id", "n_shingles", (F.col("size") - F.col("i")).alias("after"))
+    return cut.select("h.element", "node", "n_shingles", (F.col("size") - F.col("i")).alias("after"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (pivot, member) whose full sets have 100 * intersection >= percent * union, as (u, v).
+def verify(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs of nodes (pivot, member) of texts (node, text) whose full sets have 100 * intersection >= percent * union, as (u, v).
 
     Members meet their pivot in groups of about PER_TASK, each with a copy of the pivot's text, read as one stream.
     """
-    texts = doc_text(docs)
     groups = pairs.groupBy("pivot").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK).cast("int"))
     members = pairs.join(groups, "pivot").select(
         "pivot",
         F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"),
         F.lit(1).alias("role"),
-        F.col("member").alias("doc_id"),
+        F.col("member").alias("node"),
     )
     pivots = groups.select(
-        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("doc_id")
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("pivot").alias("node")
     )
-    rows = members.unionByName(pivots).join(texts, "doc_id").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    rows = members.unionByName(pivots).join(texts, "node").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
         at, pivot = None, np.zeros(0, np.uint64)
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             u, v = [], []
-            for p, salt, role, doc, s in zip(
-                *(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "doc_id")),
+            for p, salt, role, node, s in zip(
+                *(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "node")),
                 shingle_sets(batch.column("text").to_pylist(), hashed),
                 strict=True,
             ):
@@ -167,39 +172,38 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
                     both = len(np.intersect1d(pivot, s, assume_unique=True))
                     if both and 100 * both >= percent * (len(pivot) + len(s) - both):
                         u.append(p)
-                        v.append(doc)
+                        v.append(node)
             yield {"u": u, "v": v}
 
-    return map_arrow(rows.select("pivot", "salt", "role", "doc_id", "text"), run, "u long, v long").distinct()
+    return map_arrow(rows.select("pivot", "salt", "role", "node", "text"), run, "u long, v long").distinct()
 
 
 def _joined(found: DataFrame, links: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The components of links and of those between the sets of shared prefixes found (element, doc_id, n_shingles, after)."""
+    """The components of links and of those between the sets of shared prefixes found (element, node, n_shingles, after)."""
     found = materialize(found, "prefixes")
     shared = f"ceil({percent} * (n_shingles + p.n_shingles) / {100 + percent})"  # the least intersection
     able = f"least(after, p.after) >= {shared} and least(n_shingles, p.n_shingles) >= {shared}"
     checked, pivots = None, PIVOTS
     while True:
-        of = parts.select(F.col("node").alias("doc_id"), "component")
-        placed = materialize(found.join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed")
+        placed = materialize(found.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
         groups = placed.groupBy("element").agg(
             F.min("component").alias("a"), F.max("component").alias("b")
         ).where("a <> b").select("element")
         found = materialize(placed.join(groups, "element", "left_semi"), "prefixes")
         # the next pivots of each group; every task sends its own few
-        row = F.struct("doc_id", "n_shingles", "after", "component")
+        row = F.struct("node", "n_shingles", "after", "component")
         task = F.spark_partition_id().alias("task")
         own = found.select(
-            "element", row.alias("p"), F.row_number().over(Window.partitionBy("element", task).orderBy("doc_id")).alias("k")
+            "element", row.alias("p"), F.row_number().over(Window.partitionBy("element", task).orderBy("node")).alias("k")
         ).where(f"k <= {pivots}")
         heads = own.select(
-            "element", "p", F.row_number().over(Window.partitionBy("element").orderBy("p.doc_id")).alias("k")
+            "element", "p", F.row_number().over(Window.partitionBy("element").orderBy("p.node")).alias("k")
         ).where(f"k <= {pivots}").select("element", "p")
         heads = materialize(heads, "heads")
         if heads.isEmpty():
             return parts
-        pairs = found.join(heads, "element").where(f"doc_id > p.doc_id and component <> p.component and {able}").select(
-            F.col("p.doc_id").alias("pivot"), F.col("doc_id").alias("member")
+        pairs = found.join(heads, "element").where(f"node > p.node and component <> p.component and {able}").select(
+            F.col("p.node").alias("pivot"), F.col("node").alias("member")
         ).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["pivot", "member"], "left_anti")
@@ -211,45 +215,47 @@ def _joined(found: DataFrame, links: DataFrame, parts: DataFrame, texts: DataFra
                 links = links.unionByName(more)
                 parts = components(links)
         # what has been a pivot of a group is done there
-        last = heads.groupBy("element").agg(F.max("p.doc_id").alias("last"))
-        found = found.join(last, "element").where("doc_id > last").drop("last", "component")
+        last = heads.groupBy("element").agg(F.max("p.node").alias("last"))
+        found = found.join(last, "element").where("node > last").drop("last", "component")
         pivots *= MORE
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets = materialize(sketches(docs), "sketches")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(
-        F.min(F.struct("doc_id", "n_shingles", "bands", "few")).alias("rep")
+    classes = sets.where("n_shingles > 0").groupBy("set1", "set2").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands", "few")).alias("rep")
     )
-    classes = materialize(classes.select("set1", "set2", "rep.*"), "classes")
-    bands = classes.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
-    buckets = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = classes.withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes.select("node", "set1", "set2", "low", "rep.*"), "classes")
+    bands = classes.select(F.explode("bands").alias("band"), "node", "n_shingles")
+    buckets = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = materialize(bands.join(buckets, "band"), "members")
-    # what is checked is a member or a small set: their texts are picked out of all once
+    # what is checked is a member or a small set: one text of each is picked out of all once
     small = classes.where(f"n_shingles <= {SMALL}")
-    short = prefixes(small.select("doc_id", "n_shingles", F.col("few").alias("elements")), percent)
+    short = prefixes(small.select("node", "n_shingles", F.col("few").alias("elements")), percent)
     short = materialize(short, "short")
-    wanted = members.select("doc_id").unionByName(short.select("doc_id")).distinct()
-    texts = materialize(doc_text(docs).join(wanted, "doc_id", "left_semi"), "texts")
+    wanted = members.select("node").unionByName(short.select("node")).distinct()
+    rep = classes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    mine = F.equal_null("doc_id", "_id") & (F.col("text_hash") == F.col("_hash"))
+    texts = materialize(hashed_text(docs).join(rep, mine).select("node", "text"), "texts")
 
     def placed(parts: DataFrame) -> DataFrame:
         """members with their components so far."""
-        of = parts.select(F.col("node").alias("doc_id"), "component")
-        return members.join(of, "doc_id", "left").select(
-            "band", "doc_id", "pivot", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        return members.join(parts, "node", "left").select(
+            "band", "node", "pivot", "n_shingles", F.coalesce("component", "node").alias("component")
         )
 
     first = members.groupBy(
-        F.col("doc_id").alias("member")
+        F.col("node").alias("member")
     ).agg(F.min("pivot").alias("pivot")).where("member <> pivot").select("pivot", "member")
     links = materialize(verify(first, texts, percent), "links")
     # members and their bucket's smallest that are still apart
     parts = components(links)
     now = materialize(placed(parts), "placed")
-    heads = now.where("doc_id = pivot").select("band", F.col("component").alias("head"))
-    apart = now.join(heads, "band").where("doc_id <> pivot and component <> head").select(
-        "pivot", F.col("doc_id").alias("member")
+    heads = now.where("node = pivot").select("band", F.col("component").alias("head"))
+    apart = now.join(heads, "band").where("node <> pivot and component <> head").select(
+        "pivot", F.col("node").alias("member")
     ).distinct()
     apart = materialize(apart.join(first, ["pivot", "member"], "left_anti"), "apart")
     if not apart.isEmpty():
@@ -260,10 +266,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     mixed = now.groupBy("band").agg(
         (F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("n")
     ).where("mixed and n > 2").select("band")
-    left = now.where(f"n_shingles > {SMALL}").join(mixed, "band", "left_semi").select("doc_id").distinct()
-    large = prefixes(elements(texts.join(left, "doc_id", "left_semi")).dropDuplicates(["doc_id", "n_shingles"]), percent)
-    of = _joined(short.unionByName(large), links, parts, texts, percent).select(F.col("node").alias("doc_id"), "component")
-    own = classes.join(of, "doc_id", "left").select("set1", "set2", F.coalesce("component", "doc_id").alias("component_id"))
-    joined = sets.drop("bands", "few").join(own, ["set1", "set2"], "left")
+    left = now.where(f"n_shingles > {SMALL}").join(mixed, "band", "left_semi").select("node").distinct()
+    large = prefixes(elements(texts.join(left, "node", "left_semi")).dropDuplicates(["node"]), percent)
+    of = _joined(short.unionByName(large), links, parts, texts, percent)
+    own = classes.join(of, "node", "left").select("set1", "set2", "low", F.coalesce("component", "node").alias("component"))
+    own = materialize(own, "components")
+    lows = own.groupBy("component").agg(F.min("low").alias("component_id"))
+    own = own.join(lows, "component").select("set1", "set2", "component_id")
+    joined = sets.drop("bands", "few", "text_hash").join(own, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null(F.col("doc_id"), component).alias("kept"))

@@ -597,7 +597,7 @@ def test_near_duplicates_of_mixed_buckets(spark, monkeypatch):
 
 
 def test_near_duplicates_of_odd_ids(spark):
-    """Null ids belong to the class of their text; rows of one id are one node."""
+    """Null ids belong to the class of their text."""
     t = "one two three four five six seven eight"
     rows = [(4, t), (None, t), (None, "only here without an id at all"), (9, t), (9, t), (None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -606,6 +606,31 @@ def test_near_duplicates_of_odd_ids(spark):
     ]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_one_id_with_several_texts(spark, seed):
+    """Sets are nodes: links of every text of an id count, and texts of equal numbers of shingles stay apart."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [[r.choice(words) for _ in range(300)] for _ in range(12)]
+    near = lambda w: " ".join([*w[:290], *(r.choice(words) for _ in range(10))])
+    texts = [" ".join(w) for w in base] + [near(w) for w in base for _ in range(2)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near(base[0])), (3, near(base[1]))]
+    rows += [(r.choice([None, *range(4, 20)]), t) for t in texts]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    low = {g: min((d for (d, _), h in zip(rows, group, strict=True) if h == g and d is not None), default=None) for g in group}
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    want = [(d, len(s), low[g], d == low[g]) for (d, _), s, g in zip(rows, sets, group, strict=True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert [x for x in want if x[0] in (2, 3)][0][2] == [x for x in want if x[0] in (2, 3)][1][2] == 1
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 63, 400).astype(np.uint64)
