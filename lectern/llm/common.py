@@ -43,6 +43,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
         "binary": pa.binary(),
         "array<long>": pa.list_(pa.int64()),
         "array<int>": pa.list_(pa.int32()),
+        "array<string>": pa.list_(pa.string()),
     }
     fields = [tuple(part.split(" ", 1)) for part in schema.split(", ")]
     arrow = pa.schema([(name, types[kind]) for name, kind in fields])

@@ -1,14 +1,13 @@
-"""Token counts by map-side two-tier lookup: no pre-token is ever shuffled, only a bounded summary of each task.
+"""Token counts by map-side two-tier lookup: no pre-token is ever shuffled.
 
 The pieces of this tokenizer hold the word mark only at their start, so the encoding of a text is the
 concatenation of the encodings of its pre-tokens: a run of word marks (spaces) with the characters up to the next.
 
 Tier 1 is a broadcast hash table pre-token -> length. It holds the whole-word pieces of the tokenizer's own vocabulary and
-the corpus's frequent pre-tokens, `keep` at most: every task counts its pre-tokens in a table that is pruned to its more
-frequent half whenever it has BOUND entries, and sends the PER_TASK most frequent with their counts; of their sums those
-above a bound are kept, the lowest in steps of an eighth of an octave that leaves `keep` of them. A pre-token that such a
-summary misses is a miss of tier 1, no more. Tier 2 encodes misses with the library and keeps them in a bounded cache of
-the Python worker.
+the `keep` most frequent pre-tokens of a sample of about `sample` documents, picked by a hash whatever the size of the table; the
+sampled documents' counts, one row for each task that has any, go to the driver, which adds them up. The sample decides what is fast, never
+what is counted: a pre-token that it misses is a miss of tier 1, no more. Tier 2 encodes misses with the library and
+keeps them in a bounded cache of the Python worker.
 
 Null text: 0 bytes, 0 tokens. Very long texts are cut at pre-tokens, so no encoding of a whole text is ever held.
 """
@@ -23,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow, materialize, worker_cache
+from .common import blocks, map_arrow, worker_cache
 
 MARK = "▁"
 CACHE = 600_000
 RUNS = re.compile(" *[^ ]+| +").findall
-KEEP, PER_TASK, BOUND = 100_000, 50_000, 400_000
+KEEP, SAMPLE = 100_000, 4096
+LONGEST = 64  # characters of a pre-token of tier 1
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -53,31 +53,28 @@ def units(text: str) -> list[str]:
     return text.split(" ")
 
 
-def frequent_units(docs: DataFrame, keep: int = KEEP) -> list[str]:
-    """At most `keep` frequent pre-tokens of docs (text)."""
+def sampled_counts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(units, counts) of the pre-tokens of about `sample` documents, a row for each task that has any of them: no shuffle."""
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: Counter = Counter()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in blocks(texts):
-                for t in texts[a:b]:
-                    seen.update(units(t))
-                if len(seen) > BOUND:
-                    seen = Counter(dict(seen.most_common(BOUND // 2)))
-        seen.pop("", None)
-        found = [(u, n) for u, n in seen.most_common(PER_TASK) if len(u) <= 64]
-        yield {"unit": [u for u, _ in found], "n": [n for _, n in found]}
-
-    sums = map_arrow(docs.select("text"), count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    sums = materialize(sums.withColumn("power", F.floor(8 * F.log2("n")).cast("int")), "frequent")
-    total, least = 0, None
-    for row in sorted(sums.groupBy("power").agg(F.count("*").alias("n")).collect(), reverse=True):  # 512 rows at most
-        total += row["n"]
-        if total > keep:
-            break
-        least = row["power"]
-    return [] if least is None else [r["unit"] for r in sums.where(F.col("power") >= least).select("unit").collect()]
+            for t in batch.column("text").to_pylist():
+                seen.update(u for u in units(t) if u and len(u) <= LONGEST)
+        if seen:
+            yield {"units": pa.array([list(seen)], pa.list_(pa.string())), "counts": [list(seen.values())]}
+
+    return map_arrow(docs.where("text is not null").where(chosen).select("text"), count, "units array<string>, counts array<long>")
+
+
+def frequent_units(docs: DataFrame, keep: int = KEEP, sample: int = SAMPLE) -> list[str]:
+    """At most `keep` frequent pre-tokens of a sample of docs (doc_id, text), the most frequent first."""
+    total: Counter = Counter()
+    for row in sampled_counts(docs, sample).collect():  # as many pre-tokens as the sample has
+        total.update(dict(zip(row["units"], row["counts"], strict=True)))
+    return [u for u, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:keep]]
 
 
 class TokenCounter:
@@ -108,11 +105,11 @@ class TokenCounter:
         return out
 
 
-def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, cache: int = CACHE) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, cache: int = CACHE, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, null text as empty; repeated rows count alike."""
     spark: SparkSession = docs.sparkSession
-    # at most the vocabulary and KEEP short strings
-    table = spark.sparkContext.broadcast(frequent_lengths(model_file, frequent_units(docs)))
+    # at most the vocabulary and KEEP strings of at most LONGEST characters
+    table = spark.sparkContext.broadcast(frequent_lengths(model_file, frequent_units(docs, sample=sample)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counter = TokenCounter(model_file, table.value, cache)

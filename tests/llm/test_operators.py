@@ -657,7 +657,7 @@ def test_token_counts(docs, empty):
     assert counter.many(odd) == [len(sp.encode(x)) for x in odd]
 
 
-def test_frequent_units(spark, empty, monkeypatch):
+def test_frequent_units(spark, empty):
     """The first tier holds frequent pre-tokens within its bounds; counts do not depend on what it misses."""
     r = random.Random(2)
     words = [f"zq{i}x" for i in range(60)]
@@ -666,15 +666,16 @@ def test_frequent_units(spark, empty, monkeypatch):
     count = Counter(u for _, t in rows for u in token_counts.units(t or ""))
     for keep in (0, 5, 30, 1000):
         found = token_counts.frequent_units(frame, keep)
-        assert len(found) <= keep and min((count[u] for u in found), default=10**9) > max(
+        assert len(found) <= keep and min((count[u] for u in found), default=10**9) >= max(
             (n for u, n in count.items() if u not in found and u), default=0
         )
     assert {" " + w for w in words[:5]} <= set(token_counts.frequent_units(frame, 30))
     model = queries.tokenizer_path("piece_bpe_32k.model")
     whole = by_id(token_counts.token_counts(frame, model))
-    monkeypatch.setattr(token_counts, "BOUND", 4)
-    monkeypatch.setattr(token_counts, "PER_TASK", 2)
-    assert by_id(token_counts.token_counts(frame, model)) == whole
+    assert by_id(token_counts.token_counts(frame, model, sample=3)) == whole
+    assert 0 < len(token_counts.frequent_units(frame, sample=12)) < len(count)
+    for planned in (token_counts.sampled_counts(frame), token_counts.token_counts(frame, model)):  # nothing is shuffled
+        assert "Exchange" not in planned._jdf.queryExecution().executedPlan().toString()
     assert token_counts.frequent_units(empty) == []
 
 
