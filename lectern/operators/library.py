@@ -42,6 +42,22 @@ ROUTES = [
 STOCK = {"la": "lat_Latn", "grc": "ell_Grek"}
 
 
+PLACE_BITS = 12
+
+
+def place(document: Column | str) -> Column:
+    """The low bits of a document's id, which the ids of all its sections and segments share."""
+    return X.col(document).bitwiseAND((1 << PLACE_BITS) - 1)
+
+
+def id_within(document: Column | str, *natural: Column | str) -> Column:
+    """An id hashed from a natural key, with its document's place in the low bits: whoever has it knows where the row is stored.
+
+    Rows of one place are told apart by 52 bits, and all rows thus as well as by 64 bits of one hash.
+    """
+    return F.shiftleft(F.xxhash64(*natural), PLACE_BITS).bitwiseOR(place(document))
+
+
 def with_defaults(meta: DataFrame, defaults: dict[str, object], overrides: dict[str, object] | None = None) -> DataFrame:
     """FLT-07: caller override, then connector, then default."""
     for name, default in defaults.items():

@@ -1,13 +1,19 @@
 """The library as stored tables: ingest, scans, patches, reports and renderings (SNK-*, LIB-01, SRC-38, FLT-03, EMB-03, ...).
 
-A library is a folder with documents, sections, segments and vectors, each in numbered versions of Parquet; a version counts
-once it is complete, so a writer that dies leaves the one before in force. Operators return rows or patches; writing is a
-separate call (SNK-10).
+A library is a folder with documents, sections, segments and vectors, each a Parquet table partitioned by bucket, a number of
+low bits of a document's id which the ids of its sections, segments and vectors share. So whoever has an id knows its bucket:
+
+* an ingest appends, and rewrites nothing;
+* a patch reads and replaces the buckets of the ids that it changes, and no others (dynamic partition overwrite: the new files are
+  staged and moved in when all tasks are done, so a job that fails leaves the old rows in force);
+* a document is read from one bucket of each table.
+
+One writer at a time: two that change the same bucket at once could lose the changes of one. Operators return rows or
+patches; writing is a separate call (SNK-10).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +50,7 @@ FRAGMENT = "[untranslatable fragment in source]"
 def documents_of(works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """SNK-01, FLT-07, WIN-01: (documents, sections, segments) of raw works: metadata columns, parts (label, text) and flags.
 
-    Ids are hashes of the source and of places in it, so an ingest that runs again makes the same rows. Flags: verse (one
+    Ids are hashes of the source and of places in it, so an ingest that runs again makes the same rows; they carry the document's place. Flags: verse (one
     segment a line) and pre_segmented (one segment a part). Blank texts give no segments, sections without any are kept.
     """
     full = library.with_defaults(works, {c: None for c in META if c not in DEFAULTS} | DEFAULTS)
@@ -54,14 +60,14 @@ def documents_of(works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = full.select(
         F.col("id").alias("doc_id"), "source", "language", "verse", "pre_segmented", F.posexplode("parts").alias("ord", "p")
     )
-    parts = parts.withColumn("id", F.xxhash64("source", "ord"))
+    parts = parts.withColumn("id", library.id_within("doc_id", "source", "ord"))
     whole = F.filter(F.array(X.strip("p.text")), lambda s: s != "")
     prose = F.when(F.col("language") == "grc", X.sentences("p.text", "grc")).otherwise(X.sentences("p.text"))
     cut = F.when(F.col("pre_segmented"), whole).when(F.col("verse"), X.verse_lines("p.text")).otherwise(prose)
     rows = parts.select(
         F.col("id").alias("section_id"), "source", F.col("ord").alias("part"), F.posexplode(cut).alias("ord", "source_text")
     )
-    rows = rows.withColumn("id", F.xxhash64("source", "part", "ord")).withColumn("embed_text", X.embedding_text("source_text"))
+    rows = rows.withColumn("id", library.id_within("section_id", "source", "part", "ord")).withColumn("embed_text", X.embedding_text("source_text"))
     segments = library.migrate(rows.select("id", "section_id", "ord", "source_text", "embed_text"), library.SEGMENTS)
     sections = parts.select("id", "doc_id", F.col("p.label").alias("label"), "ord")
     return documents, sections, segments.select(library.SEGMENTS.fieldNames())
@@ -355,67 +361,108 @@ class Library:
     """LIB-01: a thin façade over the stored tables."""
 
     TABLES = {"documents": library.DOCUMENTS, "sections": library.SECTIONS, "segments": library.SEGMENTS}
+    BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        """Opens or makes a library; buckets, a power of two up to 4,096, counts only for a new one."""
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(m[1]) for p in done if (m := re.fullmatch(r"v(\d+)", p.getName())))
-
-    def table(self, name: str) -> DataFrame:
-        """SRC-38: the last complete version, or an empty table."""
-        schema = self.TABLES.get(name, "id bigint, unit array<double>")
-        found = self._versions(name)
-        return self.spark.read.schema(schema).parquet(
-            f"{self.path}/{name}/v{found[-1]}"
-        ) if found else self.spark.createDataFrame([], schema)
+        if buckets & (buckets - 1) or not 0 < buckets <= 1 << library.PLACE_BITS:
+            raise ValueError("buckets must be a power of two up to 4,096")
+        if not self._exists("layout"):
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("ignore").parquet(f"{self.path}/layout")
+        self.buckets = spark.read.schema("buckets int").parquet(f"{self.path}/layout").first()["buckets"]
+
+    def _exists(self, name: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def bucket(self, key: Column | str | int = "id") -> Column:
+        """The bucket of an id, of whichever table."""
+        c = F.lit(key).cast("long") if isinstance(key, int) else X.col(key)
+        return c.bitwiseAND(self.buckets - 1).cast("int")
+
+    def stored_rows(self, name: str, where: Column | None = None) -> DataFrame:
+        """A table with its column bucket; a condition on it chooses the folders that are read."""
+        fields = self.TABLES.get(name)
+        schema = (f"{fields.simpleString()[7:-1].replace(':', ' ')}" if fields else "id bigint, unit array<double>") + ", bucket int"
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return rows if where is None else rows.where(where)
+
+    def table(self, name: str, doc_id: int | None = None) -> DataFrame:
+        """SRC-38: a table, or the bucket in which a document's rows are; empty where nothing has been written."""
+        return self.stored_rows(name, None if doc_id is None else F.col("bucket") == self.bucket(doc_id)).drop("bucket")
+
+    def _write(self, name: str, df: DataFrame, mode: str, overwrite: str) -> None:
+        # AQE splits a bucket that is large and puts small ones together
+        dealt = df.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
+        dealt.write.mode(mode).option("partitionOverwriteMode", overwrite).partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def save(self, name: str, df: DataFrame) -> None:
-        """SNK-06, SNK-10: a new version; the one before stays, as df may read it."""
-        number = max(self._versions(name), default=0) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
+        """SNK-06, SNK-10: replaces a whole table, which df must not read."""
+        self._write(name, df, "overwrite", "static")
 
     def ingest(self, works: DataFrame) -> int:
-        """SNK-01, JON-10, STM-04: adds the works whose source is not there yet; returns how many there are now."""
+        """SNK-01, JON-10, STM-04: appends the works whose source is not there yet; returns how many there are now.
+
+        Rows that a run before has left without their document are not written twice.
+        """
         new = library.not_present(works.where("source is not null").dropDuplicates(["source"]), self.table("documents"), "source")
-        tables = dict(zip(self.TABLES, documents_of(new), strict=True))
+        tables = dict(zip(self.TABLES, documents_of(stored(new, "works")), strict=True))
         for name in ("segments", "sections", "documents"):  # a run that dies leaves no document without its text
-            old = self.table(name)
-            rows = tables[name].select(old.columns).join(old.select("id"), "id", "left_anti")
-            self.save(name, old.unionByName(rows))
+            rows = tables[name].select(self.TABLES[name].fieldNames())
+            if self._exists(name):
+                rows = rows.join(self.table(name).select("id"), "id", "left_anti")
+            self._write(name, rows, "append", "static")
         return self.table("documents").count()
 
-    def patch(self, changes: DataFrame, columns: list[str], name: str = "segments") -> None:
-        """SNK-02: writes patched columns."""
-        self.save(name, library.patch(self.table(name), changes, columns))
+    def changed(self, name: str, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Replaces the buckets of the ids of changes by apply(their rows, changes); returns them, as many as there are buckets at most."""
+        changes = stored(changes, "changes")  # it may read the files that go
+        hit = sorted(r[0] for r in changes.where("id is not null").select(self.bucket()).distinct().collect())
+        if hit and self._exists(name):
+            rows = self.stored_rows(name, F.col("bucket").isin(hit)).drop("bucket")
+            self._write(name, apply(rows, changes), "overwrite", "dynamic")
+        return hit
+
+    def patch(self, changes: DataFrame, columns: list[str], name: str = "segments") -> list[int]:
+        """SNK-02: writes patched columns of the rows whose ids are in changes; returns the buckets written."""
+        return self.changed(name, changes, lambda rows, c: library.patch(rows, c, columns))
+
+    def patch_source(self, changes: DataFrame) -> list[int]:
+        """SNK-03: new source_text of segments (id, source_text); what was derived from the old one is forgotten, vectors too."""
+        changes = stored(changes.select("id", "source_text"), "changes")
+        hit = self.changed("segments", changes, library.patch_source)
+        self.changed("vectors", changes.select("id"), lambda rows, c: rows.join(c, "id", "left_anti"))
+        return hit
+
+    def set_status(self, changes: DataFrame) -> list[int]:
+        """SNK-04: new translation_status of documents (id, translation_status), with the flag that follows from it."""
+        columns = ["translation_status", "has_existing_translation"]
+        return self.patch(library.with_status(changes, F.col("translation_status")).select("id", *columns), columns, "documents")
 
     def list_documents(self) -> DataFrame:
         return listed(self.table("documents"))
 
     def get_document(self, doc_id: int) -> DataFrame:
         """JON-02, JON-04: one nested document, or no row."""
-        sections = self.table("sections").where(F.col("doc_id") == doc_id)
-        segments = self.table("segments").join(F.broadcast(sections.select(F.col("id").alias("section_id"))), "section_id", "left_semi")
-        return library.assemble(self.table("documents").where(F.col("id") == doc_id), sections, segments)
+        sections = self.table("sections", doc_id).where(F.col("doc_id") == doc_id)
+        segments = self.table("segments", doc_id).join(sections.select(F.col("id").alias("section_id")), "section_id", "left_semi")
+        return library.assemble(self.table("documents", doc_id).where(F.col("id") == doc_id), sections, segments)
 
-    def segments(self) -> DataFrame:
-        """SRC-38, JON-01: all segments with their document."""
-        return self.table("segments").join(self.table("sections").select(F.col("id").alias("section_id"), "doc_id"), "section_id")
+    def segments(self, doc_id: int | None = None) -> DataFrame:
+        """SRC-38, JON-01: all segments with their document, or those of one document."""
+        sections = self.table("sections", doc_id).select(F.col("id").alias("section_id"), "doc_id")
+        rows = self.table("segments", doc_id).join(sections, "section_id")
+        return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id)
 
     def get_segment(self, segment_id: int) -> DataFrame:
-        return self.table("segments").where(F.col("id") == segment_id)
+        return self.table("segments", segment_id).where(F.col("id") == segment_id)
 
     def reindex(self, embed: Callable[[DataFrame], DataFrame]) -> int:
         """EMB-03: fills embed_text and rebuilds the vectors; returns their number."""
-        segments = self.table("segments")
-        filled = library.patch(segments, backfilled(segments), ["embed_text"])
-        self.save("segments", filled)
+        self.patch(backfilled(self.table("segments")), ["embed_text"])
         self.save("vectors", reindexed(self.table("segments"), embed))
         return self.index_size()
 
@@ -442,8 +489,7 @@ class Library:
 
         Garbled ones get the placeholder; returns how many were pending.
         """
-        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
-        rows = rows.join(self.table("documents").select(F.col("id").alias("doc_id"), "language"), "doc_id")
+        rows = self.segments(doc_id).join(self.table("documents", doc_id).select(F.col("id").alias("doc_id"), "language"), "doc_id")
         todo = stored(enrich.translation_input(rows), "pending")
         garbled = todo.where("route = 'placeholder'").select("id", F.lit(X.PLACEHOLDER).alias("english_text"))
         texts = todo.where("route <> 'placeholder'").select("id", F.col("source_text").alias("text"))
@@ -452,19 +498,18 @@ class Library:
 
     def stylize(self, factory, preset: str, doc_id: int | None = None) -> None:
         """LIB-02, STY-02: styles what is translated, of one document or all."""
-        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
+        rows = self.segments(doc_id)
         self.patch(styling.styled(rows, factory, preset), ["english_styled", "style_label"])
 
     def scan(self, factory, meter: str = "hexameter", doc_id: int | None = None) -> None:
         """LIB-02, SCN-01: writes the patterns that a scanner finds."""
-        rows = self.segments() if doc_id is None else self.segments().where(F.col("doc_id") == doc_id)
-        rows = rows.join(self.table("documents").select(F.col("id").alias("doc_id"), "language"), "doc_id")
+        rows = self.segments(doc_id).join(self.table("documents", doc_id).select(F.col("id").alias("doc_id"), "language"), "doc_id")
         self.patch(styling.scanned(rows, factory, meter).where("scansion is not null").select("id", "scansion"), ["scansion"])
 
     def reader(self, doc_id: int, view: str = "Literal") -> str | None:
         """LIB-02, SNK-11: a document's page, or None."""
-        documents = self.table("documents").where(F.col("id") == doc_id)
-        row = reader_pages(documents, self.table("sections").where(F.col("doc_id") == doc_id), self.table("segments"), view).first()
+        documents = self.table("documents", doc_id).where(F.col("id") == doc_id)
+        row = reader_pages(documents, self.table("sections", doc_id).where(F.col("doc_id") == doc_id), self.table("segments", doc_id), view).first()
         return row and row["html"]
 
     def report(self) -> list[str]:

@@ -53,9 +53,14 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path in the application's folder that nothing else uses."""
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

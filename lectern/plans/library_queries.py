@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import alignment, evaluation, library, mining, search, store
-from ..operators.tables import stored
+from ..operators.tables import fresh, stored
 from . import enrich, styling
 from .queries import S, W, WS, _list, query, segments, table, works
 
@@ -38,12 +38,15 @@ _ABBREVIATED = f"list_contains({_list(X.ABBREVIATIONS)}, lower(regexp_replace(li
 
 
 # verse by line, cut parts whole, prose by sentence: a piece that ends in an abbreviation goes on
-@query(rf"""WITH {_PARTS}, whole AS (SELECT doc_id, part, 0 AS i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS line FROM p WHERE doc_id % 7 = 0),
+_CUT = rf"""{_PARTS}, whole AS (SELECT doc_id, part, 0 AS i, regexp_replace(t, '^\s+|\s+$', '', 'g') AS line FROM p WHERE doc_id % 7 = 0),
 verse AS (SELECT doc_id, part, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, part, list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) AS l FROM p WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0)),
 pieces AS (SELECT doc_id, part, unnest(range(0, len(ps))) AS i, unnest(ps) AS piece FROM (SELECT doc_id, part, string_split(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '([.;:?!])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM p WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0)),
 joined AS (SELECT *, lag({_ABBREVIATED}) OVER (PARTITION BY doc_id, part ORDER BY i) AS on_ FROM pieces), grouped AS (SELECT *, sum(CASE WHEN i = 0 OR NOT on_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY i) AS g FROM joined),
-prose AS (SELECT doc_id, part, g AS i, trim(string_agg(piece, ' ' ORDER BY i)) AS line FROM grouped GROUP BY doc_id, part, g)
-SELECT doc_id, CAST(part AS INT) AS part, count(*) AS n, md5(string_agg(line, '|' ORDER BY i)) AS digest FROM (SELECT * FROM whole UNION ALL SELECT * FROM verse UNION ALL SELECT * FROM prose) WHERE line <> '' GROUP BY doc_id, part""")
+prose AS (SELECT doc_id, part, g AS i, trim(string_agg(piece, ' ' ORDER BY i)) AS line FROM grouped GROUP BY doc_id, part, g),
+cut AS (SELECT * FROM (SELECT * FROM whole UNION ALL SELECT * FROM verse UNION ALL SELECT * FROM prose) WHERE line <> '')"""
+
+
+@query(f"WITH {_CUT} SELECT doc_id, CAST(part AS INT) AS part, count(*) AS n, md5(string_agg(line, '|' ORDER BY i)) AS digest FROM cut GROUP BY doc_id, part")
 def snk01_add_document(spark, sf):
     # ids are hashes, so places are found through the joins back to the works
     documents, sections, cut = store.documents_of(raw_works(spark, sf))
@@ -56,6 +59,30 @@ def snk01_add_document(spark, sf):
     return placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"), digest.alias("digest"))
 
 
+# the whole library is ingested and translated; then some works get a new text, whose translations are forgotten, and a status
+@query(f"""WITH {_CUT}, t AS (SELECT *, doc_id % 50 = 7 AS new FROM cut)
+SELECT doc_id, CAST(part AS INT) AS part, count(*) AS n, CAST(count_if(NOT new) AS BIGINT) AS translated, md5(string_agg(CASE WHEN new THEN 'new ' || line ELSE line || '/T ' || line END, '|' ORDER BY i)) AS digest,
+CASE WHEN doc_id % 50 = 7 THEN 'untranslated' ELSE 'unknown' END AS status FROM t GROUP BY doc_id, part""")
+def snk03_library_patches(spark, sf):
+    lib = store.Library(spark, fresh(spark, "library"), 16)
+    lib.ingest(raw_works(spark, sf))
+    lib.patch(lib.table("segments").select("id", F.concat(F.lit("T "), "source_text").alias("english_text")), ["english_text"])
+    number = F.substring("source", 5, 20).cast("long")
+    chosen = stored(lib.table("documents").where(number % 50 == 7).select(F.col("id").alias("doc_id")), "chosen")
+    renewed = lib.segments().join(chosen, "doc_id", "left_semi")
+    lib.patch_source(renewed.select("id", F.concat(F.lit("new "), "source_text").alias("source_text")))
+    lib.set_status(chosen.select(F.col("doc_id").alias("id"), F.lit("untranslated").alias("translation_status")))
+    documents = lib.table("documents").select(F.col("id").alias("doc"), number.alias("doc_id"), F.col("translation_status").alias("status"))
+    sections = lib.table("sections").select(F.col("id").alias("section_id"), F.col("doc_id").alias("doc"), F.col("ord").alias("part"))
+    rows = lib.table("segments").join(sections, "section_id").join(documents, "doc")
+    listed = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("/", "source_text", "english_text").alias("t"))))
+    return rows.groupBy("doc_id", "part", "status").agg(
+        F.count("*").alias("n"),
+        F.count("english_text").alias("translated"),
+        F.md5(F.array_join(F.transform(listed, lambda x: x["t"]), "|").cast("binary")).alias("digest"),
+    )
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS sections, 'la' AS language, 'unknown' AS status FROM documents")
 def flt07_metadata_defaults(spark, sf):
     documents, sections, _ = store.documents_of(raw_works(spark, sf))

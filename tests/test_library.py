@@ -52,6 +52,49 @@ def test_library_round_trip(spark, tmp_path):
     assert lib.search([1.0, 1.0], 4, language_stage="medieval").count() == 0
 
 
+def test_patches_touch_their_buckets_only(spark, tmp_path):
+    lib = store.Library(spark, str(tmp_path / "lib"), 8)
+    lib.ingest(works(spark, [(f"s{i}", f"T{i}", None, None, "la", True, [("I", f"line {i}\nother {i}"), ("II", "end")]) for i in range(40)]))
+    lib.patch(lib.table("segments").select("id", F.lit("done").alias("english_text")), ["english_text"])
+    lib.reindex(lambda df: df.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector")))
+    files = lambda name: {(f.parent.name, f.name) for f in (tmp_path / "lib" / name).rglob("*.parquet")}
+    before = {name: files(name) for name in ("documents", "sections", "segments", "vectors")}
+    assert len({b for b, _ in before["segments"]}) == 8
+    doc = lib.list_documents().where("title = 'T7'").first()["id"]
+    bucket = doc & 7
+    for name in ("documents", "sections", "segments"):  # the scan's folders, chosen by the id alone
+        plan = lib.table(name, doc)._jdf.queryExecution().executedPlan().toString()
+        assert f"(bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and f"= {bucket})" in plan
+    ids = [r["id"] for r in lib.segments(doc).collect()]
+    assert len(ids) == 3 and {i & 7 for i in ids} == {bucket}
+    change = spark.createDataFrame([(ids[0], "new")], "id long, source_text string")
+    assert lib.patch_source(change) == [bucket]
+    after = {name: files(name) for name in before}
+    assert after["documents"] == before["documents"] and after["sections"] == before["sections"]
+    for name in ("segments", "vectors"):
+        assert {b for b, _ in before[name] ^ after[name]} == {f"bucket={bucket}"}
+    row = lib.get_segment(ids[0]).first()
+    assert row["source_text"] == "new" and row["english_text"] is None and lib.index_size() == 119
+    assert lib.table("segments").where("english_text = 'done'").count() == 119 and lib.table("segments").count() == 120
+    assert lib.set_status(spark.createDataFrame([(doc, "translated"), (None, "x")], "id long, translation_status string")) == [bucket]
+    assert [r["id"] for r in lib.table("documents").where("has_existing_translation").collect()] == [doc]
+    assert lib.patch(change.limit(0), ["source_text"]) == []
+    assert lib.ingest(works(spark, [("new", "N", None, None, "la", True, [("I", "x")])])) == 41  # appends, rewrites nothing
+    assert all(after[name] - files(name) == set() for name in ("sections", "segments"))
+    with pytest.raises(ValueError):
+        store.Library(spark, str(tmp_path / "other"), 12)
+
+
+def test_a_failed_patch_leaves_the_old_rows(spark, tmp_path):
+    lib = store.Library(spark, str(tmp_path / "lib"), 4)
+    lib.ingest(works(spark, [(f"s{i}", "T", None, None, "la", True, [("I", "a\nb")]) for i in range(10)]))
+    want = sorted(r["id"] for r in lib.table("segments").collect())
+    broken = lambda rows, c: rows.withColumn("source_text", F.raise_error("broken"))
+    with pytest.raises(Exception, match="broken"):
+        lib.changed("segments", lib.table("segments").select("id"), broken)
+    assert sorted(r["id"] for r in lib.table("segments").where("source_text in ('a', 'b')").collect()) == want
+
+
 def test_backfill_writes_only_what_differs(spark):
     rows = spark.createDataFrame(
         [(1, "a / b", None), (2, "Gallia est.", None), (3, "x / y", "done"), (4, None, None)],
