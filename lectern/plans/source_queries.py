@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import library
-from ..sources import catalogs, parse
+from ..sources import catalogs, connector, parse
 from .queries import query, table
 
 # directory listings: a folder for each source, an entry for each document, every third a file
@@ -572,3 +572,36 @@ def src01_files(spark, sf):
     return found.select(
         number.alias("page_id"), F.concat(F.lit("page"), number).alias("title"), F.regexp_replace("text", r"\n\z", "").alias("text")
     )
+
+
+# shards of 50 pages each, behind a service that fails every third call, is full every fifth, and has entries without an object
+class _Shaky:
+    def __init__(self, entries):
+        self.entries, self.calls = entries, 0
+
+    def __call__(self, request):
+        self.calls += 1
+        if self.calls % 3 == 0:
+            raise ConnectionError("every third call")
+        if self.calls % 5 == 0:
+            return connector.Answer(429, None, {"Retry-After": "0"})
+        start, size = request["start"], request["size"]
+        return connector.Answer(200, {"data": self.entries[start : start + size], "recordsFiltered": len(self.entries)})
+
+
+def _shard(row):
+    entries = [{"obj": {"identifier": e["url"], "year": e["year"], "html": e["html"]}} if e["there"] else {} for e in row["entries"]]
+    return connector.Pager(_Shaky(entries), connector.inscriptions_page, size=7, limit=40, delay=0, wait=0)
+
+
+@query(
+    "SELECT shard, CAST(pos AS INT) AS pos, url AS identifier, CAST(page_id % 700 AS INT) AS year, md5(html) AS digest FROM (SELECT *, page_id // 50 AS shard, "
+    "row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS pos FROM pages WHERE page_id % 9 <> 4) WHERE pos < 40"
+)
+def src18_paged(spark, sf):
+    n = F.col("page_id")
+    entry = F.struct("page_id", "url", "html", (n % 700).cast("int").alias("year"), (n % 9 != 4).alias("there"))
+    requests = table(spark, sf, "pages").groupBy(F.floor(n / 50).alias("shard")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = connector.fetched(requests.withColumn("request", F.lit("{}")), "shard", _shard)
+    html = F.get_json_object("payload", "$.html")
+    return rows.select("shard", "pos", "identifier", "year", F.md5(html.cast("binary")).alias("digest"))
