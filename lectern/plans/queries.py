@@ -805,6 +805,12 @@ def aln02_align_texts(spark, sf):
     return alignment.align_texts(side("user", "src").join(side("assistant", "tgt"), "conv_id"), "conv_id")
 
 
+@query()
+def aln02_long_pairs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", X.sentences("text").alias("src"))
+    return alignment.align_texts(d.withColumn("tgt", F.filter("src", lambda x, i: i % 41 != 7)), "doc_id")
+
+
 @query()
 def pag01_align_pages(spark, sf):
     s = segments(spark, sf).select("doc_id", F.col("ord").alias("pos"), F.col("source_text").alias("text"))
