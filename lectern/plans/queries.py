@@ -831,6 +831,28 @@ def enr01_best_match(spark, sf):
     return alignment.best_matches(wanted, entries.unionByName(own))
 
 
+# titles of 13 to 32 letters that no two works share; a hundredth of the works is looked for, some misspelt, with or without an author, some not there
+_TITLE = "concat('q', substr(md5(CAST(doc_id AS VARCHAR)), 1, CAST(12 + doc_id % 20 AS INT)))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, doc_id // 100 AS k, length({_TITLE}) AS n FROM documents WHERE doc_id % 100 = 0),
+s AS (SELECT *, CASE k % 3 WHEN 0 THEN 2.0 * (n - 2) / (2 * n - 2) WHEN 1 THEN 1.0 ELSE 2.0 * n / (2 * n + 3) END + CASE WHEN k % 4 = 1 THEN 0.1 ELSE 0 END AS score FROM w)
+SELECT doc_id AS id, CASE WHEN k % 7 <> 3 THEN doc_id END AS ord, round(CASE WHEN k % 7 = 3 THEN 0.0 ELSE least(1.0, score) END, 6) AS score, k % 7 <> 3 AS confident FROM s""")
+def jon08_best_matches(spark, sf):
+    d = table(spark, sf, "documents").withColumn("title", F.expr(_TITLE.replace("VARCHAR", "STRING")))
+    k = F.floor(F.col("doc_id") / 100)
+    key = F.when(k % 7 == 3, "zzzzzzzzzz").when(k % 3 == 0, F.expr("left(title, length(title) - 2)")).when(k % 3 == 1, F.col("title"))
+    wanted = d.where("doc_id % 100 = 0").select(
+        F.col("doc_id").alias("id"),
+        key.otherwise(F.concat(F.lit("zzz"), "title")).alias("key"),
+        F.when((k % 4 == 1) & (k % 7 != 3), F.concat(F.lit("author "), "doc_id", F.lit("."))).alias("author_key"),
+    )
+    entries = d.select(
+        F.col("doc_id").alias("ord"), F.col("title").alias("title_key"), F.concat(F.lit("by author "), "doc_id", F.lit(".")).alias("context_key")
+    )
+    return alignment.best_matches(wanted, entries).select("id", "ord", "score", "confident")
+
+
 @query()
 def rag01_search(spark, sf):
     passages = table(spark, sf, "documents").select(

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import alignment, library, repair
@@ -158,16 +159,49 @@ def test_best_match_is_exact(spark):
         ratio = lambda t, c: min(1.0, SequenceMatcher(None, want, t).ratio() + (0.1 if author and author in c else 0))
         score, place = max((ratio(t, c), -i) for i, t, c in entries)
         got = matcher.best(want, author)
-        assert (got[0], got[1]) == (-place, pytest.approx(score))
+        assert got[3] <= 60 and (got[0], got[1]) == (-place, pytest.approx(score))
     wanted = spark.createDataFrame(
         [(1, "carmina", ""), (2, "vita antonii", "athanasius"), (3, None, None)], "id long, key string, author_key string"
     )
     shelf = spark.createDataFrame(
         [(5, "carmina", "x"), (6, "vita antoni", "athanasius"), (7, None, None)], "ord long, title_key string, context_key string"
     )
-    got = {x["id"]: (x["ord"], x["confident"]) for x in alignment.best_matches(wanted, shelf, block=1).collect()}
+    got = {x["id"]: (x["ord"], x["confident"]) for x in alignment.best_matches(wanted, shelf).collect()}
     assert got == {1: (None, False), 2: (6, True), 3: (None, False)}  # generic titles need the author
-    assert alignment.best_matches(wanted, shelf.limit(0)).where("confident").count() == 0
+    assert [tuple(x) for x in alignment.best_matches(wanted.where("id = 1"), shelf.limit(0)).collect()] == [(1, None, None, False, 0)]
+
+
+@pytest.mark.parametrize("sizes", [(2000, 500), (7, 4)])
+def test_best_matches_against_all_pairs(spark, monkeypatch, sizes):
+    """Scores on both sides of every round's floor, ties, repeated and empty strings, authors; not all pairs are tried."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(alignment, "ENTRIES", sizes[0])
+    monkeypatch.setattr(alignment, "KEYS", sizes[1])
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghiklmnopqrst") for _ in range(r.randint(2, 9)))
+    some = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
+    titles = [some() for _ in range(120)] + ["", "vita", "a"]
+    entries = [(i, t, r.choice(["", "caesar", "plinius minor"])) for i, t in enumerate(titles + titles[:9])] + [(900, None, None)]
+    changed = lambda t: t[: len(t) // 3] + r.choice(["", "x", "uvw", "uvwxyzuvw"]) + t[len(t) // 3 + r.randint(0, 4) :]
+    wanted = [(i, changed(r.choice(titles)), r.choice(["", "caesar", "minor"])) for i in range(150)]
+    wanted += [(200 + i, k, a) for i, (k, a) in enumerate([("", ""), ("", "caesar"), (None, None), ("zzzz", ""), ("zzzz", "caesar"), ("a", "")])]
+    w = spark.createDataFrame(wanted, "id long, key string, author_key string")
+    c = spark.createDataFrame(entries, "ord long, title_key string, context_key string")
+    got = {x["id"]: x for x in alignment.best_matches(w, c).collect()}
+    generic = dict(w.select("id", X.is_generic_title(F.coalesce("key", F.lit(""))).alias("g")).collect())
+    for i, key, author in wanted:
+        key, author = key or "", author or ""
+        all_ = []
+        for o, t, context in entries:
+            named = bool(author) and author in (context or "")
+            ratio = SequenceMatcher(None, key, t or "").ratio()
+            all_.append((min(1.0, ratio + 0.1) if named else ratio, -o, named))
+        score, place, named = max(all_)
+        sure = score >= 0.62 and (named or not generic[i])
+        assert (got[i]["ord"], got[i]["confident"]) == (-place if sure else None, sure), (key, author)
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
+    assert sum(x["tried"] for x in got.values()) < 0.5 * len(wanted) * len(entries)
 
 
 def test_greedy_alignment_and_band(spark):
