@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .alignment import chrf_score
 
 ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
@@ -25,13 +25,46 @@ def _grams(tokens, n: int) -> Counter:
     return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
 
 
-def chrf_counts(hypothesis: str, reference: str) -> list[int]:
-    """For each order: n-grams of the hypothesis (0 where the reference has none), of the reference, and common ones."""
-    h, r = "".join(hypothesis.split()), "".join(reference.split())
-    out = []
-    for n in range(1, ORDER + 1):
-        a, b = _grams(h, n), _grams(r, n)
-        out += [a.total() if b else 0, b.total(), (a & b).total()]
+ROWS = 128  # pairs counted together: arrays that stay in the cache
+
+
+def chrf_counts(hypotheses: list[str], references: list[str]) -> np.ndarray:
+    """A row for each pair, and in it for each order: n-grams of the hypothesis (0 where the reference has none), of the reference, and common ones.
+
+    A batch's n-grams are numbers: the pair's place above the letters' codes in the batch. Both sides are sorted as one array, in which equal
+    ones lie together, and the smaller count of each run is common to both.
+    """
+    out = np.zeros((len(hypotheses), 3 * ORDER), np.int64)
+    for start in range(0, len(hypotheses), ROWS):
+        sides = [["".join(t.split()) for t in texts[start : start + ROWS]] for texts in (hypotheses, references)]
+        lengths = [np.array([len(t) for t in side]) for side in sides]
+        points = [np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in sides]
+        letters, codes = np.unique(np.concatenate(points), return_inverse=True)
+        codes = np.split(codes.astype(np.uint64), [len(points[0])])
+        size = np.uint64(len(letters) + 1)
+        pair = [np.repeat(np.arange(len(n), dtype=np.uint64), n) for n in lengths]
+        room = [np.repeat(np.cumsum(n), n) - np.arange(n.sum()) for n in lengths]  # letters from each place to its text's end
+        grams = [np.zeros(len(c), np.uint64) for c in codes]
+        kinds = len(letters) + 1  # how many numbers the grams so far can have
+        for n in range(1, ORDER + 1):
+            grams = [g[: len(c) - n + 1] * size + c[n - 1 :] + np.uint64(1) if len(c) >= n else g[:0] for g, c in zip(grams, codes, strict=True)]
+            kinds = kinds * (len(letters) + 1) + 1 if n > 1 else kinds
+            if kinds * ROWS >= 1 << 62:  # many letters: number the grams that there are
+                known, again = np.unique(np.concatenate(grams), return_inverse=True)
+                grams, kinds = np.split(again.astype(np.uint64), [len(grams[0])]), len(known)
+            whole = [r[: len(g)] >= n for r, g in zip(room, grams, strict=True)]
+            keys = [(p[: len(g)][w] * np.uint64(kinds + 1) + g[w]) * np.uint64(2) + np.uint64(i) for i, (p, g, w) in enumerate(zip(pair, grams, whole, strict=True))]
+            for i, total in enumerate(np.maximum(0, side - n + 1) for side in lengths):
+                out[start : start + len(total), 3 * n - 3 + i] = total
+            sorted_ = np.sort(np.concatenate(keys))
+            if len(sorted_):
+                first = np.flatnonzero(np.diff(sorted_ >> np.uint64(1), prepend=np.uint64(1) << np.uint64(63)))
+                all_ = np.diff(first, append=len(sorted_))
+                theirs = np.add.reduceat((sorted_ & np.uint64(1)).astype(np.int64), first)
+                row = (sorted_[first] >> np.uint64(1)) // np.uint64(kinds + 1)
+                common = np.bincount(row.astype(np.int64), np.minimum(theirs, all_ - theirs), len(sides[0]))
+                out[start : start + len(common), 3 * n - 1] = common.astype(np.int64)
+    out[:, 0::3][out[:, 1::3] == 0] = 0
     return out
 
 
@@ -64,15 +97,25 @@ def bleu_counts(hypothesis: str, reference: str) -> list[int]:
     return [*out, len(h), len(r)]
 
 
-def _counts(function):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([function(x or "", y or "") for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series(list(chrf_counts(hyp.fillna("").tolist(), ref.fillna("").tolist())))
+
 
-    return run
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def bleu_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([bleu_counts(x or "", y or "") for x, y in zip(hyp, ref, strict=True)])
 
 
-chrf_stats, bleu_stats = _counts(chrf_counts), _counts(bleu_counts)
+@F.pandas_udf(T.DoubleType())
+def chrf_score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """The score of each pair alone, by the formula of `chrf_of`."""
+    c = chrf_counts(hyp.fillna("").tolist(), ref.fillna("").tolist()).astype(float)
+    own, other, common = (c[:, i::3] for i in range(3))
+    both = (own > 0) & (other > 0)
+    orders = np.maximum(1, both.sum(1))
+    p, r = ((np.where(both, common, 0) / np.maximum(side, 1)).sum(1) / orders for side in (own, other))
+    return pd.Series(np.where(p + r > 0, 100 * (1 + BETA**2) * p * r / np.maximum(BETA**2 * p + r, 1e-300), 0.0))
 
 
 def chrf_of(stats: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import alignment, library, repair, search, store
+from ..operators import alignment, evaluation, library, repair, search, store
 from ..operators.tables import stored
 from ..sources import parse
 from ..streaming import resume
@@ -690,21 +690,26 @@ def mt03_translate_pending(spark, sf):
     return enrich.translated(s, lambda c: F.concat(F.lit("T "), c)).select("id", "route", "english_text")
 
 
-@query(
-    S(
-        "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN least(length(a), length(b)) < 30 THEN 'short' "
-        "WHEN lower(a) = lower(b) THEN 'identical' WHEN len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)) > 0.12 "
-        "THEN 'contaminated' END AS reason FROM (SELECT regexp_replace(source_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(CASE "
-        "WHEN ord % 2 = 0 THEN lower(source_text) ELSE source_text || ' plus' END, '^\\s+|\\s+$', '', 'g') AS b FROM s) WHERE a <> '' "
-        "AND b <> '') GROUP BY 1"
-    )
+# the other side: the same in small letters, with a word more, with other letters, without every second word
+_OTHER = (
+    "CASE ord % 4 WHEN 0 THEN lower(source_text) WHEN 1 THEN concat(source_text, ' plus') WHEN 2 THEN translate(source_text, 'abcdefghijklmnopqrstuvwxyz', "
+    "'nopqrstuvwxyzabcdefghijklm') ELSE {half} END"
 )
+
+
+@query(f"""WITH {SEGMENTS}, p AS (SELECT id, regexp_replace(source_text, '^\\s+|\\s+$', '', 'g') AS a, regexp_replace({_OTHER.format(half="array_to_string(list_filter(string_split(source_text, ' '), lambda x, i: i % 2 = 1), ' ')")}, '^\\s+|\\s+$', '', 'g') AS b FROM s),
+k AS (SELECT * FROM p WHERE a <> '' AND b <> ''), n AS (SELECT unnest(range(1, 7)) AS n),
+g AS (SELECT id, n, side, g, count(*) AS c FROM (SELECT id, n, 0 AS side, unnest(list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n))) AS g FROM (SELECT id, regexp_replace(a, '\\s', '', 'g') AS x FROM k), n
+UNION ALL SELECT id, n, 1, unnest(list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n))) FROM (SELECT id, regexp_replace(b, '\\s', '', 'g') AS x FROM k), n) GROUP BY ALL),
+t AS (SELECT id, n, sum(c) FILTER (side = 0) AS h, sum(c) FILTER (side = 1) AS r FROM g GROUP BY ALL), m AS (SELECT x.id, x.n, sum(least(x.c, y.c)) AS m FROM g x JOIN g y ON x.id = y.id AND x.n = y.n AND x.g = y.g AND x.side = 0 AND y.side = 1 GROUP BY ALL),
+f AS (SELECT id, avg(coalesce(m, 0) / h) AS p, avg(coalesce(m, 0) / r) AS r FROM t LEFT JOIN m USING (id, n) WHERE h > 0 AND r > 0 GROUP BY id),
+c AS (SELECT id, CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END AS chrf FROM f)
+SELECT coalesce(CASE WHEN least(length(a), length(b)) < 30 THEN 'short' WHEN lower(a) = lower(b) THEN 'identical' WHEN greatest(len(regexp_extract_all(a, '[^\\x00-\\x7F]')) / greatest(1, length(a)), 0) > 0.12 THEN 'contaminated'
+WHEN chrf > 62 THEN 'near_copy' WHEN chrf < 12 THEN 'too_low' END, 'kept') AS reason, count(*) AS n FROM k LEFT JOIN c USING (id) GROUP BY 1""")
 def flt11_pair_reasons(spark, sf):
-    p = segments(spark, sf).select(
-        F.col("source_text").alias("src"),
-        F.when(F.col("ord") % 2 == 0, F.lower("source_text")).otherwise(F.concat("source_text", F.lit(" plus"))).alias("tgt"),
-    )
-    return library.pair_reasons(p).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    half = F.array_join(F.filter(F.split("source_text", " "), lambda x, i: i % 2 == 0), " ")
+    p = segments(spark, sf).withColumn("half", half).select(F.col("source_text").alias("src"), F.expr(_OTHER.format(half="half")).alias("tgt"))
+    return library.pair_reasons(p, chrf=evaluation.chrf_score("src", "tgt")).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -805,12 +810,6 @@ def aln02_align_texts(spark, sf):
     return alignment.align_texts(side("user", "src").join(side("assistant", "tgt"), "conv_id"), "conv_id")
 
 
-@query()
-def aln02_long_pairs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.sentences("text").alias("src"))
-    return alignment.align_texts(d.withColumn("tgt", F.filter("src", lambda x, i: i % 41 != 7)), "doc_id")
-
-
 @query()
 def pag01_align_pages(spark, sf):
     s = segments(spark, sf).select("doc_id", F.col("ord").alias("pos"), F.col("source_text").alias("text"))

@@ -176,6 +176,22 @@ def test_books(spark):
     ] == [(2, "s")]
 
 
+@pytest.mark.parametrize("letters", ["ab ", "abcdefgh .,é", "".join(map(chr, range(0x4E00, 0x5E00)))])
+def test_chrf_counts_against_counters(monkeypatch, letters):
+    monkeypatch.setattr(evaluation, "ROWS", 7)
+    r = random.Random(2)
+    some = lambda: "".join(r.choice(letters) for _ in range(r.choice([0, 1, 3, 6, 40, 200])))
+    left, right = [some() for _ in range(40)], [some() for _ in range(40)]
+    right = [a[3:] + b[:5] if i % 2 else b for i, (a, b) in enumerate(zip(left, right, strict=True))]
+    for a, b, got in zip(left, right, evaluation.chrf_counts(left, right).tolist(), strict=True):
+        a, b, want = "".join(a.split()), "".join(b.split()), []
+        for n in range(1, 7):
+            x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (a, b))
+            want += [x.total() if y else 0, y.total(), (x & y).total()]
+        assert got == want
+    assert evaluation.chrf_counts([], []).shape == (0, 18)
+
+
 def test_scores_against_plain_formulas(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abc.,-1") for _ in range(r.randint(1, 6)))
