@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -51,3 +53,105 @@ def hits(found: DataFrame, segments: DataFrame, documents: DataFrame) -> DataFra
     """JON-05: hits with their rows; ids without a row drop out. The hits are k rows, so they are the broadcast side."""
     joined = segments.join(F.broadcast(found.select(F.col("id").alias("_id"), "score")), F.col("segment_id") == F.col("_id"))
     return joined.join(documents.withColumnRenamed("id", "doc_id"), "doc_id")
+
+
+def spread(vectors: np.ndarray, number: int) -> np.ndarray:
+    """The first vector and then, each time, the one that is farthest from those chosen."""
+    if not len(vectors):
+        return vectors
+    chosen, near = [0], vectors @ vectors[0]
+    while len(chosen) < min(number, len(vectors)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
+
+
+class CellIndex:
+    """SNK-06, TOP-01, TOP-02: an index stored by cells, of which a search reads only those that can hold a hit.
+
+    Centres are chosen from a bounded sample of the vectors, each the farthest from those before; a vector lies in the cell of its nearest centre, which is a folder, and a cell's
+    radius is the distance of its farthest vector. By the triangle inequality nothing in a cell is nearer to a query than
+    the centre is, less the radius. A search reads cells by that bound, twice as many each time, until the k-th hit so far is
+    nearer than the bound of every cell left; so its hits are those of a scan. Only the sample, SAMPLE * MOST vectors at
+    most, centres and radii, and k hits are ever on the driver. Vectors without a length (zero, null, or of another width than the centres) have no distance: they lie in a cell
+    that is always read.
+    """
+
+    MOST = 1024
+    SAMPLE = 16  # vectors for each centre
+    PER_CELL = 10_000
+    SLACK = 1e-9
+    OPEN = -1  # the cell of what has no distance
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.read: list[int] = []  # cells of the last search
+
+    def build(self, index: DataFrame, cells: int | None = None) -> CellIndex:
+        """Writes an index (id, unit, ...) of unit vectors; cells defaults to one for each PER_CELL vectors."""
+        whole = F.coalesce(F.exists("unit", lambda x: x != 0), F.lit(False)) & ~F.coalesce(F.exists("unit", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+        usable = index.where(whole)
+        number = cells or usable.count() // self.PER_CELL
+        number = max(1, min(self.MOST, number))
+        sample = usable.orderBy(F.xxhash64("unit"), "id").limit(self.SAMPLE * number).select("unit").collect()
+        centres = spread(np.array([r["unit"] for r in sample if len(r["unit"]) == len(sample[0]["unit"])], float), number)
+        open_ = self.OPEN
+
+        @F.pandas_udf("struct<cell:int,far:double>")
+        def nearest(units: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"cell": np.full(len(units), open_, np.int32), "far": 0.0})
+            fits = [
+                i for i, u in enumerate(units)
+                if len(centres) and u is not None and len(u) == centres.shape[1] and np.isfinite(u.astype(float)).all() and u.any()
+            ]
+            if fits:
+                v = np.stack(units.iloc[fits].tolist()).astype(float)
+                near = v @ centres.T
+                out.loc[fits, "cell"] = near.argmax(1).astype(np.int32)
+                out.loc[fits, "far"] = np.sqrt(((v - centres[near.argmax(1)]) ** 2).sum(1))
+            return out
+
+        placed = index.withColumn("_at", nearest("unit")).select(*index.columns, F.col("_at.cell").alias("cell"), F.col("_at.far").alias("far"))
+        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors")
+        placed.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")
+        radii = self._rows().groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
+        middles = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+        radii.join(F.broadcast(middles), "cell", "left").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cells")
+        return self
+
+    def _rows(self) -> DataFrame:
+        columns = self.spark.read.parquet(f"{self.path}/columns").schema
+        return self.spark.read.schema(columns).parquet(f"{self.path}/vectors")
+
+    def vectors(self) -> DataFrame:
+        return self._rows().drop("far")
+
+    def search(self, query: list[float], k: int, keep: Column | None = None) -> DataFrame:
+        """As `top_k` over the whole index."""
+        rows = self.vectors()
+        q = np.array(query, float)
+        q = q / (np.sqrt((q * q).sum()) or 1.0)
+        bounds = {}
+        for r in self.spark.read.parquet(f"{self.path}/cells").collect():
+            distance = np.sqrt(((np.array(r["centre"]) - q) ** 2).sum()) if r["centre"] is not None and len(r["centre"]) == len(q) and q.any() else 0.0
+            bounds[r["cell"]] = max(0.0, distance - r["radius"] - self.SLACK) if r["centre"] is not None else 0.0
+        order = sorted(bounds, key=lambda c: (bounds[c], c))
+        place = lambda r: (r["score"] is None, -(r["score"] or 0.0), r["id"])
+        found: list = []
+        self.read, step = [], 1
+        schema = top_k(rows.drop("cell"), query, k, keep).schema
+        while order:
+            part, order = order[:step], order[step:]
+            self.read += part
+            best = top_k(rows.where(F.col("cell").isin(part)).drop("cell"), query, k, keep).collect()
+            known: dict = {}
+            for r in found + best:
+                if r["id"] not in known or place(r) < place(known[r["id"]]):
+                    known[r["id"]] = r
+            found = sorted(known.values(), key=place)[:k]
+            if len(found) == k and found[-1]["score"] is not None:
+                # a distance of unit vectors from their cosine
+                last = np.sqrt(max(0.0, 2 - 2 * found[-1]["score"])) + self.SLACK
+                order = [c for c in order if bounds[c] <= last]
+            step *= 2
+        return self.spark.createDataFrame(found, schema)

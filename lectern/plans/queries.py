@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import alignment, evaluation, library, repair, search, store
-from ..operators.tables import stored
+from ..operators.tables import fresh, stored
 from ..sources import parse
 from ..streaming import resume
 from . import enrich
@@ -603,6 +603,17 @@ def top01_cosine_topk(spark, sf):
     return search.top_k(index, QUERY_VECTOR, 10).select("id", F.round("score", 5).alias("score"))
 
 
+@query(
+    f"SELECT vec_id AS id, label, round({COSINE}, 5) AS score FROM embeddings, (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM "
+    f"embeddings WHERE vec_id = 7) WHERE label <> 3 ORDER BY {COSINE} DESC, vec_id LIMIT 20"
+)
+def top02_cells(spark, sf):
+    index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", X.unit_vector("embedding").alias("unit"))
+    query = table(spark, sf, "embeddings").where("vec_id = 7").first()["embedding"]
+    cells = search.CellIndex(spark, fresh(spark, "cells")).build(index, 32)
+    return cells.search(query, 20, F.col("label") != 3).select("id", "label", F.round("score", 5).alias("score"))
+
+
 @query(
     f"SELECT vec_id AS id, label, round({COSINE}, 5) AS score FROM embeddings, {_Q} WHERE label % 2 = 0 ORDER BY {COSINE} DESC, vec_id "
     f"LIMIT 10"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from ..functions import text as X
 
 
 def enrich_stream(
@@ -34,37 +36,86 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 m
     )
 
 
-POINTER = "page int, missed int"
+class PagePointer(StatefulProcessor):
+    """STM-05, WIN-06: a document's pages as map state, loaded once, and its pointer as value state: the last page and the misses since.
 
+    A row takes no page with it: of the pages, only those in the pointer's window are looked up. Where `idle` is set, a timer of so
+    many milliseconds without segments ends a document and frees its state.
+    """
 
-def align_stream(segments: DataFrame, pages: DataFrame, key_len: int = 20, least: int = 10, window: int = 6, widest: int = 80) -> DataFrame:
-    """STM-05, PAG-01: page alignment of segments that arrive as a stream, in order within a document: (doc_id, pos, page, confident).
+    def __init__(self, least: int, window: int, widest: int, idle: int | None):
+        self.least, self.window, self.widest, self.idle = least, window, widest, idle
 
-    pages (doc_id, page, text) is static. The state of a document is its pointer: the last page and the misses since.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pages = handle.getMapState("pages", "page int", "plain string")
+        self.pointer = handle.getValueState("pointer", "page int, missed int")
 
-    from ..functions import text as X
-    from ..operators.alignment import page_hits
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for page, plain in zip(initialState["page"], initialState["plain"], strict=True):
+            self.pages.updateValue((int(page),), (plain,))
 
-    plain = X.alnum(F.coalesce("text", F.lit("")))
-    sheets = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", plain.alias("plain")))).alias("pages"))
-    keyed = segments.select("doc_id", "pos", F.left(plain, F.lit(key_len)).alias("key")).join(sheets, "doc_id")
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
 
-    def run(key, frames, state):
-        page, missed = state.get if state.exists else (0, 0)
-        rows = pd.concat(frames).sort_values("pos")
         out = []
-        held = [x["plain"] for x in rows["pages"].iloc[0]]
-        keys = [k if len(k) >= least else "" for k in rows["key"]]
-        for pos, own, places in zip(rows["pos"], keys, page_hits(keys, held), strict=True):
-            ahead = [p for p in places if page <= p < page + min(window + 6 * missed, widest)][:1]
-            page = ahead[0] if ahead else page
-            missed = 0 if ahead else missed + bool(own)
-            out.append((key[0], pos, page, bool(ahead)))
-        state.update((page, missed))
+        if self.pages.exists():
+            page, missed = self.pointer.get() if self.pointer.exists() else (0, 0)
+            seen: dict[int, str | None] = {}
+            given = pd.concat(list(rows)).sort_values("pos")
+            for pos, own in zip(given["pos"], given["key"], strict=True):
+                ahead = None
+                if len(own) >= self.least:
+                    for p in range(page, page + min(self.window + 6 * missed, self.widest)):
+                        if p not in seen:
+                            seen[p] = self.pages.getValue((p,))[0] if self.pages.containsKey((p,)) else None
+                        if seen[p] is None:  # beyond the last page
+                            break
+                        if own in seen[p]:
+                            ahead = p
+                            break
+                page = page if ahead is None else ahead
+                missed = 0 if ahead is not None else missed + (len(own) >= self.least)
+                out.append((key[0], int(pos), page, ahead is not None))
+            self.pointer.update((page, missed))
+        if self.idle:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(out, columns=["doc_id", "pos", "page", "confident"])
 
-    schema = "doc_id long, pos int, page int, confident boolean"
-    return keyed.groupBy("doc_id").applyInPandasWithState(run, schema, POINTER, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        self.pages.clear()
+        self.pointer.clear()
+        yield pd.DataFrame([], columns=["doc_id", "pos", "page", "confident"])
+
+    def close(self) -> None:
+        pass
+
+
+def align_stream(
+    segments: DataFrame, pages: DataFrame, key_len: int = 20, least: int = 10, window: int = 6, widest: int = 80, idle: int | None = None
+) -> DataFrame:
+    """STM-05, PAG-01: page alignment of segments that arrive as a stream, in order within a document: (doc_id, pos, page, confident).
+
+    pages (doc_id, page, text) is static and read when the query first starts; afterwards it lies in the state. Needs the
+    RocksDB state store (`stateful`). Documents without pages have no rows, as in `align_pages`.
+    """
+    plain = X.alnum(F.coalesce("text", F.lit("")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1
+    sheets = pages.select("doc_id", place.cast("int").alias("page"), plain.alias("plain"))
+    keyed = segments.select("doc_id", "pos", F.left(plain, F.lit(key_len)).alias("key"))
+    return keyed.groupBy("doc_id").transformWithStateInPandas(
+        PagePointer(least, window, widest, idle),
+        "doc_id long, pos int, page int, confident boolean",
+        "Append",
+        "ProcessingTime" if idle else "None",
+        sheets.groupBy("doc_id"),
+    )
+
+
+def stateful(spark: SparkSession) -> None:
+    """The state store that processors with several states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

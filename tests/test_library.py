@@ -466,26 +466,76 @@ def test_optional_tokenizer(spark):
     ] == [["A", "b.", "C", "d."], []]
 
 
-def test_page_pointer_as_a_stream(spark, tmp_path):
-    from lectern.operators import alignment
+@pytest.fixture
+def rocks(spark):
     from lectern.streaming import resume
 
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    resume.stateful(spark)
+    yield resume
+    spark.conf.set(key, before)
+
+
+def test_page_pointer_as_a_stream(spark, tmp_path, rocks):
+    """Several starts on one checkpoint give what the batch gives; pages travel with the state, not with the rows."""
+    from lectern.operators import alignment
+
     r = random.Random(3)
-    pages = [" ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(20)) for _ in range(9)]
-    segs = [(1, i, pages[min(8, i // 2)][(i % 2) * 30 :][:40] if i % 5 else "elsewhere altogether") for i in range(16)]
-    right = spark.createDataFrame([(1, i, p) for i, p in enumerate(pages)], "doc_id long, page int, text string")
+    pages = {d: [" ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(20)) for _ in range(9)] for d in (1, 2)}
+    segs = [(d, i, pages[d][min(8, i // 2)][(i % 2) * 30 :][:40] if i % 5 else "elsewhere altogether") for d in (1, 2) for i in range(16)]
+    segs += [(1, 16, None), (1, 17, "ab"), (3, 0, "a document without pages")]
+    right = spark.createDataFrame([(d, 10 * i, p) for d in pages for i, p in enumerate(pages[d])] + [(4, 1, "never asked for")], "doc_id long, page int, text string")
     schema = "doc_id long, pos int, text string"
     want = sorted(tuple(x) for x in alignment.align_pages(spark.createDataFrame(segs, schema), right).collect())
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    for half in (segs[:7], segs[7:]):
-        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = resume.align_stream(spark.readStream.schema(schema).parquet(source), right)
+    for part in (lambda x: x[1] < 5, lambda x: 5 <= x[1] < 12, lambda x: x[1] >= 12):
+        spark.createDataFrame([x for x in segs if part(x)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = rocks.align_stream(spark.readStream.schema(schema).parquet(source), right)
         stream.writeStream.format("parquet").option("path", sink).option(
             "checkpointLocation", str(tmp_path / "cp")
         ).trigger(availableNow=True).start().awaitTermination()
     assert sorted(tuple(x) for x in spark.read.parquet(sink).select("doc_id", "pos", "page", "confident").collect()) == want
 
 
+def test_an_idle_document_ends():
+    """A timer is put off with each arrival; when it goes off, pages and pointer are forgotten."""
+    import pandas as pd
+
+    from lectern.streaming import resume
+
+    class State(dict):
+        exists = lambda self: bool(self)
+        getValue = dict.get  # noqa: N815
+        containsKey = dict.__contains__  # noqa: N815
+        updateValue = dict.__setitem__  # noqa: N815
+        get = lambda self: self["value"]
+        update = lambda self, v: self.__setitem__("value", v)
+
+    class Handle:
+        timers: list = []
+        getMapState = getValueState = lambda self, *named: State()  # noqa: E731, N815
+        listTimers = lambda self: iter(list(self.timers))  # noqa: E731, N815
+        deleteTimer = lambda self, t: self.timers.remove(t)  # noqa: E731, N815
+        registerTimer = lambda self, t: self.timers.append(t)  # noqa: E731, N815
+
+    class Time:
+        now = 100
+        getCurrentProcessingTimeInMs = lambda self: self.now  # noqa: E731, N815
+
+    pointer, time = resume.PagePointer(10, 6, 80, 50), Time()
+    pointer.init(Handle())
+    State.getValue = lambda self, k: dict.__getitem__(self, k)
+    pointer.handleInitialState((1,), pd.DataFrame({"page": [0, 1], "plain": ["alphabetagamma", "deltaepsilonzeta"]}), time)
+    rows = lambda: iter([pd.DataFrame({"pos": [0, 1], "key": ["alphabetag", "deltaepsil"]})])
+    assert next(pointer.handleInputRows((1,), rows(), time)).to_numpy().tolist() == [[1, 0, 0, True], [1, 1, 1, True]]
+    time.now = 120
+    assert len(next(pointer.handleInputRows((1,), rows(), time))) == 2 and pointer.handle.timers == [170]
+    next(pointer.handleExpiredTimer((1,), time, None))
+    assert not pointer.pages and not pointer.pointer
+    assert next(pointer.handleInputRows((1,), rows(), time)).empty
+
+
 def test_training_records(spark):
     pairs = spark.createDataFrame([("a", "b", ""), ("c", "d", "grc"), (" ", "x", "la")], "src string, tgt string, src_lang string")
     rows = evaluation.training_records(pairs).collect()
