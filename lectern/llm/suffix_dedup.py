@@ -19,9 +19,7 @@ are not to be expected at any size of corpus.
 
 `StoredIndex` keeps the anchors between runs, in levels that grow by merging, so that later batches meet earlier ones.
 
-Beside the bytes, `n_shared` counts a document's word runs that other documents have too: of each window of SHARED_WORDS
-words the string of SHARED_GRAM words with the least hash is kept, and those that two rows have are counted, each once. Any
-run of SHARED_WORDS words in two documents gives both at least one; nothing is removed for it.
+`shared_runs` is a report of its own on word runs, which the removal of bytes does not use.
 
 An anchor string with more than `hot` different contexts is not dealt to one partition; its windows become rows instead,
 counted with map-side combining and joined back, which gives the same matches.
@@ -178,8 +176,14 @@ def _suffixes(text: bytes, number: int, place: int, gram: int, length: int) -> t
     return first, mix((sums[w + length] - sums[w]) * _DOWN2[w])
 
 
-def shared_runs(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shared) of the rows that share word runs; only hashes are shuffled."""
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shared): how many word runs of a text other documents have too, for the texts that have any.
+
+    Of each window of SHARED_WORDS words the string of SHARED_GRAM words with the least hash is kept, and those that two rows
+    have are counted, each once. So any run of SHARED_WORDS words in two documents gives both at least one. Only hashes are
+    shuffled.
+    """
+    keyed = doc_text(docs).withColumn("text_hash", F.xxhash64("text", F.length("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashed = WordHash()
@@ -405,21 +409,17 @@ class StoredIndex:
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = 5_000, per_partition: int = 12_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared): spans are the removed runs as start:end."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are the removed runs as start:end."""
     keyed = doc_text(docs).withColumn("text_hash", F.xxhash64("text", F.length("text")))
     anchored = materialize(anchor_rows(keyed, length, gram), "anchors").withColumn("new", F.lit(True))
     spans = matches(anchored, keyed, length, hot, per_partition)
-    rows = spans.withColumn("n_shared", F.lit(None).cast("long")).unionByName(shared_runs(keyed), allowMissingColumns=True)
-    merged = rows.groupBy("doc_id", "text_hash").agg(
-        F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.max("n_shared").alias("n_shared")
-    )
+    merged = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     on = [F.equal_null(keyed["doc_id"], merged["doc_id"]), keyed["text_hash"] == merged["text_hash"]]
     joined = keyed.join(merged, on, "left").select(
         keyed["doc_id"],
         F.col("text").cast("binary").alias("bytes"),
         "start",
         "end",
-        F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -444,8 +444,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int
                 out["n_spans"].append(len(cuts))
                 out["kept_sha256"].append(digest.hexdigest())
                 out["spans"].append(",".join(f"{a}:{b}" for a, b in cuts))
-            yield {"doc_id": batch.column("doc_id"), "n_shared": batch.column("n_shared")} | out
+            yield {"doc_id": batch.column("doc_id")} | out
 
-    return map_arrow(
-        joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, n_shared long"
-    )
+    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")

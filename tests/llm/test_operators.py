@@ -85,17 +85,22 @@ def test_suffix_dedup(docs, empty, hot):
         assert (
             got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]
         ) == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept))
-        runs = {" ".join(w[i : i + 51]) for w in [(texts()[k] or "").split()] for i in range(len(w) - 50)}
-        others = {" ".join(w[i : i + 51]) for j, t in enumerate(texts()) if j != k for w in [(t or "").split()] for i in range(len(w) - 50)}
-        parts = {" ".join(w[i : i + 26]) for j, t in enumerate(texts()) if j != k for w in [(t or "").split()] for i in range(len(w) - 25)}
-        own = (texts()[k] or "").split()
-        if runs & others:
-            assert got[k]["n_shared"] > 0
-        if not any(" ".join(own[i : i + 26]) in parts for i in range(len(own) - 25)):
-            assert got[k]["n_shared"] == 0
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_shared_runs(docs, empty):
+    """Every text with a run of 51 words that another has is counted, none without one of 26."""
+    shared = {x["doc_id"]: x["n_shared"] for x in suffix_dedup.shared_runs(docs).collect()}
+    runs = lambda t, n: {" ".join(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1)}
+    for k, text in enumerate(texts()):
+        others = [t for j, t in enumerate(texts()) if j != k]
+        if runs(text, 51) & set().union(*(runs(t, 51) for t in others)):
+            assert shared[k] > 0
+        if not runs(text, 26) & set().union(*(runs(t, 26) for t in others)):
+            assert k not in shared
+    assert suffix_dedup.shared_runs(empty).count() == 0
+
+
 def test_suffix_dedup_of_long_texts_and_odd_ids(spark):
     """Texts beyond one block, null and repeated ids, repeated rows: against a dictionary of all windows."""
     r = random.Random(3)
