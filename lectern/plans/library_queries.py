@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import alignment, evaluation, library, mining, search, store
 from ..operators.tables import fresh, stored
+from ..sources import sink
 from . import enrich, styling
 from .queries import S, W, WS, _list, query, segments, table, works
 
@@ -183,6 +184,23 @@ def snk11_reader(spark, sf):
     return pages.select("doc_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
+# every document's export as a file of its own, written by the sink and read back
+@query(
+    S(
+        f"SELECT doc_id || '.txt' AS name, sha256(string_agg(coalesce({_STYLED}, {_ENGLISH}, '{store.FRAGMENT}'), chr(10) ORDER BY ord)) AS sha256, "
+        f"CAST(strlen(string_agg(coalesce({_STYLED}, {_ENGLISH}, '{store.FRAGMENT}'), chr(10) ORDER BY ord)) AS BIGINT) AS bytes FROM s GROUP BY doc_id"
+    )
+)
+def snk09_export_files(spark, sf):
+    sink.register(spark)
+    _, text = store.export_text()
+    rows = segments(spark, sf).select("doc_id", "ord", text.alias("text"))
+    whole = mining.in_order(rows, ["doc_id"], ["ord"], "text", "content", "\n")
+    path = fresh(spark, "exports").removeprefix("file:")
+    whole.select(F.concat("doc_id", F.lit(".txt")).alias("name"), "content").write.format("files").option("path", path).mode("append").save()
+    return sink.contents(spark, path).select("name", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
+
+
 _GROUPED = "\nUNION ALL ".join(
     f"SELECT {part} AS part, CAST(row_number() OVER (ORDER BY n DESC, key) - 1 AS INT) AS rank, '  ' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n "
     f"AS VARCHAR))) AS INT), ' ') || '  ' || key AS line FROM (SELECT {key} AS key, count(*) AS n FROM w GROUP BY 1)"

@@ -701,6 +701,25 @@ def mt03_translate_pending(spark, sf):
     return enrich.translated(s, lambda c: F.concat(F.lit("T "), c)).select("id", "route", "english_text")
 
 
+# what a run of the translation counts while it is written
+@query(
+    S(
+        f"SELECT count(*) AS rows, CAST(count_if({GARBLED_LINE} >= 10) AS BIGINT) AS placeholders, CAST(sum(CASE WHEN {GARBLED_LINE} >= 10 THEN length('{X.PLACEHOLDER}') "
+        f"ELSE 2 + length(source_text) END) AS BIGINT) AS chars, count(DISTINCT doc_id) > 0 AS done FROM s WHERE length(regexp_replace(coalesce(english_text, ''), '\\s', '', 'g')) = 0"
+    )
+)
+def mth06_observed(spark, sf):
+    rows, counts = resume.observed(
+        mt03_translate_pending(spark, sf),
+        placeholders=F.count_if(F.col("route") == "placeholder"),
+        chars=F.sum(F.length("english_text")).cast("long"),
+        done=F.coalesce(F.bool_and(F.col("english_text").isNotNull()), F.lit(False)),
+    )
+    stored(rows, "translated")
+    found = counts.get
+    return spark.createDataFrame([(found["rows"], found["placeholders"], found["chars"], found["done"])], "rows long, placeholders long, chars long, done boolean")
+
+
 # the other side: the same in small letters, with a word more, with other letters, without every second word
 _OTHER = (
     "CASE ord % 4 WHEN 0 THEN lower(source_text) WHEN 1 THEN concat(source_text, ' plus') WHEN 2 THEN translate(source_text, 'abcdefghijklmnopqrstuvwxyz', "

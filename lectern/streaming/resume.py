@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 from ..functions import text as X
 
@@ -24,6 +24,45 @@ def enrich_stream(
     ).trigger(availableNow=True).start()
 
 
+class Progress(StreamingQueryListener):
+    """MTH-06: rows done, rows a second and the seconds left of a stream of a known number of rows, from the job's own reports."""
+
+    def __init__(self, total: int):
+        self.total, self.done, self.seconds, self.batches = total, 0, 0.0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.numInputRows:
+            self.done += event.progress.numInputRows
+            self.seconds += event.progress.batchDuration / 1000
+            self.batches += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def rate(self) -> float:
+        return self.done / self.seconds if self.seconds else 0.0
+
+    @property
+    def left(self) -> float | None:
+        return (self.total - self.done) / self.rate if self.rate else None
+
+
+def observed(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """MTH-06, STM-01: rows that count themselves as they are written; counts are aggregates, known (`get`) when the write has ended.
+
+    Rows of tasks that are run again count once: what counts is a stage's result.
+    """
+    observation = Observation()
+    return rows.observe(observation, F.count("*").alias("rows"), *[c.alias(name) for name, c in counts.items()]), observation
+
+
 def distinct_sources(stream: DataFrame, time: str = "ts", late: str = "1 hour", key: str = "source") -> DataFrame:
     """STM-04: the first row of each source, with state bounded by the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -536,6 +536,30 @@ def test_an_idle_document_ends():
     assert next(pointer.handleInputRows((1,), rows(), time)).empty
 
 
+def test_progress_of_a_stream_and_of_a_write(spark, tmp_path):
+    import time
+
+    from lectern.streaming import resume
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    listener = resume.Progress(60)
+    assert listener.rate == 0 and listener.left is None
+    spark.streams.addListener(listener)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start().awaitTermination()
+    for _ in range(100):
+        if listener.done == 30:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.done == 30 and listener.batches >= 1 and listener.left == pytest.approx(listener.seconds)
+    rows, counts = resume.observed(spark.range(7), even=F.count_if(F.col("id") % 2 == 0))
+    assert tables.stored(rows, "counted").count() == 7 and counts.get == {"rows": 7, "even": 4}
+
+
 def test_training_records(spark):
     pairs = spark.createDataFrame([("a", "b", ""), ("c", "d", "grc"), (" ", "x", "la")], "src string, tgt string, src_lang string")
     rows = evaluation.training_records(pairs).collect()
