@@ -425,11 +425,22 @@ def str45_model_spec(spark, sf):
     return table(spark, sf, "documents").select("doc_id", evaluation.model_spec(spec, "stock/model").alias("s")).select("doc_id", "s.*")
 
 
-@query("SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS held, 100 AS tail FROM documents")
+# a share of the shuffled rows, the last ones, and two stretches: how many, how many in both of two, and how many distinct
+@query(
+    "SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS held, least(100, count(*)) AS tail, CAST(0 AS BIGINT) AS held_in_tail, "
+    "least(50, count(*)) + least(50, greatest(0, count(*) - 50)) AS stretches, least(100, count(*)) AS apart FROM documents"
+)
 def smp01_splits(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
-    split = evaluation.evaluation_split(d, "doc_id", 0.1).agg(F.count("*").alias("n"), F.count_if("evaluation").alias("held"))
-    return split.join(F.broadcast(evaluation.held_out(d, "doc_id", 100).agg(F.count("*").alias("tail"))))
+    held = evaluation.evaluation_split(d, "doc_id", 0.1).where("evaluation").select("doc_id")
+    tail = evaluation.held_out(d, "doc_id", 100)
+    two = evaluation.held_out(d, "doc_id", 50, 1).unionByName(evaluation.held_out(d, "doc_id", 50, 51))
+    count = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
+    out = d.agg(F.count("*").alias("n"))
+    parts = [(held, "held"), (tail, "tail"), (held.join(tail, "doc_id"), "held_in_tail"), (two, "stretches"), (two.distinct(), "apart")]
+    for df, name in parts:
+        out = out.join(count(df, name))
+    return out
 
 
 @query("SELECT CASE WHEN doc_id % 4 = 0 THEN 'la' ELSE lang END AS src_lang, count(*) AS n FROM documents GROUP BY 1")
@@ -470,9 +481,14 @@ def sty01_styled(spark, sf):
     return styling.styled(segments(spark, sf), factory, "victorian_prose", size=3)
 
 
-@query(S(f"SELECT doc_id, count(*) AS n, CAST(0 AS INT) AS shard FROM s WHERE {_PENDING} GROUP BY 1"))
+@query(
+    S(
+        f"SELECT doc_id, n, CAST((row_number() OVER (ORDER BY n DESC, doc_id) - 1) % 3 AS INT) AS shard FROM (SELECT doc_id, count(*) AS n FROM s WHERE "
+        f"{_PENDING} GROUP BY 1)"
+    )
+)
 def sty02_plan(spark, sf):
-    return styling.style_plan(segments(spark, sf), 1)
+    return styling.style_plan(segments(spark, sf), 3)
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 't5' ELSE 'llm' END AS backend FROM documents")

@@ -808,22 +808,44 @@ def str42_page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.page_title("html").alias("title"))
 
 
+# four kinds of trees: nested divs, a wrapper with a typed one, numbered divs of which one has no number, and a body without any
+_HEADS = [
+    "<title>T</title><author>A</author>",
+    "<title> </title><title type='sub'>Second</title><persName>P</persName><author/>",
+    "<title>T</title><respStmt><resp>by</resp><name>N</name></respStmt>",
+    "<title>T</title>",
+]
+_TREES = [
+    ("<div type='book' n='1'><div type='chapter' n='1'>", "</div></div>"),
+    ("<div type='edition' n='urn:x'><div type='textpart' subtype='poem' n='5'>", "</div></div>"),
+    ("<div1 type='textpart' n='2'><div2 type='Letter'>", "</div2></div1>"),
+    ("", ""),
+]
+
+
 @query(
-    r"SELECT doc_id, 'T' AS title, 'Book 1 Chapter 1' AS label, trim(regexp_replace(text || ' tail', '\s+', ' ', 'g')) AS text FROM "
-    r"documents"
+    r"SELECT doc_id, (['T', 'Second', 'T', 'T'])[doc_id % 4 + 1] AS title, (['A', 'P', 'N', NULL])[doc_id % 4 + 1] AS author, (['Book 1, Chapter 1', "
+    r"'Poem 5', 'Section 2, Letter', 'Text'])[doc_id % 4 + 1] AS label, trim(regexp_replace(text || ' tail', '\s+', ' ', 'g')) AS text FROM documents"
 )
 def src02_tei(spark, sf):
+    of = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), (F.col("doc_id") % 4).cast("int"))
     d = table(spark, sf, "documents").select(
         "doc_id",
         F.concat(
-            F.lit("<TEI><teiHeader><title>T</title></teiHeader><text><body><div type='book' n='1'><div type='chapter' n='1'><p>"),
+            F.lit("<TEI><teiHeader>"),
+            of(_HEADS),
+            F.lit("</teiHeader><text><body>"),
+            of([t[0] for t in _TREES]),
+            F.lit("<p>"),
             X.escape_html("text"),
-            F.lit("<note>n</note> tail</p></div></div></body></text></TEI>"),
+            F.lit("<note>n</note> tail</p>"),
+            of([t[1] for t in _TREES]),
+            F.lit("</body></text></TEI>"),
         ).alias("xml"),
     )
     return d.withColumn("x", parse.parsed_tei("xml")).select(
-        "doc_id", F.col("x.title").alias("title"), F.explode("x.parts").alias("p")
-    ).select("doc_id", "title", "p.label", "p.text")
+        "doc_id", F.col("x.title").alias("title"), F.col("x.author").alias("author"), F.explode("x.parts").alias("p")
+    ).select("doc_id", "title", "author", "p.label", "p.text")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -147,12 +147,27 @@ def _flat(e: ElementTree.Element, drops: frozenset, compat: bool) -> str:
 
 
 def _label(e: ElementTree.Element) -> str:
-    """XML-03."""
-    kind = e.get("subtype") or e.get("type") or ""
-    if kind in ("edition", "translation"):
+    """XML-03: nothing for a wrapper, else the kind with its number, either alone where the other is missing."""
+    sort = (e.get("type") or "").strip().lower()
+    if sort in ("edition", "translation"):
         return ""
-    kind = "Section" if kind in ("textpart", "") else kind.capitalize()
-    return f"{kind} {e.get('n')}" if e.get("n") else ""
+    kind = (e.get("subtype") or ("" if sort == "textpart" else sort)).strip().capitalize()
+    number = (e.get("n") or "").strip()
+    return f"{kind or 'Section'} {number}" if number else kind
+
+
+def _named(root: ElementTree.Element) -> tuple[str | None, str | None]:
+    """XML-05: title and author of the header, or of the whole where there is none: the first with own text.
+
+    Without an author it is the first person named, else who is named in a statement of responsibility.
+    """
+    header = next((e for e in root.iter() if _local(e.tag) == "teiHeader"), root)
+    first = lambda scope, *names: next(
+        (e.text.strip() for e in scope.iter() if _local(e.tag) in names and e.text and e.text.strip()), None
+    )
+    stated = (first(e, "persName", "name") for e in header.iter() if _local(e.tag) == "respStmt")
+    author = first(header, "author") or first(header, "persName") or next(filter(None, stated), None)
+    return first(header, "title"), author
 
 
 def tei_parts(
@@ -163,21 +178,20 @@ def tei_parts(
         root = ElementTree.fromstring(xml or "")
     except ElementTree.ParseError:
         return None, None, []
-    named = {name: next((_flat(e, frozenset(), False) for e in root.iter() if _local(e.tag) == name), None) for name in ("title", "author")}
+    title, author = _named(root)
     body = next((e for e in root.iter() if _local(e.tag) == "body"), root)
+    inner = lambda e: [c for c in e if re.fullmatch(r"div\d*", _local(c.tag))]
     parts: list[tuple[str, str]] = []
-
-    def walk(e: ElementTree.Element, trail: tuple[str, ...]) -> None:
-        inner = [c for c in e if re.fullmatch(r"div\d*", _local(c.tag))]
-        for c in inner:
-            walk(c, (*trail, _label(c)))
-        if not inner and e is not body and (text := _flat(e, drops, compat)):
-            parts.append((" ".join(filter(None, trail)) or "Text", text))
-
-    walk(body, ())
+    left: list[tuple[ElementTree.Element, tuple[str, ...]]] = [(c, ()) for c in reversed(inner(body))]
+    while left:
+        e, above = left.pop()
+        trail = (*above, _label(e))
+        left += [(c, trail) for c in reversed(inner(e))]
+        if not inner(e) and (text := _flat(e, drops, compat)):
+            parts.append((", ".join(filter(None, trail)) or "Text", text))
     if not parts and (text := _flat(body, drops, compat)):
         parts = [("Text", text)]
-    return named["title"], named["author"], parts
+    return title, author, parts
 
 
 @F.pandas_udf(TEI)
