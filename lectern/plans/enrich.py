@@ -87,6 +87,25 @@ def first_confident(*statuses: Column) -> Column:
     return F.coalesce(*[F.when(s != "unknown", s) for s in statuses], F.lit("unknown"))
 
 
+def status_chain(wanted: DataFrame, lookups: list[tuple[str, DataFrame, str]], **options) -> DataFrame:
+    """ENR-03, ENR-04: (id, status, lookup, ord) of wanted (id, key, author_key): the first lookup with a confident match decides.
+
+    lookups: (name, catalogue (ord, title_key, context_key), status) in order. Each is asked only for what those before did not
+    know; what none knows is unknown, with no lookup.
+    """
+    from ..operators.alignment import best_matches
+    from ..operators.tables import stored
+
+    left, found = wanted.select("id", "key", "author_key"), None
+    for name, catalogue, status in lookups:
+        matched = stored(best_matches(left, catalogue, **options).where("confident").select("id", "ord"), "matched")
+        known = matched.select("id", F.lit(status).alias("status"), F.lit(name).alias("lookup"), "ord")
+        found = known if found is None else found.unionByName(known)
+        left = left.join(matched.select("id"), "id", "left_anti")
+    rest = left.select("id", F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("lookup"), F.lit(None).cast("long").alias("ord"))
+    return rest if found is None else found.unionByName(rest)
+
+
 def status_changes(documents: DataFrame, found: DataFrame, only_unknown: bool = True) -> DataFrame:
     """ENR-05: (id, old, new) where the found status (id, status) differs."""
     joined = documents.select("id", F.col("translation_status").alias("old")).join(found.select("id", F.col("status").alias("new")), "id")
