@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import verse
 from ..operators import alignment, evaluation, library, mining, search, store
 from ..operators.tables import fresh, stored
 from ..sources import sink
@@ -498,6 +499,26 @@ def sty03_backend(spark, sf):
     return table(spark, sf, "documents").select("doc_id", styling.backend(wanted, complete).alias("backend"))
 
 
+# a line for each document, whose first four feet follow the digits of a number, with an elision in every third and a foot too many in every seventh
+_FOOT = lambda i, dactyl, spondee: f"CASE WHEN (n_chars + doc_id) // {2**i} % 2 = 1 THEN '{dactyl}' ELSE '{spondee}' END"
+_LINE = (
+    "concat(CASE WHEN doc_id % 3 = 0 THEN 'Ta ' ELSE '' END, " + ", ".join(_FOOT(i, f"{'ā' if i == 0 else 'tā'} tă tă ", f"{'ā' if i == 0 else 'tā'} tā ") for i in range(4))
+    + ", 'tā tă tă tā ta', CASE WHEN doc_id % 7 = 3 THEN ' tă tă' ELSE '.' END)"
+)
+
+
+@query(
+    "SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 3 THEN " + " || '|' || ".join(_FOOT(i, "-uu", "--") for i in range(4)) + " || '|-uu|-x' END AS scansion, "
+    "CASE WHEN doc_id % 7 = 3 THEN 'no valid scan found' END AS note FROM documents"
+)
+def scn01_scansion(spark, sf):
+    d = F.col("doc_id")
+    lines = table(spark, sf, "documents").select(
+        d.alias("id"), d.alias("section_id"), F.lit(0).alias("ord"), F.expr(_LINE.replace("//", "div")).alias("source_text"), F.lit("la").alias("language")
+    )
+    return styling.scanned(lines, lambda: verse.scan).select("id", "scansion", "note")
+
+
 @query(WS("""SELECT s.id, CASE WHEN (row_number() OVER (PARTITION BY section_id ORDER BY ord)) % 2 = 1 THEN 'hexameter' ELSE 'pentameter' END AS meter, CASE WHEN w.language = 'la' AND regexp_replace(source_text, '\\s', '', 'g') <> '' AND length(source_text) % 2 = 0 THEN 'm' || length(regexp_replace(source_text, '^\\s+|\\s+$', '', 'g')) END AS scansion,
 CASE WHEN regexp_replace(source_text, '\\s', '', 'g') = '' THEN 'empty line' WHEN w.language = 'grc' THEN 'Greek scansion not supported yet' WHEN length(source_text) % 2 = 1 THEN 'no valid scan found' END AS note FROM s JOIN w ON w.id = s.doc_id"""))
 def scn01_scan(spark, sf):
