@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .tables import fresh
 
 TOKENS = re.compile(r"\s+|[A-Za-z]+|[^A-Za-z\s]+").findall
 FOLDED = str.maketrans("vVUjJI", "uuuiii")
@@ -274,7 +275,7 @@ def fit_classifier(examples: DataFrame, column: str = "window", c: float = 4.0):
 
     The penalty of one unit over c against the summed loss is 1 / (c * n) against the mean loss of weights that sum to n.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
@@ -286,7 +287,9 @@ def fit_classifier(examples: DataFrame, column: str = "window", c: float = 4.0):
         CountVectorizer(inputCol="grams", outputCol="features", minDF=2.0, vocabSize=1 << 22),
         LogisticRegression(weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=100, standardization=False),
     ]
-    return Pipeline(stages=stages).fit(rows.withColumn("grams", _grams(column)))
+    path = fresh(examples.sparkSession, "classifier")
+    Pipeline(stages=stages).fit(rows.withColumn("grams", _grams(column))).write().save(path)
+    return PipelineModel.load(path)  # without its training summary, whose session can't go to tasks once it observes a job
 
 
 def classified(model, examples: DataFrame, column: str = "window") -> DataFrame:

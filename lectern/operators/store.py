@@ -408,7 +408,11 @@ class Library:
 
         Rows that a run before has left without their document are not written twice.
         """
-        new = library.not_present(works.where("source is not null").dropDuplicates(["source"]), self.table("documents"), "source")
+        new = works.where("source is not null")
+        if not new.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # else whole texts need not be shuffled
+            new = new.dropDuplicates(["source"])
+        if self._exists("documents"):
+            new = library.not_present(new, self.table("documents"), "source")
         tables = dict(zip(self.TABLES, documents_of(new), strict=True))
         for name in ("segments", "sections", "documents"):  # a run that dies leaves no document without its text
             rows = tables[name].select(self.TABLES[name].fieldNames())

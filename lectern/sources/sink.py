@@ -3,7 +3,8 @@
 Rows are (name, content): reports and readers as text, PDFs and other renderings as bytes. Tasks write their files into a folder of
 the write's own, and beside them a list of what they wrote. The driver's commit names the lists of the tasks that count in
 one small file, which is moved into place as the last step; before that nothing is published. If a task fails for good, abort
-removes the folder. A later write to the same path takes the place of the one before, once it is committed.
+removes the folder; what tasks still write that were running then is never shown. A later write to the same path takes the place of
+the one before, once it is committed, and `sweep` deletes the folders that are not shown.
 
     sink.register(spark)
     pages.select("name", "content").write.format("files").option("path", path).mode("append").save()
@@ -100,6 +101,16 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LISTED).json(lists) if lists else spark.createDataFrame([], LISTED)
 
 
+def sweep(path: str) -> None:
+    """Deletes what the current publication does not show; for times when no write is under way."""
+    files, root = _place(path.rstrip("/"))
+    with files.open_input_stream(f"{root}/{CURRENT}") as f:
+        shown = {name.rsplit("/", 3)[1] for name in json.loads(f.read())["lists"]}
+    for info in files.get_file_info(fs.FileSelector(root)):
+        if info.type == fs.FileType.Directory and info.base_name not in shown:
+            files.delete_dir(info.path)
+
+
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of the published files, read where they lie."""
 

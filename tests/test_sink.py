@@ -1,6 +1,7 @@
 """Files of a write are published together or not at all."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ def test_a_write_is_published_whole(spark, tmp_path):
     )
     with pytest.raises(Exception, match="broken"):
         write(broken, path)
-    assert {f.name for f in (tmp_path / "out").iterdir()} == folders and sink.published(spark, path).count() == 40
+    assert sink.published(spark, path).count() == 40 and sink.contents(spark, path).count() == 40
+    time.sleep(1)  # tasks that were still running
+    sink.sweep(path)
+    assert {f.name for f in (tmp_path / "out").iterdir()} == folders and sink.contents(spark, path).count() == 40
     write(spark.createDataFrame([("new", "n")], "name string, content string"), path)
     assert [x["name"] for x in sink.published(spark, path).collect()] == ["new"]
     write(spark.createDataFrame([], "name string, content string"), path)
