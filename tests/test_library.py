@@ -372,6 +372,16 @@ def test_tree_cycles_and_budget(spark):
     assert library.tree_leaves(edges, "nowhere", 5).count() == 0
 
 
+def test_tree_leaves_dives_below_more_nodes_than_the_budget(spark):
+    # 1,100 folders in 7 levels: opened level by level, the budget of 60 would end before any text
+    n = spark.range(1, 3280).withColumn("up", F.floor((F.col("id") - 1) / 3))
+    edges = n.select(F.col("up").cast("string").alias("parent"), F.col("id").cast("string").alias("child"), F.col("id").alias("ord"), (F.col("id") >= 1093).alias("is_text"))
+    assert [r["child"] for r in library.tree_leaves(edges, "0", 4).collect()] == ["1093", "1094", "1095", "1096"]
+    # the budget counts in depth-first order: six folders on the way down and the first one that has texts
+    assert [r["child"] for r in library.tree_leaves(edges, "0", 4, budget=7).collect()] == ["1093", "1094", "1095"]
+    assert library.tree_leaves(edges, "0", 4, budget=6).count() == 0
+
+
 def test_tables_need_a_shared_folder_on_a_cluster(spark):
     class Conf:
         def get(self, *a):
