@@ -53,6 +53,14 @@ def test_text(spark, value, expression, expected):
     assert one(spark, value, expression) == expected
 
 
+@pytest.mark.parametrize("value, expected", [
+    ("In L. A. Catilinam", "In A. Catilinam"), ("De C.D.E. f", "De D.f"), ("De épars II", "De é"), ("De rec. B", "De rec. B"), ("De lib.II", "De"),
+])
+def test_search_titles_as_the_twin_reads_them(spark, value, expected):
+    assert one(spark, value, lambda c: X.search_title(c, ascii_words=True)) == expected
+    assert one(spark, "In L. A. Catilinam, épars", X.search_title) == "In Catilinam, épars"
+
+
 def test_century_labels(spark):
     df = spark.createDataFrame([(-1,), (9,), (0,), (None,)], "c int").select(X.century_label("c").alias("r"))
     assert [r["r"] for r in df.collect()] == ["1c BCE", "9c CE", None, None]
