@@ -61,6 +61,13 @@ def test_search_titles_as_the_twin_reads_them(spark, value, expected):
     assert one(spark, "In L. A. Catilinam, épars", X.search_title) == "In Catilinam, épars"
 
 
+@pytest.mark.parametrize("value, expected", [
+    ('"go. token = "9f"', '"go. token = "9f"'), (' "a "b" c" ', 'a "b" c'), ("'don't'", "don't"), ('"', '"'), ('""', ""),
+])
+def test_quotes_that_end_a_quotation_inside_stay(spark, value, expected):
+    assert one(spark, value, X.unquote) == expected
+
+
 def test_century_labels(spark):
     df = spark.createDataFrame([(-1,), (9,), (0,), (None,)], "c int").select(X.century_label("c").alias("r"))
     assert [r["r"] for r in df.collect()] == ["1c BCE", "9c CE", None, None]
