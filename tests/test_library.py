@@ -372,6 +372,18 @@ def test_tree_cycles_and_budget(spark):
     assert library.tree_leaves(edges, "nowhere", 5).count() == 0
 
 
+def test_languages_have_their_names(spark):
+    doc = spark.createDataFrame(
+        [(7, "T", "A", -1, "", "la", None, "s", True)],
+        "id long, title string, author string, century int, genre string, language string, language_stage string, source string, "
+        "has_existing_translation boolean",
+    )
+    assert doc.select(store.listing_line().alias("l")).first()["l"].endswith(" T  (Latin, unknown)")
+    sections = spark.createDataFrame([(9, 7, 0)], "id long, doc_id long, ord int")
+    columns = "section_id long, ord int, source_text string, english_text string, english_styled string, scansion string"
+    assert "<th>Latin</th>" in store.reader_pages(doc, sections, spark.createDataFrame([], columns)).first()["html"]
+
+
 def test_tree_leaves_dives_below_more_nodes_than_the_budget(spark):
     # 1,100 folders in 7 levels: opened level by level, the budget of 60 would end before any text
     n = spark.range(1, 3280).withColumn("up", F.floor((F.col("id") - 1) / 3))
