@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .tables import fresh
+from .tables import fresh, stored
 
 TOKENS = re.compile(r"\s+|[A-Za-z]+|[^A-Za-z\s]+").findall
 FOLDED = str.maketrans("vVUjJI", "uuuiii")
@@ -93,40 +93,92 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 Tier = Callable[[str, set, dict], tuple[str, list, list, list]]
+Lookup = Callable[[DataFrame], DataFrame]
 RESULT = "doc_id long, text string, n_changes int, n_suggestions int, n_unresolved int, changes array<string>"
 
 
-def _each_text(texts: DataFrame, known: DataFrame, entries: DataFrame, tier: Tier) -> DataFrame:
-    """RESULT of tier(text, known words, entries by word); entries (word, entry) meet only the texts that hold their word."""
-    keyed = texts.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("key"))
+class Known:
+    """The words of a text but for its unknown ones, which alone travel with it."""
+
+    def __init__(self, unknown):
+        self.unknown = {folded(w) for w in unknown}
+
+    def __contains__(self, w: str) -> bool:
+        return w not in self.unknown
+
+
+def _merged(rows: DataFrame, fix: str) -> DataFrame:
+    """(key, word): the merges of 2 and 3 pieces that start at an unknown word of a text without a fix of its own."""
+
+    def run(batches):
+        for batch in batches:
+            out = set()
+            for key, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                starts, tokens = {x["word"] for x in listed if not (x["entry"] or {}).get(fix)}, TOKENS(text)
+                for i, t in enumerate(tokens):
+                    if t in starts:
+                        out.update((key, whole) for _, _, whole in _merges(tokens, i))
+            kinds = [pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["key", "word"])
+
+    some = F.exists("listed", lambda x: x["entry"][fix].isNull())
+    return rows.where(some).select("key", "text", "listed").mapInArrow(run, "key long, word string")
+
+
+def _each_text(texts: DataFrame, known: DataFrame, lookup: Lookup, tier: Tier, fix: str | None) -> DataFrame:
+    """RESULT of tier(text, known words, entries by word).
+
+    lookup gives entries (word, entry) for distinct words. With fix it is asked for the unknown words that may be put right, then for the merges
+    that start at unknown words whose entry has no such field; without, for all words that may be put right and no merges. A text meets
+    only its own unknown words and entries.
+    """
+    keyed = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text", F.length("text")))
     each = keyed.select("key", "text").dropDuplicates(["key"])
-    own = each.select("key", F.explode(F.array_distinct(F.transform(X.letter_words("text"), X.fold))).alias("word"))
-    own = own.join(known.select("word").distinct(), "word", "left_semi").groupBy("key").agg(F.collect_list("word").alias("known"))
-    found = each.select("key", F.explode(F.array_distinct(pieces())).alias("word")).where(CANDIDATE).join(entries, "word")
-    found = found.groupBy("key").agg(F.collect_list(F.struct("word", "entry")).alias("entries"))
-    rows = keyed.join(own, "key", "left").join(found, "key", "left").select("doc_id", "text", "known", "entries")
+    own = each.select("key", F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("word")).where("word <> ''")
+    if fix:
+        distinct = own.select("word").distinct().withColumn("folded", X.fold("word"))
+        words = stored(distinct.join(known.select(F.col("word").alias("folded")).distinct(), "folded", "left_anti").select("word"), "unknown")
+        own_entries = stored(words.join(lookup(words.where(CANDIDATE)), "word", "left"), "entries")
+    else:
+        own_entries = stored(lookup(own.select("word").where(CANDIDATE).distinct()), "entries")
+    listed = own.join(own_entries, "word").groupBy("key").agg(F.collect_list(F.struct("word", "entry")).alias("listed"))
+    rows = each.join(listed, "key", "left")
+    if fix:
+        rows = stored(rows, "rows")
+        merges = stored(_merged(rows, fix), "merges")
+        found = lookup(merges.select("word").distinct()).where("entry is not null")
+        found = merges.join(found, "word").groupBy("key").agg(F.collect_list(F.struct("word", "entry")).alias("merged"))
+        rows = rows.join(found, "key", "left")
+    else:
+        rows = rows.withColumn("merged", F.col("listed"))
+    rows = keyed.select("doc_id", "key").join(rows, "key").select("doc_id", "text", "listed", "merged")
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
     names = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, words, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t, *lists = tier(text or "", set(words or ()), {x["word"]: x["entry"] for x in listed or ()})
+            for doc_id, text, *found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                singles, merged = (x or () for x in found)
+                entries = {x["word"]: x["entry"] for x in (*merged, *singles) if x["entry"]}
+                t, *lists = tier(text, Known(x["word"] for x in singles), entries)
                 rows.append((doc_id, t, *map(len, lists), [f"{a}\t{b}" for a, b in lists[0]]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
     return rows.mapInArrow(run, RESULT)
 
 
-def corrected(texts: DataFrame, known: DataFrame, fixes: DataFrame) -> DataFrame:
-    """STR-16 for texts (doc_id, text) with fixes (word, exact, stem). Null texts count as empty."""
+def corrected(texts: DataFrame, known: DataFrame, fixes: DataFrame | Lookup) -> DataFrame:
+    """STR-16 for texts (doc_id, text) with fixes (word, exact, stem), or what gives them for words. Null texts count as empty."""
 
     def tier(text: str, own: set, entries: dict):
         return correct(text, Dictionary(own, {w: (e["exact"], e["stem"]) for w, e in entries.items()}))
 
-    useful = fixes.where("exact is not null or stem is not null").select("word", F.struct("exact", "stem").alias("entry"))
-    return _each_text(texts, known, useful, tier)
+    def lookup(words: DataFrame) -> DataFrame:
+        found = fixes(words) if callable(fixes) else words.join(fixes, "word")
+        return found.where("exact is not null or stem is not null").select("word", F.struct("exact", "stem").alias("entry"))
+
+    return _each_text(texts, known, lookup, tier, "exact")
 
 
 def change_log(result: DataFrame) -> DataFrame:
@@ -147,11 +199,7 @@ def corroborated(cases: DataFrame, vocab: DataFrame, stem_table: DataFrame) -> D
     exact = distinct.join(
         vocab.select(F.col("word").alias("key")).distinct(), "key", "left_semi"
     ).select("candidate", F.lit(True).alias("exact"))
-    cut = F.transform(
-        F.filter(F.array(*map(F.lit, X.ENDINGS)), lambda e: F.endswith(F.col("key"), e) & (F.length("key") - F.length(e) >= 4)),
-        lambda e: F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(e)),
-    )
-    stems = distinct.where("length(candidate) >= 6").select("candidate", F.explode(cut).alias("stem"))
+    stems = distinct.where("length(candidate) >= 6").select("candidate", F.explode(X.stem_cuts("key")).alias("stem"))
     stems = stems.join(stem_table, "stem", "left_semi").select("candidate", F.lit(True).alias("stem")).distinct()
     joined = cases.join(exact, "candidate", "left").join(stems, "candidate", "left")
     return joined.withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("stem", F.coalesce("stem", F.lit(False)))
@@ -231,10 +279,14 @@ def ct_pass(text: str, known: set, entries: dict) -> tuple[str, list, list, list
     return "".join(out), changes, [], []
 
 
-def apply_tier(texts: DataFrame, vocab: DataFrame, decided: DataFrame, tier: str) -> DataFrame:
-    """RESULT of the "model" or "ct" tier for texts (doc_id, text)."""
-    entries = decided.select("word", F.struct("single", "merged", "ct").alias("entry"))
-    return _each_text(texts, vocab, entries, {"model": model_pass, "ct": ct_pass}[tier])
+def apply_tier(texts: DataFrame, vocab: DataFrame, decided: DataFrame | Lookup, tier: str) -> DataFrame:
+    """RESULT of the "model" or "ct" tier for texts (doc_id, text); decided: the decisions, or what gives them for words."""
+
+    def lookup(words: DataFrame) -> DataFrame:
+        found = decided(words) if callable(decided) else words.join(decided, "word")
+        return found.select("word", F.struct("single", "merged", "ct").alias("entry"))
+
+    return _each_text(texts, vocab, lookup, *{"model": (model_pass, "single"), "ct": (ct_pass, None)}[tier])
 
 
 def training_examples(vocab: DataFrame) -> DataFrame:

@@ -53,35 +53,39 @@ def spoilt(spark, sf):
     )
 
 
-def _decided(spark, sf, docs):
+def _decided(spark, sf):
+    """The vocabulary, and what decides on words."""
     v = vocabulary(spark, sf)
-    words = stored(repair.candidates(docs), "candidates")
-    p = stored(repair.probabilities(_model(spark, sf)[0], words), "probabilities")
-    return v, stored(repair.decisions(words, p, v, library.stems(v)), "decisions")
+    known_stems, model = stored(library.stems(v), "stems"), _model(spark, sf)[0]
+
+    def of(words):
+        words = stored(words, "words")
+        return repair.decisions(words, stored(repair.probabilities(model, words), "probabilities"), v, known_stems)
+
+    return v, of
 
 
 @query()
 def str18_model_tier(spark, sf):
-    docs = spoilt(spark, sf)
-    v, decided = _decided(spark, sf, docs)
-    return repair.apply_tier(docs, v, decided, "model").select(
+    v, decided = _decided(spark, sf)
+    return repair.apply_tier(spoilt(spark, sf), v, decided, "model").select(
         "doc_id", "n_changes", "n_unresolved", F.md5(F.col("text").cast("binary")).alias("digest")
     )
 
 
 @query()
 def str19_ct_tier(spark, sf):
-    docs = spoilt(spark, sf)
-    v, decided = _decided(spark, sf, docs)
-    return repair.apply_tier(docs, v, decided, "ct").select("doc_id", "n_changes", F.md5(F.col("text").cast("binary")).alias("digest"))
+    v, decided = _decided(spark, sf)
+    return repair.apply_tier(spoilt(spark, sf), v, decided, "ct").select(
+        "doc_id", "n_changes", F.md5(F.col("text").cast("binary")).alias("digest")
+    )
 
 
 @query()
 def agg09_change_log(spark, sf):
-    docs = spoilt(spark, sf)
     v = vocabulary(spark, sf)
-    fixes = library.best_fixes(repair.candidates(docs), v, library.stems(v))
-    return repair.change_log(repair.corrected(docs, v, fixes))
+    known_stems = stored(library.stems(v), "stems")
+    return repair.change_log(repair.corrected(spoilt(spark, sf), v, lambda words: library.best_fixes(words, v, known_stems)))
 
 
 @query()

@@ -214,3 +214,44 @@ def test_greedy_alignment_and_band(spark):
         "key string, src array<string>, tgt array<string>",
     )
     assert [(x["i"], x["j"]) for x in alignment.align_sentences(pairs, "key").collect()] == [(0, 0)]
+
+
+def test_only_unknown_words_and_their_merges_are_looked_up(spark):
+    texts = spark.createDataFrame([(1, "terra fama et fol fi lius terra"), (2, None), (3, "fama fol9 f")], "doc_id long, text string")
+    known = spark.createDataFrame([("terra", 1), ("fama", 2), ("et", 3), ("sol", 4), ("filius", 5)], "word string, freq long")
+    asked = []
+
+    def fixes(words):
+        asked.append({r["word"] for r in words.collect()})
+        return library.best_fixes(words, known, library.stems(known)).unionByName(
+            words.where("word = 'filius'").selectExpr("word", "'filius' AS exact", "CAST(NULL AS STRING) AS stem")
+        )
+
+    rows = {r["doc_id"]: r for r in repair.corrected(texts, known, fixes).collect()}
+    assert asked == [{"fol", "fi"}, {"filius", "filiusterra"}]
+    assert rows[1]["text"] == "terra fama et sol filius terra" and rows[1]["changes"] == ["fol\tsol", "fi lius\tfilius"]
+    assert rows[2]["text"] == "" and rows[3]["text"] == "fama fol9 f" and rows[3]["n_unresolved"] == 1
+
+
+def test_best_fixes_are_those_of_all_variants(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 11)))
+    known = {repair.folded(word("fsae") + rng.choice(["", "us", "is", "as"])): i for i, _ in enumerate(range(400))}
+    words = sorted({word("fFsSae") + rng.choice(["", "uf", "if", "us", "af"]) for _ in range(600)})
+    v = spark.createDataFrame(list(known.items()), "word string, freq long")
+    stems = library.stems(v)
+    stem_set = {r["stem"] for r in stems.collect()}
+    rows = {r["word"]: (r["exact"], r["stem"]) for r in library.best_fixes(spark.createDataFrame([(w,) for w in words], "word string"), v, stems).collect()}
+    for w in words:
+        at = [i for i, c in enumerate(w) if c in "fF"]
+        exact, family = [], []
+        for n in range(1, len(at) + 1) if len(at) <= 6 else ():
+            for chosen in combinations(at, n):
+                form = "".join({"f": "s", "F": "S"}[c] if i in chosen else c for i, c in enumerate(w))
+                key, order = repair.folded(form), [0 if i in chosen else 1 for i in at]
+                if key in known:
+                    exact.append(((-n, -known[key], order), form))
+                if len(key) >= 6 and any(key.endswith(e) and key[: -len(e)] in stem_set for e in X.ENDINGS if len(key) - len(e) >= 4):
+                    family.append(((n, order), form))
+        assert rows[w] == tuple(min(x)[1] if x else None for x in (exact, family)), w
+    assert any(a for a, _ in rows.values()) and any(b for _, b in rows.values())
