@@ -255,3 +255,19 @@ def test_best_fixes_are_those_of_all_variants(spark):
                     family.append(((n, order), form))
         assert rows[w] == tuple(min(x)[1] if x else None for x in (exact, family)), w
     assert any(a for a, _ in rows.values()) and any(b for _, b in rows.values())
+
+
+def test_order_of_letters_bounds_the_entries_tried():
+    """Texts of the same letters in other orders: letters alone would have all of them tried."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    mixed = lambda: "".join(rng.sample("0123456789abcdef" * 2, 32))
+    entries = [(i, mixed(), "by author 7.") for i in range(200)] + [(200, "", ""), (201, "0f" * 600, "")]
+    matcher = alignment.Matcher(entries, 0.1)
+    for want in (entries[7][1][:-2], mixed(), mixed() + mixed() + mixed(), "", "éé"):
+        for author in ("", "author 7."):
+            ratios = [min(1.0, SequenceMatcher(None, want, t).ratio() + (0.1 if author and author in c else 0)) for _, t, c in entries]
+            ord_, score, _, tried = matcher.best(want, author)
+            assert (ord_, score) == (ratios.index(max(ratios)), max(ratios))
+    assert matcher.best(entries[7][1][:-2], "", 0.62)[3] <= 2 and matcher.best("0123456789abcdef", "", 0.99) is None
