@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,98 @@ def top_k(index: DataFrame, query: list[float], k: int, keep: Column | None = No
     return best.orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_k_each(index: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """For each of a stated, counted set of queries (query_id, unit) the k nearest: (query_id, id, score).
+PART = 8192  # vectors of the index in a cell of top_k_each
 
-    The queries are the broadcast side, `most` at most; beyond that they go in blocks. Ids of the index are unique.
+
+def _flat(vectors: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, place, rows): 0 for a vector of numbers, whose place is its row, 1 with NaN in it, 2 without a product: null, of another width, or with a null."""
+    a = vectors.combine_chunks()
+    lengths, flat = pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False), a.flatten()
+    start = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+    fits = np.flatnonzero((lengths == width) & (lengths >= 0))
+    at = start[fits, None] + np.arange(width)
+    values = flat.to_numpy(zero_copy_only=False).astype(float)[at]
+    holes = flat.is_null().to_numpy(zero_copy_only=False)[at].any(1)
+    kind = np.full(len(lengths), 2)
+    kind[fits] = np.where(holes, 2, np.where(np.isnan(values).any(1), 1, 0))
+    good = kind[fits] == 0
+    place = np.full(len(lengths), -1)
+    place[fits[good]] = np.arange(good.sum())
+    return kind, place, np.ascontiguousarray(values[good])
+
+
+def _best(units: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows, ties by row.
+
+    A matrix product leaves the rows that may be among them; their scores are summed in the order of `X.dot`, so equal vectors tie.
+    """
+    out, n = [], len(units)
+    most = np.sqrt((units * units).sum(1).max()) if n else 0.0
+    step = max(1, (1 << 22) // max(1, n))
+    for at in range(0, len(queries) if n else 0, step):
+        q = queries[at : at + step]
+        rough = q @ units.T
+        least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+        i, j = np.nonzero(rough >= (least - 1e-9 * most * np.sqrt((q * q).sum(1)))[:, None])
+        score = np.zeros(len(i))
+        for d in range(q.shape[1]):
+            score = score + units[j, d] * q[i, d]
+        order = np.lexsort((j, -score, i))
+        i, j, score = i[order], j[order], score[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[kept] + at, j[kept], score[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _cell(index: pa.Table, queries: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, row, score) of what can be among the k nearest of each query; rows of the index in the order of their ids."""
+    found: list = []
+    widths = pc.fill_null(pc.list_value_length(queries["unit"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        mine = np.flatnonzero(widths == width)
+        theirs, _, units = _flat(index["unit"], width)
+        own, place, vectors = _flat(queries["unit"].take(mine), width)
+        rows = np.flatnonzero(theirs == 0)
+        i, j, score = _best(units, vectors, k)
+        found.append((mine[np.flatnonzero(own == 0)][i], rows[j], score, np.zeros(len(i), bool)))
+        # without a number, the first by id: NaN before all numbers, null behind them
+        for nan in (True, False):
+            for kind in range(3):
+                fits = np.flatnonzero((np.maximum(theirs, kind) == 1) if nan else (np.maximum(theirs, kind) == 2))[:k]
+                asked = mine[own == kind]
+                i, j = np.repeat(asked, len(fits)), np.tile(fits, len(asked))
+                found.append((i, j, np.full(len(i), np.nan), np.full(len(i), not nan)))
+    i, j, score, none = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, pa.array(score, pa.float64(), mask=none)
+
+
+def top_k_each(index: DataFrame, queries: DataFrame, k: int, most: int = 10_000, part: int = PART) -> DataFrame:
+    """For each of a set of queries (query_id, unit) the k nearest, ties by id: (query_id, id, score, rank).
+
+    Parts of the index meet blocks of at most about `most` queries, each pair in one task as a matrix product; of a pair only k rows
+    for each query leave it, so a task holds a part and a block, and no row for each pair of vectors is ever made. Ids of the index are unique.
     """
-    out, number = None, -(-queries.count() // most)
-    for i in range(max(1, number)):
-        part = queries if number <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == i)
-        scored = index.select("id", "unit").join(
-            F.broadcast(part.select("query_id", F.col("unit").alias("q"))), F.lit(True)
-        ).select("query_id", "id", X.dot(F.col("unit"), F.col("q")).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    parts, blocks = max(1, -(-index.count() // part)), max(1, -(-queries.count() // most))
+    dealt = lambda df, key, own, n, other, m: df.select(
+        key, F.col("unit").cast("array<double>").alias("unit"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    )
+    left = dealt(index, "id", "_part", parts, "_block", blocks).groupBy("_part", "_block")
+    right = dealt(queries, "query_id", "_block", blocks, "_part", parts).groupBy("_part", "_block")
+
+    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if rows.num_rows and asked.num_rows:
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_start"))
+            i, j, score = _cell(rows, asked, k)
+        else:
+            i, j, score = [], [], pa.array([], pa.float64())
+        take = lambda table, name, at: table[name].take(pa.array(at, pa.int64()))
+        return pa.table({"query_id": take(asked, "query_id", i), "id": take(rows, "id", j), "score": score})
+
+    kinds = {"query_id": queries.schema["query_id"], "id": index.schema["id"]}
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in kinds.items()) + ", score double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = left.cogroup(right).applyInArrow(nearest, schema)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def overfetched(index: DataFrame, query: list[float], k: int, keep: Column, factor: int = 4) -> DataFrame:

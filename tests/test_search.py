@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.operators import search
 
 
@@ -42,3 +44,17 @@ def test_empty_indexes_and_no_query(spark, tmp_path):
     none = spark.createDataFrame([], "id long, unit array<double>")
     cells = search.CellIndex(spark, str(tmp_path)).build(none)
     assert cells.search([1.0, 0.0], 3).count() == 0
+
+
+def test_each_query_s_hits_are_those_of_all_pairs_without_their_rows(spark, index):
+    odd = [(4000, None), (4001, [1.0, None] + [0.0] * 14), (4002, [float("nan")] * 16), (4003, [float("nan")] + [0.0] * 15), (4004, []), (4005, [2.0, 1.0])]
+    rows = index.dropDuplicates(["id"]).select("id", "unit").unionByName(spark.createDataFrame(odd, "id long, unit array<double>")).coalesce(2).cache()
+    queries = rows.where("id % 100 = 0 or id >= 3000").select(F.col("id").alias("query_id"), "unit")
+    pairs = rows.join(queries.withColumnRenamed("unit", "q")).select("query_id", "id", X.dot(F.col("unit"), F.col("q")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    order = lambda df: [(*r[:2], str(r[2]), r[3]) for r in df.orderBy("query_id", "rank").collect()]
+    for k, most, part in ((5, 10_000, 8192), (3, 4, 100), (2000, 10, 700)):
+        found = search.top_k_each(rows, queries, k, most, part)
+        assert order(found) == order(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert search.top_k_each(rows.limit(0), queries, 5).count() == search.top_k_each(rows, queries.limit(0), 5).count() == 0
