@@ -7,7 +7,6 @@ size aggregate map-side.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -21,80 +20,154 @@ ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
 
 
-def _grams(tokens, n: int) -> Counter:
-    return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+ROWS, LETTERS = 128, 1 << 18  # pairs counted together, and their letters: arrays that stay in the cache
 
 
-ROWS = 128  # pairs counted together: arrays that stay in the cache
+def common_grams(codes: np.ndarray, lengths: np.ndarray, order: int, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """For each pair of sides, row and order up to `order` the n-grams that both have, each as often as the one that has it less often.
 
+    codes: the rows of all sides one after the other, as numbers from 1; lengths: (sides, rows). Places are sorted once by their row and their first
+    `order` codes; those of equal shorter n-grams lie together too, so each order only asks where the sorted places begin to differ.
+    """
+    rows, out = lengths.shape[1], np.zeros((len(pairs), lengths.shape[1], order))
+    if not len(codes):
+        return out
+    flat = lengths.ravel()
+    bits, wide = int(codes.max()).bit_length(), (rows - 1).bit_length()
+    fits = wide + order * bits + 2 <= 64
+    if not fits and rows > 1:
+        half, ends = rows // 2, np.split(codes, np.cumsum(flat)[:-1])
+        for at in (slice(0, half), slice(half, rows)):
+            own = np.concatenate([ends[i] for i in np.arange(flat.size).reshape(lengths.shape)[:, at].ravel()])
+            out[:, at] = common_grams(own, lengths[:, at], order, pairs)
+        return out
+    place = np.repeat(np.arange(flat.size), flat)
+    left = np.repeat(np.cumsum(flat), flat) - np.arange(len(codes))  # codes from each place to its row's end
+    codes, side, n = codes.astype(np.uint64), (place // rows).astype(np.uint64), len(codes)
+
+    def packed(first: int, last: int, key: np.ndarray) -> np.ndarray:
+        for i in range(first, last):
+            key = key << np.uint64(bits)
+            if i < n:
+                key[: n - i] |= np.where(left[: n - i] > i, codes[i:], np.uint64(0))
+        return key
+
+    # keys of which each holds the codes from one order to another; a single row with very many codes needs more than one
+    steps = [0, order] if fits else [*range(0, order, 62 // bits), order]
+    keys = [packed(i, j, (place % rows).astype(np.uint64) if i == 0 else np.zeros(n, np.uint64)) for i, j in zip(steps, steps[1:], strict=False)]
+    if fits:
+        both = keys[0] << np.uint64(2) | side
+        both.sort()
+        side, keys = both & np.uint64(3), [both >> np.uint64(2)]
+    else:
+        sort = np.lexsort(keys[::-1])
+        side, keys = side[sort], [k[sort] for k in keys]
+    before = [np.concatenate([[0], np.cumsum(side == np.uint64(i))]) for i in range(len(lengths))]
+    changed = np.zeros(n, bool)
+    changed[0] = True
+    for key, first, last in zip(keys, steps, steps[1:], strict=False):
+        change = np.concatenate([[np.uint64(0)], key[1:] ^ key[:-1]])
+        for i in range(first + 1, last + 1):
+            below = np.uint64((last - i) * bits)
+            at = np.flatnonzero(changed | (change >= np.uint64(1) << below))
+            ends = np.append(at[1:], n)
+            whole = (key[at] >> below) & np.uint64((1 << bits) - 1) != 0
+            at, ends = at[whole], ends[whole]
+            row = (key[at] >> np.uint64(order * bits)).astype(np.int64) if fits else np.zeros(len(at), np.int64)
+            counts = [c[ends] - c[at] for c in before]
+            for k, (a, b) in enumerate(pairs):
+                out[k, :, i - 1] = np.bincount(row, np.minimum(counts[a], counts[b]), rows)
+        changed |= change != 0
+    return out
 
-def chrf_counts(hypotheses: list[str], references: list[str]) -> np.ndarray:
-    """A row for each pair, and in it for each order: n-grams of the hypothesis (0 where the reference has none), of the reference, and common ones.
 
-    A batch's n-grams are numbers: the pair's place above the letters' codes in the batch. Both sides are sorted as one array, in which equal
-    ones lie together, and the smaller count of each run is common to both.
-    """
-    out = np.zeros((len(hypotheses), 3 * ORDER), np.int64)
-    for start in range(0, len(hypotheses), ROWS):
-        sides = [["".join(t.split()) for t in texts[start : start + ROWS]] for texts in (hypotheses, references)]
-        lengths = [np.array([len(t) for t in side]) for side in sides]
-        points = [np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in sides]
-        letters, codes = np.unique(np.concatenate(points), return_inverse=True)
-        codes = np.split(codes.astype(np.uint64), [len(points[0])])
-        size = np.uint64(len(letters) + 1)
-        pair = [np.repeat(np.arange(len(n), dtype=np.uint64), n) for n in lengths]
-        room = [np.repeat(np.cumsum(n), n) - np.arange(n.sum()) for n in lengths]  # letters from each place to its text's end
-        grams = [np.zeros(len(c), np.uint64) for c in codes]
-        kinds = len(letters) + 1  # how many numbers the grams so far can have
-        for n in range(1, ORDER + 1):
-            grams = [g[: len(c) - n + 1] * size + c[n - 1 :] + np.uint64(1) if len(c) >= n else g[:0] for g, c in zip(grams, codes, strict=True)]
-            kinds = kinds * (len(letters) + 1) + 1 if n > 1 else kinds
-            if kinds * ROWS >= 1 << 62:  # many letters: number the grams that there are
-                known, again = np.unique(np.concatenate(grams), return_inverse=True)
-                grams, kinds = np.split(again.astype(np.uint64), [len(grams[0])]), len(known)
-            whole = [r[: len(g)] >= n for r, g in zip(room, grams, strict=True)]
-            keys = [(p[: len(g)][w] * np.uint64(kinds + 1) + g[w]) * np.uint64(2) + np.uint64(i) for i, (p, g, w) in enumerate(zip(pair, grams, whole, strict=True))]
-            for i, total in enumerate(np.maximum(0, side - n + 1) for side in lengths):
-                out[start : start + len(total), 3 * n - 3 + i] = total
-            sorted_ = np.sort(np.concatenate(keys))
-            if len(sorted_):
-                first = np.flatnonzero(np.diff(sorted_ >> np.uint64(1), prepend=np.uint64(1) << np.uint64(63)))
-                all_ = np.diff(first, append=len(sorted_))
-                theirs = np.add.reduceat((sorted_ & np.uint64(1)).astype(np.int64), first)
-                row = (sorted_[first] >> np.uint64(1)) // np.uint64(kinds + 1)
-                common = np.bincount(row.astype(np.int64), np.minimum(theirs, all_ - theirs), len(sides[0]))
-                out[start : start + len(common), 3 * n - 1] = common.astype(np.int64)
-    out[:, 0::3][out[:, 1::3] == 0] = 0
+def _counted(sides: list, order: int, pairs: list[tuple[int, int]], coded) -> tuple[np.ndarray, np.ndarray]:
+    """(all, common): n-grams of each side and those common to pairs of sides, by row and order. `coded` makes numbers from 1 of the rows of all sides."""
+    lengths = np.array([[len(x) for x in side] for side in sides], np.int64).reshape(len(sides), -1)
+    total = np.maximum(0, lengths[:, :, None] - np.arange(order))
+    common = np.zeros((len(pairs), lengths.shape[1], order))
+    start, many = 0, lengths.sum(0).tolist()
+    while start < len(many):
+        end, size = start + 1, many[start]
+        while end < min(start + ROWS, len(many)) and size + many[end] <= LETTERS:
+            size, end = size + many[end], end + 1
+        common[:, start:end] = common_grams(coded([x for side in sides for x in side[start:end]]), lengths[:, start:end], order, pairs)
+        start = end
+    return total, common.astype(np.int64)
+
+
+def _letter_codes(texts: list[str]) -> np.ndarray:
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    there = np.zeros(points.max(initial=0) + 1, bool)
+    there[points] = True
+    return np.cumsum(there)[points]
+
+
+def chrf_sides(pairs: list[tuple[int, int]], *sides: list[str]) -> list[np.ndarray]:
+    """`chrf_counts` of several pairs of sides, the n-grams of each side taken once."""
+    total, common = _counted([["".join(t.split()) for t in texts] for texts in sides], ORDER, pairs, _letter_codes)
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        counts = np.zeros((len(sides[0]), 3 * ORDER), np.int64)
+        counts[:, 0::3], counts[:, 1::3], counts[:, 2::3] = total[a], total[b], common[k]
+        counts[:, 0::3][counts[:, 1::3] == 0] = 0
+        out.append(counts)
     return out
 
 
+def chrf_counts(hypotheses: list[str], references: list[str]) -> np.ndarray:
+    """A row for each pair, and in it for each order: n-grams of the hypothesis (0 where the reference has none), of the reference, and common ones."""
+    return chrf_sides([(0, 1)], hypotheses, references)[0]
+
+
 # fixed values: the tokenization of the published metric
 ENTITIES = [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 CUTS = [
-    (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
+    (re.compile(r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])"), r" \1 "),  # the published class has the space too, which only makes more of it
     (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
     (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
     (re.compile(r"([0-9])(-)"), r"\1 \2 "),
 ]
 
 
-def bleu_tokens(text: str) -> list[str]:
-    for old, new in ENTITIES:
-        text = text.replace(old, new)
-    text = f" {text.strip()} "
+def tokens_of(texts: list[str]) -> list[list[str]]:
+    """The published tokens of each text. Texts are cut together as lines, which end in spaces on both sides, so that no cut sees two of them."""
+    lines = []
+    for text in texts:
+        for old, new in ENTITIES:
+            text = text.replace(old, new)
+        lines.append(f" {text.strip()} ")
+    whole = "\n".join(lines)
     for pattern, new in CUTS:
-        text = pattern.sub(new, text)
-    return text.split()
+        whole = pattern.sub(new, whole)
+    return [line.split() for line in whole.split("\n")] if lines else []
 
 
-def bleu_counts(hypothesis: str, reference: str) -> list[int]:
-    """Common and all n-grams of the hypothesis for each order, and both lengths."""
-    h, r = bleu_tokens(hypothesis), bleu_tokens(reference)
-    out = []
-    for n in range(1, BLEU_ORDER + 1):
-        a, b = _grams(h, n), _grams(r, n)
-        out += [(a & b).total(), a.total()]
-    return [*out, len(h), len(r)]
+def bleu_tokens(text: str) -> list[str]:
+    return tokens_of([text])[0]
+
+
+def _token_codes(rows: list[list[str]]) -> np.ndarray:
+    known: dict[str, int] = {}
+    return np.array([known.setdefault(t, len(known) + 1) for row in rows for t in row], np.int64)
+
+
+def bleu_counts(hypotheses: list[str], references: list[str]) -> np.ndarray:
+    """A row for each pair: common and all n-grams of the hypothesis for each order, and both lengths."""
+    sides = [tokens_of(texts) for texts in (hypotheses, references)]
+    total, common = _counted(sides, BLEU_ORDER, [(0, 1)], _token_codes)
+    out = np.zeros((len(hypotheses), 2 * BLEU_ORDER + 2), np.int64)
+    out[:, 0:-2:2], out[:, 1:-2:2], out[:, -2], out[:, -1] = common[0], total[0], total[0, :, 0], total[1, :, 0]
+    return out
+
+
+def pair_scores(c: np.ndarray) -> np.ndarray:
+    """The score of each pair alone, by the formula of `chrf_of`."""
+    own, other, common = (c[:, i::3].astype(float) for i in range(3))
+    both = (own > 0) & (other > 0)
+    orders = np.maximum(1, both.sum(1))
+    p, r = ((np.where(both, common, 0) / np.maximum(side, 1)).sum(1) / orders for side in (own, other))
+    return np.where(p + r > 0, 100 * (1 + BETA**2) * p * r / np.maximum(BETA**2 * p + r, 1e-300), 0.0)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -104,18 +177,23 @@ def chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def bleu_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([bleu_counts(x or "", y or "") for x, y in zip(hyp, ref, strict=True)])
+    return pd.Series(list(bleu_counts(hyp.fillna("").tolist(), ref.fillna("").tolist())))
 
 
 @F.pandas_udf(T.DoubleType())
 def chrf_score(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    """The score of each pair alone, by the formula of `chrf_of`."""
-    c = chrf_counts(hyp.fillna("").tolist(), ref.fillna("").tolist()).astype(float)
-    own, other, common = (c[:, i::3] for i in range(3))
-    both = (own > 0) & (other > 0)
-    orders = np.maximum(1, both.sum(1))
-    p, r = ((np.where(both, common, 0) / np.maximum(side, 1)).sum(1) / orders for side in (own, other))
-    return pd.Series(np.where(p + r > 0, 100 * (1 + BETA**2) * p * r / np.maximum(BETA**2 * p + r, 1e-300), 0.0))
+    """The score of each pair alone."""
+    return pd.Series(pair_scores(chrf_counts(hyp.fillna("").tolist(), ref.fillna("").tolist())))
+
+
+STYLE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("kept", "near", "was")] + [T.StructField("hr", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(STYLE)
+def style_stats(hyp: pd.Series, src: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Scores of hyp against src, hyp against ref and src against ref, and the counts of hyp and ref."""
+    kept, near, was = chrf_sides([(0, 1), (0, 2), (1, 2)], *[x.fillna("").tolist() for x in (hyp, src, ref)])
+    return pd.DataFrame({"kept": pair_scores(kept), "near": pair_scores(near), "was": pair_scores(was), "hr": list(near)})
 
 
 def chrf_of(stats: Column) -> Column:
@@ -164,8 +242,7 @@ def style_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
     commit: how far the rewriting is from its source; register_gap: how much nearer the reference than the source is.
     """
     ratio = F.length("hyp") / F.greatest(F.lit(1), F.length("src"))
-    scores = [chrf_score(a, b).alias(name) for name, a, b in (("kept", "hyp", "src"), ("near", "hyp", "ref"), ("was", "src", "ref"))]
-    counted = pairs.select(*by, *scores, chrf_stats("hyp", "ref").alias("hr"), ratio.alias("r"))
+    counted = pairs.select(*by, style_stats("hyp", "src", "ref").alias("s"), ratio.alias("r")).select(*by, "s.*", "r")
     sums = counted.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(100 - F.col("kept")).alias("commit"),

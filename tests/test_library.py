@@ -192,6 +192,30 @@ def test_chrf_counts_against_counters(monkeypatch, letters):
     assert evaluation.chrf_counts([], []).shape == (0, 18)
 
 
+@pytest.mark.parametrize("letters", ["ab ", "ab.,-1 &;", "".join(map(chr, range(0x4E00, 0x5E00)))])
+def test_counts_of_whole_batches_against_counters(monkeypatch, letters):
+    monkeypatch.setattr(evaluation, "ROWS", 7)
+    monkeypatch.setattr(evaluation, "LETTERS", 300)
+    r = random.Random(4)
+    some = lambda: "".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 30, 2000])))
+    sides = [[some() for _ in range(15)] for _ in range(2)]
+    sides.append([a[2:] + b[:9] for a, b in zip(*sides, strict=True)])
+    for pair, got in zip([(0, 2), (1, 2)], evaluation.chrf_sides([(0, 2), (1, 2)], *sides), strict=True):
+        assert (got == evaluation.chrf_counts(*(sides[i] for i in pair))).all()
+    for a, b, got in zip(sides[0], sides[2], evaluation.bleu_counts(sides[0], sides[2]).tolist(), strict=True):
+        h, t, want = evaluation.bleu_tokens(a), evaluation.bleu_tokens(b), []
+        for n in range(1, 5):
+            x, y = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (h, t))
+            want += [(x & y).total(), x.total()]
+        assert got == [*want, len(h), len(t)]
+
+
+def test_style_scores_take_the_n_grams_of_a_side_once(spark):
+    rows = spark.createDataFrame([("t", "abcdef", "abcdxf", "abcdef")], "m string, src string, hyp string, ref string")
+    plan = evaluation.style_scores(rows, ["m"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"(?:chrf_score|chrf_stats|style_stats)\([^)]*\)#\d+", plan))) == 1
+
+
 def test_scores_against_plain_formulas(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abc.,-1") for _ in range(r.randint(1, 6)))
