@@ -64,8 +64,8 @@ def styled(
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset}; one of {', '.join(PRESETS)}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        generate = factory()
+    def run(batches):
+        generate = None
 
         def call(units: list[str]) -> list:
             try:
@@ -76,12 +76,16 @@ def styled(
                 half = len(units) // 2
                 return call(units[:half]) + call(units[half:])
 
-        pdf = pdf.sort_values("ord")
-        out = pd.DataFrame({"id": pdf["id"], "english_styled": call(pdf["english_text"].tolist())})
-        return out[out["english_styled"].notna()]
-
-    batches = style_batches(segments, size).select("section_id", "batch", "id", "ord", "english_text")
-    done = batches.groupBy("section_id", "batch").applyInPandas(run, "id long, english_styled string")
+        for pdf in batches:
+            generate = generate or factory()
+            # call() gives a text for each unit, in their order
+            found = [(x["id"], t) for rows in pdf["rows"] for x, t in zip(rows, call([x["english_text"] for x in rows]), strict=True)]
+            yield pd.DataFrame([x for x in found if x[1] is not None], columns=["id", "english_styled"])
+
+    # a batch is a row, of `size` segments at most, so a task takes many at a time
+    listed = F.array_sort(F.collect_list(F.struct("ord", "id", "english_text"))).alias("rows")
+    batches = style_batches(segments, size).groupBy("section_id", "batch").agg(listed)
+    done = batches.select("rows").mapInPandas(run, "id long, english_styled string")
     done = done.withColumn("style_label", F.lit(preset))
     copied = pending_style(segments).where("route = 'placeholder'").select(
         "id", F.lit(X.PLACEHOLDER).alias("english_styled"), F.lit("placeholder").alias("style_label")

@@ -216,6 +216,18 @@ def test_style_scores_take_the_n_grams_of_a_side_once(spark):
     assert len(set(re.findall(r"(?:chrf_score|chrf_stats|style_stats)\([^)]*\)#\d+", plan))) == 1
 
 
+def test_a_styling_model_is_made_once_for_many_batches(spark):
+    rows = spark.createDataFrame([(i, i, 0, f"text {i}", None) for i in range(6)], "id long, section_id long, ord int, english_text string, english_styled string")
+
+    def factory():
+        calls = []
+        return lambda system, user: calls.append(user) or f"call {len(calls)} {user.strip()}"
+
+    got = {r["id"]: r["english_styled"].split() for r in styling.styled(rows.coalesce(1), factory, "modernize").collect()}
+    assert set(got) == set(range(6)) and all(x[-1] == str(i) for i, x in got.items())
+    assert max(int(x[1]) for x in got.values()) > 1
+
+
 def test_scores_against_plain_formulas(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abc.,-1") for _ in range(r.randint(1, 6)))
