@@ -230,3 +230,29 @@ def test_correct_with_own_entries(spark):
         "concat('f', translate(cast(id as string), '0123456789', 'abcdeghikl')) as word", "'sum' as exact", "cast(null as string) as stem"
     )
     assert repair.corrected(spark.createDataFrame([(1, "fb est")], "doc_id long, text string"), known, many).first()["text"] == "sum est"
+
+
+def test_results_of_a_model_leave_the_worker_in_slices(spark):
+    rows = spark.range(1500).coalesce(1).select("id", F.repeat(F.lit("x"), (1500 - F.col("id")).cast("int")).alias("t"))
+
+    def factory():
+        calls = []
+        return lambda texts: calls.append(0) or [[float(len(calls)), float(len(t))] for t in texts]
+
+    got = {r["id"]: r["output"] for r in enrich.apply_model(rows, "id", "t", factory, "array<double>").collect()}
+    assert all(got[i][1] == 1500 - i for i in range(1500))
+    assert max(got[i][0] for i in range(512)) == 16
+
+
+def test_functions_of_whole_texts_hold_few_of_them(spark):
+    from pyspark.util import PythonEvalType
+
+    texts = [None if i % 5 == 0 else f"&amp;{i} &lt;" for i in range(700)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    xml = F.concat(F.lit("<cc><author>A</author><div>"), "t", F.lit("</div></cc>"))
+    got = rows.select("id", parse.unescape_each(F.when(F.col("t").isNotNull(), F.array("t"))).alias("u"), parse.corpus_parts(xml).alias("c"), alignment.chunked("t").alias("k"))
+    for r in got.collect():
+        t = texts[r["id"]]
+        plain = t and t.replace("&amp;", "&").replace("&lt;", "<")
+        assert (r["u"], r["k"]) == ((None, []) if t is None else ([plain], [t])) and tuple(r["c"]) == ((None, None, "") if t is None else ("A", None, plain))
+    assert {f.evalType for f in (parse.unescape_each, parse.corpus_parts, alignment.chunked)} == {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}
