@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import library
-from ..sources import catalogs, connector, parse
+from ..operators.tables import fresh
+from ..sources import catalogs, connector, parse, sink
 from .queries import query, table
 
 # directory listings: a folder for each source, an entry for each document, every third a file
@@ -559,18 +563,36 @@ def src28_thml_chapters(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(parse.thml_parts(xml)).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT page_id, 'page' || page_id AS title, html AS text FROM pages")
-def src01_files(spark, sf):
-    import uuid
+def _page_files(pages, path):
+    """Writes a file for each page (page_id, html) and returns the folders, one for each task; what failed attempts left is in none of them.
+
+    Spark's own writer makes a folder for each value, and its driver moves every one of them, one after the other.
+    """
 
-    from ..operators.tables import shared_dir
+    def run(batches):
+        files, root = sink.place(path)
+        own, names, folder = f"{root}/{uuid.uuid4().hex}", set(), -1
+        for batch in batches:
+            for number, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if folder < 0 or len(names) == 1000 or number in names:
+                    folder, names = folder + 1, set()
+                    files.create_dir(f"{own}/{folder}", recursive=True)
+                names.add(number)
+                with files.open_output_stream(f"{own}/{folder}/page{number}.txt") as out:
+                    out.write((html or b"") + b"\n")  # Spark reads no empty files
+        if folder >= 0:
+            yield pa.record_batch([pa.array([own.removeprefix(root)])], ["folder"])
 
-    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    table(spark, sf, "pages").repartition(4).select("page_id", "html").write.partitionBy("page_id").option("lineSep", "\n").text(path)
-    found = parse.files(spark, path, limit=None)
-    number = F.regexp_extract("source", r"page_id=(\d+)/", 1).cast("long")
+    written = pages.select("page_id", F.col("html").cast("binary")).mapInArrow(run, "folder string")
+    return [f"{path}{r['folder']}" for r in written.collect()]
+
+
+@query("SELECT page_id, 'page' || page_id AS title, html AS text FROM pages")
+def src01_files(spark, sf):
+    folders = _page_files(table(spark, sf, "pages"), fresh(spark, "files"))
+    found = parse.files(spark, folders, limit=None)
     return found.select(
-        number.alias("page_id"), F.concat(F.lit("page"), number).alias("title"), F.regexp_replace("text", r"\n\z", "").alias("text")
+        F.substring("title", 5, 20).cast("long").alias("page_id"), "title", F.regexp_replace("text", r"\n\z", "").alias("text")
     )
 
 

@@ -36,7 +36,8 @@ class _Done(WriterCommitMessage):
         self.listed, self.files = listed, files
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
@@ -45,7 +46,7 @@ class FilesWriter(DataSourceArrowWriter):
         self.path, self.folder = path.rstrip("/"), f"write-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        files, root = _place(self.path)
+        files, root = place(self.path)
         own = f"{root}/{self.folder}/{uuid.uuid4().hex}"  # attempts of one task do not meet
         listed = []
         for batch in iterator:
@@ -64,7 +65,7 @@ class FilesWriter(DataSourceArrowWriter):
         return _Done(f"{own}/list.json", len(listed))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, root = _place(self.path)
+        files, root = place(self.path)
         done = [m for m in messages if m is not None]
         files.create_dir(root, recursive=True)
         body = json.dumps({"lists": [m.listed for m in done if m.listed], "files": sum(m.files for m in done)})
@@ -73,7 +74,7 @@ class FilesWriter(DataSourceArrowWriter):
         files.move(f"{root}/{self.folder}.json", f"{root}/{CURRENT}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, root = _place(self.path)
+        files, root = place(self.path)
         if files.get_file_info(f"{root}/{self.folder}").type != fs.FileType.NotFound:
             files.delete_dir(f"{root}/{self.folder}")
 
@@ -93,7 +94,7 @@ def register(spark: SparkSession) -> None:
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """What the last committed write to a path shows: a row for each file; none where nothing has been published."""
-    files, root = _place(path.rstrip("/"))
+    files, root = place(path.rstrip("/"))
     if files.get_file_info(f"{root}/{CURRENT}").type == fs.FileType.NotFound:
         return spark.createDataFrame([], LISTED)
     with files.open_input_stream(f"{root}/{CURRENT}") as f:
@@ -103,7 +104,7 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 
 def sweep(path: str) -> None:
     """Deletes what the current publication does not show; for times when no write is under way."""
-    files, root = _place(path.rstrip("/"))
+    files, root = place(path.rstrip("/"))
     with files.open_input_stream(f"{root}/{CURRENT}") as f:
         shown = {name.rsplit("/", 3)[1] for name in json.loads(f.read())["lists"]}
     for info in files.get_file_info(fs.FileSelector(root)):
@@ -117,7 +118,7 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                files, _ = _place(path)
+                files, _ = place(path)
                 with files.open_input_stream(batch.column("file")[i].as_py()) as f:
                     yield pa.record_batch([batch.column("name").slice(i, 1), pa.array([f.read()], pa.binary())], ["name", "content"])
 
