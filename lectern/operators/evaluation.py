@@ -41,43 +41,50 @@ def common_grams(codes: np.ndarray, lengths: np.ndarray, order: int, pairs: list
             own = np.concatenate([ends[i] for i in np.arange(flat.size).reshape(lengths.shape)[:, at].ravel()])
             out[:, at] = common_grams(own, lengths[:, at], order, pairs)
         return out
-    place = np.repeat(np.arange(flat.size), flat)
-    left = np.repeat(np.cumsum(flat), flat) - np.arange(len(codes))  # codes from each place to its row's end
-    codes, side, n = codes.astype(np.uint64), (place // rows).astype(np.uint64), len(codes)
-
-    def packed(first: int, last: int, key: np.ndarray) -> np.ndarray:
+    n, place, each = len(codes), np.repeat(np.arange(flat.size), flat), np.arange(flat.size)
+    # zeros after each row, so that no n-gram runs into the next
+    spot = np.arange(n) + place * order
+    spread = np.zeros(n + flat.size * order, np.uint64)
+    spread[spot] = codes
+
+    def packed(first: int, last: int) -> np.ndarray:
+        key = np.zeros(len(spread) - order, np.uint64)
         for i in range(first, last):
-            key = key << np.uint64(bits)
-            if i < n:
-                key[: n - i] |= np.where(left[: n - i] > i, codes[i:], np.uint64(0))
-        return key
+            key <<= np.uint64(bits)
+            key |= spread[i : i + len(key)]
+        return key[spot]
 
     # keys of which each holds the codes from one order to another; a single row with very many codes needs more than one
     steps = [0, order] if fits else [*range(0, order, 62 // bits), order]
-    keys = [packed(i, j, (place % rows).astype(np.uint64) if i == 0 else np.zeros(n, np.uint64)) for i, j in zip(steps, steps[1:], strict=False)]
+    keys = [packed(i, j) for i, j in zip(steps, steps[1:], strict=False)]
     if fits:
-        both = keys[0] << np.uint64(2) | side
+        both = keys[0] << np.uint64(2)
+        both |= np.repeat((each % rows << order * bits + 2 | each // rows).astype(np.uint64), flat)
         both.sort()
         side, keys = both & np.uint64(3), [both >> np.uint64(2)]
     else:
         sort = np.lexsort(keys[::-1])
-        side, keys = side[sort], [k[sort] for k in keys]
-    before = [np.concatenate([[0], np.cumsum(side == np.uint64(i))]) for i in range(len(lengths))]
+        side, keys = (place // rows)[sort], [k[sort] for k in keys]
+    # places of a side up to each place; what no other side has is the last one's
+    before = [np.concatenate([[0], np.cumsum(side == i, dtype=np.int32)]) for i in range(len(lengths) - 1)]
     changed = np.zeros(n, bool)
     changed[0] = True
     for key, first, last in zip(keys, steps, steps[1:], strict=False):
         change = np.concatenate([[np.uint64(0)], key[1:] ^ key[:-1]])
         for i in range(first + 1, last + 1):
             below = np.uint64((last - i) * bits)
-            at = np.flatnonzero(changed | (change >= np.uint64(1) << below))
-            ends = np.append(at[1:], n)
-            whole = (key[at] >> below) & np.uint64((1 << bits) - 1) != 0
-            at, ends = at[whole], ends[whole]
-            row = (key[at] >> np.uint64(order * bits)).astype(np.int64) if fits else np.zeros(len(at), np.int64)
-            counts = [c[ends] - c[at] for c in before]
-            for k, (a, b) in enumerate(pairs):
-                out[k, :, i - 1] = np.bincount(row, np.minimum(counts[a], counts[b]), rows)
-        changed |= change != 0
+            changed |= change >= np.uint64(1) << below
+            at = np.flatnonzero(changed)
+            counts = [np.diff(c[at], append=c[-1]) for c in before]
+            counts.append(np.diff(at, append=n) - sum(counts))
+            common = [np.minimum(counts[a], counts[b]) for a, b in pairs]
+            met = np.flatnonzero(sum(common))  # only what two sides have is looked at further
+            key_met = key[at[met]]
+            whole = (key_met >> below) & np.uint64((1 << bits) - 1) != 0
+            met, key_met = met[whole], key_met[whole]
+            row = (key_met >> np.uint64(order * bits)).astype(np.int64) if fits else np.zeros(len(met), np.int64)
+            for k, shared in enumerate(common):
+                out[k, :, i - 1] = np.bincount(row, shared[met], rows)
     return out
 
 

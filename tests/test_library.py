@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -232,6 +233,47 @@ def test_counts_of_whole_batches_against_counters(monkeypatch, letters):
         assert got == [*want, len(h), len(t)]
 
 
+def test_only_pairs_without_a_reason_are_scored(spark):
+    texts = ["x" * 5, "Same text, but for the letters' case", "a line of which half is 汉字 and more of it", "a line that has to be scored by its letters", " "]
+    rows = [(t, t.upper(), i) for i, t in enumerate(texts)] + [(None, "b" * 40, 9)]
+
+    @F.udf("double")
+    def score(a, b):
+        assert (a is None) == (b is None)
+        if a is not None and a != texts[3]:
+            raise ValueError(a)
+        return 99.0 if a else 0.0
+
+    rows[2], rows[3] = (texts[2], "b" * 40, 2), (texts[3], "c" * 40, 3)
+    pairs = spark.createDataFrame(rows, "src string, tgt string, i int")
+    got = {r["i"]: r["reason"] for r in library.pair_reasons(pairs, chrf=score).collect()}
+    assert got == {0: "short", 1: "identical", 2: "contaminated", 3: "near_copy"}
+    assert {r["i"]: r["reason"] for r in library.pair_reasons(pairs).collect()} == got | {3: None}
+
+
+def test_white_space_at_the_ends_is_cut_in_linear_time(spark):
+    inner = "a" + " " * 400_000 + "b"
+    start = time.monotonic()
+    assert spark.createDataFrame([(f"\n {inner}\u3000\r\n",)], "s string").select(X.strip("s")).first()[0] == inner
+    assert time.monotonic() - start < 20
+    # as the pattern has it, for every letter of the basic plane and mixed ends
+    ends = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000] + ["", "\r\n", " \u2028\n", "\u180e \u200b", "é\x85"]
+    rows = spark.createDataFrame([(f"{e}x{e} y{e}",) for e in ends] + [(e,) for e in ends] + [(None,)], "s string")
+    assert rows.where(~F.equal_null(X.strip("s"), F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))).collect() == []
+
+
+def test_contaminated_by_letters_beyond_ascii(spark):
+    r = random.Random(6)
+    some = lambda: "".join(r.choice(["a", "b", "é", "ß", "汉", "한", "ｅ", "\u3000", "€", "😀", " "][: r.randint(1, 11)]) for _ in range(r.randint(0, 25)))
+    sides = [(some(), some()) for _ in range(600)] + [("é" * 3 + "a" * 22, "b"), ("é" * 4 + "a" * 21, "b"), ("a", None), (None, "a"), (None, "汉")]
+    got = [x[0] for x in spark.createDataFrame(sides, "a string, b string").coalesce(1).select(X.is_contaminated("a", "b")).collect()]
+    cjk = re.compile(r"[\u3000-\u9fff\uac00-\ud7ff\uff00-\uffef]")
+    for (a, b), is_so in zip(sides, got, strict=True):
+        if a is not None and b is not None:
+            assert is_so == bool(cjk.search(a) or cjk.search(b) or sum(c > "\x7f" for c in a) / max(1, len(a)) > 0.12), (a, b)
+    assert got[-3:] == [None, None, True]
+
+
 def test_style_scores_take_the_n_grams_of_a_side_once(spark):
     rows = spark.createDataFrame([("t", "abcdef", "abcdxf", "abcdef")], "m string, src string, hyp string, ref string")
     plan = evaluation.style_scores(rows, ["m"])._jdf.queryExecution().optimizedPlan().toString()
