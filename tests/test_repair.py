@@ -204,6 +204,47 @@ def test_best_matches_against_all_pairs(spark, monkeypatch, sizes):
     assert sum(x["tried"] for x in got.values()) < 0.5 * len(wanted) * len(entries)
 
 
+def test_good_matches_need_no_blocks(spark, monkeypatch):
+    """Titles near enough are found by pieces that they share, as against all pairs; only what has none goes on to blocks of all entries."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(alignment, "WORTH", 0)
+    r = random.Random(5)
+    some = lambda most: "".join(r.choice("abcdefgh ") for _ in range(r.randint(1, most))).strip()
+    titles = [some(r.choice([9, 40, 130])) for _ in range(150)] + ["", "anwhan " * 8, "anwhan " * 9]
+    contexts = ["", "caesar", "plinius minor"]
+    entries = [(1000 - i, t, r.choice(contexts)) for i, t in enumerate(titles + titles[:20])] + [(1, None, None)]
+
+    def changed(t):
+        for _ in range(r.randint(0, 1 + len(t) // 15)):
+            at = r.randint(0, len(t))
+            t = t[:at] + r.choice(["", "x", "ab"]) + t[at + r.randint(0, 1) :]
+        return t
+
+    wanted = [(i, changed(r.choice(titles)), r.choice(["", "", "caesar", "minor"])) for i in range(200)] + [(300, "", "caesar"), (301, None, None)]
+    w = spark.createDataFrame(wanted, "id long, key string, author_key string")
+    c = spark.createDataFrame(entries, "ord long, title_key string, context_key string")
+    keys = w.selectExpr("id AS kid", "coalesce(key, '') AS key").coalesce(1)
+    shelf = c.selectExpr("ord AS eid", "coalesce(title_key, '') AS title_key").coalesce(1)
+    for floor in alignment.PIECES:
+        got = {tuple(x) for x in alignment.by_pieces(keys, shelf, floor).collect()}
+        want = {(i, o) for i, k, _ in wanted for o, t, _ in entries if SequenceMatcher(None, k or "", t or "").ratio() >= floor}
+        assert want <= got and len(want) > 30
+
+    met, by_blocks = [], alignment.by_blocks
+    monkeypatch.setattr(alignment, "by_blocks", lambda todo, *rest: met.append({x["key"] for x in todo.collect()}) or by_blocks(todo, *rest))
+    found, best = {x["id"]: x for x in alignment.best_matches(w, c).collect()}, {}
+    for i, key, author in wanted:
+        key, author = key or "", author or ""
+        ratio = lambda t, context: min(1.0, SequenceMatcher(None, key, t).ratio() + (0.1 if author and author in context else 0))  # noqa: B023, E731
+        best[i] = max((ratio(t or "", context or ""), -o) for o, t, context in entries)
+        assert found[i]["score"] == pytest.approx(best[i][0], abs=1e-6) and (found[i]["ord"] is None or found[i]["ord"] == -best[i][1])
+    sure = {k or "" for i, k, a in wanted if not a and best[i][0] >= alignment.PIECES[-1]}
+    weak = {k or "" for i, k, a in wanted if best[i][0] < alignment.PIECES[-1]}
+    asked = {k or "" for _, k, a in wanted if a}
+    assert len(sure) > 50 and weak <= met[0] and not (sure - asked) & met[0]
+
+
 def test_greedy_alignment_and_band(spark):
     sides = spark.createDataFrame([("a", 5, 3), ("b", 0, 4), ("c", 2, 9)], "key string, n int, m int")
     got = {(x["key"], x["i"], x["j"]) for x in alignment.band_candidates(sides, 1).collect()}
