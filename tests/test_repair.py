@@ -245,6 +245,36 @@ def test_good_matches_need_no_blocks(spark, monkeypatch):
     assert len(sure) > 50 and weak <= met[0] and not (sure - asked) & met[0]
 
 
+def test_a_chain_looks_for_nothing_below_its_threshold(spark, monkeypatch):
+    from lectern.plans import enrich
+
+    floors, by_blocks = [], alignment.by_blocks
+    monkeypatch.setattr(alignment, "by_blocks", lambda todo, blocks, floor, bonus: floors.append(floor) or by_blocks(todo, blocks, floor, bonus))
+    wanted = spark.createDataFrame([(1, "troiae excidium", ""), (2, "zzzz", "")], "id long, key string, author_key string")
+    shelf = spark.createDataFrame([(7, "troiae excidiu", ""), (8, "epodi", "")], "ord long, title_key string, context_key string")
+    got = enrich.status_chain(wanted, [("free", shelf, "translated")], threshold=0.7)
+    assert sorted(tuple(x) for x in got.collect()) == [(1, "translated", "free", 7), (2, "unknown", None, None)]
+    assert floors == [0.85, 0.7]
+
+
+def test_all_pairs_at_once_are_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(alignment, "WORDS", 4)
+    r = random.Random(2)
+    for asked in (0.0, 0.3, 0.62, 0.9):
+        some = lambda: "".join(r.choice("abcd") for _ in range(r.choice([0, 1, 9, 40, 70])))
+        a, b, kinds = alignment.Letters.both([some() for _ in range(9)], [some() for _ in range(150)])
+        for i, row in enumerate(alignment.common_all(a, b, kinds, 2, 9, asked), 2):
+            for j, got in enumerate(row):
+                x, y = a.texts[i], b.texts[j]
+                above = [0] * (len(y) + 1)
+                for c in x:
+                    here = [0]
+                    for k, d in enumerate(y):
+                        here.append(above[k] + 1 if c == d else max(above[k + 1], here[k]))
+                    above = here
+                assert got == above[-1] or got < above[-1] and 2 * above[-1] < asked * (len(x) + len(y))
+
+
 def test_greedy_alignment_and_band(spark):
     sides = spark.createDataFrame([("a", 5, 3), ("b", 0, 4), ("c", 2, 9)], "key string, n int, m int")
     got = {(x["key"], x["i"], x["j"]) for x in alignment.band_candidates(sides, 1).collect()}
