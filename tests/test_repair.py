@@ -275,6 +275,16 @@ def test_all_pairs_at_once_are_as_one_by_one(monkeypatch):
                 assert got == above[-1] or got < above[-1] and 2 * above[-1] < asked * (len(x) + len(y))
 
 
+def test_authors_are_found_by_pieces_where_the_bonus_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "WORTH", 0)
+    monkeypatch.setattr(alignment, "by_blocks", None)
+    shelf = [(i, f"q{i * 7919:012d}", f"by author {i}.") for i in range(100, 200)] + [(300, "q000000870909x", "by none")]
+    c = spark.createDataFrame(shelf, "ord long, title_key string, context_key string")
+    w = spark.createDataFrame([(1, shelf[10][1][:-1], "author 110."), (2, shelf[20][1], "")], "id long, key string, author_key string")
+    got = {x["id"]: (x["ord"], x["score"], x["confident"]) for x in alignment.best_matches(w, c).collect()}
+    assert got == {1: (110, 1.0, True), 2: (120, 1.0, True)}
+
+
 def test_greedy_alignment_and_band(spark):
     sides = spark.createDataFrame([("a", 5, 3), ("b", 0, 4), ("c", 2, 9)], "key string, n int, m int")
     got = {(x["key"], x["i"], x["j"]) for x in alignment.band_candidates(sides, 1).collect()}
